@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import log_factorial, logistic, softplus
 from ..plans.data import RegressionData
 from ..plans.models import INTERCEPT_ID, Model
+from ..sources.paths import ship
 from .score import linear_predictors
 from .survival import Running, running_sums
 
@@ -186,6 +187,21 @@ def fit_moments(data: RegressionData, betas: DataFrame, covariates: list[int], t
     return level.union(slope).union(_information(data, t, covariates, ranges))
 
 
+def majorizer_moments(data: RegressionData, betas: DataFrame, covariates: list[int], tasks: int = 1, weights: DataFrame | None = None, ranges: int = 1) -> DataFrame:
+    """As fit_moments, with a diagonal matrix that bounds the information: the sums of a row's weight times its entry's size
+    times the sum of its entries' sizes. Its cost grows with the entries, not with pairs of them."""
+    t = terms(data, weighted_rows(data, betas, tasks, weights), ranges)
+    null, x = F.lit(None).cast("long"), entries(data, covariates)
+    level = t.rows.groupBy("task").agg(F.sum("ll").alias("value"))
+    if t.groups is not None:
+        level = level.union(t.groups.groupBy("task").agg(F.sum("gll").alias("value")))
+    sizes = x.groupBy("rowId").agg(F.sum(F.abs("x")).alias("size"))
+    rows = t.rows.select("task", "rowId", "a", "b").join(sizes, "rowId").join(x, "rowId")
+    both = rows.groupBy("task", "i").agg(F.sum(F.col("a") * F.col("x")).alias("g"), F.sum(F.col("b") * F.abs("x") * F.col("size")).alias("h"))
+    slope = both.select("task", "i", null.alias("j"), F.col("g").alias("value"))
+    return level.select("task", null.alias("i"), null.alias("j"), "value").union(slope).union(both.select("task", "i", "i", "h"))
+
+
 def exact_stratum(e: np.ndarray, x: np.ndarray, cases: int) -> tuple[float, np.ndarray, np.ndarray]:
     """ln of the sum over subsets of ``cases`` rows of their products of e, and its first two derivatives along the columns
     of x. Runs over rows, keeping the sums for all smaller subsets, rescaled."""
@@ -207,6 +223,7 @@ def exact_stratum(e: np.ndarray, x: np.ndarray, cases: int) -> tuple[float, np.n
 
 def _exact_moments(data: RegressionData, betas: DataFrame, covariates: list[int], tasks: int, weights: DataFrame | None) -> DataFrame:
     """Conditional logistic regression with the exact denominators: strata are small and independent, a stratum is a group."""
+    ship(data.spark)
     ids = sorted(covariates)
     rows = weighted_rows(data, betas, tasks, weights).select("task", "stratumId", "rowId", "y", "w", "xb").join(_vectors(entries(data, ids)), "rowId", "left")
 

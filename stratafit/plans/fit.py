@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.likelihood import fit_moments, gradient, log_likelihood
+from ..operators.likelihood import fit_moments, gradient, log_likelihood, majorizer_moments
 from ..operators.score import coefficients
 from .data import RegressionData
 from .models import INTERCEPT_ID, Model
@@ -32,6 +33,8 @@ class Control:
     cycles: int = 200
     #: Two-level running sums over so many ranges of time; 1 where strata are small.
     ranges: int = 1
+    #: newton: steps on the whole information matrix; mm: all coefficients at once on a diagonal bound of it, for many of them.
+    algorithm: str = "newton"
     #: Fit on an active set of covariates (Laplace prior), screened by the gradient of all.
     active_set: bool = False
     threads: int = 1
@@ -125,12 +128,30 @@ def covariate_ids(data: RegressionData) -> list[int]:
     return [INTERCEPT_ID, *found] if data.has_intercept else found
 
 
+@contextmanager
+def _held(data: RegressionData) -> Iterator[None]:
+    """The tables persisted while a fit reads them again and again, unless the caller has done so."""
+    mine = [df for df in (data.outcomes, data.covariates) if not (df.storageLevel.useMemory or df.storageLevel.useDisk)]
+    for df in mine:
+        df.persist()
+    try:
+        yield
+    finally:
+        for df in mine:
+            df.unpersist()
+
+
 def fit_tasks(data: RegressionData, priors: Sequence[PriorSet], ids: Sequence[int], starts: Sequence[Mapping[int, float]], control: Control, weights: DataFrame | None = None, fixed: Sequence[frozenset[int]] | None = None) -> list[dict]:
     """Fits of all tasks in lock-step: each iteration is one job over the tasks that haven't converged.
 
     weights: (rowId, w), or (task, rowId, w) with weights of each task's own. Returns betas, ll, g, h, iterations, flag.
     """
-    ids, n = sorted(ids), len(priors)
+    with _held(data):
+        return _fit_tasks(data, priors, sorted(ids), starts, control, weights, fixed)
+
+
+def _fit_tasks(data: RegressionData, priors: Sequence[PriorSet], ids: Sequence[int], starts: Sequence[Mapping[int, float]], control: Control, weights: DataFrame | None, fixed: Sequence[frozenset[int]] | None) -> list[dict]:
+    n, moments = len(priors), majorizer_moments if control.algorithm == "mm" else fit_moments
     fixed = fixed or [frozenset()] * n
     beta = [np.array([s.get(c, 0.0) for c in ids]) for s in starts]
     state = [{"best": -math.inf, "flag": "MAX_ITERATIONS", "iterations": 0, "bound": np.full(len(ids), control.initial_bound), "at": None} for _ in range(n)]
@@ -142,7 +163,7 @@ def fit_tasks(data: RegressionData, priors: Sequence[PriorSet], ids: Sequence[in
         if own:
             renamed = data.spark.createDataFrame([(t, k) for k, t in enumerate(open_tasks)], "task int, k int")
             used = weights.join(F.broadcast(renamed), "task").select(F.col("k").alias("task"), "rowId", "w")
-        found = _collected(fit_moments(data, frame, ids, len(open_tasks), used, control.ranges), ids, len(open_tasks))
+        found = _collected(moments(data, frame, ids, len(open_tasks), used, control.ranges), ids, len(open_tasks))
         still = []
         for (ll, g, h), t in zip(found, open_tasks, strict=True):
             s = state[t]

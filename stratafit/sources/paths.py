@@ -1,8 +1,11 @@
-"""Where intermediate files go."""
+"""Where intermediate files go, and how workers get this package."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -14,3 +17,19 @@ def shared_folder(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to Python workers that couldn't import it: those of sessions started elsewhere than in its folder and
+    without it in PYTHONPATH. Once for each context."""
+    root = Path(__file__).resolve().parents[2]
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    sc = spark.sparkContext
+    if getattr(sc, "_stratafit_shipped", False) or str(root) in known or not (root / "stratafit").is_dir():
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="stratafit-"), "stratafit.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted((root / "stratafit").rglob("*.py")):
+            z.write(path, path.relative_to(root))
+    sc.addPyFile(archive)
+    sc._stratafit_shipped = True
