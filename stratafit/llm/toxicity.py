@@ -19,8 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: At most so many documents of each label are learned from (those with the least hashes of their ids) ...
-SAMPLE = 2500
+SAMPLE = 1500
 #: ... among those with at most so many words.
 SAMPLE_WORDS = 2000
 #: Weights are hashed to so many buckets.
@@ -174,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 class _Emissions(dict):
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __init__(self, tagger: Tagger):
         super().__init__()
@@ -218,6 +220,7 @@ def tagged(docs: DataFrame, tagger: Tagger, text_col: str = "text", mark: str =
 
     Null and empty texts score 0 and have no spans. Repeated rows score alike.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((tagger.weights.astype(np.float32), tagger.chain))  # 1 MB whatever the corpus
     kind = pa.struct([("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
     state: dict[int, _Emissions] = {}
