@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, struct_type
+from .common import bounded_batches, materialise, struct_type
 
 #: Bytes in a row of the images that ``stored`` makes: 64 pixels of 3 samples.
 ROW = 192
@@ -166,6 +166,7 @@ def described(media: DataFrame, media_col: str, mark: str = "__features") -> Dat
 
 def through_storage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, the fields of _FEATURES), a row for each row of docs: written as images, read back, decoded."""
+    bounded_batches(docs.sparkSession)
     rows = stored(docs.select(id_col, text_col), text_col).select(F.col(id_col), "__media.*")
     back = materialise(rows, "media")
     return described(back, "media").select(id_col, "n_bytes", "__features.*")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, materialise, struct_type, window_hashes, word_hashes
+from .common import WORDS, bounded_batches, materialise, struct_type, window_hashes, word_hashes
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -165,6 +165,7 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     empty texts have no words, so they are base_failed. Null languages and sources form groups of their own. Repeated
     rows count as often as they stand. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     stats = docs.withColumn(mark, _statistics(F.col(text_col)))
     s = F.col(mark)
     failed = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
