@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, struct_type
+
 MARK = "▁"
 #: Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_CACHE_LIMIT = 1_000_000
+_CACHE_LIMIT = 300_000
+_DIGEST = "n_tokens long, ids_crc32 long, parity boolean, round_trip boolean"
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -204,7 +208,15 @@ def through_codec(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     round_trip: the decoded ids are the text again (marks count as the spaces that they stand for; a null text is empty).
     """
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    rows = decoded(encoded(rows, model_path, "__text").select(id_col, "__text", "__pieces.*"), model_path, "ids")
-    same = F.col("__decoded") == F.replace("__text", F.lit(MARK), F.lit(" "))
-    return rows.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "parity", same.alias("round_trip"))
+    bounded_batches(docs.sparkSession)
+
+    @F.arrow_udf(struct_type(_DIGEST))
+    def both_ways(text: pa.Array) -> pa.Array:  # in one function: a second one would need a Python worker of its own
+        texts, codec = [x or "" for x in text.to_pylist()], Codec.of(model_path)
+        out = codec.encode(texts)
+        back = codec.decode([i for i, _ in out])
+        columns = [pa.array([len(i) // 4 for i, _ in out], pa.int64()), pa.array([zlib.crc32(i) for i, _ in out], pa.int64()), pa.array([p for _, p in out], pa.bool_())]
+        same = pa.array([a == b.replace(MARK, " ") for a, b in zip(back, texts, strict=True)], pa.bool_())
+        return pa.StructArray.from_arrays([*columns, same], [x.split()[0] for x in _DIGEST.split(", ")])
+
+    return docs.select(F.col(id_col), both_ways(F.col(text_col)).alias("__digest")).select(id_col, "__digest.*")
