@@ -2,19 +2,28 @@
 
 Each document is its set of distinct word shingles (64-bit hashes). A set of n shingles that is similar to another at
 the threshold shares all but ``slack = n - ceil(threshold * n)`` of them with it. The shingles are put in one global
-order, rare ones (by hash) before frequent ones (by hash). A set's prefix is extended until
+order: by blocks of their hash range, in a block those found once, then the rare, then the frequent ones. A set's prefix
+is extended until
 
-    rare shingles in it  +  sum over sub-classes of max(0, frequent shingles of the sub-class in it - 1)  >  slack
+    single shingles in it  +  sum over sub-classes of max(0, frequent shingles of the sub-class in it - 1)  >  slack
 
-and is indexed by single rare shingles and by pairs of frequent shingles of one sub-class: a similar pair then shares at
-least one of these signatures, because each missing shingle lowers that sum by one at most. The frequent shingles are
-dealt to about slack / 2 sub-classes by hash, so that a set has O(slack) pairs; as both sides must use the same
-sub-classes, a set is indexed under its own size class and the next, and similar sets share one of the two.
-Which shingles are frequent is a matter of cost only, never of the result.
+and is indexed by its rare shingles and by pairs of frequent shingles of one sub-class: a similar pair then shares at least
+one of these signatures, because each missing shingle lowers that sum by one at most. Shingles found once meet nobody and
+need no index entry. The frequent shingles are dealt to about slack / 2 sub-classes by hash, so that a set has O(slack)
+pairs; as both sides must use the same sub-classes, a set is indexed under its own size class and the next, and similar
+sets share one of the two. Frequencies are counted over all documents in the first block of the hash range, which holds
+the whole prefix of nearly every set. How shingles are classed is a matter of cost only, never of the result, so the
+classes are looked up in bitmaps of fixed size, where hashes may collide.
 
-Large groups of near copies are not expanded into pairs. In a bucket (sets with the same signature) only sets that are
-not yet in one component have to be compared, so rounds compare a growing number of pivots of each component with the
-members of other components, until no bucket has members of two components that weren't compared.
+Large groups of near copies are not expanded into pairs. In a bucket (sets with the same signature) every member is compared
+with one pivot, the member with the fewest shingles of its own (the text of which the others are copies, if it is there).
+Let o(a) be the shingles that a shares with the pivot p, missing(a) those of p that it lacks and rest(a) its others. Two
+members a, b share
+
+    o(a) + o(b) - |p| + |missing(a) and missing(b)| + |rest(a) and rest(b)|
+
+shingles. That decides pairs of members of different components without their texts, as a condition of the join of a
+pivot's members with each other, after cheaper bounds from the sizes: pairs that aren't similar are never rows.
 """
 
 from __future__ import annotations
@@ -26,13 +35,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORDS, materialise, mixed, shingle_set
+from .common import WORDS, bounded_batches, materialise, mixed, shingle_set
 
-#: At most so many shingles form the frequent class; it is broadcast (8 bytes each).
-FREQUENT_LIMIT = 500_000
-#: A shingle in more prefixes than this is frequent, if it is among the first FREQUENT_LIMIT.
-FREQUENT_FROM = 48
+#: A shingle is rare up to this number of documents, and frequent beyond.
+RARE_UP_TO = 8
+#: Bits of a bitmap (16 MB), and how many of them may be set: classes begin at higher frequencies in larger corpora.
+BITS, LOAD = 1 << 27, 1 << 25
+#: Ids of sets that may be broadcast (8 bytes each). Candidate search uses the upper 48 bits of the hashes; the blocks are these shares of their range.
+FEW = 100_000
+SHIFT, BLOCK = np.uint64(16), int(0.3 * (1 << 48))
 
 
 def slack(n: int, percent: int) -> int:
@@ -45,42 +58,68 @@ def set_id(h: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) if len(h) else None
 
 
-def signatures(h: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
-    """The signatures of a set (sorted distinct hashes), see above."""
+def _sub_classes(n: int, percent: int) -> list[tuple[int, int]]:
+    """(size class, number of sub-classes) under which a set of n shingles is indexed: its own and the next. Sizes of similar
+    sets differ by less than one class."""
+    ratio = percent / 100 - 0.01
+    own = int(np.log(n) / -np.log(ratio))
+    return [(k, max(1, int((1 - ratio) / 2 * ratio**-k))) for k in (own, own + 1)]
+
+
+def _dealt(tokens: np.ndarray, classes: int) -> np.ndarray:
+    return mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(classes)
+
+
+def stored_tokens(h: np.ndarray, percent: int) -> np.ndarray:
+    """The sorted 48-bit tokens in as many whole blocks as hold the set's prefix, whatever the tokens' classes."""
     n = len(h)
+    tokens = h >> SHIFT
+    if n > 1:
+        tokens = tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])]
+        need = slack(n, percent) + 1 + max(g for _, g in _sub_classes(n, percent))
+        for end in range(BLOCK, 1 << 48, BLOCK):
+            upto = int(np.searchsorted(tokens, np.uint64(end)))
+            if upto >= need:
+                return tokens[:upto]
+    return tokens
+
+
+def _has(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    at = (tokens % np.uint64(BITS)).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+
+
+def signatures(tokens: np.ndarray, n: int, percent: int, twice: np.ndarray, often: np.ndarray, singles_meet: bool = False) -> np.ndarray:
+    """The signatures of a set of n shingles from its stored tokens, see above.
+
+    twice, often: bitmaps of the tokens that are rare or frequent, and that are frequent. singles_meet: whether tokens
+    outside ``twice`` may be shared too.
+    """
     if not n:
-        return h
+        return tokens
     need = slack(n, percent) + 1
-    if len(frequent):
-        at = np.searchsorted(frequent, h)
-        at[at == len(frequent)] = 0
-        is_frequent = frequent[at] == h
-        rare, often = h[~is_frequent], h[is_frequent]
-    else:
-        rare, often = h, h[:0]
-    out = [rare[:need]]
-    need -= len(out[0])
-    if need <= 0 or len(often) < 2:
-        return out[0]
-    ratio = percent / 100 - 0.01
-    size_class = int(np.log(n) / -np.log(ratio))
-    for key in (size_class, size_class + 1):
-        classes = max(1, int((1 - ratio) / 2 * ratio**-key))
-        own = mixed(often ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(classes)
-        first = np.zeros(len(often), bool)
-        first[np.unique(own, return_index=True)[1]] = True
-        end = int(np.searchsorted(np.cumsum(~first), need)) + 1
-        order = np.argsort(own[:end], kind="stable")
-        token, cls = often[:end][order], own[:end][order]
-        step = 1
-        while step < end:
-            same = cls[:-step] == cls[step:]
+    cls = _has(twice, tokens) + _has(often, tokens)
+    block = (tokens // np.uint64(BLOCK)).astype(np.int64)
+    order = np.lexsort((tokens, cls, block))
+    cls, tokens = cls[order], tokens[order]
+    out, frequent = [], cls == 2
+    for key, classes in _sub_classes(n, percent) if frequent.any() else [(0, 1)]:
+        gain = np.ones(len(tokens), bool)
+        at = np.flatnonzero(frequent)
+        dealt = _dealt(tokens[at], classes)
+        gain[at[np.unique(dealt, return_index=True)[1]]] = False
+        end = min(int(np.searchsorted(np.cumsum(gain), need)) + 1, len(tokens))
+        out.append(tokens[:end][(cls[:end] == 1) | ((cls[:end] == 0) & (singles_meet | (block[order][:end] > 0)))])
+        at = at[at < end]
+        by = np.argsort(dealt[: len(at)], kind="stable")
+        token, cl = tokens[at][by], dealt[: len(at)][by]
+        for step in range(1, len(at)):
+            same = cl[:-step] == cl[step:]
             if not same.any():
                 break
             a, b = token[:-step][same], token[step:][same]
             out.append(mixed(mixed(a + np.uint64(key + 1)) ^ (b * np.uint64(0xD6E8FEB86659FD93))))
-            step += 1
-    return np.concatenate(out)
+    return np.unique(np.concatenate(out))
 
 
 def _sets(text: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -95,61 +134,104 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
 
 
-def _described(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def _described(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     def describe(batches):
         for b in batches:
             sets = list(_sets(b.column(1), width))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(set_id, sets), pa.int64())], ["id", "n", "sid"])
+            columns = [b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(set_id, sets), pa.int64()), _lists([stored_tokens(h, percent) for h in sets]), b.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sid", "tokens", "text"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(describe, f"id {id_type}, n long, sid long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(describe, f"id {id_type}, n long, sid long, tokens array<long>, text binary")
 
 
-def _frequent(docs: DataFrame, text_col: str, width: int, percent: int) -> np.ndarray:
-    """The shingles that stand in the most prefixes (of twice the length needed, in hash order), sorted."""
+def _bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """The bits of the column's values modulo BITS, or-ed together on the executors; 16 MB for any number of rows."""
+    bit = F.pmod(column, F.lit(BITS))
+    words = rows.select(F.shiftright(bit, 6).alias("word"), (bit % 64).cast("int").alias("place"))
+    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint8)
 
-    def prefixes(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([_lists([h[: 2 * slack(len(h), percent) + 2] for h in _sets(b.column(0), width)])], ["tokens"])
 
-    tokens = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(prefixes, "tokens array<long>").select(F.explode("tokens").alias("token"))
-    counted = tokens.groupBy("token").count().filter(F.col("count") > FREQUENT_FROM)
-    top = counted.orderBy(F.desc("count"), "token").limit(FREQUENT_LIMIT).select("token").toArrow().column(0)
-    return np.sort(top.to_numpy().astype(np.int64).view(np.uint64))
+def _classes(described: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The bitmaps for ``signatures`` from the number of documents with each token of the first block."""
+    tokens = described.select(F.explode("tokens").alias("token")).filter(F.col("token") < BLOCK)
+    counted = materialise(tokens.groupBy("token").agg(F.count("*").alias("docs")).filter("docs > 1"), "tokens")
+    sizes = {r["c"]: r["n"] for r in counted.groupBy(F.least("docs", F.lit(1000)).alias("c")).agg(F.count("*").alias("n")).collect()}
+
+    def least(start: int) -> int:
+        return next((c for c in range(start, 1001) if sum(n for k, n in sizes.items() if k >= c) <= LOAD), 1001)
 
+    low, high = least(2), least(RARE_UP_TO + 1)
+    return _bitmap(counted.filter(F.col("docs") >= low), "token"), _bitmap(counted.filter(F.col("docs") >= high), "token"), low > 2
 
-def _buckets(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
-    """(bucket, sid, n): sets that share a signature; buckets with the same members are one."""
-    sc = docs.sparkSession.sparkContext
-    frequent = sc.broadcast(_frequent(docs, text_col, width, percent))
+
+def _buckets(described: DataFrame, percent: int) -> DataFrame:
+    """(bucket, low, high, sid, n, once): sets that share a signature; buckets with the same members are one. once: the set's
+    shingles that no other set has, in the first block."""
+    shared = described.sparkSession.sparkContext.broadcast(_classes(described))
 
     def signed(batches):
+        twice, often, singles_meet = shared.value
         for b in batches:
-            sets = list(_sets(b.column(0), width))
-            yield pa.RecordBatch.from_arrays([pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), _lists([signatures(h, percent, frequent.value) for h in sets])], ["sid", "n", "sigs"])
+            lists = b.column(2)
+            flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            sigs = [signatures(flat[i:j], n, percent, twice, often, singles_meet) for i, j, n in zip(ends[:-1], ends[1:], b.column(1).to_pylist(), strict=True)]
+            once = [int(((_has(twice, flat[i:j]) == 0) & (flat[i:j] < BLOCK)).sum()) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(once, pa.int32()), _lists(sigs)], ["sid", "n", "once", "sigs"])
 
-    postings = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(signed, "sid long, n int, sigs array<long>").select(F.explode("sigs").alias("sig"), "sid", "n")
+    postings = described.filter("sid is not null").select("sid", F.col("n").cast("int"), "tokens").mapInArrow(signed, "sid long, n int, once int, sigs array<long>").select(F.explode("sigs").alias("sig"), "sid", "n", "once")
     w = Window.partitionBy("sig")
-    grouped = postings.select("sid", "n", F.min("sid").over(w).alias("low"), F.max("sid").over(w).alias("high"), F.sum(F.shiftright(F.xxhash64("sid"), 33)).over(w).alias("bucket"))
-    return grouped.filter("low < high").select("bucket", "low", "high", "sid", "n").distinct()
+    grouped = postings.select("sid", "n", "once", F.min("sid").over(w).alias("low"), F.max("sid").over(w).alias("high"), F.sum(F.shiftright(F.xxhash64("sid"), 33)).over(w).alias("bucket"))
+    return grouped.filter("low < high").select("bucket", "low", "high", "sid", "n", "once").distinct()
+
+
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts (sid, text) whose sid is among ids (sid, distinct), and perhaps some more. Up to FEW ids are broadcast;
+    of more a bitmap is, whose size is fixed. Either way the other texts aren't shuffled."""
+    if ids.limit(FEW + 1).count() <= FEW:
+        return texts.join(F.broadcast(ids), "sid", "left_semi")
+    shared = texts.sparkSession.sparkContext.broadcast(_bitmap(ids, "sid"))
+
+    @F.arrow_udf(T.BooleanType())
+    def likely(sid: pa.Array) -> pa.Array:
+        values = sid.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array(_has(shared.value, np.mod(values, BITS).view(np.uint64)) == 1)
+
+    return texts.filter(likely("sid"))
+
 
+def _texts_of(described: DataFrame, members: DataFrame) -> DataFrame:
+    """(sid, text), one row for each member."""
+    rows = described.select("sid", "text").filter("sid is not null")
+    return _only(rows, members).join(members, "sid", "left_semi").dropDuplicates(["sid"])
 
-def _similar(percent: int, width: int):
-    """Whether two texts are similar, exactly, on their whole shingle sets."""
 
-    @F.arrow_udf("boolean")
-    def similar(a: pa.Array, b: pa.Array) -> pa.Array:
+_COMPARED = T.StructType([T.StructField("o", T.IntegerType()), T.StructField("np", T.IntegerType()), T.StructField("nm", T.IntegerType()), T.StructField("rest", T.ArrayType(T.LongType())), T.StructField("missing", T.ArrayType(T.LongType()))])
+
+
+def _compared(percent: int, width: int):
+    """Of a pair of texts: the shingles in common, both sizes, and, where they are wanted, the second's other shingles and those
+    of the first that it misses."""
+
+    @F.arrow_udf(_COMPARED)
+    def compared(a: pa.Array, b: pa.Array, wanted: pa.Array) -> pa.Array:
         WORDS.trim()
-        out, last, left = [], None, None
-        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        numbers, rests, missing, last, left = [], [], [], None, np.empty(0, np.uint64)
+        for x, y, wide in zip(a.to_pylist(), b.to_pylist(), wanted.to_pylist(), strict=True):
             if x != last:
                 last, left = x, shingle_set(x, width)
             right = shingle_set(y, width)
-            common = len(np.intersect1d(left, right, assume_unique=True))
-            out.append(100 * common >= percent * (len(left) + len(right) - common))
-        return pa.array(out, pa.bool_())
+            common = np.intersect1d(left, right, assume_unique=True)
+            numbers.append((len(common), len(left), len(right)))
+            rests.append(np.setdiff1d(right, common, assume_unique=True) if wide else right[:0])
+            missing.append(np.setdiff1d(left, common, assume_unique=True) if wide else right[:0])
+        columns = list(zip(*numbers, strict=True)) or [[]] * 3
+        return pa.StructArray.from_arrays([*[pa.array(c, pa.int32()) for c in columns], _lists(rests), _lists(missing)], ["o", "np", "nm", "rest", "missing"])
 
-    return similar
+    return compared
 
 
 def _changed(edges: DataFrame) -> tuple:
@@ -183,48 +265,38 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def _linked(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame | None:
-    """(node, component) over the set ids that are similar to another set; None if there are none."""
-    buckets = materialise(_buckets(docs, text_col, width, percent), "buckets")
-
-    @F.arrow_udf("long")
-    def sid_of(text: pa.Array) -> pa.Array:
-        return pa.array(map(set_id, _sets(text, width)), pa.int64())
+def _linked(described: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """(node, component) over the set ids that are similar to another set; None if no sets share a signature."""
+    buckets = materialise(_buckets(described, percent), "buckets")
+    texts = materialise(_texts_of(described, buckets.select("sid").distinct()), "candidates")
+    compared = _compared(percent, width)
 
-    members = buckets.select("sid").distinct()
-    texts = docs.select(F.col(text_col).cast("binary").alias("text")).withColumn("sid", sid_of("text"))
-    texts = materialise(texts.join(members, "sid", "left_semi").dropDuplicates(["sid"]), "candidates")
-    similar, links, comp, pivots = _similar(percent, width), None, None, 1
-    key = ["bucket", "low", "high"]
-    while True:
-        if comp is None:
-            rows = buckets.withColumn("comp", F.col("sid"))
-        else:
-            rows = buckets.join(comp.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
-        w = Window.partitionBy(*key)
-        rows = rows.withColumn("mixed", F.min("comp").over(w) < F.max("comp").over(w)).filter("mixed").drop("mixed")
-        if comp is None:  # all are alone: one pivot for the bucket
-            rows = rows.withColumn("place", F.when(F.col("sid") == F.col("low"), 1).otherwise(2))
-        else:
-            rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*key, "comp").orderBy("sid")))
-        rows = materialise(rows, "unsettled")
-        if rows.isEmpty():
-            break
-        pivot = rows.filter(F.col("place") <= pivots).select(*key, F.col("sid").alias("p"), F.col("comp").alias("p_comp"), F.col("n").alias("p_n"))
-        pairs = rows.join(pivot, key).filter((F.col("comp") != F.col("p_comp")) & (percent * F.greatest("n", "p_n") <= 100 * F.least("n", "p_n")))
-        pairs = pairs.select(F.least("p", "sid").alias("p"), F.greatest("p", "sid").alias("m")).distinct()
-        if comp is not None:
-            pairs = pairs.join(done, ["p", "m"], "left_anti")
+    def compare(pairs: DataFrame) -> DataFrame:
+        """pairs (p, m, wide) with o, np, nm, rest, missing."""
         pairs = materialise(pairs, "pairs")
-        judged = pairs.join(texts.select(F.col("sid").alias("m"), F.col("text").alias("b")), "m").join(texts.select(F.col("sid").alias("p"), F.col("text").alias("a")), "p")
-        found = materialise(judged.withColumn("similar", similar("a", "b")).filter("similar").select(F.col("p").alias("u"), F.col("m").alias("v")), "links")
-        links = found if links is None else links.union(found)
-        done = pairs if comp is None else done.union(pairs)
-        comp = components(links)
-        # A pivot has met all members of its bucket now.
-        buckets = rows.filter(F.col("place") > pivots).select(*key, "sid", "n")
-        pivots = 2 if pivots == 1 else 4 * pivots
-    return comp
+        of = lambda c, name: _only(texts, pairs.select(F.col(c).alias("sid")).distinct()).select(F.col("sid").alias(c), F.col("text").alias(name))
+        both = pairs.join(of("m", "b"), "m").join(of("p", "a"), "p")
+        return both.withColumn("c", compared("a", "b", "wide")).select(*pairs.columns, "c.*")
+
+    is_link = (100 + percent) * F.col("o") >= percent * (F.col("np") + F.col("nm"))
+    w = Window.partitionBy("bucket", "low", "high")
+    rows = buckets.join(buckets.groupBy("sid").agg(F.count("*").alias("degree")), "sid")
+    rows = rows.withColumns({"p": F.max(F.struct(-F.col("once"), "degree", "sid")).over(w)["sid"], "wide": F.count("*").over(w) > 2})
+    pairs = rows.filter("sid <> p").groupBy("p", F.col("sid").alias("m")).agg(F.max("wide").alias("wide"))
+    done = materialise(compare(pairs).withColumn("linked", is_link), "compared")
+    if done.isEmpty():
+        return None
+    links = done.filter("linked").select(F.col("p").alias("u"), F.col("m").alias("v"))
+    comp = components(links).select(F.col("node").alias("m"), "component")
+    members = done.filter("wide").join(comp, "m", "left").withColumn("component", F.coalesce("component", "m"))
+    # A pivot whose members are all similar to it has no pairs left; of two members one at least isn't.
+    left = members.filter("not linked").select("p", *[F.col(c).alias(f"{c}_a") for c in ("m", "o", "nm", "rest", "missing", "component")])
+    sizes = (100 * F.least("nm_a", "nm") >= percent * F.greatest("nm_a", "nm")) & (F.col("component_a") != F.col("component")) & (~F.col("linked") | (F.col("m_a") != F.col("m"))) & (F.col("linked") | (F.col("m_a") < F.col("m")))
+    needed = percent * (F.col("nm_a") + F.col("nm"))
+    bound = (100 + percent) * (F.least("o_a", "o") + F.least(F.col("nm_a") - F.col("o_a"), F.col("nm") - F.col("o"))) >= needed
+    common = F.col("o_a") + F.col("o") - F.col("np") + F.size(F.array_intersect("missing_a", "missing")) + F.size(F.array_intersect("rest_a", "rest"))
+    found = left.join(members, "p").filter(sizes & bound & ((100 + percent) * common >= needed)).select(F.col("m_a").alias("u"), F.col("m").alias("v"))
+    return components(materialise(links.union(found), "links"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -237,11 +309,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a component's id unless the component has no other. Columns of docs other than the two aren't read. An empty table
     gives an empty result.
     """
-    described = materialise(_described(docs, id_col, text_col, width), "sets")
-    comp = _linked(docs, text_col, width, percent)
-    rows = described.withColumn("comp", F.col("sid"))
+    bounded_batches(docs.sparkSession)
+    described = materialise(_described(docs, id_col, text_col, width, percent), "sets")
+    comp = _linked(described, width, percent)
+    described = described.select("id", "n", "sid")
+    rows = described
     if comp is not None:
-        rows = described.join(comp.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
+        rows = rows.join(comp.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
+    else:
+        rows = rows.withColumn("comp", F.col("sid"))
     rows = rows.filter("sid is not null").select("id", "n", "comp")
     lowest = rows.groupBy("comp").agg(F.min("id").alias("component_id"))
     out = rows.join(lowest, "comp").select("id", "n", "component_id").union(described.filter("sid is null").select("id", "n", "id"))
