@@ -30,7 +30,7 @@ END_ID = 0
 _ADJACENT = re.compile(r"\s\s")
 #: Marks that the pre-tokenizer parts from a letter or digit before them.
 _MARKS = ".,;:!?&%$#*|"
-_CACHE_LIMIT = 600_000
+_CACHE_LIMIT = 200_000
 #: Words are encoded in lines of this many, which is faster than one by one.
 _LINE = 2000
 
@@ -58,6 +58,11 @@ class Encoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
+    def forget(self) -> None:
+        for cache in (*self.words.values(), *self.cores.values(), self.tails):
+            cache.clear()
+        self.tails[""] = b""
+
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -130,6 +135,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id
                     start += size
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.column(0).type), *[pa.array(c, pa.int64()) for c in columns[1:]]], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+        encoder.forget()  # the worker process lives on and serves other operators
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")

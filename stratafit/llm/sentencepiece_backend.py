@@ -26,7 +26,7 @@ MARK = "▁"
 #: Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_CACHE_LIMIT = 300_000
+_CACHE_LIMIT = 150_000
 _DIGEST = "n_tokens long, ids_crc32 long, parity boolean, round_trip boolean"
 
 

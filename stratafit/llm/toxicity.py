@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 class _Emissions(dict):
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, tagger: Tagger):
         super().__init__()
