@@ -24,24 +24,34 @@ def _blank(line: Column) -> Column:
     return F.trim(F.translate(line, "\t\v\f\r", "    ")) == ""
 
 
-def boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, lines): for each host that has any, the sorted 64-bit hashes of its boilerplate lines. Blank lines never are."""
+def boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+    """(host, lines): for each host that has any, the sorted 64-bit hashes of its boilerplate lines. Blank lines never are.
+
+    copies_once: pages of a host with the same text are one page, so that being copied makes no line boilerplate.
+    """
     pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    if copies_once:
+        lines = F.filter(F.array_distinct(_lines(F.col("text"))), lambda x: ~_blank(x))
+        pages = pages.select("host", F.xxhash64("text").alias("page"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes")).dropDuplicates(["host", "page"])
+        hashes = pages.select("host", F.explode("hashes").alias("hash"))
+    else:
+        each = pages.select("host", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).filter(~_blank(F.col("line")))
+        hashes = each.select("host", F.xxhash64("line").alias("hash"))
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    each = pages.select("host", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).filter(~_blank(F.col("line")))
-    counted = each.select("host", F.xxhash64("line").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    counted = hashes.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     known = counted.join(totals.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n") > ratio * F.col("pages"))
     return known.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("lines"))
 
 
-def deduplicated(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, mark: str = "__lines") -> DataFrame:
+def deduplicated(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, mark: str = "__lines", copies_once: bool = False) -> DataFrame:
     """docs, all rows and columns, with boilerplate lines taken out of the text, and a struct ``mark``: n_lines, n_dropped.
 
     Lines end at \\n; blank ones are neither counted as boilerplate nor dropped. All places of a boilerplate line go; a page
     counts once for a line, however often it repeats it. Null texts stay null with 0 lines; empty ones stay empty, with
-    one blank line. Null hosts are one host. Repeated rows count as pages each. An empty table gives an empty result.
+    one blank line. Null hosts are one host. Repeated rows count as pages each,
+    or once with copies_once. An empty table gives an empty result.
     """
-    found = boilerplate(docs, text_col, host_col, ratio, min_pages).select(F.col("host").alias(f"{mark}_host"), F.col("lines").alias(f"{mark}_known"))
+    found = boilerplate(docs, text_col, host_col, ratio, min_pages, copies_once).select(F.col("host").alias(f"{mark}_host"), F.col("lines").alias(f"{mark}_known"))
     joined = docs.join(found, F.col(host_col).eqNullSafe(F.col(f"{mark}_host")), "left")
     all_lines, known = _lines(F.col(text_col)), F.col(f"{mark}_known")
     kept = F.when(known.isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(known, F.xxhash64(x)) | _blank(x)))
