@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.scalar import rounded
 from .operators import likelihood, reduce, score, survival
 from .plans import tables as t
-from .plans.data import appended, from_tables, is_sorted, matching_rows, multitype, sorted_tables, with_covariate, with_time_effects
+from .plans.data import appended, from_tables, is_sorted, matching_rows, multitype, numbered, with_covariate, with_time_effects
 from .plans.fit import Control, fit
 from .plans.inference import baseline, coverage, mse, profile_intervals, profile_likelihood, residuals, standard_errors, test_proportionality, wald_intervals
 from .plans.priors import make_prior
@@ -58,6 +58,11 @@ def load_covariates_of_rows(spark, sf_dir):
     return from_tables(out, t.covariates(spark, sf_dir), checked=False).covariates.select("rowId", "covariateId", _r("covariateValue"))
 
 
+@query(f" select c.rowId, c.covariateId, {_sql_r('c.covariateValue', 'covariateValue')} from covariates c where c.rowId in (select rowId from outcomes)")
+def load_covariates(spark, sf_dir):
+    return t.data(spark, sf_dir).covariates.select("rowId", "covariateId", _r("covariateValue"))
+
+
 @query(" select c.covariateId, count(*) as n from covariates c semi join (select rowId from outcomes where y = 1) o on c.rowId = o.rowId group by c.covariateId")
 def semi_join_rows(spark, sf_dir):
     return matching_rows(t.covariates(spark, sf_dir), t.outcomes(spark, sf_dir).filter("y = 1")).groupBy("covariateId").agg(F.count("*").alias("n"))
@@ -119,17 +124,22 @@ def offset_column(spark, sf_dir):
 select rowId, row_number() over (order by s, time desc, y, rowId) as place from r qualify place <= 200"""
 )
 def survival_order(spark, sf_dir):
-    rows, _ = sorted_tables(t.data(spark, sf_dir, "cox"))
-    top = rows.limit(200).select("rowId", "stratumId", "time", "y")
-    from pyspark.sql import Window
+    """The first places of survival_order_all."""
+    return survival_order_all(spark, sf_dir).filter("place <= 200")
+
 
-    w = Window.orderBy("stratumId", F.desc("time"), "y", "rowId")  # the first 200 rows
-    return top.select("rowId", F.row_number().over(w).cast("long").alias("place"))
+@query(
+    """, r as (select rowId, stratumId % 5 as s, time, y from outcomes)
+select rowId, row_number() over (order by s, time desc, y, rowId) as place from r"""
+)
+def survival_order_all(spark, sf_dir):
+    rows = t.data(spark, sf_dir, "cox").outcomes.select("rowId", "stratumId", "time", "y")
+    return numbered(rows, [F.col("stratumId"), -F.col("time"), F.col("y"), F.col("rowId")], "place").select("rowId", "place")
 
 
 @query(" select true as by_row, false as by_time from (select 1)")
 def sortedness(spark, sf_dir):
-    rows = t.outcomes(spark, sf_dir).filter("rowId < 500")
+    rows = t.outcomes(spark, sf_dir)
     flags = [is_sorted(rows, ["rowId"], [True], "rowId"), is_sorted(rows, ["stratumId", "time"], [True, False], "rowId")]
     return spark.createDataFrame([tuple(flags)], "by_row boolean, by_time boolean")
 
@@ -165,6 +175,18 @@ def matrix_market_lines(spark, sf_dir):
     return matrix_market(data).select("value")
 
 
+@query(
+    """, v as (select rowId, covariateId, round(covariateValue, 6) + 0.0 as covariateValue from covariates),
+o as (select rowId, row_number() over (order by rowId) as r from outcomes), k as (select covariateId, row_number() over (order by covariateId) as c from (select distinct covariateId from v)),
+e as (select r, c, covariateValue from v join o on v.rowId = o.rowId join k on v.covariateId = k.covariateId)
+select '%%MatrixMarket matrix coordinate real general' as value union all select (select count(*) from o) || ' ' || (select count(*) from k) || ' ' || (select count(*) from e)
+union all select r || ' ' || c || ' ' || cast(cast(covariateValue as double) as varchar) from e"""
+)
+def matrix_market_all(spark, sf_dir):
+    data = from_tables(t.outcomes(spark, sf_dir), t.covariates(spark, sf_dir).select("rowId", "covariateId", _r("covariateValue")), checked=False)
+    return matrix_market(data).select("value")
+
+
 @query(
     """with h as (select user_id as indiv, min(case when event_type = 'click' then cast(date_diff('day', cast('2024-01-01' as timestamp), ts) as int) + 1 end) as exposure,
  min(case when event_type = 'purchase' then cast(date_diff('day', cast('2024-01-01' as timestamp), ts) as int) + 1 end) as event_day from events group by user_id),

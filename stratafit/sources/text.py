@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.data import RegressionData, from_tables
+from ..plans.data import RegressionData, from_tables, numbered
 
 OPTIONS = ("row_label", "stratum_label", "weight", "offset", "bbr_outcome", "log_offset", "add_intercept", "indicator_only", "sparse", "dense")
 
@@ -45,7 +45,7 @@ def read_text(spark: SparkSession, path: str, model: str = "lr", **defaults: boo
 
 def matrix_market(data: RegressionData) -> DataFrame:
     """(place, value): lines of a MatrixMarket coordinate file, rows and columns numbered by id; write value in order of place."""
-    row = data.outcomes.select("rowId", F.row_number().over(Window.orderBy("rowId")).alias("r"))
+    row = numbered(data.outcomes.select("rowId"), [F.col("rowId")], "r")
     column = data.covariates.select("covariateId").distinct().withColumn("c", F.row_number().over(Window.orderBy("covariateId")))
     entries = data.covariates.join(row, "rowId").join(column, "covariateId")
     body = entries.select((F.col("c") * (1 << 40) + F.col("r")).alias("place"), F.concat_ws(" ", "r", "c", F.col("covariateValue").cast("string")).alias("value"))
