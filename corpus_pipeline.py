@@ -11,6 +11,8 @@ from stratafit.llm.queries import tokenizer_path
 
 #: A line is boilerplate on more than this share of a source's distinct pages: below it, prose of copied documents would go too.
 BOILERPLATE_SHARE = 0.05
+#: The share decides at every size; only lines of one or two pages never are.
+BOILERPLATE_SUPPORT = 3
 
 
 def quality_rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Takes boilerplate lines out; n_chars becomes the length of what is left."""
     from pyspark.sql import functions as F
 
-    rows = line_dedup.deduplicated(docs, ratio=BOILERPLATE_SHARE, copies_once=True)
+    rows = line_dedup.deduplicated(docs, ratio=BOILERPLATE_SHARE, min_pages=BOILERPLATE_SUPPORT, copies_once=True)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         rows = rows.withColumn("n_chars", F.when(F.col("__lines.n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
