@@ -309,28 +309,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a component's id unless the component has no other. Columns of docs other than the two aren't read. An empty table
     gives an empty result.
     """
+    described, rows = _grouped(docs, id_col, text_col, width, percent)
+    lowest = rows.groupBy("comp").agg(F.min("id").alias("component_id"))
+    out = rows.join(lowest, "comp").select("id", "n", "component_id").union(described.filter("sid is null").select("id", "n", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, sid, digest) of all rows, and (id, n, digest, comp) of those with shingles; digest is the hash of the text."""
     bounded_batches(docs.sparkSession)
     described = materialise(_described(docs, id_col, text_col, width, percent), "sets")
     comp = _linked(described, width, percent)
-    described = described.select("id", "n", "sid")
+    described = described.select("id", "n", "sid", F.xxhash64("text").alias("digest"))
     rows = described
     if comp is not None:
         rows = rows.join(comp.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
     else:
         rows = rows.withColumn("comp", F.col("sid"))
-    rows = rows.filter("sid is not null").select("id", "n", "comp")
-    lowest = rows.groupBy("comp").agg(F.min("id").alias("component_id"))
-    out = rows.join(lowest, "comp").select("id", "n", "component_id").union(described.filter("sid is null").select("id", "n", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return described, rows.filter("sid is not null").select("id", "n", "digest", "comp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, without near copies: the row with the smallest id of each component.
 
-    Of repeated rows of that id one stays. Rows without an id can't be told apart and stay; so do empty texts, once for
-    each id.
+    An id may stand on several texts: a row is known by its id and text, and of equal ones one stays. Rows without an id
+    can't be told apart and stay; so do empty texts, once for each id.
     """
-    found = jaccard_components(docs, id_col, text_col, width, percent)
-    keep = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.union(docs.filter(F.col(id_col).isNull()))
+    described, rows = _grouped(docs, id_col, text_col, width, percent)
+    first = rows.filter("id is not null").groupBy("comp").agg(F.min(F.struct("id", "digest")).alias("k")).select("k.*")
+    empty = described.filter("sid is null and id is not null").groupBy("id").agg(F.min("digest").alias("digest"))
+    keep = first.union(empty).select(F.col("id").alias("__keep_id"), F.col("digest").alias("__keep_digest"))
+    known = docs.withColumn("__digest", F.xxhash64(F.col(text_col).cast("binary")))
+    kept = known.join(keep, (F.col(id_col) == F.col("__keep_id")) & (F.col("__digest") == F.col("__keep_digest")), "left_semi")
+    return kept.dropDuplicates([id_col, "__digest"]).drop("__digest").union(docs.filter(F.col(id_col).isNull()))
