@@ -7,6 +7,7 @@ group's events times the outer product of its mean. All tasks (sets of coefficie
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +20,14 @@ from ..plans.data import RegressionData
 from ..plans.models import INTERCEPT_ID, Model
 from ..sources.paths import ship
 from .score import linear_predictors
-from .survival import Running, running_sums
+from .survival import Running, range_cuts, running_sums
 
+#: How running sums over time are dealt: a number of ranges, the times at which they end, or None for as many as the times need.
+Ranges = int | Sequence[float] | None
 _GROUP = ["task", "stratumId"]
 _TIME = ["task", "stratumId", "time"]
+#: Running sums are columns, one or two for each covariate.
+MOST_IN_RISK_SETS = 40
 
 
 def weighted_rows(data: RegressionData, betas: DataFrame, tasks: int = 1, weights: DataFrame | None = None) -> DataFrame:
@@ -47,7 +52,7 @@ class Terms:
     groups: DataFrame | None
 
 
-def terms(data: RegressionData, rows: DataFrame, ranges: int = 1, predictive: bool = False) -> Terms:
+def terms(data: RegressionData, rows: DataFrame, ranges: Ranges = None, predictive: bool = False) -> Terms:
     """The weights of the model at the linear predictors of rows (see weighted_rows). predictive: without terms in y alone."""
     model, y, xb, w = data.model, F.col("y"), F.col("xb"), F.col("w")
     fixed = F.lit(0.0) if predictive else log_factorial(y)
@@ -76,30 +81,32 @@ def terms(data: RegressionData, rows: DataFrame, ranges: int = 1, predictive: bo
     return _risk_terms(data, rows, ranges)
 
 
-def _risk_terms(data: RegressionData, rows: DataFrame, ranges: int) -> Terms:
+def _cuts(data: RegressionData, ranges: Ranges) -> Sequence[float]:
+    return range_cuts(data.outcomes, ["stratumId"], ranges) if ranges is None or isinstance(ranges, int) else ranges
+
+
+def _risk_terms(data: RegressionData, rows: DataFrame, ranges: Ranges) -> Terms:
     y, w = F.col("y"), F.col("w")
     event, rival = F.when(y == 1, w).otherwise(0.0), F.when(y > 1, w).otherwise(0.0)
     fine_gray = data.model is Model.FGR
     cw = F.coalesce("censorWeights", F.lit(1.0)) if fine_gray else F.lit(1.0)
     rows = rows.withColumns({"e": w * F.exp("xb"), "cw": cw})
-    if data.model is Model.COX_RAW:  # no ties: rows with equal times are told apart by a small shift in rowId's order
-        from pyspark.sql import Window
-
-        place = F.row_number().over(Window.partitionBy(*_GROUP).orderBy(F.desc("time"), "rowId"))
-        rows = rows.withColumn("time", -place.cast("double"))
+    tie = "rowId" if data.model is Model.COX_RAW else None  # no ties: equal times go by rowId
+    time = [*_TIME, *([tie] if tie else [])]
+    cuts = _cuts(data, ranges)
     competing = F.sum(F.when(y > 1, F.col("e") / F.col("cw")).otherwise(0.0)) if fine_gray else F.lit(0.0)
-    times = rows.groupBy(*_TIME).agg(F.sum("e").alias("E"), F.sum(event).alias("n"), competing.alias("C"), F.max("cw").alias("cwt"))
-    times = running_sums(times, _GROUP, {"R": Running("E"), "Q": Running("C", falling=False, own=False)}, ranges)
+    times = rows.groupBy(*time).agg(F.sum("e").alias("E"), F.sum(event).alias("n"), competing.alias("C"), F.max("cw").alias("cwt"))
+    times = running_sums(times, _GROUP, {"R": Running("E"), "Q": Running("C", falling=False, own=False)}, cuts, tie)
     times = times.withColumn("D", F.col("R") + F.col("cwt") * F.col("Q")).withColumns({"h": F.when(F.col("n") > 0, F.col("n") / F.col("D")).otherwise(0.0)})
     times = times.withColumn("hc", F.col("h") * F.col("cwt"))
-    times = running_sums(times, _GROUP, {"hazard": Running("h", falling=False), "later": Running("hc", own=False)}, ranges)
+    times = running_sums(times, _GROUP, {"hazard": Running("h", falling=False), "later": Running("hc", own=False)}, cuts, tie)
     groups = times.withColumn("gll", F.when(F.col("n") > 0, -F.col("n") * F.log("D")).otherwise(0.0))
-    rows = rows.join(groups.select(*_TIME, "hazard", "later"), _TIME)
+    rows = rows.join(groups.select(*time, "hazard", "later"), time)
     share = F.col("e") * (F.col("hazard") + (F.when(rival > 0, F.col("later") / F.col("cw")).otherwise(0.0) if fine_gray else F.lit(0.0)))
     return Terms(rows.withColumns({"a": event - share, "b": share, "ll": event * F.col("xb")}), groups)
 
 
-def log_likelihood(data: RegressionData, betas: DataFrame, tasks: int = 1, weights: DataFrame | None = None, predictive: bool = False, ranges: int = 1) -> DataFrame:
+def log_likelihood(data: RegressionData, betas: DataFrame, tasks: int = 1, weights: DataFrame | None = None, predictive: bool = False, ranges: Ranges = None) -> DataFrame:
     """(task, value)."""
     t = terms(data, weighted_rows(data, betas, tasks, weights), ranges, predictive)
     parts = t.rows.groupBy("task").agg(F.sum("ll").alias("v"))
@@ -118,7 +125,7 @@ def entries(data: RegressionData, covariates: list[int] | None = None) -> DataFr
     return rows
 
 
-def gradient(data: RegressionData, betas: DataFrame, tasks: int = 1, weights: DataFrame | None = None, ranges: int = 1) -> DataFrame:
+def gradient(data: RegressionData, betas: DataFrame, tasks: int = 1, weights: DataFrame | None = None, ranges: Ranges = None) -> DataFrame:
     """(task, i, value) for all covariates at once."""
     t = terms(data, weighted_rows(data, betas, tasks, weights), ranges)
     return _gradient(t, entries(data))
@@ -139,33 +146,41 @@ def _pairs(rows: DataFrame, weight: Column, vector: str = "xs") -> DataFrame:
     return p.groupBy("task", F.col("p.i").alias("i"), F.col("q.i").alias("j")).agg(F.sum(F.col("__w") * F.col("p.x") * F.col("q.x")).alias("value"))
 
 
-def _group_pairs(data: RegressionData, t: Terms, x: DataFrame, covariates: list[int], ranges: int) -> DataFrame:
+def _group_pairs(data: RegressionData, t: Terms, x: DataFrame, covariates: list[int], ranges: Ranges) -> DataFrame:
     """(task, i, j, value): minus the sums over groups of n * mean_i * mean_j."""
     if data.model.stratified:
         sums = t.rows.select("task", "rowId", "stratumId", "e", "n", "D").join(x, "rowId").groupBy(*_GROUP, "n", "D", "i").agg(F.sum(F.col("e") * F.col("x")).alias("s"))
         means = sums.groupBy(*_GROUP, "n").agg(F.collect_list(F.struct("i", (F.col("s") / F.col("D")).alias("x"))).alias("xs"))
         return _pairs(means, -F.col("n"))
+    if len(covariates) > MOST_IN_RISK_SETS:
+        raise ValueError(f"the information of models with risk sets takes at most {MOST_IN_RISK_SETS} covariates at once: choose some, or fit with an active set")
+    tie = ["rowId"] if data.model is Model.COX_RAW else []
+    time = [*_TIME, *tie]
     names = {i: f"c{k}" for k, i in enumerate(covariates)}
     wide = t.rows.select(*_TIME, "rowId", "e", "y", "cw").join(x, "rowId")
     of = lambda i, v: F.sum(F.when(F.col("i") == i, v).otherwise(0.0))
     e, rival = F.col("e") * F.col("x"), F.when(F.col("y") > 1, F.col("e") * F.col("x") / F.col("cw")).otherwise(0.0)
     fine_gray = data.model is Model.FGR
-    sums = wide.groupBy(*_TIME).agg(*[of(i, e).alias(f"E{c}") for i, c in names.items()], *[of(i, rival).alias(f"C{c}") for i, c in names.items() if fine_gray])
-    times = t.groups.select(*_TIME, "n", "D", "cwt").join(sums, _TIME, "left").na.fill(0.0)
+    sums = wide.groupBy(*time).agg(*[of(i, e).alias(f"E{c}") for i, c in names.items()], *[of(i, rival).alias(f"C{c}") for i, c in names.items() if fine_gray])
+    times = t.groups.select(*time, "n", "D", "cwt").join(sums, time, "left").na.fill(0.0)
     running = {f"R{c}": Running(f"E{c}") for c in names.values()} | ({f"Q{c}": Running(f"C{c}", falling=False, own=False) for c in names.values()} if fine_gray else {})
-    times = running_sums(times, _GROUP, running, ranges).filter("n > 0")
+    times = running_sums(times, _GROUP, running, _cuts(data, ranges), *tie).filter("n > 0")
     mean = lambda c: (F.col(f"R{c}") + (F.col("cwt") * F.col(f"Q{c}") if fine_gray else F.lit(0.0))) / F.col("D")
-    means = times.select("task", "n", F.array(*[F.struct(F.lit(i).cast("long").alias("i"), mean(c).alias("x")) for i, c in names.items()]).alias("xs"))
-    return _pairs(means, -F.col("n"))
+    means = times.select("task", F.col("n").alias("w"), *[mean(c).alias(c) for c in names.values()])
+    # One aggregation of all products, without a row for each pair.
+    pairs = [(i, j) for i in covariates for j in covariates if i <= j]
+    total = means.groupBy("task").agg(*[F.sum(-F.col("w") * F.col(names[i]) * F.col(names[j])).alias(f"p{k}") for k, (i, j) in enumerate(pairs)])
+    each = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), F.col(f"p{k}").alias("value")) for k, (i, j) in enumerate(pairs)])
+    return total.select("task", F.explode(each).alias("v")).select("task", "v.*")
 
 
-def information(data: RegressionData, betas: DataFrame, covariates: list[int], tasks: int = 1, weights: DataFrame | None = None, ranges: int = 1) -> DataFrame:
+def information(data: RegressionData, betas: DataFrame, covariates: list[int], tasks: int = 1, weights: DataFrame | None = None, ranges: Ranges = None) -> DataFrame:
     """(task, i, j, value), i <= j: minus the matrix of second derivatives, over the given covariates (0: the intercept)."""
     t = terms(data, weighted_rows(data, betas, tasks, weights), ranges)
     return _information(data, t, covariates, ranges)
 
 
-def _information(data: RegressionData, t: Terms, covariates: list[int], ranges: int) -> DataFrame:
+def _information(data: RegressionData, t: Terms, covariates: list[int], ranges: Ranges) -> DataFrame:
     covariates = sorted(covariates)
     x = entries(data, covariates)
     out = _pairs(t.rows.select("task", "rowId", "b").join(_vectors(x), "rowId"), F.col("b"))
@@ -174,7 +189,7 @@ def _information(data: RegressionData, t: Terms, covariates: list[int], ranges:
     return out
 
 
-def fit_moments(data: RegressionData, betas: DataFrame, covariates: list[int], tasks: int = 1, weights: DataFrame | None = None, ranges: int = 1) -> DataFrame:
+def fit_moments(data: RegressionData, betas: DataFrame, covariates: list[int], tasks: int = 1, weights: DataFrame | None = None, ranges: Ranges = None) -> DataFrame:
     """(task, i, j, value): log-likelihood (i, j null), gradient (j null) and information in one DataFrame."""
     if data.model is Model.CLR_EXACT:
         return _exact_moments(data, betas, covariates, tasks, weights)
@@ -187,7 +202,7 @@ def fit_moments(data: RegressionData, betas: DataFrame, covariates: list[int], t
     return level.union(slope).union(_information(data, t, covariates, ranges))
 
 
-def majorizer_moments(data: RegressionData, betas: DataFrame, covariates: list[int], tasks: int = 1, weights: DataFrame | None = None, ranges: int = 1) -> DataFrame:
+def majorizer_moments(data: RegressionData, betas: DataFrame, covariates: list[int], tasks: int = 1, weights: DataFrame | None = None, ranges: Ranges = None) -> DataFrame:
     """As fit_moments, with a diagonal matrix that bounds the information: the sums of a row's weight times its entry's size
     times the sum of its entries' sizes. Its cost grows with the entries, not with pairs of them."""
     t = terms(data, weighted_rows(data, betas, tasks, weights), ranges)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
@@ -36,6 +37,18 @@ class RegressionData:
     def name_of(self, covariate: int) -> str:
         return self.names.get(covariate, INTERCEPT_NAME if covariate == INTERCEPT_ID else str(covariate))
 
+    def ids_of(self, covariates: Sequence[int | str]) -> list[int]:
+        """Ids from ids and names; an error names those that the data don't have."""
+        by_name = {name: c for c, name in self.names.items()} | ({INTERCEPT_NAME: INTERCEPT_ID} if self.has_intercept else {})
+        wanted = [by_name.get(c, c) if isinstance(c, str) else int(c) for c in covariates]
+        wanted = [int(c) if isinstance(c, str) and c.lstrip("-").isdigit() else c for c in wanted]
+        ids = [c for c in wanted if not isinstance(c, str)]
+        chosen = self.covariates.filter(F.col("covariateId").isin(ids)).select("covariateId").distinct()
+        known = {r[0] for r in chosen.collect()} | ({INTERCEPT_ID} if self.has_intercept else set())
+        if missing := [c for c in wanted if c not in known]:
+            raise ValueError(f"the data have no covariates {missing}")
+        return ids
+
 
 def _typed(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items() if c in df.columns])
@@ -46,10 +59,15 @@ def matching_rows(covariates: DataFrame, outcomes: DataFrame) -> DataFrame:
     return covariates.join(outcomes.select("rowId"), "rowId", "left_semi")
 
 
+def with_time_and_outcome(covariates: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Covariates of the rows among the outcomes, with their time and y."""
+    return covariates.join(outcomes.select("rowId", "time", "y"), "rowId")
+
+
 def check_unique(covariates: DataFrame) -> None:
     """A row has a covariate at most once."""
     if not covariates.groupBy("rowId", "covariateId").count().filter("count > 1").isEmpty():
-        raise ValueError("Repeated row-column entry: a row has a covariate more than once")
+        raise ValueError("a row has the same covariate twice or more")
 
 
 def from_tables(outcomes: DataFrame, covariates: DataFrame, model: str | Model = "lr", add_intercept: bool = True, check_row_ids: bool = True, normalize: str | None = None, time_effects: DataFrame | None = None, checked: bool = True) -> RegressionData:
@@ -66,14 +84,14 @@ def from_tables(outcomes: DataFrame, covariates: DataFrame, model: str | Model =
         if "time" not in out.columns:
             raise ValueError(f"model {model} needs a column time")
     if model.counts and checked and not out.filter("time is null or time <= 0").isEmpty():
-        raise ValueError("time cannot be non-positive when using a Poisson model")
+        raise ValueError(f"model {model} needs times above zero in all rows")
     if model in (Model.COX, Model.COX_RAW, Model.COX_TIME) and checked and out.select("y").distinct().limit(3).count() > 2:
-        raise ValueError("Cox model only accepts two outcomes: 0 and 1")
+        raise ValueError(f"model {model} takes outcomes 0 and 1 only; for competing events use fgr")
     if model.stratified and "stratumId" not in out.columns:
         raise ValueError(f"model {model} needs a column stratumId")
     if add_intercept and not model.intercept:
         if not model.survival:
-            warnings.warn("Intercepts are not allowed in conditional models, removing intercept", stacklevel=2)
+            warnings.warn(f"model {model} conditions on its strata, so it goes without an intercept", stacklevel=2)
         add_intercept = False
     if model.intercept or "stratumId" not in out.columns:
         out = out.withColumn("stratumId", F.lit(0).cast("long"))
@@ -152,16 +170,49 @@ def is_sorted(df: DataFrame, columns: Sequence[str], ascending: Sequence[bool],
     return edges.filter(wrong).isEmpty()
 
 
-def appended(data: RegressionData, outcomes: DataFrame, covariates: DataFrame) -> RegressionData:
-    """data with a further chunk of both tables."""
-    more = from_tables(outcomes, covariates, data.model, data.has_intercept)
+def empty(spark: SparkSession, model: str | Model = "lr") -> RegressionData:
+    """A data object without rows, to append to."""
+    out = spark.createDataFrame([], ", ".join(f"{c} {OUTCOME_COLUMNS[c]}" for c in ("rowId", "stratumId", "y", "time")))
+    cov = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in _COVARIATE_COLUMNS.items()))
+    return from_tables(out, cov, model, add_intercept=Model(model).intercept, checked=False)
+
+
+def appended(data: RegressionData, outcomes: DataFrame, covariates: DataFrame, checked: bool = True) -> RegressionData:
+    """data with a further chunk of both tables. checked: whether its rows must be new ones."""
+    more = from_tables(outcomes, covariates, data.model, data.has_intercept, checked=checked)
+    if checked and not more.outcomes.join(data.outcomes.select("rowId"), "rowId", "left_semi").isEmpty():
+        raise ValueError("rows of the chunk are in the data already")
     return replace(data, outcomes=data.outcomes.unionByName(more.outcomes, allowMissingColumns=True), covariates=data.covariates.unionByName(more.covariates))
 
 
+def with_offset(data: RegressionData, covariate: int | str, logged: bool = False) -> RegressionData:
+    """data with a covariate taken out and used as the offset of all rows: its logarithm, or the value itself if it is logged
+    already. Rows without an entry have the value 0, so they need logged."""
+    (found,) = data.ids_of([covariate])
+    values = data.covariates.filter(F.col("covariateId") == found).select("rowId", F.col("covariateValue").alias("__value"))
+    rows = data.outcomes.join(values, "rowId", "left").withColumn("__value", F.coalesce("__value", F.lit(0.0)))
+    if not logged and not rows.filter("__value <= 0").isEmpty():
+        raise ValueError("an offset that isn't logged must be above zero in all rows")
+    value = F.col("__value") if logged else F.log("__value")
+    rest = data.covariates.filter(F.col("covariateId") != found)
+    return replace(data, outcomes=rows.withColumn("offset", value).drop("__value"), covariates=rest, has_offset=True, names={c: n for c, n in data.names.items() if c != found})
+
+
+def with_covariates(data: RegressionData, values: DataFrame, names: Mapping[int, str] | None = None) -> RegressionData:
+    """data with many more covariates, from (rowId, covariateId[, covariateValue]); ids must be new ones."""
+    value = F.col("covariateValue") if "covariateValue" in values.columns else F.lit(1.0)
+    rows = _typed(values.withColumn("covariateValue", value), _COVARIATE_COLUMNS)
+    if not rows.select("covariateId").distinct().join(data.covariates.select("covariateId").distinct(), "covariateId", "left_semi").isEmpty():
+        raise ValueError("some of the new covariates are in the data already")
+    rows = matching_rows(rows, data.outcomes).filter("covariateValue <> 0")
+    check_unique(rows)
+    return replace(data, covariates=data.covariates.unionByName(rows), names={**data.names, **(names or {})})
+
+
 def with_covariate(data: RegressionData, covariate: int, values: DataFrame, name: str | None = None) -> RegressionData:
     """data with one more covariate, from (rowId[, covariateValue]); without values it is an indicator."""
     if not data.covariates.filter(F.col("covariateId") == covariate).isEmpty():
-        raise ValueError(f"covariate {covariate} already exists")
+        raise ValueError(f"there is a covariate {covariate} in the data")
     value = F.col("covariateValue") if "covariateValue" in values.columns else F.lit(1.0)
     rows = values.select(F.col("rowId").cast("long"), F.lit(covariate).cast("long").alias("covariateId"), value.cast("double").alias("covariateValue"))
     rows = matching_rows(rows, data.outcomes).filter("covariateValue <> 0")
@@ -174,7 +225,7 @@ def with_time_effects(data: RegressionData, time_effects: DataFrame) -> Regressi
     chosen = time_effects.select(F.col("covariateId").cast("long").alias("covariateId")).distinct()
     highest = data.covariates.agg(F.max("covariateId")).first()[0] or 0
     rank = chosen.withColumn("i", F.dense_rank().over(Window.orderBy("covariateId")))  # the chosen few
-    strata = data.outcomes.select("stratumId").distinct().withColumn("s", F.dense_rank().over(Window.orderBy("stratumId")))
+    strata = numbered(data.outcomes.select("stratumId").distinct(), [F.col("stratumId")], "s")
     k = rank.count()
     rows = data.covariates.join(F.broadcast(rank), "covariateId").join(data.outcomes.select("rowId", "stratumId"), "rowId").join(strata, "stratumId").filter("s > 1")
     fresh = rows.select("rowId", (F.lit(highest) + k * (F.col("s") - 2) + F.col("i")).cast("long").alias("covariateId"), "covariateValue")
@@ -193,7 +244,7 @@ def from_columns(df: DataFrame, y: str, dense: Sequence[str] = (), factors: Sequ
     """The data object from a wide table, as from a formula: numeric columns, factors (an indicator for each level but the
     first), 0/1 columns. start: with time, rows cover (start, time]; offset: on the log scale, as given."""
     if offset and time and not Model(model).own_time:
-        raise ValueError("either time or offset, not both")
+        raise ValueError("time and offset exclude each other here")
     if start and not time:
         raise ValueError("start needs time")
     levels = {f: [r[0] for r in df.select(f).distinct().orderBy(f).collect()] for f in factors}
@@ -221,3 +272,46 @@ def from_columns(df: DataFrame, y: str, dense: Sequence[str] = (), factors: Sequ
         offs = wide.select(F.col("rowId").cast("long"), F.col("__offset").alias("offset"))
         data = replace(data, outcomes=data.outcomes.drop("offset").join(offs, "rowId"), has_offset=True)
     return replace(data, names=names)
+
+
+_TERM = re.compile(r"^(?:(factor|strata|offset)\((\w+)\)|(\w+))$")
+
+
+def from_formula(df: DataFrame, formula: str, sparse: Sequence[str] = (), indicators: Sequence[str] = (), type_col: str | None = None, normalize: str | None = None, **options: object) -> RegressionData:
+    """The data object from a wide table and a formula such as ``y ~ x + factor(g) + strata(s) + offset(o)``; of counting-process
+    data the left side is ``Surv(start, stop, y)``, of survival data ``Surv(time, y)``. ``- 1`` leaves the intercept out.
+
+    sparse, indicators: further columns, the latter 0/1. type_col: outcomes of several types; each covariate has an id for each type,
+    see ``multitype``.
+    """
+    left, tilde, right = (x.strip() for x in formula.partition("~"))
+    if not tilde:
+        raise ValueError("a formula has an outcome, ~ and terms")
+    surv = re.fullmatch(r"Surv\((.*)\)", left)
+    parts = [x.strip() for x in surv[1].split(",")] if surv else [left]
+    times = dict(zip({2: ("time",), 3: ("start", "time")}.get(len(parts), ()), parts, strict=False))
+    found: dict[str, list[str]] = {"factor": [], "strata": [], "offset": [], "": []}
+    plain = re.sub(r"-\s*1\b", "", right)
+    for term in (x.strip() for x in plain.split("+")):
+        if term in ("", "1"):
+            continue
+        m = _TERM.match(term)
+        if not m:
+            raise ValueError(f"the term {term!r} isn't understood")
+        found[m[1] or ""].append(m[2] or m[3])
+    if len(found["strata"]) > 1 or len(found["offset"]) > 1:
+        raise ValueError("a formula has one strata() and one offset() at most")
+    options = {"intercept": plain == right, **options}
+    data = from_columns(df, parts[-1], [*found[""], *sparse], found["factor"], indicators, stratum=next(iter(found["strata"]), None), offset=next(iter(found["offset"]), None), **times, **options)
+    if type_col:
+        types = df.select(F.col(str(options.get("row_id", "rowId"))).cast("long").alias("rowId"), F.col(type_col).alias("type"))
+        typed = data.outcomes.join(types, "rowId")
+        count = typed.select("type").distinct().count()
+        _, cov = multitype(typed, data.covariates, "type")
+        values = [r[0] for r in typed.select("type").distinct().orderBy("type").collect()]
+        data = replace(data, covariates=cov, names={c * count + t: f"{n}:{v}" for c, n in data.names.items() for t, v in enumerate(values)})
+    if normalize:
+        from ..operators.reduce import normalized
+
+        data = normalized(data, normalize)
+    return data

@@ -1,15 +1,16 @@
 """Fits: one Spark job for each iteration gives log-likelihood, gradient and information of all tasks; the step is found on
 the driver by cyclic coordinate descent over the small quadratic model, with priors and trust regions.
 
-Only coefficients and their information matrix reach the driver, never rows. Many covariates are handled by an active set:
-the gradient of all is one job, and the quadratic model covers those that are or may become non-zero.
+Only coefficients and their information matrix reach the driver, never rows. With few covariates an iteration is one scan of rows
+that hold them as columns. Many covariates are handled by an active set: the gradient of all is one job, and the quadratic model
+covers those that are or may become non-zero; or by majorised steps, which need vectors only.
 """
 
 from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
@@ -17,8 +18,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.dense import MOST, dense_moments, dense_rows
 from ..operators.likelihood import fit_moments, gradient, log_likelihood, majorizer_moments
 from ..operators.score import coefficients
+from ..operators.survival import range_cuts
 from .data import RegressionData
 from .models import INTERCEPT_ID, Model
 from .priors import Jeffreys, Laplace, PriorSet, make_prior
@@ -31,13 +34,14 @@ class Control:
     initial_bound: float = 2.0
     #: Inner cycles over the coordinates of one quadratic model.
     cycles: int = 200
-    #: Two-level running sums over so many ranges of time; 1 where strata are small.
-    ranges: int = 1
+    #: Two-level running sums over so many ranges of time; None: as many as the largest stratum's times need.
+    ranges: int | None = None
     #: newton: steps on the whole information matrix; mm: all coefficients at once on a diagonal bound of it, for many of them.
     algorithm: str = "newton"
     #: Fit on an active set of covariates (Laplace prior), screened by the gradient of all.
     active_set: bool = False
-    threads: int = 1
+    #: Called with the data and the control before a fit; gives the control to use.
+    set_hook: Callable[[RegressionData, Control], Control] | None = None
 
 
 @dataclass(frozen=True)
@@ -55,6 +59,8 @@ class Fit:
     weights: DataFrame | None = None
     fixed: frozenset[int] = frozenset()
     cross_validation: Mapping[str, object] = field(default_factory=dict)
+    #: The covariates of the information's rows; those that a fit on an active set leaves out have none.
+    information_ids: tuple[int, ...] = ()
 
     @property
     def ids(self) -> list[int]:
@@ -66,7 +72,7 @@ class Fit:
 
     def coef(self, rescale: bool = False, ignore_convergence: bool = False) -> dict[str, float]:
         if self.return_flag != "SUCCESS" and not ignore_convergence:
-            raise RuntimeError(f"Result did not converge ({self.return_flag})")
+            raise RuntimeError(f"the fit has not converged: {self.return_flag}")
         scale = {r["covariateId"]: r["scale"] for r in self.data.scales.collect()} if rescale and self.data.scales is not None else {}
         return {self.data.name_of(c): self.betas[c] * scale.get(c, 1.0) for c in self.ids}
 
@@ -75,28 +81,57 @@ class Fit:
         return sum(not math.isnan(b) for b in self.betas.values())
 
 
-def _collected(moments: DataFrame, ids: Sequence[int], tasks: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
-    place = {c: k for k, c in enumerate(ids)}
-    out = [(0.0, np.zeros(len(ids)), np.zeros((len(ids), len(ids)))) for _ in range(tasks)]
-    level = [0.0] * tasks
+Moments = tuple[float, np.ndarray, np.ndarray]
+
+
+def _collected(moments: DataFrame, ids: Sequence[int], tasks: int, diagonal: bool = False) -> list[Moments]:
+    """Log-likelihood, gradient and information of each task; of a diagonal information only the diagonal, as a vector."""
+    place, n = {c: k for k, c in enumerate(ids)}, len(ids)
+    level, g, h = [0.0] * tasks, np.zeros((tasks, n)), np.zeros((tasks, n) if diagonal else (tasks, n, n))
     for r in moments.collect():
         t, value = r["task"], r["value"] if r["value"] is not None else 0.0
         if r["i"] is None:
             level[t] += value
         elif r["j"] is None:
-            out[t][1][place[r["i"]]] += value
+            g[t, place[r["i"]]] += value
+        elif diagonal:
+            h[t, place[r["i"]]] += value
         else:
             a, b = place[r["i"]], place[r["j"]]
-            out[t][2][a, b] += value
+            h[t, a, b] += value
             if a != b:
-                out[t][2][b, a] += value
-    return [(level[t], g, h) for t, (_, g, h) in enumerate(out)]
+                h[t, b, a] += value
+    return [(level[t], g[t], h[t]) for t in range(tasks)]
+
+
+def _moments(data: RegressionData, ids: Sequence[int], control: Control, weights: DataFrame | None, tasks: int) -> tuple[Callable[[Sequence[Mapping[int, float]], Sequence[int]], list[Moments]], Callable[[], None]]:
+    """A function that gives the moments at coefficients of the tasks with the given numbers, and one that ends its use."""
+    if control.algorithm != "mm" and data.model is not Model.CLR_EXACT and len(ids) <= MOST:
+        dense = dense_rows(data, ids, weights, tasks, control.ranges)
+        return (lambda betas, numbers: dense_moments(dense, betas, numbers)), dense.rows.unpersist
+    diagonal, of = control.algorithm == "mm", majorizer_moments if control.algorithm == "mm" else fit_moments
+    ranges = range_cuts(data.outcomes, ["stratumId"], control.ranges) if data.model.survival else ()
+
+    def long_form(betas: Sequence[Mapping[int, float]], numbers: Sequence[int]) -> list[Moments]:
+        used = weights
+        if weights is not None and "task" in weights.columns:
+            renamed = data.spark.createDataFrame([(t, k) for k, t in enumerate(numbers)], "task int, k int")
+            used = weights.join(F.broadcast(renamed), "task").select(F.col("k").alias("task"), "rowId", "w")
+        return _collected(of(data, coefficients(data.spark, *betas), ids, len(betas), used, ranges), ids, len(betas), diagonal)
+
+    return long_form, lambda: None
 
 
 def _descend(ids: Sequence[int], beta: np.ndarray, g: np.ndarray, h: np.ndarray, prior: PriorSet, fixed: frozenset[int], bound: np.ndarray, control: Control) -> np.ndarray:
     """New coefficients: coordinate descent on the quadratic model at beta, within the trust region of each."""
     new, slope = beta.copy(), g.copy()
     index = {c: k for k, c in enumerate(ids)}
+    if h.ndim == 1:  # a bound without mixed terms: all coordinates at once
+        for k, c in enumerate(ids):
+            if c not in fixed and h[k] > 1e-12:
+                step = prior.of(c).step(g[k], h[k], beta[k], [beta[index[o]] for o in prior.seen_by(c) if o in index])
+                new[k] += min(max(step, -bound[k]), bound[k])
+        return new
     for _ in range(control.cycles):
         largest = 0.0
         for k, c in enumerate(ids):
@@ -151,31 +186,27 @@ def fit_tasks(data: RegressionData, priors: Sequence[PriorSet], ids: Sequence[in
 
 
 def _fit_tasks(data: RegressionData, priors: Sequence[PriorSet], ids: Sequence[int], starts: Sequence[Mapping[int, float]], control: Control, weights: DataFrame | None, fixed: Sequence[frozenset[int]] | None) -> list[dict]:
-    n, moments = len(priors), majorizer_moments if control.algorithm == "mm" else fit_moments
+    n = len(priors)
+    moments, end = _moments(data, ids, control, weights, n)
     fixed = fixed or [frozenset()] * n
     beta = [np.array([s.get(c, 0.0) for c in ids]) for s in starts]
     state = [{"best": -math.inf, "flag": "MAX_ITERATIONS", "iterations": 0, "bound": np.full(len(ids), control.initial_bound), "at": None} for _ in range(n)]
     open_tasks = list(range(n))
-    own = weights is not None and "task" in weights.columns
+    named = lambda b: dict(zip(ids, map(float, b), strict=True))
     for iteration in range(1, control.max_iterations + 1):
-        frame = coefficients(data.spark, *[dict(zip(ids, beta[t], strict=True)) for t in open_tasks])
-        used = weights
-        if own:
-            renamed = data.spark.createDataFrame([(t, k) for k, t in enumerate(open_tasks)], "task int, k int")
-            used = weights.join(F.broadcast(renamed), "task").select(F.col("k").alias("task"), "rowId", "w")
-        found = _collected(moments(data, frame, ids, len(open_tasks), used, control.ranges), ids, len(open_tasks))
+        found = moments([named(beta[t]) for t in open_tasks], open_tasks)
         still = []
         for (ll, g, h), t in zip(found, open_tasks, strict=True):
             s = state[t]
             s["iterations"] = iteration
             prior = priors[t]
             if isinstance(prior.default, Jeffreys):
-                prior = _with_jeffreys(data, prior, ids, beta[t], h, used, control)
-            value = ll + prior.log_density(dict(zip(ids, beta[t], strict=True)))
-            if not math.isfinite(value):
+                prior = _with_jeffreys(prior, ids, beta[t], h, lambda b, t=t: moments([named(x) for x in b], [t] * len(b)))
+            value = ll + prior.log_density(named(beta[t]))
+            if not math.isfinite(value) or not np.isfinite(g).all():
                 s["flag"] = "ILLCONDITIONED"
                 continue
-            adaptive = type(prior.default).__name__ in ("BrokenAdaptiveRidge", "Jeffreys", "FusedLaplace", "HierarchicalNormal")
+            adaptive = any(p.adaptive for p in (prior.default, *prior.own.values()))
             if s["at"] is not None and value < s["best"] - 1e-10 * (abs(s["best"]) + 1) and not adaptive:
                 beta[t] = (beta[t] + s["at"][0]) / 2  # too far: half the way back
                 still.append(t)
@@ -195,45 +226,55 @@ def _fit_tasks(data: RegressionData, priors: Sequence[PriorSet], ids: Sequence[i
         open_tasks = still
         if not open_tasks:
             break
+    end()
     out = []
     for t, s in enumerate(state):
-        at = s["at"] or (beta[t], math.nan, np.full(len(ids), math.nan), np.zeros((len(ids), len(ids))))
-        out.append({"betas": dict(zip(ids, map(float, at[0]), strict=True)), "ll": at[1], "g": dict(zip(ids, map(float, at[2]), strict=True)), "h": at[3], "iterations": s["iterations"], "flag": s["flag"]})
+        at = s["at"] or (beta[t], math.nan, np.full(len(ids), math.nan), np.zeros((0, 0)))
+        out.append({"betas": named(at[0]), "ll": at[1], "g": named(at[2]), "h": at[3], "h_ids": tuple(ids), "iterations": s["iterations"], "flag": s["flag"]})
     return out
 
 
-def _with_jeffreys(data: RegressionData, prior: PriorSet, ids: Sequence[int], beta: np.ndarray, h: np.ndarray, weights: DataFrame | None, control: Control) -> PriorSet:
+def _with_jeffreys(prior: PriorSet, ids: Sequence[int], beta: np.ndarray, h: np.ndarray, moments: Callable[[Sequence[np.ndarray]], list[Moments]]) -> PriorSet:
     """The prior with the information's derivative at beta, by a central difference of one job."""
     k, eps = len(ids) - 1, 1e-4
     up, down = beta.copy(), beta.copy()
     up[k] += eps
     down[k] -= eps
-    frame = coefficients(data.spark, dict(zip(ids, up, strict=True)), dict(zip(ids, down, strict=True)))
-    (_, _, a), (_, _, b) = _collected(fit_moments(data, frame, ids, 2, weights, control.ranges), ids, 2)
+    (_, _, a), (_, _, b) = moments([up, down])
     third = (a[k, k] - b[k, k]) / (2 * eps) / (2 * h[k, k]) if h[k, k] > 0 else 0.0
     return replace(prior, default=Jeffreys(third, max(h[k, k], 1e-300)))
 
 
 def _check_jeffreys(data: RegressionData, ids: Sequence[int]) -> None:
     if len([c for c in ids if c != INTERCEPT_ID]) != 1:
-        raise ValueError("Jeffreys prior is currently only implemented for 1 covariate")
+        raise ValueError("a Jeffreys prior needs a model with exactly one covariate")
     if not data.covariates.filter("covariateValue <> 1").isEmpty():
-        raise ValueError("Jeffreys prior is currently only implemented for indicator covariates")
+        raise ValueError("a Jeffreys prior needs a covariate whose entries are all 1")
+
+
+#: How often a fit that breaks down is tried again with a tenth of the first steps' bound.
+RESTARTS = 5
 
 
 def fit(data: RegressionData, prior: PriorSet | str = "none", control: Control = Control(), weights: DataFrame | None = None, starting: Mapping[int, float] | None = None, fixed: Sequence[int] = (), ids: Sequence[int] | None = None) -> Fit:
     """The mode of the posterior (of the likelihood without a prior).
 
     weights: (rowId, w), not negative; all zero: ILLCONDITIONED. fixed: covariates kept at their starting values. A
-    coefficient that the data leave infinite ends at a large value, with a warning.
+    coefficient that the data leave infinite ends at a large value, with a warning, after majorised steps have been tried. A fit that
+    breaks down starts again with shorter steps. Hooks: control.set_hook may change the control at first; prior.fit_hook, where there
+    is one, makes the whole fit.
     """
     prior = make_prior(prior) if isinstance(prior, str) else prior
+    if control.set_hook is not None:
+        control = control.set_hook(data, control)
+    if prior.fit_hook is not None:
+        return prior.fit_hook(data, replace(prior, fit_hook=None), control, weights)
     if data.model is Model.FGR and "censorWeights" not in data.outcomes.columns:
-        raise ValueError("Subject-specific censoring weights must be specified for modelType = 'fgr'")
+        raise ValueError("model fgr needs a column censorWeights among the outcomes")
     if weights is not None:
         low = weights.agg(F.min("w").alias("low"), F.max("w").alias("high")).first()
         if (low["low"] or 0.0) < 0:
-            raise ValueError("Only non-negative weights are allowed")
+            raise ValueError("weights must not be negative")
         if not low["high"]:
             return Fit(data, prior, control, dict.fromkeys(ids or covariate_ids(data), 0.0), math.nan, math.nan, 0, "ILLCONDITIONED", np.zeros((0, 0)), {}, weights)
     all_ids = list(ids) if ids is not None else covariate_ids(data)
@@ -242,34 +283,50 @@ def fit(data: RegressionData, prior: PriorSet | str = "none", control: Control =
     start = start_values(data, all_ids) | dict(starting or {})
     if data.model is Model.CLR_EFRON:
         data = replace(data, model=Model.CLR)  # one likelihood: ties of conditional models follow Breslow
-    if control.active_set and isinstance(prior.default, Laplace):
-        done = _fit_active(data, prior, all_ids, start, control, weights, frozenset(fixed))
-    else:
-        done = fit_tasks(data, [prior], all_ids, [start], control, weights, [frozenset(fixed)])[0]
-    if done["flag"] == "SUCCESS" and any(abs(b) > 15 for c, b in done["betas"].items() if not prior.of(c).regularized and c not in fixed and c != INTERCEPT_ID and abs(done["h"][sorted(done["betas"]).index(c)].max()) < 1e-3):
-        warnings.warn("BLR convergence criterion failed; coefficient may be infinite", stacklevel=2)
-    return Fit(data, prior, control, done["betas"], done["ll"], prior.log_density(done["betas"]), done["iterations"], done["flag"], done["h"], done["g"], weights, frozenset(fixed))
+    tried = control
+    for _ in range(RESTARTS + 1):
+        if control.active_set and isinstance(prior.default, Laplace):
+            done = _fit_active(data, prior, all_ids, start, tried, weights, frozenset(fixed))
+        else:
+            done = fit_tasks(data, [prior], all_ids, [start], tried, weights, [frozenset(fixed)])[0]
+        if done["flag"] != "ILLCONDITIONED":
+            break
+        tried = replace(tried, initial_bound=tried.initial_bound / 10)
+    if done["flag"] in ("SUCCESS", "MAX_ITERATIONS") and _runs_away(done, prior, frozenset(fixed)):
+        if done["flag"] == "MAX_ITERATIONS" and control.algorithm != "mm" and data.model is not Model.CLR_EXACT:
+            done = fit_tasks(data, [prior], all_ids, [done["betas"]], replace(tried, algorithm="mm"), weights, [frozenset(fixed)])[0]
+        warnings.warn("a coefficient runs away: the data may leave it infinite", stacklevel=2)
+    return Fit(data, prior, control, done["betas"], done["ll"], prior.log_density(done["betas"]), done["iterations"], done["flag"], done["h"], done["g"], weights, frozenset(fixed), information_ids=done["h_ids"])
+
+
+def _runs_away(done: Mapping, prior: PriorSet, fixed: frozenset[int]) -> bool:
+    h = done["h"]
+    flat = {c: float(np.abs(h[k]).max(initial=0.0)) for k, c in enumerate(done["h_ids"])} if h.size else {}
+    return any(abs(b) > 15 and flat.get(c, 1.0) < 1e-3 for c, b in done["betas"].items() if not prior.of(c).regularized and c not in fixed and c != INTERCEPT_ID)
 
 
 def _fit_active(data: RegressionData, prior: PriorSet, ids: Sequence[int], start: Mapping[int, float], control: Control, weights: DataFrame | None, fixed: frozenset[int]) -> dict:
-    """Fits on the covariates that are non-zero or violate the optimality condition |g| <= rate at zero, until none does."""
+    """Fits on the covariates that are non-zero or violate the optimality condition |g| <= rate at zero, until none does. The
+    information is that of the active ones."""
     active = [c for c in ids if start.get(c) or not prior.of(c).regularized or c in fixed]
-    betas = dict(start)
+    betas, known = dict(start), set(ids)
     while True:
-        done = fit_tasks(data, [prior], active, [betas], control, weights, [fixed])[0] if active else {"betas": {}, "ll": math.nan, "g": {}, "h": np.zeros((0, 0)), "iterations": 0, "flag": "SUCCESS"}
+        done = fit_tasks(data, [prior], active, [betas], control, weights, [fixed])[0] if active else {"betas": {}, "ll": math.nan, "g": {}, "h": np.zeros((0, 0)), "h_ids": (), "iterations": 0, "flag": "SUCCESS"}
         betas = dict.fromkeys(ids, 0.0) | done["betas"]
         slopes = gradient(data, coefficients(data.spark, betas), 1, weights, control.ranges)
-        rest = slopes.filter(~F.col("i").isin(active)) if active else slopes
+        rest = slopes.join(F.broadcast(data.spark.createDataFrame([(int(c),) for c in active], "i long")), "i", "left_anti") if active else slopes
         worst = {r["i"]: r["value"] for r in rest.orderBy(F.desc(F.abs("value"))).limit(200).collect()}
-        more = [c for c, g in worst.items() if c in betas and abs(g) > prior.of(c).rate * (1 + 1e-6)]
+        more = [c for c, g in worst.items() if c in known and abs(g) > prior.of(c).rate * (1 + 1e-6)]
         if not more:
-            h = np.zeros((len(ids), len(ids)))
-            at = [sorted(ids).index(c) for c in sorted(active)]
-            h[np.ix_(at, at)] = done["h"]
-            return done | {"betas": {c: betas[c] for c in sorted(ids)}, "h": h, "g": dict.fromkeys(ids, math.nan) | done["g"]}
+            return done | {"betas": {c: betas[c] for c in sorted(ids)}, "g": dict.fromkeys(ids, math.nan) | done["g"]}
         active = sorted({*active, *more})
 
 
+def log_lik(fitted: Fit) -> tuple[float, int, int]:
+    """The log-likelihood, its degrees of freedom (coefficients that are numbers) and the number of rows."""
+    return fitted.log_likelihood, fitted.degrees_of_freedom, fitted.data.outcomes.count()
+
+
 def predictive_log_likelihood(fit: Fit, weights: DataFrame) -> float:
     """The log-likelihood of rows with other weights (rowId, w) at the fit; risk sets and strata are those of the weights."""
     return log_likelihood(fit.data, fit.frame(), 1, weights, predictive=True, ranges=fit.control.ranges).first()["value"]

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import survival
@@ -21,8 +21,11 @@ from .priors import PriorSet
 
 def vcov(fitted: Fit, covariates: Sequence[int] | None = None) -> tuple[list[int], np.ndarray]:
     """The inverse information, over all coefficients or over some of them alone."""
-    ids = fitted.ids if covariates is None else sorted(covariates)
-    at = [fitted.ids.index(c) for c in ids]
+    known = list(fitted.information_ids or fitted.ids)
+    ids = known if covariates is None else sorted(covariates)
+    if missing := [c for c in ids if c not in known]:
+        raise ValueError(f"the fit has no information on covariates {missing}")
+    at = [known.index(c) for c in ids]
     return ids, np.linalg.inv(fitted.information[np.ix_(at, at)])
 
 
@@ -90,7 +93,7 @@ def profile_intervals(fitted: Fit, covariates: Sequence[int], level: float = 0.9
         if c in fitted.fixed:
             raise ValueError(f"covariate {c} is fixed")
         if fitted.prior.of(c).regularized and not allow_regularized:
-            raise ValueError("Cannot estimate confidence interval for a regularized parameter")
+            raise ValueError(f"covariate {c} has a prior: its interval needs allow_regularized")
     threshold = NormalDist().inv_cdf((1 + level) / 2) ** 2 / 2
     top = fitted.log_likelihood + (fitted.log_prior if penalty else 0.0)
     ends = [(c, side) for c in covariates for side in (-1, 1)]
@@ -156,9 +159,11 @@ def _one_cox(fitted: Fit) -> None:
         raise ValueError("only for Cox models with one covariate")
 
 
-def test_proportionality(fitted: Fit, transform: str = "identity") -> dict[str, float]:
+def test_proportionality(fitted: Fit, transform: str | Callable[[Column], Column] = "identity") -> dict[str, float]:
+    """The score test that the covariate's effect changes with time; transform: of the time, by name or as a function of its column."""
     _one_cox(fitted)
-    if abs(fitted.gradient[fitted.ids[0]]) > 1e-3:
+    scale = max(1.0, float(fitted.information[0, 0]))
+    if abs(fitted.gradient[fitted.ids[0]]) > 1e-5 * scale:
         raise ValueError("the fit is not at its mode")
     rows = weighted_rows(fitted.data, fitted.frame())
     return survival.proportionality(rows, fitted.data.covariates, transform, fitted.control.ranges).first().asDict()
@@ -179,7 +184,7 @@ def non_separable(fitted: Fit, refit, rounds: int = 10) -> Fit:
     lost: set[int] = set()
     for _ in range(rounds):
         diag = np.diag(fitted.information) if fitted.information.size else np.zeros(0)
-        bad = {c for k, c in enumerate(fitted.ids) if k < len(diag) and (not math.isfinite(fitted.betas[c]) or diag[k] < 1e-8 or abs(fitted.betas[c]) > 15)}
+        bad = {c for k, c in enumerate(fitted.information_ids or fitted.ids) if k < len(diag) and (not math.isfinite(fitted.betas[c]) or diag[k] < 1e-8 or abs(fitted.betas[c]) > 15)}
         if not bad:
             break
         lost |= bad

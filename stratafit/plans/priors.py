@@ -16,6 +16,8 @@ class Prior:
     """No prior: the maximum likelihood step."""
 
     regularized = False
+    #: Whether the objective that steps improve isn't the likelihood plus log_density.
+    adaptive = False
 
     def step(self, g: float, h: float, beta: float, others: Sequence[float] = ()) -> float:
         return g / h
@@ -62,6 +64,7 @@ class BrokenAdaptiveRidge(Prior):
 
     variance: float = 1.0
     regularized = True
+    adaptive = True
 
     def step(self, g, h, beta, others=()):
         penalty = 1 / self.variance
@@ -83,6 +86,7 @@ class Jeffreys(Prior):
     third: float = 0.0
     information: float = 1.0
     regularized = True
+    adaptive = True
 
     def step(self, g, h, beta, others=()):
         return (g + self.third) / h
@@ -119,7 +123,8 @@ class FusedLaplace(Prior):
 
 @dataclass(frozen=True)
 class HierarchicalNormal(Prior):
-    """Normal around the mean of the siblings' group (others: the siblings), which is itself normal around zero."""
+    """Normal around the mean of the siblings' group (others: the siblings), which is itself normal around zero. The group's
+    mean is integrated out: a group's coefficients are jointly normal, with the class variance as their covariance."""
 
     variance: float = 1.0
     class_variance: float = 1.0
@@ -132,8 +137,14 @@ class HierarchicalNormal(Prior):
         curve = t1 - t1 / (n + t2 / t1)
         return (g - slope) / (h + curve)
 
+    def group_density(self, betas: Sequence[float]) -> float:
+        """The log density of a whole group."""
+        n, v, c = len(betas), self.variance, self.class_variance
+        square = (sum(b * b for b in betas) - c * sum(betas) ** 2 / (v + n * c)) / v
+        return -0.5 * (n * math.log(2 * math.pi) + (n - 1) * math.log(v) + math.log(v + n * c) + square)
+
     def log_density(self, beta):
-        return Normal(self.variance + self.class_variance).log_density(beta)
+        return self.group_density([beta])
 
 
 @dataclass(frozen=True)
@@ -147,6 +158,8 @@ class PriorSet:
     neighbours: Mapping[int, Sequence[int]] = field(default_factory=dict)
     parents: Mapping[int, int] = field(default_factory=dict)
     force_intercept: bool = False
+    #: Called instead of a fit, with data, the prior without the hook, control and weights; gives the fit.
+    fit_hook: Callable | None = None
 
     def of(self, covariate: int) -> Prior:
         if covariate in self.own:
@@ -161,38 +174,54 @@ class PriorSet:
         parent = self.parents.get(covariate)
         return [c for c, p in self.parents.items() if p == parent and c != covariate] if parent is not None else []
 
-    def with_variance(self, variance: float) -> PriorSet:
-        return replace(self, default=replace(self.default, variance=variance))
+    @property
+    def variances(self) -> dict[str, float]:
+        """The hyperparameters of the default prior by name."""
+        return {n: getattr(self.default, n) for n in ("variance", "fusion_variance", "class_variance") if hasattr(self.default, n)}
+
+    def with_variance(self, variance: float | Mapping[str, float]) -> PriorSet:
+        named = {"variance": variance} if isinstance(variance, int | float) else dict(variance)
+        return replace(self, default=replace(self.default, **named))
 
     def log_density(self, betas: Mapping[int, float]) -> float:
-        """The sum over regularised coefficients; half of each pair's fusion is counted with each side."""
-        total = 0.0
+        """The sum over regularised coefficients, or their groups; half of each pair's fusion is counted with each side."""
+        total, done = 0.0, set()
         for c, b in betas.items():
             prior = self.of(c)
+            if isinstance(prior, HierarchicalNormal):
+                if c not in done:
+                    group = [c, *[o for o in self.seen_by(c) if o in betas]]
+                    done.update(group)
+                    total += prior.group_density([betas[o] for o in group])
+                continue
             total += prior.log_density(b)
             if isinstance(prior, FusedLaplace):
                 rate = math.sqrt(2 / prior.fusion_variance)
                 total += sum(0.5 * (math.log(rate / 2) - rate * abs(b - betas[o])) for o in self.seen_by(c) if o in betas)
         return total
 
+    def unknown(self, ids: Sequence[int]) -> list[int]:
+        """Excluded covariates that the data don't have."""
+        return sorted(set(self.exclude) - set(ids))
+
 
 def make_prior(kind: str = "none", variance: float | Sequence[float] = 1.0, exclude: Sequence[int] = (), neighbours: Mapping[int, Sequence[int]] | None = None, parents: Mapping[int, int] | None = None, force_intercept: bool = False, cross_validate: bool = False) -> PriorSet:
     """Priors by name: none, laplace, normal, barupdate, jeffreys; with neighbours fused, with parents hierarchical."""
     v = [variance] if isinstance(variance, int | float) else list(variance)
     if cross_validate and kind in ("none", "barupdate", "jeffreys"):
-        raise ValueError(f"cross-validation is not available for prior {kind}")
+        raise ValueError(f"a prior of kind {kind} has no variance to cross-validate")
     if kind == "hierarchical":
-        raise ValueError("Invalid prior type: use a normal prior with parents")
+        raise ValueError("a hierarchical prior is a normal one with parents")
     simple = {"none": Prior, "laplace": Laplace, "normal": Normal, "barupdate": BrokenAdaptiveRidge, "jeffreys": Jeffreys}
     if kind not in simple:
-        raise ValueError(f"Invalid prior type: {kind}")
+        raise ValueError(f"there is no prior of kind {kind}")
     if neighbours is not None:
         if kind != "laplace" or len(v) != 2:
-            raise ValueError("neighbours need a laplace prior with two variances")
+            raise ValueError("a prior with neighbours is a laplace one with two variances")
         default: Prior = FusedLaplace(*v)
     elif parents is not None:
         if kind != "normal" or len(v) != 2:
-            raise ValueError("Only normal-normal hierarchies are supported, with two variances")
+            raise ValueError("a prior with parents is a normal one with two variances")
         default = HierarchicalNormal(*v)
     else:
         default = Prior() if kind == "none" else Jeffreys() if kind == "jeffreys" else simple[kind](v[0])

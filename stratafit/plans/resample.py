@@ -140,9 +140,9 @@ def unimodal_search(value: Callable[[float], tuple[float, float]], start: float,
 def cross_validated(data: RegressionData, prior: PriorSet, search: Search = Search(), control: Control = Control()) -> Fit:
     """The fit at the variance with the best held-out log-likelihood."""
     if data.outcomes.count() < search.min_data:
-        raise ValueError("Insufficient data count for cross validation")
+        raise ValueError(f"cross-validation needs {search.min_data} rows at least")
     if not prior.default.regularized:
-        raise ValueError("cross-validation needs a regularising prior")
+        raise ValueError("without a prior there is no variance to cross-validate")
     if search.kind == "grid":
         points = log_grid(search)
         scores = cv_scores(data, [prior.with_variance(v) for v in points], search, control)

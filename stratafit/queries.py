@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from .functions.scalar import rounded
 from .operators import likelihood, reduce, score, survival
 from .plans import tables as t
-from .plans.data import appended, from_tables, is_sorted, matching_rows, multitype, numbered, with_covariate, with_time_effects
+from .plans.data import appended, from_columns, from_tables, is_sorted, matching_rows, multitype, numbered, with_covariate, with_time_and_outcome, with_time_effects
 from .plans.fit import Control, fit
 from .plans.inference import baseline, coverage, mse, profile_intervals, profile_likelihood, residuals, standard_errors, test_proportionality, wald_intervals
-from .plans.priors import make_prior
+from .plans.priors import make_prior, parameterized
 from .plans.resample import Search, bootstrap, cross_validated, folds
+from .sources.paths import new_folder
 from .sources.simulate import exposure_intervals, simulate
 from .sources.text import matrix_market, read_text
 from .streaming.score import score_stream
@@ -70,18 +71,25 @@ def semi_join_rows(spark, sf_dir):
 
 @query(" select c.covariateId, cast(sum(o.time) as bigint) as total_time, cast(sum(o.y) as bigint) as total_y from covariates c join outcomes o on c.rowId = o.rowId group by c.covariateId")
 def attach_time_and_outcome(spark, sf_dir):
-    rows = t.covariates(spark, sf_dir).join(t.outcomes(spark, sf_dir).select("rowId", "time", "y"), "rowId")
+    rows = with_time_and_outcome(t.covariates(spark, sf_dir), t.outcomes(spark, sf_dir))
     return rows.groupBy("covariateId").agg(F.sum("time").cast("long").alias("total_time"), F.sum("y").cast("long").alias("total_y"))
 
 
 @query(
-    " select l_orderkey as rowId, l_linenumber as line, cast(date_diff('day', o_orderdate, l_shipdate) as double) as time from lineitem join orders on l_orderkey = o_orderkey where l_shipdate > o_orderdate and l_linenumber = 1",
+    """select l_orderkey as rowId, cast(date_diff('day', o_orderdate, l_shipdate) as double) as time, round(l_quantity, 4) + 0.0 as quantity
+from lineitem join orders on l_orderkey = o_orderkey where l_shipdate > o_orderdate and l_linenumber = 1
+qualify row_number() over (partition by l_orderkey order by l_shipdate, l_quantity) = 1""",
     base=False,
 )
 def counting_process_time(spark, sf_dir):
+    """Rows cover the days from an order to the shipping of its first line."""
     rows = t.table(spark, sf_dir, "lineitem").join(t.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).filter("l_shipdate > o_orderdate and l_linenumber = 1")
-    start, stop = F.datediff("o_orderdate", F.lit("1970-01-01")), F.datediff("l_shipdate", F.lit("1970-01-01"))
-    return rows.select(F.col("l_orderkey").alias("rowId"), F.col("l_linenumber").alias("line"), (stop - start).cast("double").alias("time"))
+    rows = rows.groupBy(F.col("l_orderkey").alias("rowId")).agg(F.min(F.struct("l_shipdate", "l_quantity")).alias("first"), F.first("o_orderdate").alias("o_orderdate"))
+    day = lambda c: F.datediff(c, F.lit("1970-01-01")).cast("double")
+    wide = rows.select("rowId", day("o_orderdate").alias("start"), day("first.l_shipdate").alias("stop"), F.lit(1.0).alias("y"), F.col("first.l_quantity").alias("quantity"))
+    data = from_columns(wide, "y", ["quantity"], time="stop", start="start", model="cox")
+    out = data.outcomes.join(data.covariates, "rowId", "left")
+    return out.select("rowId", "time", rounded(F.coalesce("covariateValue", F.lit(0.0)), 4).alias("quantity"))
 
 
 @query(" select covariateId, count(*) as n, round(sum(covariateValue), 4) + 0.0 as total from covariates c semi join outcomes o on c.rowId = o.rowId group by covariateId")
@@ -137,7 +145,10 @@ def survival_order_all(spark, sf_dir):
     return numbered(rows, [F.col("stratumId"), -F.col("time"), F.col("y"), F.col("rowId")], "place").select("rowId", "place")
 
 
-@query(" select true as by_row, false as by_time from (select 1)")
+@query(
+    """, r as (select rowId, stratumId, time, lag(rowId) over w as r0, lag(stratumId) over w as s0, lag(time) over w as t0 from outcomes window w as (order by rowId))
+select bool_and(r0 is null or rowId >= r0) as by_row, bool_and(s0 is null or stratumId > s0 or (stratumId = s0 and time <= t0)) as by_time from r"""
+)
 def sortedness(spark, sf_dir):
     rows = t.outcomes(spark, sf_dir)
     flags = [is_sorted(rows, ["rowId"], [True], "rowId"), is_sorted(rows, ["stratumId", "time"], [True, False], "rowId")]
@@ -153,11 +164,9 @@ def multitype_covariates(spark, sf_dir):
 
 @query(f" select o.rowId, o.stratumId, o.y, count(c.covariateId) as n, {_sql_r('coalesce(sum(c.covariateValue), 0)', 'total', 4)} from outcomes o left join covariates c on o.rowId = c.rowId group by o.rowId, o.stratumId, o.y")
 def read_text_rows(spark, sf_dir):
-    from .sources.paths import shared_folder
-
     entries = t.covariates(spark, sf_dir).groupBy("rowId").agg(F.array_sort(F.collect_list(F.concat_ws(":", "covariateId", F.col("covariateValue").cast("string")))).alias("entries"))
     lines = t.outcomes(spark, sf_dir).join(entries, "rowId", "left").select(F.concat_ws(" ", "rowId", "stratumId", F.col("y").cast("int"), F.array_join(F.coalesce("entries", F.array().cast("array<string>")), " ")).alias("value"))
-    path = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+    path = new_folder(spark, "text")
     lines.write.text(path)
     data = read_text(spark, path, "clr", row_label=True, stratum_label=True)
     sums = data.covariates.groupBy("rowId").agg(F.count("*").alias("n"), F.sum("covariateValue").alias("total"))
@@ -450,18 +459,19 @@ fd as (select s, time, n, cw, sum(e) over (partition by s order by time desc) +
 _COX = _RISK + """, g as (select s, time, sum(e) as e, sum(y) as n from r group by s, time), d as (select s, time, n, sum(e) over (partition by s order by time desc) as d from g)"""
 _RAW = _RISK + """, d as (select s, time, y as n, sum(e) over (partition by s order by time desc, rowId rows between unbounded preceding and current row) as d from r)"""
 _CLR = """, g as (select stratumId, sum(y) as n, sum(exp(xb0)) as d, sum(y * xb0) as num, sum(time * exp(xb0)) as dt, sum(y * ln(time)) as offs, sum(exp(xb0 + ln(time))) as dp, sum(y * (xb0 + ln(time))) as nump from xbs group by stratumId)"""
+_EVENTS = "(select sum(y * xb) from r)"
 _LEVELS = {
-    "ls": f" select sum(-(y - {_X0}) * (y - {_X0})) as v from xbs",
-    "pr": f" select sum(y * ({_X0} + ln(time)) - exp({_X0} + ln(time))) as v from xbs",
-    "lr": f" select sum(y * {_X0} - ln(1 + exp({_X0}))) as v from xbs",
-    "clr": _CLR + " select sum(num - n * ln(d)) as v from g",
-    "clr_efron": _CLR + " select sum(num - n * ln(d)) as v from g",
-    "cpr": _CLR + " select sum(nump - n * ln(dp)) as v from g",
-    "sccs": _CLR + " select sum(num - n * ln(dt) + offs) as v from g",
-    "cox": _COX + " select (select sum(y * xb) from r) - (select sum(n * ln(d)) from d) as v",
-    "cox_time": _COX + " select (select sum(y * xb) from r) - (select sum(n * ln(d)) from d) as v",
-    "cox_raw": _RAW + " select (select sum(y * xb) from r) - (select sum(n * ln(d)) from d) as v",
-    "fgr": _FG + " select (select sum(case when y = 1 then xb else 0.0 end) from f) - (select sum(n * ln(d)) from fd) as v",
+    "ls": f"{t.SQL} select round(sum(-(y - {_X0}) * (y - {_X0})), 3) + 0.0 as value from xbs",
+    "pr": f"{t.SQL} select round(sum(y * ({_X0} + ln(time)) - exp({_X0} + ln(time))), 3) + 0.0 as value from xbs",
+    "lr": f"{t.SQL} select round(sum(y * {_X0} - ln(1 + exp({_X0}))), 3) + 0.0 as value from xbs",
+    "clr": f"{t.SQL}{_CLR} select round(sum(num - n * ln(d)), 3) + 0.0 as value from g",
+    "clr_efron": f"{t.SQL}{_CLR} select round(sum(num - n * ln(d)), 3) + 0.0 as value from g",
+    "cpr": f"{t.SQL}{_CLR} select round(sum(nump - n * ln(dp)), 3) + 0.0 as value from g",
+    "sccs": f"{t.SQL}{_CLR} select round(sum(num - n * ln(dt) + offs), 3) + 0.0 as value from g",
+    "cox": f"{t.SQL}{_COX} select round({_EVENTS} - (select sum(n * ln(d)) from d), 3) + 0.0 as value",
+    "cox_time": f"{t.SQL}{_COX} select round({_EVENTS} - (select sum(n * ln(d)) from d), 3) + 0.0 as value",
+    "cox_raw": f"{t.SQL}{_RAW} select round({_EVENTS} - (select sum(n * ln(d)) from d), 3) + 0.0 as value",
+    "fgr": f"{t.SQL}{_FG} select round((select sum(case when y = 1 then xb else 0.0 end) from f) - (select sum(n * ln(d)) from fd), 3) + 0.0 as value",
 }
 
 
@@ -473,12 +483,9 @@ def _level(model: str):
     return run
 
 
-for _model, _body in _LEVELS.items():
-    _head, _, _tail = _body.rpartition(" select " if _model not in ("cox", "cox_time", "cox_raw", "fgr") else " select (select sum(")
-    _start = " select " if _model not in ("cox", "cox_time", "cox_raw", "fgr") else " select (select sum("
-    _open = _body.index(_start, 0) if not _body.startswith(",") else len(_body) - len(_body.split(_start, 1)[1]) - len(_start) if _model in ("cox", "cox_time", "cox_raw", "fgr") else _body.rindex(" select sum(")
+for _model, _statement in _LEVELS.items():
     QUERIES[f"log_likelihood_{_model}"] = _level(_model)
-    ORACLE_SQL[f"log_likelihood_{_model}"] = f"{t.SQL}{_body[:_open]} select round(v, 3) + 0.0 as value from ({_body[_open:]})"
+    ORACLE_SQL[f"log_likelihood_{_model}"] = _statement
 
 
 _SLOPES = {
@@ -489,6 +496,9 @@ _SLOPES = {
     "cpr": " select rowId, y - exp(xb0) * time * sum(y) over (partition by stratumId) / sum(exp(xb0) * time) over (partition by stratumId) as a from xbs",
     "sccs": " select rowId, y - exp(xb0) * time * sum(y) over (partition by stratumId) / sum(exp(xb0) * time) over (partition by stratumId) as a from xbs",
     "cox": " select rowId, y - e * h as a from r join (select s, time, sum(n / d) over (partition by s order by time) as h from d) k using (s, time)",
+    "cox_time": " select rowId, y - e * h as a from r join (select s, time, sum(n / d) over (partition by s order by time) as h from d) k using (s, time)",
+    "cox_raw": """ select rowId, y - e * sum(y / d) over (partition by s order by time, rowId desc rows between unbounded preceding and current row) as a from
+ (select rowId, s, time, y, e, sum(e) over (partition by s order by time desc, rowId rows between unbounded preceding and current row) as d from r)""",
     "fgr": """ select rowId, case when y = 1 then 1.0 else 0.0 end - e * (h + case when y = 2 then m / cw else 0.0 end) as a from f join
  (select s, time, sum(n / d) over (partition by s order by time) as h, coalesce(sum(n * cw / d) over (partition by s order by time desc rows between unbounded preceding and 1 preceding), 0.0) as m from fd) k using (s, time)""",
 }
@@ -504,7 +514,7 @@ def _slope(model: str):
 
 for _model, _body in _SLOPES.items():
     QUERIES[f"gradient_{_model}"] = _slope(_model)
-    ORACLE_SQL[f"gradient_{_model}"] = f"{t.SQL}{ {'cox': _COX, 'fgr': _FG}.get(_model, '')}, a as ({_body}) select covariateId, round(sum(a * covariateValue), 3) + 0.0 as value from a join covariates c on a.rowId = c.rowId group by covariateId"
+    ORACLE_SQL[f"gradient_{_model}"] = f"{t.SQL}{ {'cox': _COX, 'cox_time': _COX, 'cox_raw': _RISK, 'fgr': _FG}.get(_model, '')}, a as ({_body}) select covariateId, round(sum(a * covariateValue), 3) + 0.0 as value from a join covariates c on a.rowId = c.rowId group by covariateId"
 
 
 @query(
@@ -530,6 +540,27 @@ def information_clr(spark, sf_dir):
     return got.select("i", "j", rounded(F.col("value"), 3).alias("value"))
 
 
+def _information(model: str, ids: list[int], digits: int = 3):
+    def run(spark, sf_dir):
+        got = likelihood.information(t.data(spark, sf_dir, model, add_intercept=False), _betas(spark), ids)
+        return got.select("i", "j", rounded(F.col("value"), digits).alias("value"))
+
+    return run
+
+
+for _model in ("cpr", "sccs"):
+    QUERIES[f"information_{_model}"] = _information(_model, _IDS)
+    ORACLE_SQL[f"information_{_model}"] = ORACLE_SQL["information_clr"].replace("exp(xb0)", "exp(xb0) * time")
+QUERIES["information_fgr"] = _information("fgr", [101, 500], 2)
+ORACLE_SQL["information_fgr"] = f"""{t.SQL}, f as (select x.rowId, stratumId % 5 as s, time, status as y, 1 - time / 5000 as cw, exp(xb0) as e, coalesce(a.covariateValue, 0.0) as a, coalesce(b.covariateValue, 0.0) as b from xbs x
+ left join (select * from covariates where covariateId = 101) a on x.rowId = a.rowId left join (select * from covariates where covariateId = 500) b on x.rowId = b.rowId),
+g as (select s, time, max(cw) as cw, sum(case when y = 1 then 1.0 else 0.0 end) as n, {", ".join(f"sum(e * {m}) as r{k}, sum(case when y = 2 then e * {m} / cw else 0.0 end) as c{k}" for k, m in enumerate(("1", "a", "b", "a * a", "a * b", "b * b")))} from f group by s, time),
+z as (select n, {", ".join(f"sum(r{k}) over (partition by s order by time desc) + cw * coalesce(sum(c{k}) over (partition by s order by time rows between unbounded preceding and 1 preceding), 0) as s{k}" for k in range(6))} from g)
+select cast(101 as bigint) as i, cast(101 as bigint) as j, round(sum(n * (s3 / s0 - s1 * s1 / s0 / s0)), 2) + 0.0 as value from z union all
+select cast(101 as bigint), cast(500 as bigint), round(sum(n * (s4 / s0 - s1 * s2 / s0 / s0)), 2) + 0.0 from z union all
+select cast(500 as bigint), cast(500 as bigint), round(sum(n * (s5 / s0 - s2 * s2 / s0 / s0)), 2) + 0.0 from z"""
+
+
 @query(
     _COX
     + """, k as (select rowId, covariateId, covariateValue from covariates where covariateId in (101, 500)),
@@ -552,14 +583,51 @@ def predictive_log_likelihood(spark, sf_dir):
     return likelihood.log_likelihood(data, _betas(spark), weights=held, predictive=True).select(rounded(F.col("value"), 3).alias("value"))
 
 
+@query(
+    _RISK
+    + """, h as (select * from r where rowId % 2 = 0), g as (select s, time, sum(e) as e, sum(y) as n from h group by s, time),
+d as (select n, sum(e) over (partition by s order by time desc) as d from g) select round((select sum(y * xb) from h) - (select sum(n * ln(d)) from d), 3) + 0.0 as value"""
+)
+def predictive_log_likelihood_cox(spark, sf_dir):
+    """Held-out rows make risk sets of their own."""
+    data = t.data(spark, sf_dir, "cox")
+    held = data.outcomes.select("rowId", (1 - F.col("rowId") % 2).cast("double").alias("w"))
+    return likelihood.log_likelihood(data, _betas(spark), weights=held, predictive=True).select(rounded(F.col("value"), 3).alias("value"))
+
+
+def _proportionality_sql(g: str) -> str:
+    return (
+        _ONE_X
+        + f""", k as (select time, sum(y) as k, count(*) as n from r group by time), ranks as (select time, sum(k) over (order by time) - k + (k + 1) / 2 as rank from k),
+q as (select s, time, y, x, sum(e) over w as d0, sum(e * x) over w as n1, sum(e * x * x) over w as n2 from r window w as (partition by s order by time desc range between unbounded preceding and current row)),
+v as (select x - n1 / d0 as res, n2 / d0 - (n1 / d0) * (n1 / d0) as var, {g} - avg({g}) over () as c from q join ranks using (time) where y = 1),
+z as (select sum(c * res) as u, sum(var) as h11, sum(c * var) as h12, sum(c * c * var) as h22 from v)
+select round(u * u * h11 / (h11 * h22 - h12 * h12), 5) + 0.0 as chisq, 1 as df from z"""
+    )
+
+
+@query(_proportionality_sql("rank"))
+def proportionality_rank(spark, sf_dir):
+    rows, x = _one_x(spark, sf_dir)
+    return survival.proportionality(rows, x, "rank").select(_r("chisq", 5), "df")
+
+
+@query(_proportionality_sql("sqrt(time)"))
+def proportionality_of_a_function(spark, sf_dir):
+    rows, x = _one_x(spark, sf_dir)
+    return survival.proportionality(rows, x, lambda time: F.sqrt(time)).select(_r("chisq", 5), "df")
+
+
 # --- fits ----------------------------------------------------------------------------------------------------------------
 
 
 def _few(spark, sf_dir, model, ids=(500,)):
     """The data with few covariates, the quantity in hundreds."""
     out, cov = t.outcomes(spark, sf_dir), t.covariates(spark, sf_dir).filter(F.col("covariateId").isin(*ids))
-    if model == "cox":
+    if model in ("cox", "cox_time", "cox_raw", "fgr"):
         out = out.withColumn("stratumId", F.col("stratumId") % 5)
+    if model == "fgr":
+        out = out.withColumns({"y": F.col("status").cast("double"), "censorWeights": 1 - F.col("time") / 5000})
     if model == "pr":
         out = out.withColumn("time", F.lit(1.0))
     cov = cov.withColumn("covariateValue", F.when(F.col("covariateId") == 500, F.col("covariateValue") / 100).otherwise(F.col("covariateValue")))
@@ -615,13 +683,70 @@ def fit_clr(spark, sf_dir):
     return _estimates(spark, fit(_few(spark, sf_dir, "clr")).betas)
 
 
-@query()
-def fit_cox(spark, sf_dir):
-    return _estimates(spark, fit(_few(spark, sf_dir, "cox", (101, 500))).betas)
+def _fit_strata(model: str):
+    return lambda spark, sf_dir: _estimates(spark, fit(_few(spark, sf_dir, model)).betas)
+
+
+for _model in ("cpr", "sccs", "clr_efron"):
+    QUERIES[f"fit_{_model}"] = _fit_strata(_model)
+    ORACLE_SQL[f"fit_{_model}"] = ORACLE_SQL["fit_clr"] if _model == "clr_efron" else ORACLE_SQL["fit_clr"].replace("exp(b * x)", "time * exp(b * x)")
+
+
+def _newton_exact_sql() -> str:
+    """Strata with one or two cases: the sums over subsets are power sums."""
+    out = _FEW.replace("select o.y,", "select o.rowId, o.y,") + """, two as (select stratumId, time, x, case when y = 1 and row_number() over (partition by stratumId, y order by rowId) <= 2 then 1.0 else 0.0 end as y from d), n0 as (select cast(0.0 as double) as b)"""
+    previous = "n0"
+    for i in range(1, 9):
+        out += f""", p{i} as (select stratumId, sum(y) as n, sum(y * x) as yx, sum(exp(b * x)) as p, sum(x * exp(b * x)) as p1, sum(x * x * exp(b * x)) as p2, sum(exp(2 * b * x)) as q, sum(2 * x * exp(2 * b * x)) as q1, sum(4 * x * x * exp(2 * b * x)) as q2 from two, {previous} group by stratumId),
+s{i} as (select yx, case when n = 1 then p1 / p else (2 * p * p1 - q1) / (p * p - q) end as m, case when n = 1 then p2 / p else (2 * p1 * p1 + 2 * p * p2 - q2) / (p * p - q) end as m2 from p{i} where n > 0 and not (n = 2 and p * p - q <= 1e-12)),
+n{i} as (select b + (select sum(yx - m) / sum(m2 - m * m) from s{i}) as b from {previous})"""
+        previous = f"n{i}"
+    return out + f" select cast(500 as bigint) as covariateId, round(b, 5) + 0.0 as estimate from {previous}"
+
+
+@query(_newton_exact_sql())
+def fit_clr_exact(spark, sf_dir):
+    """At most two cases in each stratum, its first ones."""
+    data = _few(spark, sf_dir, "clr_exact")
+    first = data.outcomes.filter("y = 1").groupBy("stratumId").agg(F.slice(F.sort_array(F.collect_list("rowId")), 1, 2).alias("first"))  # a customer's orders
+    outcomes = data.outcomes.join(first, "stratumId", "left").withColumn("y", F.coalesce(F.array_contains("first", F.col("rowId")), F.lit(False)).cast("double")).drop("first")
+    return _estimates(spark, fit(replace(data, outcomes=outcomes)).betas)
+
+
+_TWO = """, f as (select o.rowId, o.stratumId % 5 as s, o.time, {y} as y, o.status, {cw} as cw, coalesce(a.covariateValue, 0.0) as a, coalesce(b.covariateValue, 0.0) / 100 as b from outcomes o
+ left join (select * from covariates where covariateId = 101) a on o.rowId = a.rowId left join (select * from covariates where covariateId = 500) b on o.rowId = b.rowId)"""
+_MOMENTS = ("1", "a", "b", "a * a", "a * b", "b * b")
+
+
+def _newton_cox_sql(model: str, steps: int = 7) -> str:
+    """Newton steps for the coefficients u of 101 and v of 500."""
+    fine_gray, raw = model == "fgr", model == "cox_raw"
+    out = _TWO.format(y="cast(case when o.status = 1 then 1 else 0 end as double)" if fine_gray else "o.y", cw="1 - o.time / 5000") + ", n0 as (select cast(0.0 as double) as u, cast(0.0 as double) as v)"
+    keys, order, rising = ("s, time, rowId", "time desc, rowId", "time, rowId desc") if raw else ("s, time", "time desc", "time")
+    for i in range(1, steps + 1):
+        sums = ", ".join(f"sum(exp(u * a + v * b) * {m}) as r{k}" + (f", sum(case when status = 2 then exp(u * a + v * b) * {m} / cw else 0.0 end) as c{k}" if fine_gray else "") for k, m in enumerate(_MOMENTS))
+        total = lambda k: f"sum(r{k}) over (partition by s order by {order} rows between unbounded preceding and current row)" + (f" + cw * coalesce(sum(c{k}) over (partition by s order by {rising} rows between unbounded preceding and 1 preceding), 0)" if fine_gray else "")
+        out += f""", g{i} as (select {keys}, max(cw) as cw, sum(y) as n, sum(y * a) as ya, sum(y * b) as yb, {sums} from f, n{i - 1} group by {keys}),
+z{i} as (select n, ya, yb, {", ".join(f"{total(k)} as s{k}" for k in range(6))} from g{i}),
+h{i} as (select sum(ya - n * s1 / s0) as ga, sum(yb - n * s2 / s0) as gb, sum(n * (s3 / s0 - s1 * s1 / s0 / s0)) as haa, sum(n * (s4 / s0 - s1 * s2 / s0 / s0)) as hab, sum(n * (s5 / s0 - s2 * s2 / s0 / s0)) as hbb from z{i}),
+n{i} as (select u + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) as u, v + (haa * gb - hab * ga) / (haa * hbb - hab * hab) as v from n{i - 1}, h{i})"""
+    return out + f" select cast(101 as bigint) as covariateId, round(u, 5) + 0.0 as estimate from n{steps} union all select cast(500 as bigint), round(v, 5) + 0.0 from n{steps}"
+
+
+def _fit_times(model: str):
+    def run(spark, sf_dir):
+        return _estimates(spark, fit(_few(spark, sf_dir, model, (101, 500))).betas)
+
+    return run
+
+
+for _model in ("cox", "cox_time", "cox_raw", "fgr"):
+    QUERIES[f"fit_{_model}"] = _fit_times(_model)
+    ORACLE_SQL[f"fit_{_model}"] = t.SQL + _newton_cox_sql(_model)
 
 
 @query()
-def fit_lr_laplace(spark, sf_dir):
+def fit_lr_laplace_all(spark, sf_dir):
     return _estimates(spark, fit(t.data(spark, sf_dir, "lr", normalize="stdev"), make_prior("laplace", 0.01)).betas)
 
 
@@ -630,6 +755,76 @@ def fit_lr_active_set(spark, sf_dir):
     return _estimates(spark, fit(t.data(spark, sf_dir, "lr", normalize="stdev"), make_prior("laplace", 0.01), Control(active_set=True)).betas)
 
 
+def _penalised_sql(slope: str, curve: str) -> str:
+    """Newton steps of a logistic model with an intercept, as in _newton_sql, with the prior's slope and curvature at b."""
+    out, previous = _FEW + f", free as ({_newton_sql(_P, f'({_P}) * (1 - {_P})').split(' select cast(0 as bigint)')[0].split(', n0 as ')[1].join(['with n0 as ', ''])} select a, b from n8), n0 as (select a, b from free)", "n0"
+    for i in range(1, 13):
+        s = f"select sum(y - {_P}) as g0, sum((y - {_P}) * x) + any_value({slope}) as g1, sum(({_P}) * (1 - {_P})) as h00, sum(({_P}) * (1 - {_P}) * x) as h01, sum(({_P}) * (1 - {_P}) * x * x) + any_value({curve}) as h11 from d, {previous}"
+        out += f", s{i} as ({s}), n{i} as (select a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) as a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) as b from {previous}, s{i})"
+        previous = f"n{i}"
+    return out + f" select cast(0 as bigint) as covariateId, round(a, 4) + 0.0 as estimate from {previous} union all select cast(500 as bigint), round(b, 4) + 0.0 from {previous}"
+
+
+def _with_prior(prior):
+    def run(spark, sf_dir):
+        betas = fit(_few(spark, sf_dir, "lr"), prior, Control(tolerance=1e-12)).betas
+        return spark.createDataFrame([(int(c), float(b)) for c, b in betas.items()], "covariateId long, estimate double").select("covariateId", _r("estimate", 4))
+
+    return run
+
+
+#: Slope and curvature of minus the logarithm of the prior, at b; those of laplace with the sign of the free estimate.
+for _name, _prior, _g, _h in (
+    ("normal", make_prior("normal", 0.01), "-b / 0.01", "1 / 0.01"),
+    ("laplace", make_prior("laplace", 0.5), "-sqrt(2 / 0.5) * sign(b)", "0.0"),
+    ("parameterized", parameterized(lambda theta: {500: (theta[0], theta[1])}, (0.5, 0.02), "normal"), "-(b - 0.5) / 0.02", "1 / 0.02"),
+):
+    QUERIES[f"fit_lr_{_name}"] = _with_prior(_prior)
+    ORACLE_SQL[f"fit_lr_{_name}"] = t.SQL + _penalised_sql(_g, _h)
+
+
+@query(
+    """, x as (select o.y, case when c.rowId is null then 0 else 1 end as x from outcomes o left join (select rowId from covariates where covariateId = 103) c on o.rowId = c.rowId),
+m as (select cast(sum(x) as double) as n1, cast(sum(1 - x) as double) as n0, sum(y * x) as s1, sum(y * (1 - x)) as s0 from x),
+p as (select (s1 + 0.5) / (n1 + 1) as p1, (s0 + s1 - n1 * (s1 + 0.5) / (n1 + 1)) / n0 as p0 from m)
+select cast(0 as bigint) as covariateId, round(ln(p0 / (1 - p0)), 4) + 0.0 as estimate from p union all select cast(103 as bigint), round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 4) + 0.0 from p"""
+)
+def fit_lr_jeffreys(spark, sf_dir):
+    betas = fit(_few(spark, sf_dir, "lr", (103,)), "jeffreys", Control(tolerance=1e-13)).betas
+    return spark.createDataFrame([(int(c), float(b)) for c, b in betas.items()], "covariateId long, estimate double").select("covariateId", _r("estimate", 4))
+
+
+#: Least squares with two covariates and no intercept: p = x102, q = x500 / 100.
+_PAIR = """, x as (select o.y, coalesce(a.covariateValue, 0.0) as p, coalesce(b.covariateValue, 0.0) / 100 as q from outcomes o left join (select * from covariates where covariateId = 102) a on o.rowId = a.rowId
+ left join (select * from covariates where covariateId = 500) b on o.rowId = b.rowId), m as (select 2 * sum(p * p) as pp, 2 * sum(p * q) as pq, 2 * sum(q * q) as qq, 2 * sum(p * y) as py, 2 * sum(q * y) as qy from x)"""
+
+
+def _solved(pp: str, pq: str, qq: str, py: str, qy: str) -> str:
+    det = f"(({pp}) * ({qq}) - ({pq}) * ({pq}))"
+    return f", b as (select (({qq}) * ({py}) - ({pq}) * ({qy})) / {det} as b1, (({pp}) * ({qy}) - ({pq}) * ({py})) / {det} as b2 from m) select cast(102 as bigint) as covariateId, round(b1, 5) + 0.0 as estimate from b union all select cast(500 as bigint), round(b2, 5) + 0.0 from b"
+
+
+def _fit_pair(spark, sf_dir, prior):
+    data = _few(spark, sf_dir, "ls", (102, 500))
+    return _estimates(spark, fit(replace(data, has_intercept=False), prior, Control(tolerance=1e-13)).betas)
+
+
+@query(_PAIR + _solved("pp + 1 / 0.001 - (1 / 0.001) * (1 / 0.001) / (2 / 0.001 + 1 / 0.002)", "pq - (1 / 0.001) * (1 / 0.001) / (2 / 0.001 + 1 / 0.002)", "qq + 1 / 0.001 - (1 / 0.001) * (1 / 0.001) / (2 / 0.001 + 1 / 0.002)", "py", "qy"))
+def fit_ls_hierarchical(spark, sf_dir):
+    return _fit_pair(spark, sf_dir, make_prior("normal", [0.001, 0.002], parents={102: 1, 500: 1}))
+
+
+@query(_PAIR + ", free as (select (qq * py - pq * qy) / (pp * qq - pq * pq) as f1, (pp * qy - pq * py) / (pp * qq - pq * pq) as f2 from m), m1 as (select m.*, sign(f1) as s1, sign(f2) as s2, sign(f1 - f2) as s12 from m, free)" + _solved("pp", "pq", "qq", "py - sqrt(2 / 0.1) * s1 - sqrt(2 / 0.2) * s12", "qy - sqrt(2 / 0.1) * s2 + sqrt(2 / 0.2) * s12").replace("from m) select", "from m1) select"))
+def fit_ls_fused(spark, sf_dir):
+    return _fit_pair(spark, sf_dir, make_prior("laplace", [0.1, 0.2], neighbours={102: [500], 500: [102]}))
+
+
+@query(_PAIR + ", free as (select (qq * py - pq * qy) / (pp * qq - pq * pq) as f1, (pp * qy - pq * py) / (pp * qq - pq * pq) as f2 from m)" + "".join(f", r{i} as (select (qq * (py - 0.01 / f1) - pq * (qy - 0.01 / f2)) / (pp * qq - pq * pq) as f1, (pp * (qy - 0.01 / f2) - pq * (py - 0.01 / f1)) / (pp * qq - pq * pq) as f2 from m, {'free' if i == 1 else f'r{i - 1}'})" for i in range(1, 25)) + " select cast(102 as bigint) as covariateId, round(f1, 5) + 0.0 as estimate from r24 union all select cast(500 as bigint), round(f2, 5) + 0.0 from r24")
+def fit_ls_barupdate(spark, sf_dir):
+    """The fixed point at which each coefficient's gradient is the inverse of its variance times itself."""
+    return _fit_pair(spark, sf_dir, make_prior("barupdate", 100.0))
+
+
 @query(_FEW + ", m as (select count(*) as n, sum(x) as s, sum(x * x) as q from d), v as (select q / (n * q - s * s) / 2 as a, n / (n * q - s * s) / 2 as b from m) select cast(0 as bigint) as covariateId, round(sqrt(a), 6) + 0.0 as se from v union all select cast(500 as bigint), round(sqrt(b), 6) + 0.0 from v")
 def standard_errors_ls(spark, sf_dir):
     got = standard_errors(fit(_few(spark, sf_dir, "ls")))
@@ -644,12 +839,51 @@ def confidence_intervals(spark, sf_dir):
     return spark.createDataFrame(rows, "kind string, covariateId long, lower double, upper double").select("kind", "covariateId", _r("lower", 2), _r("upper", 2))
 
 
-@query()
+@query(
+    _newton_sql(_P, f"({_P}) * (1 - {_P})").replace(" select cast(0 as bigint) as covariateId, round(a, 5)", f""", h as (select sum(({_P}) * (1 - {_P})) as h00, sum(({_P}) * (1 - {_P}) * x) as h01, sum(({_P}) * (1 - {_P}) * x * x) as h11 from d, n8),
+w as (select cast(0 as bigint) as covariateId, a as beta, sqrt(h11 / (h00 * h11 - h01 * h01)) as se from n8, h union all select cast(500 as bigint), b, sqrt(h00 / (h00 * h11 - h01 * h01)) from n8, h)
+select covariateId, round(beta - 1.959963984540054 * se, 4) + 0.0 as lower, round(beta + 1.959963984540054 * se, 4) + 0.0 as upper from w -- """)
+)
+def wald_intervals_lr(spark, sf_dir):
+    got = wald_intervals(fit(_few(spark, sf_dir, "lr")))
+    return spark.createDataFrame([(int(c), *v) for c, v in got.items()], "covariateId long, lower double, upper double").select("covariateId", _r("lower", 4), _r("upper", 4))
+
+
+_COX_ONE = """, f as (select o.rowId, o.stratumId % 5 as s, o.time, o.y, coalesce(c.covariateValue, 0.0) / 100 as x from outcomes o left join (select * from covariates where covariateId = 500) c on o.rowId = c.rowId)"""
+
+
+def _cox_level_sql(points: str, number: int | str) -> str:
+    """g, z and v: (point, level, slope) of the log-likelihood at points (point)."""
+    return f""", g{number} as (select point, s, time, sum(exp(point * x)) as e, sum(x * exp(point * x)) as ex, sum(y) as n, sum(y * x) as yx from f, {points} group by point, s, time),
+z{number} as (select point, n, yx, sum(e) over (partition by point, s order by time desc) as d, sum(ex) over (partition by point, s order by time desc) as n1 from g{number}),
+v{number} as (select point, sum(yx) * point - sum(n * ln(d)) as level, sum(yx - n * n1 / d) as slope from z{number} group by point)"""
+
+
+@query(_COX_ONE + ", points as (select unnest([-0.2, -0.1, 0.0, 0.1, 0.2]) as point)" + _cox_level_sql("points", 0) + " select cast(point as double) as point, round(level, 3) + 0.0 as value from v0")
 def profile_points(spark, sf_dir):
     fitted = fit(_few(spark, sf_dir, "cox"))
     return profile_likelihood(fitted, 500, [-0.2, -0.1, 0.0, 0.1, 0.2]).select("point", _r("value", 3))
 
 
+def _profile_interval_sql() -> str:
+    """The mode by Newton steps on the slope by differences of nearby points, then both ends by Newton steps on the level."""
+    out, last = _COX_ONE + ", b0 as (select cast(0.0 as double) as point)", "b0"
+    for i in range(1, 7):
+        out += f", e{i} as (select point - 1e-4 as point from {last} union all select point + 1e-4 from {last})" + _cox_level_sql(f"e{i}", f"m{i}")
+        out += f", b{i} as (select point - (select avg(slope) from vm{i}) * 2e-4 / (select max_by(slope, point) - min_by(slope, point) from vm{i}) as point from {last})"
+        last = f"b{i}"
+    out += _cox_level_sql(last, "top") + f", c0 as (select side, (select point from {last}) + side * 1.96 / sqrt(-(select (max_by(slope, point) - min_by(slope, point)) / 2e-4 from vm6)) as point from (select unnest([-1, 1]) as side))"
+    for i in range(1, 5):
+        out += _cox_level_sql(f"c{i - 1}", f"c{i}") + f", c{i} as (select side, c.point - (v.level - (select level from vtop) + 1.9207294103470618) / v.slope as point from c{i - 1} c join vc{i} v on c.point = v.point)"
+    return out + " select cast(500 as bigint) as covariateId, round(max(case when side < 0 then point end), 2) + 0.0 as lower, round(max(case when side > 0 then point end), 2) + 0.0 as upper from c4"
+
+
+@query(_profile_interval_sql())
+def profile_interval_cox(spark, sf_dir):
+    got = profile_intervals(fit(_few(spark, sf_dir, "cox")), [500], tolerance=1e-4)
+    return spark.createDataFrame([(int(c), *v) for c, v in got.items()], "covariateId long, lower double, upper double").select("covariateId", _r("lower", 2), _r("upper", 2))
+
+
 @query()
 def cox_diagnostics(spark, sf_dir):
     fitted = fit(_few(spark, sf_dir, "cox"))
@@ -676,6 +910,27 @@ def cross_validation(spark, sf_dir):
     return spark.createDataFrame([(float(v), float(s)) for v, s in got.cross_validation["points"].items()], "variance double, value double").select(_r("variance"), _r("value", 3))
 
 
+def _cross_validation_sql() -> str:
+    """Newton steps of a logistic model with a normal prior for each variance and fold, on weighted rows; then the rows left out."""
+    out = _FEW.replace("select o.y,", "select o.rowId % 5 as fold, cast(1 + o.rowId % 3 as double) as w, o.y,")
+    out += ", tasks as (select k, v from (select unnest([0, 1, 2, 3, 4]) as k), (select cast(unnest([0.01, 0.1, 1.0]) as double) as v)), n0 as (select k, v, cast(ln((select avg(y) from d) / (1 - (select avg(y) from d))) as double) as a, cast(0.0 as double) as b from tasks)"
+    for i in range(1, 10):
+        out += f""", s{i} as (select k, v, any_value(a) as a, any_value(b) as b, sum(w * (y - {_P})) as g0, sum(w * (y - {_P}) * x) - any_value(b / v) as g1, sum(w * {_P} * (1 - {_P})) as h00, sum(w * {_P} * (1 - {_P}) * x) as h01, sum(w * {_P} * (1 - {_P}) * x * x) + any_value(1 / v) as h11
+ from d, n{i - 1} where fold <> k group by k, v), n{i} as (select k, v, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) as a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) as b from s{i})"""
+    out += ", held as (select k, v, sum(w * (y * (a + b * x) - ln(1 + exp(a + b * x)))) as value from d, n9 where fold = k group by k, v)"
+    return out + " select round(v, 6) + 0.0 as variance, round(avg(value), 3) + 0.0 as value from held group by v"
+
+
+@query(_cross_validation_sql())
+def cross_validation_weighted(spark, sf_dir):
+    """With the users' weights in and out of the folds."""
+    data = _few(spark, sf_dir, "lr")
+    data = replace(data, outcomes=data.outcomes.withColumn("weights", (1 + F.col("rowId") % 3).cast("double")))
+    search = Search(kind="grid", fold=5, lower=0.01, upper=1.0, grid_steps=3, deterministic=True)
+    got = cross_validated(data, make_prior("normal"), search, Control(tolerance=1e-12))
+    return spark.createDataFrame([(float(v), float(s)) for v, s in got.cross_validation["points"].items()], "variance double, value double").select(_r("variance"), _r("value", 3))
+
+
 @query()
 def bootstrap_summary(spark, sf_dir):
     got, _ = bootstrap(fit(_few(spark, sf_dir, "lr")), 20, seed=5)
@@ -688,10 +943,14 @@ def simulated_survival(spark, sf_dir):
     return sim.outcomes.select("rowId", "stratumId", "y", "time")
 
 
-@query(" select round(avg(pow(s / 10 - 1, 2)), 6) + 0.0 as value, round(avg(case when s > 5 and s < 15 then 1.0 else 0.0 end), 6) + 0.0 as covered from (select covariateId, avg(covariateValue) as s from covariates where covariateId >= 100 group by covariateId)")
+_MEANS = "select covariateId, avg(covariateValue) as m, 1.96 * stddev_samp(covariateValue) / sqrt(count(*)) as half, quantile_cont(covariateValue, 0.5) as truth from covariates where covariateId >= 500 group by covariateId"
+
+
+@query(f" select round(avg(pow(m - truth, 2)), 6) + 0.0 as value, round(avg(case when truth between m - half and m + half then 1.0 else 0.0 end), 6) + 0.0 as covered from ({_MEANS})")
 def simulation_metrics(spark, sf_dir):
-    means = t.covariates(spark, sf_dir).groupBy("covariateId").agg(F.avg("covariateValue").alias("s"))
-    truth = means.select("covariateId", F.lit(1.0).alias("logRr"))
-    a = mse(means.select("covariateId", (F.col("s") / 10).alias("estimate")), truth)
-    b = coverage(means.select("covariateId", (2 - F.lit(1.5) * 0 - F.col("s") / 10 * 0 + (F.col("s") / 10 - 1) - 1 - 0.5).alias("lower"), ((F.col("s") / 10 - 1) + 1 + 0.5).alias("upper")), truth)
-    return a.select(_r("value")).join(b.select(rounded(F.col("value")).alias("covered")), F.lit(True))
+    """Means as estimates of medians, with their intervals."""
+    rows = t.covariates(spark, sf_dir).filter("covariateId >= 500").groupBy("covariateId")
+    value = F.col("covariateValue")
+    rows = rows.agg(F.avg(value).alias("estimate"), (1.96 * F.stddev_samp(value) / F.sqrt(F.count("*"))).alias("half"), F.percentile(value, F.lit(0.5)).alias("logRr"))
+    truth, intervals = rows.select("covariateId", "logRr"), rows.select("covariateId", (F.col("estimate") - F.col("half")).alias("lower"), (F.col("estimate") + F.col("half")).alias("upper"))
+    return mse(rows.select("covariateId", "estimate"), truth).select(_r("value")).join(coverage(intervals, truth).select(rounded(F.col("value")).alias("covered")), F.lit(True))  # one row each

@@ -2,23 +2,54 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where the session has none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only sessions on one machine may be without: they get a
+    temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+#: Folders written by this process, deleted when their tables aren't needed any more or at its end.
+written: dict[str, SparkSession] = {}
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of our own in the shared folder."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    written[path] = spark
+    return path
+
+
+def delete(path: str) -> None:
+    """Delete a folder that ``new_folder`` has given."""
+    if spark := written.pop(path, None):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    if SparkContext._active_spark_context is not None:
+        for path in list(written):
+            delete(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Gives this package to Python workers that couldn't import it: those of sessions started elsewhere than in its folder and
     without it in PYTHONPATH. Once for each context."""
