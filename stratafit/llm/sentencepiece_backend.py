@@ -9,25 +9,24 @@ sentencepiece library when it is first seen.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, struct_type
+from .common import Known, bounded_batches, free, parts, text_udf
 
 MARK = "▁"
 #: Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_CACHE_LIMIT = 150_000
-_DIGEST = "n_tokens long, ids_crc32 long, parity boolean, round_trip boolean"
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -89,8 +88,8 @@ class Model:
             found += [(-self.pieces[i][1], i, ids[p[:k]], ids[p[k:]]) for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
         return [(self.pieces[a][0], self.pieces[b][0]) for _, _, a, b in sorted(found)]
 
-    def tokenizer(self, prefix: bool = True):
-        """A tokenizers pipeline for whole texts; with prefix False for texts that continue others."""
+    def tokenizer(self, first: bool = True):
+        """A tokenizers pipeline for whole texts; with first False for chunks that have their first mark or continue others."""
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
         vocab = {p: i for i, (p, _, _) in enumerate(self.pieces)}
@@ -106,24 +105,26 @@ class Model:
         if self.trim:
             steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
         steps += [normalizers.Replace(" ", MARK)]
-        if self.dummy_prefix and prefix:
+        if self.dummy_prefix and first:
             steps += [normalizers.Prepend(MARK)]
         out.normalizer = normalizers.Sequence(steps)
-        end = [decoders.Strip(" ", 1, 0)] if self.dummy_prefix else []
+        end = [decoders.Strip(" ", 1, 0)] if self.dummy_prefix and first else []
         out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *end])
         return out
 
     @property
     def separable(self) -> bool:
         """Whether texts can be encoded in parts, cut before the spaces: no piece goes on past a later mark."""
-        return self.kind == BPE and not self.trim and not self.charsmap and not any(MARK in p.lstrip(MARK) for p, _, kind in self.pieces if kind == NORMAL)
+        return self.kind == BPE and not self.trim and not self.charsmap and not any(MARK in p.lstrip(MARK) for p, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED, UNUSED))
 
 
-_CUT = re.compile(f"(?<=[^ {MARK}])(?=[ {MARK}])")
+#: Where a text may be cut: before the first of a run of spaces or marks.
+_CUT = f"([^ {MARK}])([ {MARK}])"
+_CODED = pa.struct([("ids", pa.list_(pa.uint32())), ("parity", pa.bool_()), ("round_trip", pa.bool_())])
 
 
 class Codec:
-    """Encodes and decodes batches; ids as packed unsigned 32-bit integers."""
+    """Encodes batches of texts and decodes batches of ids."""
 
     _by_path: dict[str, Codec] = {}
 
@@ -133,9 +134,9 @@ class Codec:
         with open(path, "rb") as f:
             data = f.read()
         self.model = Model.parse(data)
-        self.whole, self.part = self.model.tokenizer(), self.model.tokenizer(prefix=False)
+        self.whole, self.part = self.model.tokenizer(), self.model.tokenizer(first=False)
         self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.cache: dict[str, tuple[bytes, bool]] = {}
+        self.forget()
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -144,79 +145,110 @@ class Codec:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    @staticmethod
-    def _packed(ids: list[list[int]]) -> list[bytes]:
-        ends = np.cumsum([0, *map(len, ids)]) * 4
-        flat = np.fromiter((i for x in ids for i in x), "<u4", int(ends[-1]) // 4).tobytes()
-        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """For each text its ids, and whether the sentencepiece library gives the same."""
+    def forget(self) -> None:
+        self.chunks = Known(self._chunks)
+
+    def _coded(self, ids: list[list[int]], parity: list[bool], round_trip: list[bool]) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(ids, _CODED.field(0).type), pa.array(parity, pa.bool_()), pa.array(round_trip, pa.bool_())], fields=list(_CODED))
+
+    def _chunks(self, chunks: pa.Array) -> pa.Array:
+        """Distinct chunks: ids, whether the sentencepiece library gives the same, and whether they decode to the chunk."""
+        texts, led = chunks.to_pylist(), self.model.dummy_prefix
+        ids = [x.ids for x in self.part.encode_batch_fast(texts)]
+        # The library puts the first mark before a text itself. A mark alone is nothing to it: that goes behind a letter.
+        own = self.own.encode([x[1:] if led else x for x in texts])
+        for i in [i for i, x in enumerate(texts) if led and len(x) == 1]:
+            before = self.own.encode("a")
+            behind = self.own.encode("a" + texts[i])
+            own[i] = behind[len(before) :] if behind[: len(before)] == before else None
+        back = self.part.decode_batch(ids, skip_special_tokens=False)
+        return self._coded(ids, [a == b for a, b in zip(ids, own, strict=True)], [a == x.replace(MARK, " ") for a, x in zip(back, texts, strict=True)])
+
+    def _whole(self, texts: list[str]) -> pa.Array:
+        ids = [x.ids for x in self.whole.encode_batch_fast(texts)]
+        back = self.decode(ids)
+        return self._coded(ids, [a == b for a, b in zip(ids, self.own.encode(texts), strict=True)], [a == x.replace(MARK, " ") for a, x in zip(back, texts, strict=True)])
+
+    def encode(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """For each text its ids, whether the sentencepiece library gives the same, and whether they decode to the text
+        again; a null is an empty text.
+
+        Texts of separable models are coded by chunks: no piece can cross a cut, and a chunk begins with a piece that begins
+        with a mark, so neither ids nor decoded bytes depend on what stands before.
+        """
+        texts = texts.fill_null("")
         if not self.model.separable:
-            ids = [x.ids for x in self.whole.encode_batch_fast(texts)]
-            return [(p, a == b) for p, a, b in zip(self._packed(ids), ids, self.own.encode(texts), strict=True)]
-        if len(self.cache) > _CACHE_LIMIT:
-            self.cache.clear()
-        start = " " if self.model.dummy_prefix else ""
-        chunks = [_CUT.split(start + x) if x else [] for x in texts]
-        new = list({x for c in chunks for x in c if x not in self.cache})
-        if new:
-            ids = [x.ids for x in self.part.encode_batch_fast(new)]
-            # The library puts the first mark before a text itself; only a text's first part can be without one.
-            led = [x[0] in (" ", MARK) for x in new] if start else [True] * len(new)
-            own = self.own.encode([x[1:] if start and a else x for x, a in zip(new, led, strict=True)])
-            same = [a == b if ok and (len(x) > 1 or not start) else True for x, ok, a, b in zip(new, led, ids, own, strict=True)]
-            self.cache.update(zip(new, zip(self._packed(ids), same, strict=True), strict=True))
-        out = []
-        for c in chunks:
-            parts = [self.cache[x] for x in c]
-            out.append((b"".join([p for p, _ in parts]), all([s for _, s in parts])))
-        return out
-
-    def decode(self, ids: list[bytes]) -> list[str]:
-        return self.whole.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
+            whole = np.ones(len(texts), bool)
+        else:
+            whole = pc.match_substring_regex(texts, r"\x00|\A\z").to_numpy(zero_copy_only=False)
+        rest = texts.filter(pa.array(~whole))
+        if self.model.dummy_prefix:
+            rest = pc.binary_join_element_wise(pa.scalar(" "), rest, pa.scalar(""))
+        single = pc.invert(pc.match_substring_regex(rest, f"  |{MARK}"))  # a plain replacement is faster
+        cut = pc.replace_with_mask(pc.replace_substring(rest, " ", "\0 "), pc.invert(single), pc.replace_substring_regex(rest.filter(pc.invert(single)), _CUT, r"\1" + "\0" + r"\2"))
+        if self.model.dummy_prefix:  # the first space begins a text
+            cut = pc.if_else(single, pc.replace_substring(cut, "\0", "", max_replacements=1), cut)
+        chunks, at, ends = parts(cut)
+        known = self.chunks.of(chunks)
+        taken = known.take(pa.array(at))
+        ids, parity, back = (taken.field(i) for i in range(3))
+        sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[ends]
+        by_chunks = iter(np.split(ids.flatten().to_numpy(zero_copy_only=False), bounds[:-1])) if len(rest) else iter(())
+        wrong = lambda x: np.diff(np.concatenate([[0], np.cumsum(~x.to_numpy(zero_copy_only=False))])[np.concatenate([[0], ends])]) > 0
+        at_once = self._whole(texts.filter(pa.array(whole)).to_pylist())
+        plain = iter(np.array(x, np.uint32) for x in at_once.field(0).to_pylist())
+        same, again = np.zeros(len(texts), bool), np.zeros(len(texts), bool)
+        for out, part, name in ((same, parity, 1), (again, back, 2)):
+            out[whole] = at_once.field(name).to_numpy(zero_copy_only=False)
+            out[~whole] = ~wrong(part)
+        return [next(plain) if w else next(by_chunks) for w in whole], same, again
+
+    def decode(self, ids: list) -> list[str]:
+        return self.whole.decode_batch([list(map(int, x)) for x in ids], skip_special_tokens=False)
+
+
+def _packed(ids: np.ndarray) -> bytes:
+    return ids.astype("<u4").tobytes()
 
 
 def encoded(docs: DataFrame, model_path: str, text_col: str = "text", mark: str = "__pieces") -> DataFrame:
-    """docs, all rows and columns, with a struct ``mark``: ids (packed little-endian unsigned 32-bit integers) and parity.
+    """docs, all rows and columns, with a struct ``mark``: ids (packed little-endian unsigned 32-bit integers), parity and
+    round_trip.
 
-    A null text is an empty one, which has no ids. The model file must stand at that path on every executor.
+    A null text is an empty one, which has no ids. Repeated rows are coded alike; an empty table gives an empty result. A
+    column of docs named like the mark raises an error. The model file must stand at that path on every executor.
     """
+    return docs.withColumn(free(docs, mark), _coding(model_path, lambda ids: {"ids": pa.array(map(_packed, ids), pa.binary())}, "ids binary")(F.col(text_col)))
 
-    @F.arrow_udf("ids binary, parity boolean")
-    def encode(text: pa.Array) -> pa.Array:
-        out = Codec.of(model_path).encode([x or "" for x in text.to_pylist()])
-        return pa.StructArray.from_arrays([pa.array([i for i, _ in out], pa.binary()), pa.array([p for _, p in out], pa.bool_())], ["ids", "parity"])
 
-    return docs.withColumn(mark, encode(F.col(text_col)))
+def _coding(model_path: str, made: Callable[[list[np.ndarray]], dict[str, pa.Array]], ddl: str) -> Callable[..., Column]:
+    def work(texts: pa.Array) -> pa.Array:
+        ids, parity, round_trip = Codec.of(model_path).encode(texts)
+        columns = made(ids) | {"parity": pa.array(parity), "round_trip": pa.array(round_trip)}
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+    return text_udf(f"{ddl}, parity boolean, round_trip boolean", work, lambda: Codec.of(model_path).forget())
 
 
 def decoded(rows: DataFrame, model_path: str, ids_col: str, mark: str = "__decoded") -> DataFrame:
-    """rows, all columns, with a string ``mark``: the text of the packed ids; null for null."""
+    """rows, all columns, with a string ``mark``: the text of the packed ids; null for null. A column of rows named like the
+    mark raises an error."""
 
-    @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         values = ids.to_pylist()
-        out = Codec.of(model_path).decode([x or b"" for x in values])
+        out = Codec.of(model_path).decode([np.frombuffer(x or b"", "<u4") for x in values])
         return pa.array([None if v is None else x for v, x in zip(values, out, strict=True)], pa.string())
 
-    return rows.withColumn(mark, decode(F.col(ids_col)))
+    return rows.withColumn(free(rows, mark), text_udf(T.StringType(), decode)(F.col(ids_col)))
 
 
 def through_codec(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, ids_crc32, parity, round_trip), a row for each row of docs.
+    """(id_col, n_tokens, ids_crc32, parity, round_trip), a row for each row of docs, repeated ones and null ids too.
 
-    round_trip: the decoded ids are the text again (marks count as the spaces that they stand for; a null text is empty).
+    round_trip: the decoded ids are the text again (marks count as the spaces that they stand for; a null text is empty). An
+    empty table gives an empty result; other columns aren't read.
     """
     bounded_batches(docs.sparkSession)
-
-    @F.arrow_udf(struct_type(_DIGEST))
-    def both_ways(text: pa.Array) -> pa.Array:  # in one function: a second one would need a Python worker of its own
-        texts, codec = [x or "" for x in text.to_pylist()], Codec.of(model_path)
-        out = codec.encode(texts)
-        back = codec.decode([i for i, _ in out])
-        columns = [pa.array([len(i) // 4 for i, _ in out], pa.int64()), pa.array([zlib.crc32(i) for i, _ in out], pa.int64()), pa.array([p for _, p in out], pa.bool_())]
-        same = pa.array([a == b.replace(MARK, " ") for a, b in zip(back, texts, strict=True)], pa.bool_())
-        return pa.StructArray.from_arrays([*columns, same], [x.split()[0] for x in _DIGEST.split(", ")])
-
-    return docs.select(F.col(id_col), both_ways(F.col(text_col)).alias("__digest")).select(id_col, "__digest.*")
+    digest = _coding(model_path, lambda ids: {"n_tokens": pa.array(map(len, ids), pa.int64()), "ids_crc32": pa.array([zlib.crc32(_packed(x)) for x in ids], pa.int64())}, "n_tokens long, ids_crc32 long")
+    return docs.select(F.col(id_col), digest(F.col(text_col)).alias("__digest")).select(id_col, "__digest.*")
