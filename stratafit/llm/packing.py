@@ -2,41 +2,43 @@
 
 Each document is tokenised once. It is cut into full sequences and a remainder; a remainder of half a sequence or more is
 cut once more at the half, as small pieces leave less padding. Full pieces are sequences of their own. The others are
-dealt to groups by a hash of what they are, so that any group is a random draw from the corpus; in each group the pieces,
+dealt to groups by a hash of their document's place, so that any group is a random draw of documents; in each group the pieces,
 longest first, go to the first sequence with room, which a tournament tree over the free room of the sequences finds in
 logarithmic time. Only (piece, length) rows are shuffled, no ids.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import Known, bounded_batches, materialise, parts, release, slices
 
-#: Pieces in a group, about.
+#: Pieces in a group, in the mean.
 GROUP_PIECES = 4000
 #: The id after each document's text.
 END_ID = 0
 
-#: White space next to white space. Where there is none, the byte-level pre-tokenizer cuts before each space and around each
-#: line end, so that words are encoded on their own, and once for all their occurrences.
-_ADJACENT = re.compile(r"\s\s")
+#: White space next to white space, at an end, or the separator of ``parts``. Where there is none, the byte-level pre-tokenizer
+#: cuts before each space and around each line end, so that words are encoded on their own, once for all their places.
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WHOLE = rf"\A{_SPACE}|{_SPACE}\z|{_SPACE}{_SPACE}|\x00|\A\z"
 #: Marks that the pre-tokenizer parts from a letter or digit before them.
 _MARKS = ".,;:!?&%$#*|"
-_CACHE_LIMIT = 200_000
+_MARKED = r"[\p{L}\p{N}][.,;:!?&%$#*|]+\z"
 #: Words are encoded in lines of this many, which is faster than one by one.
 _LINE = 2000
 
 
 class Encoder:
-    """ids of texts, as packed little-endian unsigned 32-bit integers, by a tokenizers file with a byte-level pre-tokenizer."""
+    """ids of texts by a tokenizers file with a byte-level pre-tokenizer."""
 
     _by_path: dict[str, Encoder] = {}
 
@@ -45,11 +47,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        #: Of words after a space (" ") or at the start of a line (""), and of those without marks at their end.
-        self.words: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
-        self.cores: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
-        self.tails: dict[str, bytes] = {"": b""}
         self.line_end = self._plain(["\n"])[0]
+        self.forget()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -59,56 +58,75 @@ class Encoder:
         return cls._by_path[path]
 
     def forget(self) -> None:
-        for cache in (*self.words.values(), *self.cores.values(), self.tails):
-            cache.clear()
-        self.tails[""] = b""
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_cores(self, cores: list[str], lead: str) -> None:
-        lines = [cores[i : i + _LINE] for i in range(0, len(cores), _LINE)]
-        end = int.from_bytes(self.line_end, "little") if len(self.line_end) == 4 else -1
-        for line, ids in zip(lines, self._plain([lead + f"\n{lead}".join(x) for x in lines]), strict=True):
-            at = 4 * np.flatnonzero(np.frombuffer(ids, "<u4") == end)
-            if len(at) + 1 == len(line):
-                self.cores[lead].update((c, ids[i:j]) for c, i, j in zip(line, [0, *(at + 4).tolist()], [*at.tolist(), len(ids)], strict=True))
+        self.words = Known(self._words)
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words; marks after a letter or digit are encoded apart."""
+        marked = pc.match_substring_regex(words, _MARKED)
+        core = pc.if_else(marked, pc.utf8_rtrim(words, _MARKS), words)
+        cores, tails = core.dictionary_encode(), self._tails(words, core).dictionary_encode()
+        first, last = self._lines(cores.dictionary).take(cores.indices), self._lines(tails.dictionary).take(tails.indices)
+        return joined(first, last)
+
+    @staticmethod
+    def _tails(words: pa.Array, core: pa.Array) -> pa.Array:
+        return pa.array([w[len(c) :] for w, c in zip(words.to_pylist(), core.to_pylist(), strict=True)], pa.string())
+
+    def _lines(self, words: pa.Array) -> pa.Array:
+        """The ids of each word, encoded in lines of many words."""
+        texts = words.to_pylist()
+        plain = [x not in ("", "\n") for x in texts]
+        chosen = [x for x, p in zip(texts, plain, strict=True) if p]
+        flat, sizes = [], []
+        for lot in (chosen[i : i + _LINE] for i in range(0, len(chosen), _LINE)):
+            ids = self._plain(["\n".join(lot)])[0]
+            ends = np.flatnonzero(ids == self.line_end[0]) if len(self.line_end) == 1 else ids[:0]
+            if len(ends) + 1 == len(lot):
+                flat.append(np.delete(ids, ends))
+                sizes.append(np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1)
             else:  # line ends that aren't one token of their own
-                self.cores[lead].update(zip(line, self._plain([lead + c for c in line]), strict=True))
-
-    def _learn(self, found: set[str], lead: str) -> None:
-        words, cores = self.words[lead], self.cores[lead]
-        for cache in (words, cores):
-            if len(cache) > _CACHE_LIMIT:
-                cache.clear()
-        parted = []
-        for word in found.difference(words):
-            core = word.rstrip(_MARKS)
-            parted.append((word, core) if core and core[-1].isalnum() else (word, word))
-        new = {c for _, c in parted}.difference(cores)
-        if new:
-            self._encode_cores(list(new), lead)
-        if tails := {w[len(c) :] for w, c in parted}.difference(self.tails):
-            self.tails.update(zip(tails, self._plain(list(tails)), strict=True))
-        words.update((w, cores[c] + self.tails[w[len(c) :]]) for w, c in parted)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plans: list[list[list[str]] | None] = []
-        inner, first = set(), set()
-        for text in texts:
-            if not text or text[0].isspace() or text[-1].isspace() or _ADJACENT.search(text):
-                plans.append(None)
-                continue
-            lines = [x.split(" ") for x in text.split("\n")]
-            for line in lines:
-                first.add(line[0])
-                inner.update(line[1:])
-            plans.append(lines)
-        self._learn(inner, " ")
-        self._learn(first, "")
-        rest = iter(self._plain([t for t, p in zip(texts, plans, strict=True) if p is None]))
-        start, after = self.words[""], self.words[" "].__getitem__
-        return [next(rest) if p is None else self.line_end.join([start[x[0]] + b"".join(map(after, x[1:])) for x in p]) for p in plans]
+                each = self._plain(lot)
+                flat += each
+                sizes.append(np.array([len(x) for x in each]))
+        out = np.zeros(len(texts), np.int64)
+        out[np.flatnonzero(plain)] = np.concatenate([np.empty(0, np.int64), *sizes])
+        values = np.concatenate([np.empty(0, np.uint32), *flat])
+        if "\n" in texts:
+            at = texts.index("\n")
+            out[at] = len(self.line_end)
+            values = np.insert(values, int(out[:at].sum()), self.line_end)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], out.cumsum()]), pa.int32()), pa.array(values, pa.uint32()))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; of none for a null."""
+        texts = texts.fill_null("")
+        whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
+        rest = texts.filter(pa.array(~whole))
+        marked = pc.replace_substring(pc.replace_substring(rest, "\n", "\0\n\0"), " ", "\0 ")
+        words, at, ends = parts(marked)
+        known = self.words.of(words)
+        sizes = pc.list_value_length(known).to_numpy(zero_copy_only=False)
+        flat = known.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], np.cumsum(sizes[at], dtype=np.int64)])[ends]
+        by_words = iter(np.split(flat, bounds[:-1])) if len(rest) else iter(())
+        plain = iter(self._plain(texts.filter(pa.array(whole)).to_pylist()))
+        return [next(plain) if w else next(by_words) for w in whole]
+
+
+def joined(first: pa.Array, second: pa.Array) -> pa.Array:
+    """The lists of both, one after the other in each row."""
+    a, b = (pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (first, second))
+    out = np.empty(int(a.sum() + b.sum()), np.uint32)
+    ends = (a + b).cumsum()
+    in_second = np.zeros(len(out) + 1, np.int64)
+    np.add.at(in_second, ends - b, 1)
+    np.add.at(in_second, ends, -1)
+    chosen = in_second[:-1].cumsum().astype(bool)
+    out[~chosen], out[chosen] = first.flatten().to_numpy(zero_copy_only=False), second.flatten().to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(out))
 
 
 def cuts(n: int, capacity: int) -> list[int]:
@@ -120,25 +138,34 @@ def cuts(n: int, capacity: int) -> list[int]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens), a row for each piece of each row of docs."""
+    """(id, doc, start, length, ids_crc32, doc_tokens), a row for each piece of each row of docs. doc: the row's place, by partition
+    and number in it; it tells rows apart, whatever they hold, once the result is written."""
 
     def cut(batches):
         encoder = Encoder.of(tokenizer)
-        end = np.array([END_ID], "<u4").tobytes()
-        for b in batches:
-            out = []
-            for i, ids in zip(b.column(0).to_pylist(), encoder.encode([x or "" for x in b.column(1).to_pylist()]), strict=True):
-                ids += end
-                start, n = 0, len(ids) // 4
-                for size in cuts(n, capacity):
-                    out.append((i, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n))
-                    start += size
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.column(0).type), *[pa.array(c, pa.int64()) for c in columns[1:]]], ["id", "start", "length", "ids_crc32", "doc_tokens"])
-        encoder.forget()  # the worker process lives on and serves other operators
+        end = np.array([END_ID], np.uint32)
+        doc = TaskContext.get().partitionId() << 40
+        try:
+            for b in batches:
+                at = 0
+                for texts in slices(b.column(1)):
+                    out = []
+                    for i, ids in zip(b.column(0).slice(at, len(texts)).to_pylist(), encoder.encode(texts), strict=True):
+                        ids = np.concatenate([ids, end])
+                        start, n = 0, len(ids)
+                        for size in cuts(n, capacity):
+                            out.append((i, doc, start, size, zlib.crc32(ids[start : start + size]), n))
+                            start += size
+                        doc += 1
+                    at += len(texts)
+                    columns = list(zip(*out, strict=True)) or [[]] * 6
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.column(0).type), *[pa.array(c, pa.int64()) for c in columns[1:]]], ["id", "doc", "start", "length", "ids_crc32", "doc_tokens"])
+        finally:
+            encoder.forget()  # the worker process lives on and serves other operators
+            release()
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {id_type}, doc long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 class TournamentTree:
@@ -179,17 +206,16 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 1024, id_col: str =
 
     The ids of a document are those of its text and END_ID; a null text is an empty one, and gives END_ID alone. Each id
     lies in exactly one piece. offset is the piece's place in its sequence, gapless from 0. Each row of docs is a document
-    of its own, whatever its id (also null); pieces of rows that are alike in id and length are told apart by their
-    order. Other columns of docs aren't read. An empty table gives an empty result.
+    of its own, whatever its id (also null), and repeated rows go to different groups. Very long texts are cut like others. Other columns of docs aren't read. An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     cut = materialise(pieces(docs, tokenizer, capacity, id_col, text_col), "pieces")
     small = cut.filter(F.col("length") < capacity)
     groups = max(1, -(-small.count() // GROUP_PIECES))
-    group = F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(groups))
+    group = F.pmod(F.xxhash64("doc"), F.lit(groups))
 
     def pack(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["length", "id", "start", "ids_crc32", "doc_tokens"], ascending=[False, True, True, True, True], kind="stable", na_position="first").reset_index(drop=True)
+        x = x.sort_values(["length", "doc", "start"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         bins, offsets = first_fit_decreasing(x["length"].to_numpy(), capacity)
         return x.drop(columns="g").assign(sequence_id=bins * groups + int(key[0]), offset=offsets)
 
@@ -197,4 +223,4 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 1024, id_col: str =
     mixed = small.withColumn("g", group).groupBy("g").applyInPandas(pack, columns)
     # Negative numbers: sequences of one full piece. Their ids need only differ.
     full = cut.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    return mixed.union(full).withColumnRenamed("id", id_col)
+    return mixed.union(full).drop("doc").withColumnRenamed("id", id_col)
