@@ -1,16 +1,17 @@
 """Quality rules: simple limits, then robust multivariate outliers.
 
-Each text gets a vector of transformed statistics. For each language and source the minimum-covariance-determinant
-estimate (the mean and covariance of the half of the rows that lie closest to each other) is computed from a robust start
-(medians) by concentration steps over all rows: distances under the current estimate, their quantile by a histogram, then the moments of the rows
-below it. Every step is one partial aggregation, whatever the size of a group. Rows further away than a chi-square
-quantile, by Mahalanobis distance, are rejected. Groups with few rows use their language's estimate, and languages with
-few rows the estimate over all rows.
+Each text gets a vector of transformed statistics. For each language and source the minimum-covariance-determinant estimate
+(the mean and covariance of the half of the rows with the least determinant) is computed: concentration steps, each over all
+rows, take the distances under the current estimate, their median by a histogram, and the moments of the rows below it. They
+begin at several robust starts side by side; after two steps each group goes on with the start of least determinant, until
+the determinants settle. One more step takes the moments of all rows within a chi-square quantile. Every step is one partial
+aggregation, whatever the size of a group. Rows further away than a far chi-square quantile, by Mahalanobis distance, are
+rejected. Sources with few rows are pooled by language, and languages with few such rows with each other.
 """
 
 from __future__ import annotations
 
-import re
+import math
 
 import numpy as np
 import pandas as pd
@@ -18,57 +19,83 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, bounded_batches, materialise, struct_type, window_hashes, word_hashes
+from .common import bounded_batches, dropped, free, kept, line_counts, materialise, text_udf, window_hashes, words_of
 
-SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\v\f\r"
+SYMBOLS = b"#*$%&|<>"
 #: The transformed statistics, see ``transformed``.
 FEATURES = ["length", "word_length", "symbols", "dup_lines", "repeats", "upper"]
 #: Rows that a group needs for an estimate of its own.
 GROUP_ROWS = 200
-CONCENTRATION_STEPS = 6
-#: Spread (standard deviation) that each transformed statistic has at least; where nearly all texts agree on a value,
-#: small deviations are then no outliers.
+#: Starts of the concentration steps, steps before they are compared, and steps at most.
+STARTS = ["medians", "all", "winsorised"]
+FIRST_STEPS, MOST_STEPS = 2, 12
+#: A step that lowers the logarithm of the determinant by less is the last one.
+SETTLED = 0.01
+#: Spread (standard deviation) that each transformed statistic has at least: where nearly all texts agree on a value (no symbols,
+#: no repeated lines) the determinant would be zero, and the least deviation an outlier.
 FLOOR = [0.5, 0.05, 0.02, 0.1, 0.1, 0.05]
-#: Rejected beyond this squared Mahalanobis distance: far outside, as the statistics are skewed and clean texts are to stay
-#: (the 0.9999999 quantile of chi-square with 6 degrees of freedom is 44).
-CUTOFF = 100.0
+#: Probability, under normal statistics, that a row lies beyond the cutoff. The statistics have heavy tails, so it is tiny.
+TAIL = 1e-12
+#: Estimates of so many groups are broadcast (under 1 kB each).
+FEW_GROUPS = 10_000
 
-_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
+_D = range(len(FEATURES))
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """Words inside 3-word windows that are found twice or more, their first places included."""
-    if len(words) < 4:
+def chi_square_quantile(tail: float, degrees: int) -> float:
+    """Where an even chi-square distribution has the probability ``tail`` above; the tail is a finite sum."""
+    above = lambda x: math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(degrees // 2))
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if above(middle) > tail else (low, middle)
+    return low
+
+
+#: Rejected beyond this squared Mahalanobis distance.
+CUTOFF = chi_square_quantile(TAIL, len(FEATURES))
+#: Rows within it make the last estimate.
+INNER = chi_square_quantile(0.025, len(FEATURES))
+
+
+def consistency(tail: float) -> float:
+    """What makes the covariance of normal rows nearer than the chi-square quantile consistent."""
+    x, k = chi_square_quantile(tail, len(FEATURES)), len(FEATURES) // 2 + 1
+    return (1 - tail) / (1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(k)))
+
+
+def repeated_words(h: np.ndarray) -> int:
+    """Words, by their hashes, inside 3-word windows that are found twice or more, their first places included."""
+    if len(h) < 4:
         return 0
-    h = window_hashes(word_hashes(words), 3)
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
+    windows = window_hashes(h, 3)
+    order = np.argsort(windows, kind="stable")
+    same = windows[order][1:] == windows[order][:-1]
     if not same.any():
         return 0
-    found = np.zeros(len(h), bool)
+    found = np.zeros(len(windows), bool)
     found[order[1:][same]] = found[order[:-1][same]] = True
-    covered = np.zeros(len(words), bool)
+    covered = np.zeros(len(h), bool)
     for i in range(3):
-        covered[i : len(h) + i] |= found
+        covered[i : len(windows) + i] |= found
     return int(covered.sum())
 
 
-def base_statistics(text: str | None) -> tuple[int, ...]:
-    """The columns of _BASE of one text; a null text has none of anything."""
-    if not text:
-        return (0,) * 7
-    words = text.encode("utf-8", "surrogatepass").split()
-    lines = [x for x in text.split("\n") if x.strip(SPACES)]
-    return (len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(lines), len(_UPPER.findall(text)))
+def base_statistics(texts: pa.Array) -> list[np.ndarray]:
+    """The columns of _BASE; a null text has none of anything."""
+    w = words_of(texts)
+    bytes_of = w.histograms()
+    lines, different = line_counts(texts)
+    letters = [x for x in range(256) if x not in b" \t\n\v\f\r" and not 0x80 <= x < 0xC0]  # first bytes of code points
+    after = np.flatnonzero(w.data[:-1] == 0xC3) + 1  # the capitals from U+00C0 to U+00DE
+    after = after[(w.data[after] >= 0x80) & (w.data[after] <= 0x9E) & (w.data[after] != 0x97)]
+    capitals = bytes_of[:, 65:91].sum(1) + w.counted(after)
+    repeats = np.array([repeated_words(h) for h in w.by_text()], np.int64)
+    return [w.counts, bytes_of[:, letters].sum(1), bytes_of[:, list(SYMBOLS)].sum(1), lines - different, repeats, lines, capitals]
 
 
-@F.arrow_udf(struct_type(_BASE))
-def _statistics(text: pa.Array) -> pa.Array:
-    WORDS.trim()
-    columns = list(zip(*map(base_statistics, text.to_pylist()), strict=True)) or [[]] * 7
-    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in _BASE.split(", ")])
+_statistics = text_udf(_BASE, lambda texts: pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in base_statistics(texts)], [x.split()[0] for x in _BASE.split(", ")]))
 
 
 def transformed(s: Column) -> list[Column]:
@@ -77,112 +104,125 @@ def transformed(s: Column) -> list[Column]:
     return [F.log(words), F.log(chars / words), F.sqrt(s["n_symbols"] / chars), F.sqrt(s["n_dup_lines"] / lines), F.sqrt(s["n_repeat_words"] / words), F.sqrt(s["n_upper"] / chars)]
 
 
-def _inverse(n: float, s: np.ndarray, ss: np.ndarray, scale: float) -> tuple[list[float], list[float]]:
-    """Mean and inverse covariance from sums; the covariance is scaled and floored."""
-    d = len(FEATURES)
-    mean = s / n
-    cov = np.zeros((d, d))
-    cov[np.triu_indices(d)] = ss / n
-    cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-    return mean.tolist(), np.linalg.inv(cov * scale + np.diag(np.square(FLOOR))).ravel().tolist()
+def _small(groups: DataFrame) -> DataFrame:
+    """groups, for a join: broadcast if there are few."""
+    return F.broadcast(groups) if groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else groups
+
 
+def pooled(vectors: DataFrame) -> DataFrame:
+    """(lang, source, g), written: the group of each language and source in vectors: itself if it has GROUP_ROWS rows, else all such
+    sources of its language if they have, else all that are left."""
+    sizes = vectors.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    by_lang = sizes.filter(F.col("n") < GROUP_ROWS).groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("in_lang"))
+    names = [F.when(F.col("n") >= GROUP_ROWS, F.array("lang", "source")).when(F.col("in_lang") >= GROUP_ROWS, F.array("lang")).otherwise(F.array().cast("array<string>")).alias("g")]
+    return materialise(sizes.join(by_lang, F.col("lang") == F.col("l"), "left").select("lang", "source", *names), "pools")
+
+
+def _estimate(scale: float):
+    """Means, inverse covariances and logarithms of determinants from sums; covariances are scaled and floored."""
 
-def _estimates(scale: float):
     def estimate(batches):
         for x in batches:
-            out = [_inverse(*row, scale) for row in zip(x["n"], x["s"].map(np.array), x["ss"].map(np.array), strict=True)]
-            yield pd.DataFrame({"level": x["level"], "g_lang": x["g_lang"], "g_source": x["g_source"], "mean": [a for a, _ in out], "inv": [b for _, b in out]})
+            out = []
+            for n, s, ss in zip(x["n"], x["s"].map(np.array), x["ss"].map(np.array), strict=True):
+                mean, cov = s / n, np.zeros((len(_D), len(_D)))
+                cov[np.triu_indices(len(_D))] = ss / n
+                cov = (cov + np.triu(cov, 1).T - np.outer(mean, mean)) * scale + np.diag(np.square(FLOOR))
+                out.append((mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
+            yield pd.DataFrame({"g": x["g"], "start": x["start"], **{name: [o[i] for o in out] for i, name in enumerate(("mean", "inv", "logdet"))}})
 
     return estimate
 
 
-def _levels(rows: DataFrame) -> DataFrame:
-    """Each row under its group, under its language, and under all."""
-    keys = F.array(*[F.struct(F.lit(k).alias("level"), (F.col("lang") if k > 0 else F.lit("")).alias("g_lang"), (F.col("source") if k > 1 else F.lit("")).alias("g_source")) for k in (0, 1, 2)])
-    return rows.withColumn("g", F.explode(keys)).select("*", "g.*").drop("g")
-
-
-def _moments(rows: DataFrame, scale: float) -> DataFrame:
-    d = range(len(FEATURES))
-    sums = rows.groupBy("level", "g_lang", "g_source").agg(
-        F.count("*").cast("double").alias("n"),
-        F.array(*[F.sum(F.col("x")[i]) for i in d]).alias("s"),
-        F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i in d for j in d if j >= i]).alias("ss"),
-    )
-    return sums.filter((F.col("n") >= GROUP_ROWS / 2) | (F.col("level") == 0)).mapInPandas(_estimates(scale), "level int, g_lang string, g_source string, mean array<double>, inv array<double>")
+def _moments(rows: DataFrame, scale: float, x: Column | None = None) -> DataFrame:
+    """(g, start, mean, inv, logdet), written, from rows (g, start, x)."""
+    x = F.col("x") if x is None else x
+    sums = rows.groupBy("g", "start").agg(F.count("*").cast("double").alias("n"), F.array(*[F.sum(x[i]) for i in _D]).alias("s"), F.array(*[F.sum(x[i] * x[j]) for i in _D for j in _D if j >= i]).alias("ss"))
+    return materialise(sums.mapInPandas(_estimate(scale), "g array<string>, start int, mean array<double>, inv array<double>, logdet double"), "estimates")
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and no correlation: the variances from the median deviations. Values are rounded for the exact medians, so
-    that a group has a bounded number of different ones."""
-    keys, d = ["level", "g_lang", "g_source"], range(len(FEATURES))
+def _starts(rows: DataFrame) -> DataFrame:
+    """Estimates by start: medians and median deviations without correlations; the moments of all rows; those of rows drawn in to
+    two median deviations of the medians. Values are rounded for the exact medians, so that a group has a bounded number of
+    different ones."""
     median = lambda x: F.percentile(F.round(x, 2), F.lit(0.5))
-    middle = rows.groupBy(*keys).agg(F.array(*[median(F.col("x")[i]) for i in d]).alias("mean"))
-    spread = rows.join(middle, keys).groupBy(*keys, "mean").agg(F.array(*[median(F.abs(F.col("x")[i] - F.col("mean")[i])) for i in d]).alias("mad"))
-    inverse = lambda i: 1 / (F.pow(1.4826 * F.col("mad")[i], 2) + FLOOR[i] ** 2)
-    return spread.select(*keys, "mean", F.array(*[inverse(i) if i == j else F.lit(0.0) for i in d for j in d]).alias("inv"))
-
-
-def _squared_distance(x: Column, mean: Column, inv: Column) -> Column:
+    middle = _small(materialise(rows.groupBy("g").agg(F.array(*[median(F.col("x")[i]) for i in _D]).alias("mean")), "medians"))
+    spread = rows.join(middle, "g").groupBy("g", "mean").agg(F.array(*[median(F.abs(F.col("x")[i] - F.col("mean")[i])) for i in _D]).alias("mad"))
+    spread = materialise(spread, "spreads")
+    variance = [F.pow(1.4826 * F.col("mad")[i], 2) + FLOOR[i] ** 2 for i in _D]
+    medians = spread.select("g", F.lit(0).alias("start"), "mean", F.array(*[1 / variance[i] if i == j else F.lit(0.0) for i in _D for j in _D]).alias("inv"), sum((F.log(v) for v in variance), F.lit(0.0)).alias("logdet"))
+    whole = _moments(rows.withColumn("start", F.lit(1)), 1.0)
+    low, high = (lambda i, sign=sign: F.col("mean")[i] + sign * 2 * 1.4826 * F.col("mad")[i] for sign in (-1, 1))
+    drawn_in = F.array(*[F.greatest(low(i), F.least(high(i), F.col("x")[i])) for i in _D])
+    winsorised = _moments(rows.join(_small(spread), "g").select("g", F.lit(2).alias("start"), drawn_in.alias("x")), 1.0)
+    return medians.unionByName(whole).unionByName(winsorised)
+
+
+def squared_distance(x: Column, mean: Column, inv: Column) -> Column:
     d = len(FEATURES)
-    y = [x[i] - mean[i] for i in range(d)]
-    return sum((y[i] * y[j] * inv[i * d + j] * (1 if i == j else 2) for i in range(d) for j in range(i, d)), F.lit(0.0))
+    y = [x[i] - mean[i] for i in _D]
+    return sum((y[i] * y[j] * inv[i * d + j] * (1 if i == j else 2) for i in _D for j in range(i, d)), F.lit(0.0))
 
 
 #: Distances are told apart to this factor (of squared distances) in the histogram.
 _BIN = 0.02
 
 
+def _concentrated(rows: DataFrame, estimates: DataFrame, share: float, scale: float = 1.0) -> DataFrame:
+    """The estimates from the share of rows nearest by the given ones, for each group and start."""
+    keys = ["g", "start"]
+    far = rows.join(_small(estimates.drop("logdet")), "g").withColumn("d2", squared_distance(F.col("x"), F.col("mean"), F.col("inv")))
+    far = far.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-3) / _BIN).cast("int")).select(*keys, "x", "bin")
+    counts = far.groupBy(*keys, "bin").count().groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "count"))).alias("bins"), F.sum("count").alias("total"))  # a few thousand bins at most
+    state = F.aggregate("bins", F.struct(F.lit(0.0).alias("n"), F.lit(-(1 << 30)).alias("edge")), lambda a, b: F.struct((a["n"] + b["count"]).alias("n"), F.when(a["n"] < share * F.col("total"), b["bin"]).otherwise(a["edge"]).alias("edge")))
+    edges = materialise(counts.select(*keys, state["edge"].alias("edge")), "edges")
+    return _moments(far.join(_small(edges), keys).filter("bin <= edge"), scale)
+
+
 def mcd_estimates(rows: DataFrame, share: float = 0.5) -> DataFrame:
-    """(level, g_lang, g_source, mean, inv) from (lang, source, x array<double>), level 2 for language and source."""
-    rows = materialise(_levels(rows), "levels")
-    big = rows.groupBy("level", "g_lang", "g_source").count().filter((F.col("count") >= GROUP_ROWS) | (F.col("level") == 0))
-    rows = rows.join(big.drop("count"), ["level", "g_lang", "g_source"])
-    estimates = materialise(_start(rows), "estimates")
-    for step in range(CONCENTRATION_STEPS):
-        far = rows.join(estimates, ["level", "g_lang", "g_source"]).withColumn("d2", _squared_distance(F.col("x"), F.col("mean"), F.col("inv")))
-        far = far.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-3) / _BIN).cast("int")).select("level", "g_lang", "g_source", "x", "bin")
-        bins = far.groupBy("level", "g_lang", "g_source", "bin").count()
-        counts = bins.groupBy("level", "g_lang", "g_source").agg(F.sort_array(F.collect_list(F.struct("bin", "count"))).alias("bins"), F.sum("count").alias("total"))
-        state = F.aggregate("bins", F.struct(F.lit(0.0).alias("n"), F.lit(-(1 << 30)).alias("edge")), lambda a, b: F.struct((a["n"] + b["count"]).alias("n"), F.when(a["n"] < share * F.col("total"), b["bin"]).otherwise(a["edge"]).alias("edge")))
-        edges = counts.select("level", "g_lang", "g_source", state["edge"].alias("edge"))
-        half = far.join(edges, ["level", "g_lang", "g_source"]).filter("bin <= edge")
-        scale = 1.0 if step < CONCENTRATION_STEPS - 1 else CONSISTENCY
-        estimates = materialise(_moments(half, scale), "estimates")
-    return estimates
-
-
-#: Makes the covariance of the closest half consistent for normal rows in 6 dimensions: 0.5 / P(chi-square with 8 degrees
-#: of freedom <= median of chi-square with 6 degrees).
-CONSISTENCY = 1.784
+    """(g, start, mean, inv, logdet), written, from (g array<string>, x array<double>): a row for each g, with the start that won."""
+    now = _starts(rows)
+    for _ in range(FIRST_STEPS):
+        now = _concentrated(rows, now, share)
+    best = now.groupBy(F.col("g").alias("b")).agg(F.min(F.struct("logdet", "start")).alias("best"))
+    now = materialise(now.join(best, (F.col("g") == F.col("b")) & (F.col("start") == F.col("best.start"))).select("g", "start", "mean", "inv", "logdet"), "estimates")
+    for _ in range(MOST_STEPS - FIRST_STEPS):
+        new = _concentrated(rows, now, share)
+        settled = now.select("g", F.col("logdet").alias("before")).join(new, "g").filter(F.col("before") - F.col("logdet") > SETTLED).isEmpty()
+        dropped(now)
+        now = new
+        if settled:
+            break
+    now = now.withColumn("inv", F.transform("inv", lambda v: v / consistency(1 - share)))
+    inside = rows.join(_small(now), "g").filter(squared_distance(F.col("x"), F.col("mean"), F.col("inv")) <= INNER)
+    return _moments(inside.select("g", "start", "x"), consistency(0.025))
 
 
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", mark: str = "__rules") -> DataFrame:
     """docs, all rows and columns, with a struct ``mark``: the base statistics, base_failed, distance2 and kept.
 
     base_failed: under 50 words, or over half of the words in repeated 3-word windows. kept: not base_failed, and within
-    CUTOFF of the estimate of the row's language and source. Estimates use the rows that aren't base_failed. Null and
-    empty texts have no words, so they are base_failed. Null languages and sources form groups of their own. Repeated
-    rows count as often as they stand. An empty table gives an empty result.
+    CUTOFF of the estimate of the row's group, see ``pooled``; ties with the cutoff stay. Estimates use the rows that aren't
+    base_failed. Null and empty texts have no words, so they are base_failed; very long ones are read whole. Null languages and
+    sources form groups of their own. Repeated rows count as often as they stand. An empty table gives an empty result. A column
+    of docs named like the mark raises an error.
     """
     bounded_batches(docs.sparkSession)
-    stats = docs.withColumn(mark, _statistics(F.col(text_col)))
+    group, estimate = free(docs, f"{mark}_group"), free(docs, f"{mark}_estimate")
+    stats = docs.withColumn(free(docs, mark), _statistics(F.col(text_col).cast("string")))
     s = F.col(mark)
     failed = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
     x = F.array(*transformed(s))
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (lang_col, source_col))
-    vectors = materialise(stats.select(lang.alias("lang"), source.alias("source"), failed.alias("failed"), x.alias("x")), "vectors")
-    estimates = mcd_estimates(vectors.filter("not failed").select("lang", "source", "x"))
-    # A struct for each language and source that there is: its own estimate, its language's or that of all.
-    best = vectors.select("lang", "source").distinct()
-    for level in (2, 1, 0):
-        own = estimates.filter(F.col("level") == level).select(F.col("g_lang").alias(f"l{level}"), F.col("g_source").alias(f"s{level}"), F.struct("mean", "inv").alias(f"e{level}"))
-        on = [*([F.col("lang") == F.col(f"l{level}")] if level else []), *([F.col("source") == F.col(f"s{level}")] if level > 1 else [])]
-        best = best.join(own, on, "left") if on else best.join(F.broadcast(own), F.lit(True), "left")  # one row
-    best = best.select(F.struct("lang", "source").alias(f"{mark}_group"), F.coalesce("e2", "e1", "e0").alias(f"{mark}_estimate"))
-    joined = stats.withColumn(f"{mark}_group", F.struct(lang.alias("lang"), source.alias("source"))).join(best, f"{mark}_group", "left")
-    e = F.col(f"{mark}_estimate")
-    d2 = _squared_distance(x, e["mean"], e["inv"])
+    with kept("verdicts"):
+        vectors = materialise(stats.select(lang.alias("lang"), source.alias("source"), failed.alias("failed"), x.alias("x")).filter("not failed").drop("failed"), "vectors")
+        pools = pooled(vectors)
+        rows = materialise(vectors.join(_small(pools), ["lang", "source"]).select("g", "x"), "rows")
+        dropped(vectors)
+        best = pools.join(mcd_estimates(rows), "g").select(F.struct("lang", "source").alias(group), F.struct("mean", "inv").alias(estimate))
+        best = materialise(best, "verdicts")
+    joined = stats.withColumn(group, F.struct(lang.alias("lang"), source.alias("source"))).join(_small(best), group, "left")
+    d2 = squared_distance(x, F.col(estimate)["mean"], F.col(estimate)["inv"])
     fields = [s[f.split()[0]].alias(f.split()[0]) for f in _BASE.split(", ")]
     out = F.struct(*fields, failed.alias("base_failed"), d2.alias("distance2"), (~failed & F.coalesce(d2 <= CUTOFF, F.lit(True))).alias("kept"))
     return joined.withColumn(mark, out).select(*docs.columns, mark)
