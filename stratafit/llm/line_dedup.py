@@ -1,10 +1,11 @@
 """Line deduplication by site-relative frequency, with DataFrame functions only.
 
-A line is boilerplate of a host if it stands on more than ``ratio`` of the host's pages, and on ``min_pages`` at least.
-Pages are counted by (host, line hash) with partial aggregation, so a large host or a frequent line is no single task's.
-A host has at most (mean lines of its pages) / ratio boilerplate lines, so they join back as one short array for each
-host; that join is an ordinary equi-join, which adaptive execution broadcasts when the arrays turn out small and whose
-skewed hosts it splits otherwise.
+A line is boilerplate of a host if it stands on more than ``ratio`` of the host's pages, and on ``min_pages`` at least; pages of a
+host with equal texts count once, so that being copied makes no line boilerplate. Pages are counted by (host, line hash) with
+partial aggregation, so a large host or a frequent line is no single task's. A host has at most (mean lines of its pages) / ratio
+boilerplate lines, so they join back as one short array for each host. The arrays are written first and counted: up to FEW hashes
+they are broadcast, so that no text is shuffled; beyond that the join is an ordinary one, whose skewed hosts adaptive execution
+splits.
 """
 
 from __future__ import annotations
@@ -12,8 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RATIO = 0.002
-MIN_PAGES = 8
+from .common import free, materialise
+
+#: The share decides at every size; only lines of one or two pages never are boilerplate.
+RATIO = 0.05
+MIN_PAGES = 3
+#: Hashes that are broadcast at most (8 bytes each), and hosts.
+FEW = 1_000_000
 
 
 def _lines(text: Column) -> Column:
@@ -24,43 +30,40 @@ def _blank(line: Column) -> Column:
     return F.trim(F.translate(line, "\t\v\f\r", "    ")) == ""
 
 
-def boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
-    """(host, lines): for each host that has any, the sorted 64-bit hashes of its boilerplate lines. Blank lines never are.
-
-    copies_once: pages of a host with the same text are one page, so that being copied makes no line boilerplate.
-    """
-    pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    if copies_once:
-        lines = F.filter(F.array_distinct(_lines(F.col("text"))), lambda x: ~_blank(x))
-        pages = pages.select("host", F.xxhash64("text").alias("page"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes")).dropDuplicates(["host", "page"])
-        hashes = pages.select("host", F.explode("hashes").alias("hash"))
-    else:
-        each = pages.select("host", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).filter(~_blank(F.col("line")))
-        hashes = each.select("host", F.xxhash64("line").alias("hash"))
+def boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, lines): for each host that has any, the sorted 64-bit hashes of its boilerplate lines. Blank lines never are, and null
+    texts are no pages."""
+    pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text")).filter("text is not null")
+    lines = F.filter(F.array_distinct(_lines(F.col("text"))), lambda x: ~_blank(x))
+    pages = pages.select("host", F.xxhash64("text").alias("page"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes")).dropDuplicates(["host", "page"])
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    counted = hashes.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    counted = pages.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     known = counted.join(totals.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n") > ratio * F.col("pages"))
     return known.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("lines"))
 
 
-def deduplicated(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, mark: str = "__lines", copies_once: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, mark: str = "__lines") -> DataFrame:
     """docs, all rows and columns, with boilerplate lines taken out of the text, and a struct ``mark``: n_lines, n_dropped.
 
     Lines end at \\n; blank ones are neither counted as boilerplate nor dropped. All places of a boilerplate line go; a page
-    counts once for a line, however often it repeats it. Null texts stay null with 0 lines; empty ones stay empty, with
-    one blank line. Null hosts are one host. Repeated rows count as pages each,
-    or once with copies_once. An empty table gives an empty result.
+    counts once for a line, however often it repeats it, and repeated texts of a host are one page. Null texts stay null with 0
+    lines; empty ones stay empty, with one blank line. Very long texts are read whole. Null hosts are one host. An empty table gives
+    an empty result. A column of docs named like the mark raises an error.
     """
-    found = boilerplate(docs, text_col, host_col, ratio, min_pages, copies_once).select(F.col("host").alias(f"{mark}_host"), F.col("lines").alias(f"{mark}_known"))
-    joined = docs.join(found, F.col(host_col).eqNullSafe(F.col(f"{mark}_host")), "left")
-    all_lines, known = _lines(F.col(text_col)), F.col(f"{mark}_known")
-    kept = F.when(known.isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(known, F.xxhash64(x)) | _blank(x)))
+    host, known_col, kept_col = (free(docs, f"{mark}_{x}") for x in ("host", "known", "kept"))
+    found = materialise(boilerplate(docs, text_col, host_col, ratio, min_pages), "boilerplate")
+    size = found.agg(F.coalesce(F.sum(F.size("lines") + 1), F.lit(0))).first()[0]
+    found = found.select(F.col("host").alias(host), F.col("lines").alias(known_col))
+    joined = docs.join(F.broadcast(found) if size <= FEW else found, F.col(host_col).eqNullSafe(F.col(host)), "left")
+    all_lines, known = _lines(F.col(text_col)), F.col(known_col)
+    here = F.array_intersect(F.transform(all_lines, lambda x: F.xxhash64(x)), known)  # a page's own few, by a hash table
+    left_over = F.when(known.isNull() | (F.size(here) == 0), all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(here, F.xxhash64(x)) | _blank(x)))
     n = lambda a: F.coalesce(F.size(a), F.lit(0)).cast("long")
-    rows = joined.withColumn(f"{mark}_kept", kept)
+    rows = joined.withColumn(kept_col, left_over)
     size = F.when(F.col(text_col).isNull(), 0).otherwise(n(all_lines)).cast("long")
-    left = F.when(F.col(text_col).isNull(), 0).otherwise(n(F.col(f"{mark}_kept"))).cast("long")
-    rows = rows.withColumn(mark, F.struct(size.alias("n_lines"), (size - left).alias("n_dropped")))
-    text = F.when(F.col(mark)["n_dropped"] == 0, F.col(text_col)).otherwise(F.array_join(f"{mark}_kept", "\n"))
+    left = F.when(F.col(text_col).isNull(), 0).otherwise(n(F.col(kept_col))).cast("long")
+    rows = rows.withColumn(free(docs, mark), F.struct(size.alias("n_lines"), (size - left).alias("n_dropped")))
+    text = F.when(F.col(mark)["n_dropped"] == 0, F.col(text_col)).otherwise(F.array_join(kept_col, "\n"))
     return rows.withColumn(text_col, text).select(*docs.columns, mark)
 
 
@@ -69,8 +72,9 @@ def oracle_sql(ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:
     blank = r"trim(translate({0}, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ') = ''"
     return f"""
 with cut as (select doc_id, source, text, string_split(text, chr(10)) as ls from documents),
-totals as (select source, count(*) as pages from documents group by source),
-each as (select source, unnest(list_distinct(ls)) as line from cut),
+pages as (select distinct source, text, ls from cut where text is not null),
+totals as (select source, count(*) as pages from pages group by source),
+each as (select source, unnest(list_distinct(ls)) as line from pages),
 known as (select e.source, e.line from each e join totals t on e.source is not distinct from t.source
           where not ({blank.format('e.line')}) group by e.source, e.line, t.pages having count(*) >= {min_pages} and count(*) > {ratio} * t.pages),
 sets as (select source, list(line) as lines from known group by source),
