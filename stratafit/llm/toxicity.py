@@ -3,7 +3,8 @@
 Training: documents are labelled, words aren't, so words are labelled first. Among the features of words (the word, its
 beginnings of 4 and 5 letters) those are chosen, one after another, that stand in the most toxic documents not yet
 explained and in next to no others; the words with a chosen feature are the labelled tokens. The field (two tags, weights
-of hashed features, transitions) is fitted to them by the gradient of its likelihood, by forward-backward sums.
+of hashed features of the word and of its neighbours, transitions) is fitted to them by the gradient of its likelihood, by
+forward-backward sums.
 Scoring: the marginal probability of the toxic tag of each word; a document's score is its highest one, and maximal runs
 of words with a marginal of a half or more are its offending spans.
 """
@@ -15,36 +16,53 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import Known, bounded_batches, distinct, free, mixed, parts, spaced, string_hashes, text_udf
 
-#: At most so many documents of each label are learned from (those with the least hashes of their ids) ...
-SAMPLE = 1500
-#: ... among those with at most so many words.
-SAMPLE_WORDS = 2000
+#: At most so many documents of each label are learned from (those with the least hashes of their ids), of so many words in all.
+SAMPLE, SAMPLE_WORDS = 1500, 800_000
+#: They are cut to sequences of so many words.
+SEQUENCE = 400
 #: Weights are hashed to so many buckets.
 BUCKETS = 1 << 18
 #: Toxic documents that a feature must explain, and the share of other documents that may have it.
 SUPPORT, LEAK = 3, 0.002
 STEPS = 60
+#: Ridge penalties, for each word of the sample: of weights, and of those of neighbours.
+PENALTY, NEAR_PENALTY = 1e-6, 1e-4
 
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_EDGE = r"\A[^\p{L}\p{N}]+|[^\p{L}\p{N}]+\z"
+#: Salts of the kinds of features: the word, its beginnings, and the word as the one before and after.
+_KINDS = [np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)) for k in range(1, 6)]
 
 
-def word_features(word: str) -> list[str]:
-    """The features of a word: itself without marks at its ends and in lower case, and its beginnings."""
-    w = _EDGE.sub("", word).lower()
-    if not w:
-        return ["w:"]
-    return [f"w:{w}", *[f"{n}:{w[:n]}" for n in (4, 5) if len(w) > n]]
+def feature_hashes(words: pa.Array) -> np.ndarray:
+    """The features of distinct words, a row each: itself without marks at its ends and in lower case, its beginnings of 4 and 5
+    letters (0 where the word is no longer)."""
+    bare = pc.utf8_lower(pc.replace_substring_regex(words, _EDGE, ""))
+    size = pc.utf8_length(bare).to_numpy(zero_copy_only=False)
+    out = [mixed(string_hashes(bare) + _KINDS[0])]
+    for kind, n in ((1, 4), (2, 5)):
+        out.append(np.where(size > n, mixed(string_hashes(pc.utf8_slice_codeunits(bare, 0, n)) + _KINDS[kind]), np.uint64(0)))
+    return np.column_stack(out)
 
 
-def _bucket(feature: str) -> int:
-    return xxhash.xxh3_64_intdigest(feature.encode("utf-8", "surrogatepass")) % BUCKETS
+def neighbour_hashes(features: np.ndarray) -> np.ndarray:
+    """The features of words as the ones before and after another, a row each."""
+    return np.column_stack([mixed(features[:, 0] + k) for k in _KINDS[3:]])
+
+
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts, the number of each word of each text among them, and how many words each text has."""
+    words, at, ends = parts(spaced(texts), " ")
+    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[at]
+    counts = np.diff(np.concatenate([[0], real.cumsum()])[np.concatenate([[0], ends])])
+    return words, at[real], counts
 
 
 def _by_time(lengths: np.ndarray) -> list[np.ndarray]:
@@ -98,139 +116,161 @@ class Chain:
 
 @dataclass(frozen=True)
 class Tagger:
+    #: By bucket; the last one is the same for all words.
     weights: np.ndarray
     chain: Chain
 
-    def emission(self, word: str) -> float:
-        return float(sum(self.weights[_bucket(f)] for f in word_features(word)) + self.weights[-1])
-
-
-def choose_features(documents: list[set[str]], toxic: np.ndarray) -> set[str]:
-    """Features that explain the toxic documents, greedily; see above."""
-    ids: dict[str, int] = {}
-    pairs = [(ids.setdefault(f, len(ids)), d) for d, fs in enumerate(documents) for f in sorted(fs)]
-    if not pairs:
-        return set()
-    f, d = np.array(pairs).T
-    others = np.bincount(f[~toxic[d]], minlength=len(ids))
+    def parts_of(self, words: pa.Array) -> pa.Array:
+        """What distinct words add to the emission of their own place, of the place after them and of that before."""
+        own = feature_hashes(words)
+        weigh = lambda h: np.where(h != 0, self.weights[(h % np.uint64(BUCKETS)).astype(np.int64)], 0.0)
+        near = weigh(neighbour_hashes(own))
+        return pa.StructArray.from_arrays([pa.array(weigh(own).sum(1) + self.weights[-1]), pa.array(near[:, 0]), pa.array(near[:, 1])], ["own", "after", "before"])
+
+
+def emissions(known: pa.Array, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The emission of each word of texts laid end to end, from parts_of their distinct words."""
+    own, after, before = (known.field(i).to_numpy(zero_copy_only=False)[at] for i in range(3))
+    first = np.zeros(len(at) + 1, bool)
+    first[np.cumsum(lengths) - lengths] = True
+    first = first[:-1]
+    own = own.copy()
+    own[1:] += np.where(first[1:], 0.0, after[:-1])
+    own[:-1] += np.where(first[1:], 0.0, before[1:])
+    return own
+
+
+def choose_features(features: np.ndarray, document: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The features that explain the toxic documents, greedily; features and their documents go in pairs."""
+    names, f = np.unique(features, return_inverse=True)
+    f, d = np.divmod(distinct(f * len(toxic) + document), max(len(toxic), 1))
+    others = np.bincount(f[~toxic[d]], minlength=len(names))
     allowed = others <= LEAK * max(1, int((~toxic).sum()))
     f, d = (x[allowed[f] & toxic[d]] for x in (f, d))
-    names, chosen, open_docs = list(ids), set(), toxic.copy()
-    while True:
-        counts = np.bincount(f[open_docs[d]], minlength=len(ids)) - 20 * others * (others > 0)
+    chosen, open_docs = [], toxic.copy()
+    while len(names):
+        counts = np.bincount(f[open_docs[d]], minlength=len(names)) - 20 * others * (others > 0)
         best = int(counts.argmax())
         if counts[best] < SUPPORT:
-            return chosen
-        chosen.add(names[best])
+            break
+        chosen.append(names[best])
         open_docs[d[f == best]] = False
+    return np.array(chosen, np.uint64)
 
 
-def fit_chain(words: list[list[str]], tags: list[np.ndarray], steps: int = STEPS, penalty: float = 1e-6) -> Tagger:
-    """Maximum likelihood with a small ridge penalty, by Adam steps on the whole sample."""
-    lengths = np.array([len(x) for x in words], np.int64)
-    keep = lengths > 0
-    words, tags, lengths = [w for w, k in zip(words, keep, strict=True) if k], [t for t, k in zip(tags, keep, strict=True) if k], lengths[keep]
-    w, moves = np.zeros(BUCKETS + 1), np.zeros(4)
+def fit_chain(words: pa.Array, at: np.ndarray, lengths: np.ndarray, tags: np.ndarray, steps: int = STEPS, transitions: bool = True) -> Tagger:
+    """Maximum likelihood with small ridge penalties, by Adam steps on the whole sample, for the words (numbers of distinct words)
+    of sequences laid end to end and their tags. transitions False: without weights of moves."""
+    w = np.zeros(BUCKETS + 1)
+    lengths = lengths[lengths > 0]
     if not len(lengths):
         w[-1] = -10.0
-        return Tagger(w, Chain(tuple(moves)))
-    flat: dict[str, list[int]] = {}
-    rows = [flat.setdefault(x, [_bucket(f) for f in word_features(x)]) for ws in words for x in ws]
-    token = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    bucket = np.fromiter((b for r in rows for b in r), np.int64, len(token))
-    y = np.concatenate(tags).astype(float)
-    n = len(y)
-    inner = np.ones(n, bool)
-    inner[np.cumsum(lengths) - lengths] = False
-    i = np.flatnonzero(inner)
+        return Tagger(w, Chain((0.0,) * 4))
+    own = feature_hashes(words)
+    near = neighbour_hashes(own)
+    n, y = len(at), tags.astype(float)
+    first = np.zeros(n, bool)
+    first[np.cumsum(lengths) - lengths] = True
+    i = np.flatnonzero(~first)
     seen = np.bincount((2 * y[i - 1] + y[i]).astype(int), minlength=4)
+    bucket = lambda h: (h % np.uint64(BUCKETS)).astype(np.int64)
+    # Sums go by distinct words first: (word, bucket) of their own features, and of those of neighbours. Neighbours that are rare
+    # say nothing: their weights stay at zero.
+    word, own_bucket = np.nonzero(own)[0], bucket(own[own != 0])
+    before, after = bucket(near[:, 0]), bucket(near[:, 1])
+    common = (np.bincount(before[at[i - 1]], minlength=BUCKETS) >= 4 * SUPPORT), (np.bincount(after[at[i]], minlength=BUCKETS) >= 4 * SUPPORT)
+    before_used, after_used = common[0][before].astype(float), common[1][after].astype(float)
+    penalty = np.full(len(w) + 4, PENALTY)
+    penalty[:BUCKETS][common[0] | common[1]] = NEAR_PENALTY
+    penalty[own_bucket] = PENALTY
     w[-1] = -4.0
-    m, v, x = np.zeros(len(w) + 4), np.zeros(len(w) + 4), np.concatenate([w, moves])
+    m, v, x = np.zeros(len(w) + 4), np.zeros(len(w) + 4), np.concatenate([w, np.zeros(4)])
     for step in range(1, steps + 1):
-        emission = np.bincount(token, x[bucket], minlength=n) + x[BUCKETS]
+        by_word = np.bincount(word, x[own_bucket], minlength=len(own)) + x[BUCKETS]
+        emission = by_word[at]
+        emission[i] += (before_used * x[before])[at[i - 1]]
+        emission[i - 1] += (after_used * x[after])[at[i]]
         p, expected, _ = Chain(tuple(x[-4:])).marginals(emission, lengths, pairs=True)
         left = y - p
-        gradient = np.concatenate([np.bincount(bucket, left[token], minlength=BUCKETS), [left.sum()], seen - expected]) - penalty * n * x
+        in_word = lambda where, what: np.bincount(at[where], what, minlength=len(own))
+        gradient = np.bincount(own_bucket, in_word(slice(None), left)[word], minlength=BUCKETS)
+        gradient += np.bincount(before, before_used * in_word(i - 1, left[i]), minlength=BUCKETS) + np.bincount(after, after_used * in_word(i, left[i - 1]), minlength=BUCKETS)
+        gradient = np.concatenate([gradient, [left.sum()], seen - expected if transitions else np.zeros(4)]) - penalty * n * x
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         x = x + 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         x[-4:] = np.clip(x[-4:], -6, 6)
     return Tagger(x[: BUCKETS + 1], Chain(tuple(x[-4:])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Tagger:
-    """Learn from at most ``sample`` labelled documents of each label, of at most SAMPLE_WORDS words.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, words: int = SAMPLE_WORDS, transitions: bool = True) -> Tagger:
+    """Learn from at most ``sample`` labelled documents of each label, of at most ``words`` words together.
 
-    Null labels and ids are left out. Without toxic documents no word is toxic.
+    Null labels and ids are left out; so is a document whose words don't fit in any more. A document that stands or is labelled
+    more than once counts as often. Empty texts teach nothing. Without toxic documents no word is toxic.
     """
     label = F.col(label_col).cast("int")
     known = labels.filter(F.col(id_col).isNotNull() & label.isNotNull())
-    halves = [known.filter(label == x).select(id_col, label.alias("__label")).orderBy(F.xxhash64(id_col), id_col).limit(2 * sample) for x in (0, 1)]
-    rows = docs.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(halves[0].union(halves[1])), id_col)  # 4 * sample short rows
-    rows = rows.filter(F.size(F.split("__text", r"[\x20\x09-\x0D]+", SAMPLE_WORDS + 3)) <= SAMPLE_WORDS)
-    got = [r for x in (0, 1) for r in rows.filter(F.col("__label") == x).orderBy(F.xxhash64(id_col), id_col, "__text").limit(sample).toLocalIterator()]
-    words = [_WORD.findall(r["__text"]) for r in got]
-    toxic = np.array([r["__label"] == 1 for r in got], bool)
-    chosen = choose_features([{f for w in set(ws) for f in word_features(w)} for ws in words], toxic)
-    tags = [np.array([t and not chosen.isdisjoint(word_features(w)) for w in ws], bool) for ws, t in zip(words, toxic, strict=True)]
-    return fit_chain(words, tags)
-
-
-class _Emissions(dict):
-    LIMIT = 200_000
-
-    def __init__(self, tagger: Tagger):
-        super().__init__()
-        self.tagger = tagger
-
-    def __missing__(self, word: str) -> float:
-        value = self[word] = self.tagger.emission(word)
-        return value
-
-
-_SPLIT_SPACES = str.maketrans("\t\n\v\f\r", "     ")
-
-
-def tag_batch(texts: list[str | None], emissions: _Emissions) -> tuple[np.ndarray, list[list[dict]]]:
+    halves = [known.filter(label == x).select(F.col(id_col).alias("__id"), label.alias("__label")).orderBy(F.xxhash64(id_col), id_col).limit(2 * sample) for x in (0, 1)]
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(halves[0].union(halves[1])), "__id")  # 4 * sample short rows
+    rows = rows.withColumn("__size", F.size(F.split("__text", r"[\x20\x09-\x0D]+"))).filter(F.col("__size") <= words)
+    got = []
+    for x in (0, 1):
+        room = words
+        for r in rows.filter(F.col("__label") == x).orderBy(F.xxhash64("__id"), "__id", "__text").limit(sample).toLocalIterator():
+            if r["__size"] <= room:
+                room -= r["__size"]
+                got.append((r["__text"], x == 1))
+    vocabulary, at, lengths = words_in(pa.array([t for t, _ in got], pa.string()))
+    toxic = np.array([x for _, x in got], bool)
+    document = np.repeat(np.arange(len(got)), lengths)
+    word, of = np.divmod(distinct(at.astype(np.int64) * len(got) + document), max(len(got), 1))
+    features = feature_hashes(vocabulary)
+    own = features[word]
+    chosen = choose_features(own[own != 0], np.repeat(of, (own != 0).sum(1)), toxic)
+    bad_word = np.isin(features, chosen).any(1)
+    tags = bad_word[at] & toxic[document]
+    cut = [n for size in lengths for n in [SEQUENCE] * (size // SEQUENCE) + [size % SEQUENCE] if n]
+    return fit_chain(vocabulary, at, np.array(cut, np.int64), tags, transitions=transitions)
+
+
+def tag_batch(texts: pa.Array, chain: Chain, known: Known) -> tuple[np.ndarray, list[list[dict]]]:
     """The score and the offending spans (characters, end exclusive) of each text; texts without words score 0."""
-    if len(emissions) > emissions.LIMIT:
-        emissions.clear()
-    words = [[w for w in (x or "").translate(_SPLIT_SPACES).split(" ") if w] for x in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    e = np.fromiter((emissions[w] for ws in words for w in ws), float, int(lengths.sum()))
-    p = emissions.tagger.chain.marginals(e, lengths)
-    scores, spans, start = np.zeros(len(texts)), [], 0
-    for i, n in enumerate(lengths):
-        own = p[start : start + n]
-        start += n
-        scores[i] = own.max() if n else 0.0
-        found: list[dict] = []
-        if scores[i] >= 0.5:
-            offsets, hot = [m.span() for m in _WORD.finditer(texts[i])], own >= 0.5
-            for j in np.flatnonzero(hot):
-                if j and hot[j - 1]:
-                    found[-1]["end"] = offsets[j][1]
-                else:
-                    found.append({"start": offsets[j][0], "end": offsets[j][1]})
-        spans.append(found)
+    words, at, lengths = words_in(texts)
+    p = chain.marginals(emissions(known.of(words), at, lengths), lengths) if len(at) else np.zeros(0)
+    starts = np.cumsum(lengths) - lengths
+    scores = np.zeros(len(texts))
+    scores[lengths > 0] = np.maximum.reduceat(p, starts[lengths > 0]) if len(at) else 0
+    spans: list[list[dict]] = [[] for _ in range(len(texts))]
+    for i in np.flatnonzero(scores >= 0.5):
+        offsets, hot = [m.span() for m in _WORD.finditer(texts[i].as_py())], p[starts[i] : starts[i] + lengths[i]] >= 0.5
+        for j in np.flatnonzero(hot):
+            if j and hot[j - 1]:
+                spans[i][-1]["end"] = offsets[j][1]
+            else:
+                spans[i].append({"start": offsets[j][0], "end": offsets[j][1]})
     return scores, spans
 
 
 def tagged(docs: DataFrame, tagger: Tagger, text_col: str = "text", mark: str = "__toxicity") -> DataFrame:
     """docs, all rows and columns, with a struct ``mark``: score (0 to 1) and spans (array of start, end).
 
-    Null and empty texts score 0 and have no spans. Repeated rows score alike.
+    Null and empty texts score 0 and have no spans. Whole texts are scored, however long. Repeated rows score alike; an empty
+    table gives an empty result. A column of docs named like the mark raises an error.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((tagger.weights.astype(np.float32), tagger.chain))  # 1 MB whatever the corpus
-    kind = pa.struct([("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-    state: dict[int, _Emissions] = {}
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    state: list[Known] = []
 
-    @F.arrow_udf("score double, spans array<struct<start:int,end:int>>")
-    def tag(text: pa.Array) -> pa.Array:
+    def tag(texts: pa.Array) -> pa.Array:
+        weights, chain = shared.value
         if not state:
-            weights, chain = shared.value
-            state[0] = _Emissions(Tagger(weights, chain))
-        scores, spans = tag_batch(text.to_pylist(), state[0])
-        return pa.StructArray.from_arrays([pa.array(scores), pa.array(spans, kind.field(1).type)], ["score", "spans"])
+            state.append(Known(Tagger(weights, chain).parts_of))
+        scores, spans = tag_batch(texts, chain, state[0])
+        return pa.StructArray.from_arrays([pa.array(scores), pa.array(spans, kind)], ["score", "spans"])
+
+    return docs.withColumn(free(docs, mark), text_udf(_TAGGED, tag, state.clear)(F.col(text_col).cast("string")))
+
 
-    return docs.withColumn(mark, tag(F.col(text_col)))
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_TAGGED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", _SPANS)])
