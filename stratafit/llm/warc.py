@@ -9,9 +9,13 @@ systems: any folder that driver and executors share.
 
 from __future__ import annotations
 
+import re
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from .common import shared_folder
+from .common import new_folder
 
 #: The columns of a record, and the headers that hold them.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
@@ -32,6 +36,12 @@ PARTITION_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
 
 
+#: What can't stand in a header line, percent-encoded in targets.
+_UNSAFE = re.compile(r"[\x00-\x20\x7f]")
+#: A gzip member's first bytes: flags, time, kind of packing, system, extra field of 8 bytes: its name, length and value.
+_MEMBER = struct.Struct("<4sIBBH2sHI")
+
+
 def _place(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
@@ -41,11 +51,72 @@ def record_bytes(row: dict) -> bytes:
     payload, revisit = row["payload"] or b"", row["record_type"] == "revisit"
     size = len(payload) if row.get("payload_bytes") is None else row["payload_bytes"]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size + (b"" if revisit else payload)
+    row = {**row, "target_uri": row["target_uri"] and _UNSAFE.sub(lambda m: quote(m[0]), row["target_uri"])}
     lines = ["WARC/1.1", *[f"{h}: {row[c]}" for c, h in HEADERS.items() if row.get(c) is not None]]
     lines += [f"WARC-Profile: {_PROFILE}"] * revisit + ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def member(data: bytes) -> bytes:
+    """One gzip member, as WARC readers expect for each record, whose extra field (sl) has the member's whole size, so that
+    a reader can step over it."""
+    packed = zlib.compressobj(6, zlib.DEFLATED, -zlib.MAX_WBITS)
+    body = packed.compress(data) + packed.flush()
+    size = _MEMBER.size + len(body) + 8
+    return _MEMBER.pack(b"\x1f\x8b\x08\x04", 0, 0, 255, 8, b"sl", 4, size) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+class _Member:
+    """read and readline over one gzip member, inflated no further than it is read."""
+
+    def __init__(self, file, at: int, end: int):
+        self.file, self.at, self.end, self.inflate, self.data, self.place = file, at, end, zlib.decompressobj(zlib.MAX_WBITS | 16), b"", 0
+
+    def _more(self, n: int) -> bool:
+        """n bytes more of the member, or as many as there are."""
+        out = b""
+        while not out and not self.inflate.eof:
+            packed = self.inflate.unconsumed_tail
+            if not packed:
+                self.file.seek(self.at)
+                packed = self.file.read(min(self.end - self.at, max(n, 1 << 12)))
+                self.at += len(packed)
+                if not packed:
+                    raise ValueError("a gzip member ends early")
+            out = self.inflate.decompress(packed, max(n, 1 << 12))
+        self.data, self.place = self.data[self.place :] + out, 0
+        return bool(out)
+
+    def read(self, n: int) -> bytes:
+        while len(self.data) - self.place < n and self._more(n - len(self.data) + self.place):
+            pass
+        out = self.data[self.place : self.place + n]
+        self.place += len(out)
+        return out
+
+    def readline(self) -> bytes:
+        while (end := self.data.find(b"\n", self.place)) < 0 and self._more(1):
+            pass
+        out = self.data[self.place : end + 1 if end >= 0 else len(self.data)]
+        self.place += len(out)
+        return out
+
+
+def members(file, size: int) -> Iterator[_Member]:
+    """The members of a file that ``member`` has written, found by their sizes alone; nothing if the first is of another kind."""
+    at = 0
+    while at < size:
+        file.seek(at)
+        head = file.read(_MEMBER.size)
+        if len(head) < _MEMBER.size or head[:4] != b"\x1f\x8b\x08\x04" or head[12:14] != b"sl":
+            if at:
+                raise ValueError("gzip members of two kinds in one file")
+            return
+        end = at + _MEMBER.unpack(head)[-1]
+        yield _Member(file, at, end)
+        at = end
+
+
 def _header_lines(stream) -> dict[bytes, bytes] | None:
     """The named fields up to the next empty line, names in lower case; None at the end of the file."""
     first = stream.readline()
@@ -60,14 +131,17 @@ def _header_lines(stream) -> dict[bytes, bytes] | None:
     return out
 
 
-def parse(stream, wanted: dict[str, frozenset[str]], payload: bool = True) -> Iterator[dict]:
-    """Records whose header fields have the wanted values. stream needs read and readline."""
+def parse(stream, wanted: dict[str, frozenset[str]], payload: bool = True, skip: bool = True) -> Iterator[dict]:
+    """Records whose header fields have the wanted values. stream needs read and readline; skip False: it holds one record,
+    and what isn't wanted of it is left."""
     while (head := _header_lines(stream)) is not None:
         if not head[b""].startswith(b"WARC/"):
             raise ValueError(f"not a WARC record: {head[b''][:40]!r}")
         length = int(head[b"content-length"])
         row = {c: head[h.lower().encode()].decode() if h.lower().encode() in head else None for c, h in HEADERS.items()}
         if any(row[c] not in values for c, values in wanted.items()):
+            if not skip:
+                return
             _skip(stream, length)
             continue
         if head.get(b"content-type", b"").startswith(b"application/http"):
@@ -82,8 +156,10 @@ def parse(stream, wanted: dict[str, frozenset[str]], payload: bool = True) -> It
         else:
             size = length
         row["payload_bytes"] = size
-        row["payload"] = stream.read(length) if payload else _skip(stream, length)
+        row["payload"] = stream.read(length) if payload else _skip(stream, length) if skip else None
         yield row
+        if not skip:
+            return
 
 
 def _skip(stream, length: int) -> None:
@@ -156,16 +232,27 @@ class _Reader(DataSourceReader):
         fs, _ = _place(self.path)
         rows, size = [], 0
         for path in partition.paths:
-            with fs.open_input_stream(path, compression="gzip" if path.endswith(".gz") else None) as raw:
-                for row in parse(_Buffered(raw), self.wanted, self.payload):
-                    rows.append(row)
-                    size += len(row["payload"] or b"") + 200
-                    if size > BATCH_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                        rows, size = [], 0
+            for row in self._records(fs, path):
+                rows.append(row)
+                size += len(row["payload"] or b"") + 200
+                if size > BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                    rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
+    def _records(self, fs: pafs.FileSystem, path: str) -> Iterator[dict]:
+        if path.endswith(".gz"):
+            with fs.open_input_file(path) as file:
+                found = False
+                for one in members(file, file.size()):
+                    found = True
+                    yield from parse(one, self.wanted, self.payload, skip=False)  # what is left of a member is stepped over
+                if found:
+                    return
+        with fs.open_input_stream(path, compression="gzip" if path.endswith(".gz") else None) as raw:
+            yield from parse(_Buffered(raw), self.wanted, self.payload)
+
 
 @dataclass
 class _Written(WriterCommitMessage):
@@ -183,8 +270,8 @@ class _Writer(DataSourceArrowWriter):
         for batch in iterator:
             for row in batch.to_pylist():
                 if out is None:
-                    out = fs.open_output_stream(f"{path}/_{self.job}/{name}", compression="gzip" if self.gzip else None)
-                out.write(record_bytes(row))
+                    out = fs.open_output_stream(f"{path}/_{self.job}/{name}", compression=None)
+                out.write(member(record_bytes(row)) if self.gzip else record_bytes(row))
         if out is None:
             return _Written()
         out.close()
@@ -230,26 +317,38 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """The rows of SCHEMA for pages: of equal payloads of ``least`` bytes or more the one with the largest id is the
     response and the others revisit it; all smaller ones are responses.
 
-    A null html is an empty payload, a null url leaves out the target. Among rows with equal ids and payloads one is the
-    response. Ids may be null: such a page is only the response if its payload has no other. Other columns aren't read.
+    A null html is an empty payload, a null url leaves out the target. Among rows with equal ids and payloads the one with
+    the largest url is the response; rows that are alike in all three are one response and revisits. Ids may be null: such
+    a page is only the response if its payload has no other. Other columns aren't read. Rows are told apart by what they
+    hold, never by their place, so any partitioning, and any task that is run again, gives the same records.
     """
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long"), "row": F.monotonically_increasing_id()})
-    best = rows.filter(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("copies"))
-    best = best.filter("copies > 1").select("digest", "best")  # payloads that stand once need no partner
-    rows = rows.join(best, "digest", "left")
-    revisit = F.col("best").isNotNull() & (F.col("payload_bytes") >= least) & (F.struct("id", "row") != F.col("best"))
+    rows = rows.withColumns({"digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
+    alike = rows.filter(F.col("payload_bytes") >= least).groupBy("digest", "id", "url").agg(F.count("*").alias("n"), F.max("payload_bytes").alias("size"))
+    best = alike.groupBy("digest").agg(F.max(F.struct("id", "url", "n", "size")).alias("best"), F.sum("n").alias("copies"))
+    best = best.filter("copies > 1").select("digest", F.struct("best.id", "best.url").alias("first"), "best.n", "best.size")  # payloads that stand once need no partner
+    joined = rows.join(best.select("digest", "first", "n"), "digest", "left")
+    is_first = F.struct("id", "url").eqNullSafe(F.col("first"))
+    revisit = F.col("first").isNotNull() & (F.col("payload_bytes") >= least) & ~is_first
+    null = F.lit(None)
+    columns = ["id", "url", "payload", "digest", "payload_bytes", "refers"]
+    single = joined.filter(F.col("first").isNull() | ~is_first | (F.col("n") == 1))
+    single = single.select("id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "payload_bytes", F.when(revisit, F.struct(F.col("first.id").alias("id"))).alias("refers"))
+    # Of rows alike in payload, id and url one has the payload, and the others are made from their number.
+    repeated = best.filter("n > 1")
+    one = rows.join(repeated.select("digest", "first"), "digest").filter(is_first).dropDuplicates(["digest"]).withColumn("refers", null.cast(single.schema["refers"].dataType)).select(*columns)
+    others = repeated.select("first.id", "first.url", null.cast("binary").alias("payload"), "digest", F.col("size").alias("payload_bytes"), F.struct(F.col("first.id").alias("id")).alias("refers"), F.explode(F.sequence(F.lit(2).cast("long"), "n"))).select(*columns)
     name = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x.cast("string"), F.lit("")), F.lit(">"))
-    return rows.select(
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
+    return single.unionByName(one).unionByName(others).select(
+        F.when(F.col("refers").isNotNull(), "revisit").otherwise("response").alias("record_type"),
         name(F.col("id")).alias("record_id"),
-        F.regexp_replace("url", r"[\x00-\x20]", "%20").alias("target_uri"),
+        F.col("url").alias("target_uri"),
         F.lit("1970-01-01T00:00:00Z").alias("date"),
         F.concat(F.lit("sha1:"), "digest").alias("payload_digest"),
-        F.when(revisit, name(F.col("best.id"))).alias("refers_to"),
+        F.when(F.col("refers").isNotNull(), name(F.col("refers.id"))).alias("refers_to"),
         "payload_bytes",
-        F.when(~revisit, F.col("payload")).alias("payload"),
+        "payload",
     )
 
 
@@ -271,7 +370,7 @@ def through_archive(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     table gives an empty result.
     """
     spark = pages.sparkSession
-    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_folder(spark, "warc")
     id_type = pages.schema[id_col].dataType.simpleString()
     archive(pages, path, id_col=id_col)
     whole = read_archive(spark, path).filter(F.col("record_type") == "response").withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
