@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, struct_type
+from .common import bounded_batches, dropped, free, materialise, text_udf
 
 #: Bytes in a row of the images that ``stored`` makes: 64 pixels of 3 samples.
 ROW = 192
-#: Side of the thumbnail, and of the tiles that it is cut to.
-SIDE, TILE = 32, 16
+#: Side of the thumbnail, and of the tiles that it is cut to; images of texts are 64 wide and, in the mean, lower than 16.
+SIDE, TILE = 16, 8
 
 _HEADER = re.compile(rb"P([2356])((?:\s|#[^\n]*\n)+)(\d+)((?:\s|#[^\n]*\n)+)(\d+)((?:\s|#[^\n]*\n)+)(\d+)\s")
 
@@ -30,7 +30,7 @@ def encode_netpbm(image: np.ndarray) -> bytes:
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P2, P3 (text) and P5, P6 (binary) of at most 255 levels."""
+    """P2, P3 (text) and P5, P6 (binary) of at most 255 levels, scaled to 255."""
     m = _HEADER.match(data)
     if not m or not 0 < int(m[7]) < 256:
         raise ValueError("not a supported Netpbm image")
@@ -39,6 +39,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         flat = np.array(data[m.end() :].split()[: w * h * depth], np.uint8)
     else:
         flat = np.frombuffer(data, np.uint8, w * h * depth, m.end())
+    if (top := int(m[7])) < 255:
+        flat = ((np.minimum(flat, top).astype(np.uint16) * 255 + top // 2) // top).astype(np.uint8)
     return flat.reshape((h, w, 3) if depth == 3 else (h, w))
 
 
@@ -124,25 +126,27 @@ def image_of(payload: bytes) -> bytes:
     return encode_bmp(image) if zlib.crc32(payload) & 1 else encode_netpbm(image)
 
 
-@F.arrow_udf(struct_type("n_bytes long, media binary"))
-def _stored(text: pa.Array) -> pa.Array:
-    texts = text.to_pylist()
-    return pa.StructArray.from_arrays([pa.array([len(x or b"") for x in texts], pa.int64()), pa.array([image_of(payload_of(x)) for x in texts], pa.binary())], ["n_bytes", "media"])
+def _store(texts: pa.Array) -> pa.Array:
+    raw = texts.to_pylist()
+    return pa.StructArray.from_arrays([pa.array([len(x or b"") for x in raw], pa.int64()), pa.array([image_of(payload_of(x)) for x in raw], pa.binary())], ["n_bytes", "media"])
+
+
+_stored = text_udf("n_bytes long, media binary", _store)
 
 
 def stored(docs: DataFrame, text_col: str = "text", mark: str = "__media") -> DataFrame:
     """docs, all rows and columns, with a struct ``mark``: n_bytes of the text as UTF-8, and media, its bytes as an image.
 
-    A null text counts as an empty one, which is one row of spaces. Equal texts have equal images.
+    A null text counts as an empty one, which is one row of spaces. Equal texts, repeated rows too, have equal images; very long
+    ones are stored whole. An empty table gives an empty result. A column of docs named like the mark raises an error.
     """
-    return docs.withColumn(mark, _stored(F.col(text_col).cast("binary")))
+    return docs.withColumn(free(docs, mark), _stored(F.col(text_col).cast("binary")))
 
 
 _FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tiles array<binary>"
 
 
-@F.arrow_udf(struct_type(_FEATURES))
-def _described(media: pa.Array) -> pa.Array:
+def _describe(media: pa.Array) -> pa.Array:
     out = []
     for data in media.to_pylist():
         if data is None:
@@ -156,17 +160,31 @@ def _described(media: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([x and x[i] for x in out], k) for i, k in enumerate(kinds)], names)
 
 
+_described = text_udf(_FEATURES, _describe)
+
+
 def described(media: DataFrame, media_col: str, mark: str = "__features") -> DataFrame:
     """media, all rows and columns, with a struct ``mark`` of what the decoded images give: see _FEATURES.
 
-    Null media give null fields. Bytes that are no supported image raise an error.
+    Null media give null fields. Bytes that are no supported image raise an error, as does a column named like the mark.
     """
-    return media.withColumn(mark, _described(F.col(media_col)))
+    return media.withColumn(free(media, mark), _described(F.col(media_col)))
+
+
+def tiles(rows: DataFrame, id_col: str, tiles_col: str = "tiles") -> DataFrame:
+    """(id_col, tile, npy): a row for each tile, numbered from 0, row by row of the image; npy is a whole NPY file."""
+    return rows.select(id_col, F.posexplode(tiles_col).alias("tile", "npy"))
 
 
 def through_storage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_bytes, the fields of _FEATURES), a row for each row of docs: written as images, read back, decoded."""
+    """(id_col, n_bytes, the fields of _FEATURES), a row for each row of docs: written as images, read back and decoded; the tiles
+    of the thumbnails are written as NPY files, in a column, and read back too.
+
+    Null ids and repeated rows are rows as others; see ``stored`` for texts. Other columns aren't read.
+    """
     bounded_batches(docs.sparkSession)
-    rows = stored(docs.select(id_col, text_col), text_col).select(F.col(id_col), "__media.*")
-    back = materialise(rows, "media")
-    return described(back, "media").select(id_col, "n_bytes", "__features.*")
+    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", "__media.*")
+    media = materialise(rows, "media")
+    out = materialise(described(media, "media").select("id", "n_bytes", "__features.*"), "tiles")
+    dropped(media)
+    return out.withColumnRenamed("id", id_col)
