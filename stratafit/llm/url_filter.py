@@ -1,11 +1,12 @@
 """URL filters: given rules first, then a tree of path templates for each host, judged by labelled purity.
 
-The tree is built level by level. At each level the segments under one template prefix are counted; where they vary
-(many distinct ones that seldom repeat) all of them become a wildcard, else each stays a branch. Segments that are
-numbers, hexadecimal strings or dates in digits are wildcards from the start, file extensions apart. Sibling branches
-whose labelled shares don't differ significantly from what their parent has are merged. A template's purity is its share
-of bad labels, smoothed towards its host's, and that towards the share in all; templates at or above the limit are
-blocked. Only counts by template are shuffled; a level's decisions join back by (host, prefix).
+The tree stands on the distinct (host, segments) of the urls with counts of rows and labels, not on the rows. Downwards, level by
+level, the segments under one template prefix are counted; where they vary (many distinct ones that seldom repeat) all of them
+become a wildcard, else each stays a branch. Segments that are numbers, hexadecimal strings or dates in digits are wildcards from
+the start, file extensions apart. Upwards, from the deepest level, sibling branches whose labelled shares don't differ
+significantly from what they have together are merged into a wildcard; branches without labels have shown no likeness and stay. A
+template's purity is its share of bad labels, smoothed towards its host's, and that towards the share in all; templates at or
+above the limit are blocked. Only counts by template are shuffled, and one join gives the templates back to the rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import dropped, kept, materialise
 
 WILDCARD = "*"
 
@@ -29,12 +30,13 @@ class Settings:
     distinct: int = 20
     #: ... of which there are this many for each url.
     variety: float = 0.2
-    #: Branches merge if their share of bad labels is within so many standard errors of their parent's.
+    #: Branches merge if their share of bad labels is within so many standard errors of that of all siblings.
     deviations: float = 3.0
     #: Pseudo-labels by which a share is drawn to that of the level above.
     smoothing: float = 10.0
-    #: Templates with this purity or more are blocked.
+    #: Templates are blocked from this purity on, or from so many times the share of bad labels in all if that is less.
     purity: float = 0.5
+    lift: float = 2.0
 
 
 def host_of(url: Column) -> Column:
@@ -69,64 +71,91 @@ def _first_form(segment: Column) -> Column:
     return F.when(form.startswith(WILDCARD), form).otherwise(segment)
 
 
-def templates(urls: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """urls (host, path, anything else) with a column template, such as /news/*/edit."""
-    segments = F.filter(F.split("path", "/"), lambda x: x != "")
-    rows = urls.withColumns({"__segs": F.transform(segments, _first_form), "template": F.lit("")})
-    for level in range(settings.depth):
+def segments(path: str, settings: Settings) -> Column:
+    """The path's segments in their first form, and one tail wildcard for those beyond the depth."""
+    all_of = F.filter(F.split(path, "/"), lambda x: x != "")
+    first = F.transform(F.slice(all_of, 1, settings.depth), _first_form)
+    return F.when(F.size(all_of) > settings.depth, F.concat(first, F.array(F.lit("**")))).otherwise(first)
+
+
+def tree(urls: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(host, segs, template, merged, n, labels, bad), written: the distinct segments of urls (host, path, bad: 1, 0 or null) with
+    their template, an array; merged is the same, before branches are merged."""
+    rows = urls.select("host", segments("path", settings).alias("segs"), "bad")
+    rows = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("labels"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+    rows = materialise(rows.withColumn("template", F.col("segs")), "tree")
+    deepest = rows.agg(F.max(F.size("segs"))).first()[0] or 0
+    for level in range(min(deepest, settings.depth)):
         # What may vary: literal segments. A group's children are counted by their distinct values first.
-        here = rows.withColumn("__seg", F.get("__segs", F.lit(level)))
+        here = rows.withColumns({"__up": F.slice("template", 1, level), "__seg": F.get("template", F.lit(level))})
         literal = here.filter(F.col("__seg").isNotNull() & ~F.col("__seg").startswith(WILDCARD))
-        children = literal.groupBy("host", "template", "__seg").agg(F.count("*").alias("n"))
-        nodes = children.groupBy("host", "template").agg(F.count("*").alias("distinct"), F.sum("n").alias("n"))
-        variable = nodes.filter((F.col("distinct") >= settings.distinct) & (F.col("distinct") >= settings.variety * F.col("n"))).select("host", "template", F.lit(True).alias("__varies"))
-        here = here.join(variable, ["host", "template"], "left")
-        segment = F.when(F.col("__varies") & ~F.col("__seg").startswith(WILDCARD), F.lit(WILDCARD)).otherwise(F.col("__seg"))
-        rows = here.withColumn("template", F.when(F.col("__seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), segment))).drop("__seg", "__varies")
-        rows = materialise(rows, "level")
-    deeper = F.size("__segs") > settings.depth
-    return rows.withColumn("template", F.when(deeper, F.concat("template", F.lit("/**"))).when(F.col("template") == "", "/").otherwise(F.col("template"))).drop("__segs")
-
+        children = literal.groupBy("host", "__up", "__seg").agg(F.sum("n").alias("n"))
+        nodes = children.groupBy("host", "__up").agg(F.count("*").alias("distinct"), F.sum("n").alias("n"))
+        variable = nodes.filter((F.col("distinct") >= settings.distinct) & (F.col("distinct") >= settings.variety * F.col("n"))).select("host", "__up", F.lit(True).alias("__varies"))
+        here = here.join(variable, ["host", "__up"], "left")
+        wild = F.col("__varies") & F.col("__seg").isNotNull() & ~F.col("__seg").startswith(WILDCARD)
+        rows = _replaced(rows, here, "template", wild, level)
+    return rows.withColumn("merged", F.col("template"))
+
+
+def _replaced(rows: DataFrame, here: DataFrame, column: str, wild: Column, level: int) -> DataFrame:
+    """rows, written anew, with a wildcard in the column's place level where wild holds."""
+    template = F.when(wild, F.transform(column, lambda x, i: F.when(i == level, WILDCARD).otherwise(x))).otherwise(F.col(column))
+    out = materialise(here.withColumn(column, template).select(*rows.columns), "tree")
+    dropped(rows)
+    return out
 
-def judged_templates(labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(host, template, merged, labels, bad, purity, blocked) from rows (host, template, bad: 1, 0 or null).
 
-    merged: the template, or its parent's with a wildcard at the end where its siblings were merged.
-    """
-    counts = labelled.groupBy("host", "template").agg(F.count("bad").alias("labels"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    counts = materialise(counts.withColumn("parent", F.regexp_replace("template", r"/[^/]*$", "")), "templates")
-    overall = counts.agg(F.sum("labels").alias("all_labels"), F.sum("bad").alias("all_bad"))
-    base = F.coalesce(F.col("all_bad"), F.lit(0)) / F.greatest(F.col("all_labels"), F.lit(1))
+def merged(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The tree with branches merged in its column merged, from the deepest level up: a branch whose bad labels are within ``deviations`` standard errors
+    of the share of all siblings together joins the others for which that holds, if there are any."""
+    deepest = rows.agg(F.max(F.size("merged"))).first()[0] or 0
+    for level in reversed(range(deepest)):
+        here = rows.withColumns({"__up": F.slice("merged", 1, level), "__seg": F.get("merged", F.lit(level))})
+        branches = here.filter("__seg is not null").groupBy("host", "__up", "__seg").agg(F.sum("labels").alias("l"), F.sum("bad").alias("b"))
+        parents = branches.groupBy("host", "__up").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"))
+        share = F.col("pb") / F.col("pl")
+        z = F.abs(F.col("b") - F.col("l") * share) / F.sqrt(F.greatest(F.col("l") * share * (1 - share), F.lit(1e-9)))
+        alike = branches.filter("l > 0").join(parents, ["host", "__up"]).filter(z <= settings.deviations).select("host", "__up", "__seg")
+        several = alike.groupBy("host", "__up").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
+        joins = alike.join(several, ["host", "__up"]).withColumn("__joins", F.lit(True))
+        rows = _replaced(rows, here.join(joins, ["host", "__up", "__seg"], "left"), "merged", F.coalesce("__joins", F.lit(False)), level)
+    return rows
+
+
+def judged_templates(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(host, merged, labels, bad, purity, blocked) from rows (host, merged, labels, bad)."""
+    groups = rows.groupBy("host", "merged").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
+    hosts = groups.groupBy("host").agg(F.sum("labels").alias("hl"), F.sum("bad").alias("hb"))
+    overall = hosts.agg((F.sum("hb") / F.greatest(F.sum("hl"), F.lit(1))).alias("base"))
     k = F.lit(settings.smoothing)
-    hosts = counts.groupBy("host").agg(F.sum("labels").alias("hl"), F.sum("bad").alias("hb"))
-    hosts = hosts.join(F.broadcast(overall), F.lit(True)).select("host", ((F.col("hb") + k * base) / (F.col("hl") + k)).alias("host_purity"))  # overall: one row
-    parents = counts.groupBy("host", "parent").agg(F.sum("labels").alias("pl"), F.sum("bad").alias("pb"))
-    rows = counts.join(parents, ["host", "parent"]).join(hosts, "host")
-    p = (F.col("pb") + k * F.col("host_purity")) / (F.col("pl") + k)
-    z = F.abs(F.col("bad") - F.col("labels") * p) / F.sqrt(F.greatest(F.col("labels") * p * (1 - p), F.lit(1e-9)))
-    rows = rows.withColumn("merged", F.when((F.col("labels") == 0) | (z <= settings.deviations), F.concat("parent", F.lit("/" + WILDCARD))).otherwise(F.col("template")))
-    groups = rows.groupBy("host", "merged").agg(F.sum("labels").alias("gl"), F.sum("bad").alias("gb"), F.first("host_purity").alias("hp"))
-    groups = groups.select("host", "merged", ((F.col("gb") + k * F.col("hp")) / (F.col("gl") + k)).alias("purity"))
-    return rows.join(groups, ["host", "merged"]).select("host", "template", "merged", "labels", "bad", "purity", (F.col("purity") >= settings.purity).alias("blocked"))
+    base = F.coalesce("base", F.lit(0.0))
+    hosts = hosts.join(F.broadcast(overall), F.lit(True)).select("host", base.alias("base"), ((F.col("hb") + k * base) / (F.col("hl") + k)).alias("host_purity"))  # overall: one row
+    purity = (F.col("bad") + k * F.col("host_purity")) / (F.col("labels") + k)
+    limit = F.when(F.col("base") > 0, F.least(F.lit(settings.purity), settings.lift * F.col("base"))).otherwise(F.lit(settings.purity))
+    return groups.join(hosts, "host").select("host", "merged", "labels", "bad", purity.alias("purity"), (purity >= limit).alias("blocked"))
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = (), id_col: str = "page_id", url_col: str = "url", settings: Settings = Settings()) -> DataFrame:
-    """(id_col, host, path, rule, verdict, template, purity), a row for each row of pages.
+    """(id_col, host, path, rule, verdict, template, merged, purity), a row for each row of pages.
 
     labels: (key, bad), where key is the number that ends a url's path (the document the page carries) and bad 1 or 0;
     null and repeated keys are left out (of repeated ones the worst label stays). A rule decides where one fits; else the
     template's purity. Null urls and ones without :// have an empty host and path and the template /. Without labels
-    nothing is blocked but by rules. Repeated rows are judged each. Other columns aren't read.
+    nothing is blocked but by rules. Repeated rows are judged each, and weigh as often. An empty table gives an empty result. Other
+    columns aren't read. Very long paths count with their first segments.
     """
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("__id"), host_of(url).alias("host"), path_of(url).alias("path"))
     key = F.regexp_extract("path", r"([0-9]{1,18})[^0-9/]*/?$", 1)
-    rows = rows.withColumn("key", F.when(key != "", key.cast("long")))
     known = labels.filter("key is not null and bad is not null").groupBy("key").agg(F.max("bad").alias("bad"))
-    rows = materialise(rows.join(known, "key", "left"), "urls")
-    rows = materialise(templates(rows, settings), "templated")
-    found = judged_templates(rows, settings).select("host", "template", "purity", "blocked")
+    labelled = rows.withColumn("key", F.when(key != "", key.cast("long"))).join(known, "key", "left")
+    with kept("verdicts"):
+        found = merged(tree(labelled, settings), settings)
+        path_form = lambda c: F.concat(F.lit("/"), F.array_join(c, "/")).alias(c)
+        judged_ones = judged_templates(found, settings).drop("labels", "bad")
+        verdicts = materialise(found.join(judged_ones, ["host", "merged"]).select("host", "segs", path_form("template"), path_form("merged"), "purity", "blocked"), "verdicts")
     rule = F.col("__rule")
-    out = rows.join(found, ["host", "template"], "left").withColumn("__rule", rule_for(F.col("host"), F.col("path"), rules))
+    out = rows.withColumn("segs", segments("path", settings)).join(verdicts, ["host", "segs"], "left").withColumn("__rule", rule_for(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(rule["verdict"], F.when(F.col("blocked"), "block").otherwise("allow"))
-    return out.select(F.col("__id").alias(id_col), "host", "path", rule["rule"].alias("rule"), verdict.alias("verdict"), "template", "purity")
+    return out.select(F.col("__id").alias(id_col), "host", "path", rule["rule"].alias("rule"), verdict.alias("verdict"), "template", "merged", "purity")
