@@ -17,32 +17,37 @@ classes are looked up in bitmaps of fixed size, where hashes may collide.
 
 Large groups of near copies are not expanded into pairs. In a bucket (sets with the same signature) every member is compared
 with one pivot, the member with the fewest shingles of its own (the text of which the others are copies, if it is there).
-Let o(a) be the shingles that a shares with the pivot p, missing(a) those of p that it lacks and rest(a) its others. Two
-members a, b share
-
-    o(a) + o(b) - |p| + |missing(a) and missing(b)| + |rest(a) and rest(b)|
-
-shingles. That decides pairs of members of different components without their texts, as a condition of the join of a
-pivot's members with each other, after cheaper bounds from the sizes: pairs that aren't similar are never rows.
+For a member a let diff(a) be the shingles in which it differs from its pivot, those that it lacks and those that it has besides.
+Two members differ in |diff(a)| + |diff(b)| - 2 |diff(a) and diff(b)| shingles, and are similar if that is at most
+c (|a| + |b|), c = (1 - t) / (1 + t) for the threshold t; with excess(a) = |diff(a)| - c |a|, if they share at least
+(excess(a) + excess(b)) / 2 shingles of their diffs. Only pairs in which one isn't similar to the pivot are still in question:
+
+* where the excesses of a pair add up to nothing or less it is similar for certain. Each member is linked to the bucket's member of
+  least excess where that is so; all such pairs are connected through it.
+* other similar pairs share shingles of their diffs, and meet in second signatures: the pivot with shingles of the prefix of the
+  diff. Its length follows from the least excess of the possible partners. The order of a diff is that of the first signatures, its
+  rare shingles first and what the pivot has and a member lacks behind, and last of all those that many members of the pivot have
+  in their diffs. Pairs that meet where enough of both diffs lies behind are verified by their diffs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORDS, bounded_batches, materialise, mixed, shingle_set
+from .common import bounded_batches, dropped, free, kept, materialise, mixed, release, shingle_sets, slices
 
 #: A shingle is rare up to this number of documents, and frequent beyond.
 RARE_UP_TO = 8
-#: Bits of a bitmap (16 MB), and how many of them may be set: classes begin at higher frequencies in larger corpora.
+#: Bits of a bitmap (16 MB) at most, and how many of them may be set: classes begin at higher frequencies in larger corpora.
 BITS, LOAD = 1 << 27, 1 << 25
+#: A shingle is frequent among the diffs of a pivot's members beyond this number of them.
+OFTEN_IN_DIFFS = 8
 #: Ids of sets that may be broadcast (8 bytes each). Candidate search uses the upper 48 bits of the hashes; the blocks are these shares of their range.
 FEW = 100_000
 SHIFT, BLOCK = np.uint64(16), int(0.3 * (1 << 48))
@@ -85,7 +90,7 @@ def stored_tokens(h: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _has(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    at = (tokens % np.uint64(BITS)).astype(np.int64)
+    at = (tokens & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1
 
 
@@ -122,12 +127,6 @@ def signatures(tokens: np.ndarray, n: int, percent: int, twice: np.ndarray, ofte
     return np.unique(np.concatenate(out))
 
 
-def _sets(text: pa.Array, width: int) -> Iterator[np.ndarray]:
-    WORDS.trim()
-    for x in text.to_pylist():
-        yield shingle_set(x, width)
-
-
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)])
     values = np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)
@@ -136,21 +135,29 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def _described(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     def describe(batches):
-        for b in batches:
-            sets = list(_sets(b.column(1), width))
-            columns = [b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(set_id, sets), pa.int64()), _lists([stored_tokens(h, percent) for h in sets]), b.column(1)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sid", "tokens", "text"])
+        try:
+            for b in batches:
+                at = 0
+                for texts in slices(b.column(1)):
+                    sets = shingle_sets(texts, width)
+                    columns = [b.column(0).slice(at, len(texts)), pa.array(map(len, sets), pa.int64()), pa.array(map(set_id, sets), pa.int64()), _lists([stored_tokens(h, percent) for h in sets]), texts]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sid", "tokens", "text"])
+                    at += len(texts)
+        finally:
+            release()
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(describe, f"id {id_type}, n long, sid long, tokens array<long>, text binary")
 
 
-def _bitmap(rows: DataFrame, column: str) -> np.ndarray:
-    """The bits of the column's values modulo BITS, or-ed together on the executors; 16 MB for any number of rows."""
-    bit = F.pmod(column, F.lit(BITS))
+def _bitmap(rows: DataFrame, column: str, count: int) -> np.ndarray:
+    """The bits of the column's values, or-ed together on the executors: 8 bits or more for each of ``count`` values, up to BITS
+    (16 MB) for any number of rows."""
+    size = min(BITS, 1 << max(10, (8 * count - 1).bit_length()))
+    bit = F.pmod(column, F.lit(size))
     words = rows.select(F.shiftright(bit, 6).alias("word"), (bit % 64).cast("int").alias("place"))
     words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits")).toArrow()
-    out = np.zeros(BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out.view(np.uint8)
 
@@ -160,45 +167,50 @@ def _classes(described: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
     tokens = described.select(F.explode("tokens").alias("token")).filter(F.col("token") < BLOCK)
     counted = materialise(tokens.groupBy("token").agg(F.count("*").alias("docs")).filter("docs > 1"), "tokens")
     sizes = {r["c"]: r["n"] for r in counted.groupBy(F.least("docs", F.lit(1000)).alias("c")).agg(F.count("*").alias("n")).collect()}
-
-    def least(start: int) -> int:
-        return next((c for c in range(start, 1001) if sum(n for k, n in sizes.items() if k >= c) <= LOAD), 1001)
-
+    above = lambda c: sum(n for k, n in sizes.items() if k >= c)
+    least = lambda start: next((c for c in range(start, 1001) if above(c) <= LOAD), 1001)
     low, high = least(2), least(RARE_UP_TO + 1)
-    return _bitmap(counted.filter(F.col("docs") >= low), "token"), _bitmap(counted.filter(F.col("docs") >= high), "token"), low > 2
+    out = *(_bitmap(counted.filter(F.col("docs") >= c), "token", above(c)) for c in (low, high)), low > 2
+    dropped(counted)
+    return out
 
 
-def _buckets(described: DataFrame, percent: int) -> DataFrame:
-    """(bucket, low, high, sid, n, once): sets that share a signature; buckets with the same members are one. once: the set's
-    shingles that no other set has, in the first block."""
-    shared = described.sparkSession.sparkContext.broadcast(_classes(described))
+def _buckets(described: DataFrame, percent: int, shared: Broadcast) -> DataFrame:
+    """(bucket, low, high, sid, once), written: sets that share a signature; buckets with the same members are one. once: the
+    set's shingles that no other set has, in the first block. shared: what ``_classes`` gives."""
 
     def signed(batches):
         twice, often, singles_meet = shared.value
-        for b in batches:
-            lists = b.column(2)
-            flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-            sigs = [signatures(flat[i:j], n, percent, twice, often, singles_meet) for i, j, n in zip(ends[:-1], ends[1:], b.column(1).to_pylist(), strict=True)]
-            once = [int(((_has(twice, flat[i:j]) == 0) & (flat[i:j] < BLOCK)).sum()) for i, j in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(once, pa.int32()), _lists(sigs)], ["sid", "n", "once", "sigs"])
-
-    postings = described.filter("sid is not null").select("sid", F.col("n").cast("int"), "tokens").mapInArrow(signed, "sid long, n int, once int, sigs array<long>").select(F.explode("sigs").alias("sig"), "sid", "n", "once")
-    w = Window.partitionBy("sig")
-    grouped = postings.select("sid", "n", "once", F.min("sid").over(w).alias("low"), F.max("sid").over(w).alias("high"), F.sum(F.shiftright(F.xxhash64("sid"), 33)).over(w).alias("bucket"))
-    return grouped.filter("low < high").select("bucket", "low", "high", "sid", "n", "once").distinct()
+        try:
+            for b in batches:
+                lists = b.column(2)
+                flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+                sigs = [signatures(flat[i:j], n, percent, twice, often, singles_meet) for i, j, n in zip(ends[:-1], ends[1:], b.column(1).to_pylist(), strict=True)]
+                once = [int(((_has(twice, flat[i:j]) == 0) & (flat[i:j] < BLOCK)).sum()) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(once, pa.int32()), _lists(sigs)], ["sid", "once", "sigs"])
+        finally:
+            release()
+
+    each = described.filter("sid is not null").select("sid", F.col("n").cast("int"), "tokens").mapInArrow(signed, "sid long, once int, sigs array<long>").select(F.explode("sigs").alias("sig"), "sid", "once")
+    postings = materialise(each.groupBy("sig", "sid").agg(F.first("once").alias("once")), "postings")  # equal texts have one
+    groups = postings.groupBy("sig").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.sum(F.shiftright(F.xxhash64("sid"), 33)).alias("bucket")).filter("low < high")
+    out = materialise(postings.join(groups, "sig").select("bucket", "low", "high", "sid", "once").distinct(), "buckets")
+    dropped(postings)
+    return out
 
 
 def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of texts (sid, text) whose sid is among ids (sid, distinct), and perhaps some more. Up to FEW ids are broadcast;
-    of more a bitmap is, whose size is fixed. Either way the other texts aren't shuffled."""
-    if ids.limit(FEW + 1).count() <= FEW:
+    of more a bitmap is, whose size is bounded. Either way the other texts aren't shuffled."""
+    count = ids.count()
+    if count <= FEW:
         return texts.join(F.broadcast(ids), "sid", "left_semi")
-    shared = texts.sparkSession.sparkContext.broadcast(_bitmap(ids, "sid"))
+    shared = texts.sparkSession.sparkContext.broadcast(_bitmap(ids, "sid", count))
 
     @F.arrow_udf(T.BooleanType())
     def likely(sid: pa.Array) -> pa.Array:
         values = sid.to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.array(_has(shared.value, np.mod(values, BITS).view(np.uint64)) == 1)
+        return pa.array(_has(shared.value, values.view(np.uint64)) == 1)
 
     return texts.filter(likely("sid"))
 
@@ -209,27 +221,36 @@ def _texts_of(described: DataFrame, members: DataFrame) -> DataFrame:
     return _only(rows, members).join(members, "sid", "left_semi").dropDuplicates(["sid"])
 
 
-_COMPARED = T.StructType([T.StructField("o", T.IntegerType()), T.StructField("np", T.IntegerType()), T.StructField("nm", T.IntegerType()), T.StructField("rest", T.ArrayType(T.LongType())), T.StructField("missing", T.ArrayType(T.LongType()))])
+_COMPARED = T.StructType([T.StructField("o", T.IntegerType()), T.StructField("np", T.IntegerType()), T.StructField("nm", T.IntegerType()), T.StructField("diff", T.ArrayType(T.LongType())), T.StructField("quiet", T.IntegerType())])
 
 
-def _compared(percent: int, width: int):
-    """Of a pair of texts: the shingles in common, both sizes, and, where they are wanted, the second's other shingles and those
-    of the first that it misses."""
+def ordered_diff(left: np.ndarray, right: np.ndarray, twice: np.ndarray, often: np.ndarray, singles_meet: bool) -> tuple[np.ndarray, int]:
+    """The shingles of right that left lacks, those found once in the corpus first, then the rare, the unknown (outside the first
+    block) and the frequent ones; then those of left that right lacks. And how many at the beginning meet nobody."""
+    rest, missing = np.setdiff1d(right, left, assume_unique=True), np.setdiff1d(left, right, assume_unique=True)
+    tokens = rest >> SHIFT
+    rank = np.where(tokens < BLOCK, np.array([0, 1, 3])[_has(twice, tokens) + _has(often, tokens)], 2)
+    return np.concatenate([rest[np.argsort(rank, kind="stable")], missing]), 0 if singles_meet else int((rank == 0).sum())
+
+
+def _compared(width: int, shared: Broadcast):
+    """Of a pair of texts: the shingles in common, both sizes, and, where they are wanted, the shingles that only one has."""
 
     @F.arrow_udf(_COMPARED)
     def compared(a: pa.Array, b: pa.Array, wanted: pa.Array) -> pa.Array:
-        WORDS.trim()
-        numbers, rests, missing, last, left = [], [], [], None, np.empty(0, np.uint64)
-        for x, y, wide in zip(a.to_pylist(), b.to_pylist(), wanted.to_pylist(), strict=True):
-            if x != last:
-                last, left = x, shingle_set(x, width)
-            right = shingle_set(y, width)
-            common = np.intersect1d(left, right, assume_unique=True)
-            numbers.append((len(common), len(left), len(right)))
-            rests.append(np.setdiff1d(right, common, assume_unique=True) if wide else right[:0])
-            missing.append(np.setdiff1d(left, common, assume_unique=True) if wide else right[:0])
+        numbers, diffs, quiets, at = [], [], [], 0
+        left = a.dictionary_encode()  # a pivot stands with many members
+        pivots = [s for x in slices(left.dictionary) for s in shingle_sets(x, width)]
+        for texts in slices(b):
+            for p, wide, right in zip(left.indices.slice(at, len(texts)).to_pylist(), wanted.slice(at, len(texts)).to_pylist(), shingle_sets(texts, width), strict=True):
+                both = np.sort(np.concatenate([pivots[p], right]), kind="stable")
+                numbers.append((int((both[1:] == both[:-1]).sum()), len(pivots[p]), len(right)))
+                diff, quiet = ordered_diff(pivots[p], right, *shared.value) if wide else (right[:0], 0)
+                diffs.append(diff)
+                quiets.append(quiet)
+            at += len(texts)
         columns = list(zip(*numbers, strict=True)) or [[]] * 3
-        return pa.StructArray.from_arrays([*[pa.array(c, pa.int32()) for c in columns], _lists(rests), _lists(missing)], ["o", "np", "nm", "rest", "missing"])
+        return pa.StructArray.from_arrays([*[pa.array(c, pa.int32()) for c in columns], _lists(diffs), pa.array(quiets, pa.int32())], ["o", "np", "nm", "diff", "quiet"])
 
     return compared
 
@@ -240,7 +261,7 @@ def _changed(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for nodes of undirected edges (u, v) of longs.
+    """(node, component), written: the smallest node reachable, for nodes of undirected edges (u, v) of longs.
 
     Alternates large-star and small-star steps, each one aggregation and one join, until the edges stay the same.
     """
@@ -256,47 +277,92 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         with_low = lowest(down)
         small = with_low.select(F.col("v").alias("u"), F.col("m").alias("v")).union(with_low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = materialise(small, "stars")
+        before, edges = edges, materialise(small, "stars")
+        dropped(before)
         now = _changed(edges)
         if now == seen:
             break
         seen = now
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    out = materialise(nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "components")
+    dropped(edges)
+    return out
 
 
 def _linked(described: DataFrame, width: int, percent: int) -> DataFrame | None:
     """(node, component) over the set ids that are similar to another set; None if no sets share a signature."""
-    buckets = materialise(_buckets(described, percent), "buckets")
+    shared = described.sparkSession.sparkContext.broadcast(_classes(described))
+    buckets = _buckets(described, percent, shared)
     texts = materialise(_texts_of(described, buckets.select("sid").distinct()), "candidates")
-    compared = _compared(percent, width)
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        """pairs (p, m, wide) with o, np, nm, rest, missing."""
-        pairs = materialise(pairs, "pairs")
-        of = lambda c, name: _only(texts, pairs.select(F.col(c).alias("sid")).distinct()).select(F.col("sid").alias(c), F.col("text").alias(name))
-        both = pairs.join(of("m", "b"), "m").join(of("p", "a"), "p")
-        return both.withColumn("c", compared("a", "b", "wide")).select(*pairs.columns, "c.*")
-
-    is_link = (100 + percent) * F.col("o") >= percent * (F.col("np") + F.col("nm"))
-    w = Window.partitionBy("bucket", "low", "high")
+    compared = _compared(width, shared)
+    key = ["bucket", "low", "high"]
     rows = buckets.join(buckets.groupBy("sid").agg(F.count("*").alias("degree")), "sid")
-    rows = rows.withColumns({"p": F.max(F.struct(-F.col("once"), "degree", "sid")).over(w)["sid"], "wide": F.count("*").over(w) > 2})
-    pairs = rows.filter("sid <> p").groupBy("p", F.col("sid").alias("m")).agg(F.max("wide").alias("wide"))
-    done = materialise(compare(pairs).withColumn("linked", is_link), "compared")
+    pivots = rows.groupBy(*key).agg(F.max(F.struct(-F.col("once"), "degree", "sid"))["sid"].alias("p"), (F.count("*") > 2).alias("wide"))
+    pairs = materialise(buckets.select(*key, "sid").join(pivots, key).filter("sid <> p").groupBy("p", F.col("sid").alias("m")).agg(F.max("wide").alias("wide")), "pairs")
+    dropped(buckets)
+    of = lambda c, name: _only(texts, pairs.select(F.col(c).alias("sid")).distinct()).select(F.col("sid").alias(c), F.col("text").alias(name))
+    both = pairs.join(of("m", "b"), "m").join(of("p", "a"), "p").withColumn("c", compared("a", "b", "wide"))
+    is_link = (100 + percent) * F.col("o") >= percent * (F.col("np") + F.col("nm"))
+    done = materialise(both.select(*pairs.columns, "c.*").withColumn("linked", is_link), "compared")
+    shared.destroy()
+    dropped(pairs, texts)
     if done.isEmpty():
         return None
     links = done.filter("linked").select(F.col("p").alias("u"), F.col("m").alias("v"))
-    comp = components(links).select(F.col("node").alias("m"), "component")
-    members = done.filter("wide").join(comp, "m", "left").withColumn("component", F.coalesce("component", "m"))
-    # A pivot whose members are all similar to it has no pairs left; of two members one at least isn't.
-    left = members.filter("not linked").select("p", *[F.col(c).alias(f"{c}_a") for c in ("m", "o", "nm", "rest", "missing", "component")])
-    sizes = (100 * F.least("nm_a", "nm") >= percent * F.greatest("nm_a", "nm")) & (F.col("component_a") != F.col("component")) & (~F.col("linked") | (F.col("m_a") != F.col("m"))) & (F.col("linked") | (F.col("m_a") < F.col("m")))
-    needed = percent * (F.col("nm_a") + F.col("nm"))
-    bound = (100 + percent) * (F.least("o_a", "o") + F.least(F.col("nm_a") - F.col("o_a"), F.col("nm") - F.col("o"))) >= needed
-    common = F.col("o_a") + F.col("o") - F.col("np") + F.size(F.array_intersect("missing_a", "missing")) + F.size(F.array_intersect("rest_a", "rest"))
-    found = left.join(members, "p").filter(sizes & bound & ((100 + percent) * common >= needed)).select(F.col("m_a").alias("u"), F.col("m").alias("v"))
-    return components(materialise(links.union(found), "links"))
+    comp = components(links)
+    more = _links_of_members(done, comp, percent)
+    if more is None:
+        dropped(done)
+        return comp
+    known = comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    out = components(materialise(known.union(more), "links"))
+    dropped(done, comp)
+    return out
+
+
+def _links_of_members(done: DataFrame, comp: DataFrame, percent: int) -> DataFrame | None:
+    """(u, v): links of members of one pivot of which one isn't similar to it, of different components; None if there are no such
+    members. See the module's beginning."""
+    left = done.filter("wide and not linked")
+    if left.isEmpty():
+        return None
+    # In units of 1 / (100 + percent): (100 + percent) |diff| - (100 - percent) |a|.
+    excess = ((100 + percent) * F.size("diff").cast("long") - (100 - percent) * F.col("nm")).alias("excess")
+    members = done.filter("wide").join(left.select("p").distinct(), "p", "left_semi").join(comp.select(F.col("node").alias("m"), "component"), "m", "left")
+    members = materialise(members.select("p", "m", "nm", "linked", "diff", "quiet", F.coalesce("component", "m").alias("component"), excess), "members")
+    often = members.select("p", F.explode("diff").alias("sign")).groupBy("p", "sign").agg(F.count("*").alias("n")).filter(F.col("n") > OFTEN_IN_DIFFS)
+    often = often.groupBy("p").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "sign"))), lambda x: x["sign"]).alias("often"))  # an eighth of all at most
+    least = members.groupBy("p").agg(F.min(F.struct("excess", "m")).alias("low"), F.min(F.when(~F.col("linked"), F.col("excess"))).alias("least_left"), F.min(F.when(F.col("linked"), F.col("excess"))).alias("least_linked"))
+    with_least = members.join(least, "p")
+    sure = with_least.filter((F.col("excess") + F.col("low.excess") <= 0) & (F.col("m") != F.col("low.m"))).select(F.col("m").alias("u"), F.col("low.m").alias("v"))
+    last = F.array_intersect("often", "diff")  # in the order of often
+    with_order = with_least.join(often, "p", "left").withColumn("diff", F.when(F.col("often").isNull(), F.col("diff")).otherwise(F.concat(F.array_except("diff", "often"), last)))
+
+    def signs(rows: DataFrame, partner: str, side: str) -> DataFrame:
+        """(p, sign, side, its component, excess and the shingles behind the sign) of the prefixes for partners with the excess of the
+        column partner or more."""
+        need = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col(partner)) / (2.0 * (100 + percent))).cast("int"))
+        # Quiet shingles, the first ones, meet nobody.
+        prefix = F.slice("diff", F.col("quiet") + 1, F.greatest(F.lit(0), F.size("diff") - need + 1 - F.col("quiet")))
+        rows = rows.filter(F.col(partner).isNotNull())
+        rows = rows.select("p", F.col("m").alias(side), F.col("component").alias(f"c{side}"), F.col("excess").alias(f"e{side}"), (F.size("diff") - F.col("quiet") - 1).alias("behind"), F.posexplode(prefix).alias("at", "sign"))
+        return rows.withColumn(f"l{side}", F.col("behind") - F.col("at")).drop("behind", "at")
+
+    def meeting(a: DataFrame, b: DataFrame, further: Column) -> DataFrame:
+        # With the shingles behind the first one that a similar pair shares there must be as many as it has to share.
+        enough = 2 * (100 + percent) * (F.least("la", "lb") + 1) >= F.col("ea") + F.col("eb")
+        return a.join(b, ["p", "sign"]).filter((F.col("ca") != F.col("cb")) & further & enough).select("p", "a", "b").distinct()
+
+    rest, linked = with_order.filter("not linked"), with_order.filter("linked")
+    meet = meeting(signs(rest, "least_left", "a"), signs(rest, "least_left", "b"), F.col("a") < F.col("b"))
+    meet = meet.union(meeting(signs(rest, "least_linked", "a"), signs(linked, "least_left", "b"), F.lit(True)))
+    side = lambda x: members.select("p", F.col("m").alias(x), F.col("nm").alias(f"n{x}"), F.col("diff").alias(f"d{x}"))
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    similar = (100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))
+    found = meet.join(side("a"), ["p", "a"]).join(side("b"), ["p", "b"]).filter(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    out = materialise(sure.union(found), "links")
+    dropped(members)
+    return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -309,36 +375,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a component's id unless the component has no other. Columns of docs other than the two aren't read. An empty table
     gives an empty result.
     """
-    described, rows = _grouped(docs, id_col, text_col, width, percent)
-    lowest = rows.groupBy("comp").agg(F.min("id").alias("component_id"))
-    out = rows.join(lowest, "comp").select("id", "n", "component_id").union(described.filter("sid is null").select("id", "n", "id"))
+    rows = _grouped(docs, id_col, text_col, width, percent)
+    lowest = rows.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
+    out = rows.join(lowest, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n, sid, digest) of all rows, and (id, n, digest, comp) of those with shingles; digest is the hash of the text."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(id, n, digest, comp) of all rows, written; digest is the hash of the text, comp null without shingles."""
     bounded_batches(docs.sparkSession)
-    described = materialise(_described(docs, id_col, text_col, width, percent), "sets")
-    comp = _linked(described, width, percent)
-    described = described.select("id", "n", "sid", F.xxhash64("text").alias("digest"))
-    rows = described
-    if comp is not None:
-        rows = rows.join(comp.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
-    else:
-        rows = rows.withColumn("comp", F.col("sid"))
-    return described, rows.filter("sid is not null").select("id", "n", "digest", "comp")
+    with kept("grouped"):
+        described = materialise(_described(docs, id_col, text_col, width, percent), "sets")
+        comp = _linked(described, width, percent)
+        rows = described.select("id", "n", "sid", F.xxhash64("text").alias("digest"))
+        if comp is not None:
+            rows = rows.join(comp.select(F.col("node").alias("sid"), "component"), "sid", "left")
+        else:
+            rows = rows.withColumn("component", F.lit(None).cast("long"))
+        return materialise(rows.select("id", "n", "digest", F.coalesce("component", "sid").alias("comp")), "grouped")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, without near copies: the row with the smallest id of each component.
+    """The rows of docs, with all their columns, without near copies: of each component the row with the smallest id stays.
 
-    An id may stand on several texts: a row is known by its id and text, and of equal ones one stays. Rows without an id
-    can't be told apart and stay; so do empty texts, once for each id.
+    An id may stand on several texts: a row is known by its id and text, and of equal ids the text with the least hash stays.
+    Of rows alike in both, one stays (which one is undefined where other columns differ). Null ids come after all others. Rows
+    without shingles (null, empty and blank texts) are no copies: all of them stay. An empty table gives an empty result. Columns
+    named like the two that mark rows here raise an error.
     """
-    described, rows = _grouped(docs, id_col, text_col, width, percent)
-    first = rows.filter("id is not null").groupBy("comp").agg(F.min(F.struct("id", "digest")).alias("k")).select("k.*")
-    empty = described.filter("sid is null and id is not null").groupBy("id").agg(F.min("digest").alias("digest"))
-    keep = first.union(empty).select(F.col("id").alias("__keep_id"), F.col("digest").alias("__keep_digest"))
-    known = docs.withColumn("__digest", F.xxhash64(F.col(text_col).cast("binary")))
-    kept = known.join(keep, (F.col(id_col) == F.col("__keep_id")) & (F.col("__digest") == F.col("__keep_digest")), "left_semi")
-    return kept.dropDuplicates([id_col, "__digest"]).drop("__digest").union(docs.filter(F.col(id_col).isNull()))
+    rows = _grouped(docs, id_col, text_col, width, percent).filter("comp is not null")
+    alike = rows.groupBy("comp", "id", "digest").agg(F.count("*").alias("n"))
+    first = alike.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "digest")).alias("k"))
+    alike = alike.join(first, "comp").select("id", "digest", "n", (F.col("id").eqNullSafe(F.col("k.id")) & (F.col("digest") == F.col("k.digest"))).alias("stays"))
+    mark = free(docs, "__digest")
+    known = docs.withColumn(mark, F.xxhash64(F.col(text_col).cast("binary")))
+    same = lambda x: known[id_col].eqNullSafe(x["id"]) & (known[mark] == x["digest"])
+    others, repeated = alike.filter("not stays or n > 1"), alike.filter("stays and n > 1")
+    single = known.join(others, same(others), "left_anti")  # with the rows without shingles: their digests are of no other
+    return single.unionByName(known.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, mark])).drop(mark)
