@@ -59,7 +59,8 @@ class Search:
     lower: float = 0.01
     upper: float = 20.0
     grid_steps: int = 10
-    repetitions: int = 1
+    #: None: as many as auto_repetitions gives.
+    repetitions: int | None = 1
     seed: int = 0
     start_variance: float = -1.0
     selector: str = "auto"
@@ -111,48 +112,67 @@ def cv_scores(data: RegressionData, priors: Sequence[PriorSet], search: Search,
 
 
 def unimodal_search(value: Callable[[float], tuple[float, float]], start: float, max_steps: int = 50, step: float = math.log(10), y_tolerance: float = 0.01) -> tuple[float, dict[float, float]]:
-    """The highest point of a unimodal function of ln x, by parabolas through the best three points, and all points tried."""
-    seen = {math.log(start): value(start)[0]}
+    """The highest point of a unimodal function of ln x, and all points tried. value gives a mean and its standard deviation.
 
-    def at(x: float) -> float:
+    Steps by a factor until the highest point has lower neighbours; then goes to the top of the parabola that fits all points
+    best, each weighted by one over its deviation, or between the neighbours where that is no place for a new point. Ends when the
+    neighbours are within a factor of 1.5, or the values there within y_tolerance.
+    """
+    seen: dict[float, tuple[float, float]] = {}
+
+    def at(x: float) -> None:
         if x not in seen:
-            seen[x] = value(math.exp(x))[0]
-        return seen[x]
+            seen[x] = value(math.exp(x))
 
+    height = lambda x: seen[x][0] if math.isfinite(seen[x][0]) else -math.inf
+    at(math.log(start))
     for _ in range(max_steps):
-        best = max(seen, key=lambda x: seen[x] if math.isfinite(seen[x]) else -math.inf)
+        best = max(seen, key=height)
         below, above = [x for x in seen if x < best], [x for x in seen if x > best]
         if not below or not above:
             at(best + step if not above else best - step)
             continue
         a, c = max(below), min(above)
-        if max(c - best, best - a) < math.log(1.5) or max(seen[best] - seen[a], seen[best] - seen[c]) < y_tolerance:
+        if max(c - best, best - a) < math.log(1.5) or max(height(best) - height(a), height(best) - height(c)) < y_tolerance:
             break
-        p, q = (best - a) * (seen[best] - seen[c]), (best - c) * (seen[best] - seen[a])
-        top = best - 0.5 * ((best - a) * p - (best - c) * q) / (p - q) if p != q else (a + c) / 2
-        if min(abs(top - x) for x in seen) < 0.05:
+        good = [x for x in seen if math.isfinite(seen[x][0])]
+        weights = [1 / max(seen[x][1], 1e-6) for x in good]
+        curve = np.polyfit([x - best for x in good], [seen[x][0] for x in good], 2, w=np.array(weights) / max(weights)) if len(good) > 2 else np.zeros(3)
+        top = best - curve[1] / (2 * curve[0]) if curve[0] < 0 else best
+        if not a < top < c or min(abs(top - x) for x in seen) < 0.05:
             top = (best + (a if best - a > c - best else c)) / 2
-        at(top)
-    best = max(seen, key=lambda x: seen[x] if math.isfinite(seen[x]) else -math.inf)
-    return math.exp(best), {math.exp(x): v for x, v in seen.items()}
+        at(float(top))
+    best = max(seen, key=height)
+    return math.exp(best), {math.exp(x): v[0] for x, v in seen.items()}
 
 
 def cross_validated(data: RegressionData, prior: PriorSet, search: Search = Search(), control: Control = Control()) -> Fit:
-    """The fit at the variance with the best held-out log-likelihood."""
-    if data.outcomes.count() < search.min_data:
+    """The fit at the variance with the best held-out log-likelihood. Of priors with several variances (fused, hierarchical) the auto
+    search goes over one after another, until none changes by more than a hundredth of itself."""
+    n = data.outcomes.count()
+    if n < search.min_data:
         raise ValueError(f"cross-validation needs {search.min_data} rows at least")
     if not prior.default.regularized:
         raise ValueError("without a prior there is no variance to cross-validate")
+    if search.repetitions is None:
+        search = replace(search, repetitions=auto_repetitions(n))
+    weights = data.outcomes.select("rowId", F.coalesce("weights", F.lit(1.0)).alias("w")) if "weights" in data.outcomes.columns else None
     if search.kind == "grid":
         points = log_grid(search)
         scores = cv_scores(data, [prior.with_variance(v) for v in points], search, control)
         best, tried = max(zip(points, scores, strict=True), key=lambda x: x[1][0] if math.isfinite(x[1][0]) else -math.inf)[0], {p: s[0] for p, s in zip(points, scores, strict=True)}
+        chosen: dict[str, float] = {"variance": best}
     else:
         start = search.start_variance if search.start_variance > 0 else default_variance(data)
-        best, tried = unimodal_search(lambda v: cv_scores(data, [prior.with_variance(v)], search, control)[0], start, search.max_steps)
-    weights = data.outcomes.select("rowId", F.coalesce("weights", F.lit(1.0)).alias("w")) if "weights" in data.outcomes.columns else None
-    out = fit(data, prior.with_variance(best), control, weights)
-    return replace(out, cross_validation={"variance": best, "ordinate": max(v for v in tried.values() if math.isfinite(v)), "points": tried})
+        chosen, tried = {name: start for name in prior.variances}, {}
+        for _ in range(10):
+            before = dict(chosen)
+            for name in chosen:
+                chosen[name], tried = unimodal_search(lambda v, name=name: cv_scores(data, [prior.with_variance({**chosen, name: v})], search, control)[0], chosen[name], search.max_steps)
+            if len(chosen) == 1 or sum(abs(chosen[k] - before[k]) / chosen[k] for k in chosen) < 0.01:
+                break
+    out = fit(data, prior.with_variance(chosen), control, weights)
+    return replace(out, cross_validation={**chosen, "ordinate": max(v for v in tried.values() if math.isfinite(v)), "points": tried})
 
 
 def weight_based_search(data: RegressionData, in_sample: DataFrame, prior: PriorSet, variances: Sequence[float], control: Control = Control()) -> tuple[float, list[float]]:
@@ -167,9 +187,14 @@ def weight_based_search(data: RegressionData, in_sample: DataFrame, prior: Prior
     return variances[int(np.nanargmax(scores))], scores
 
 
-def outer_grid(data: RegressionData, make: Callable[..., PriorSet], grid: Sequence[Sequence[float]], search: Search = Search(kind="grid"), control: Control = Control()) -> tuple[tuple[float, ...], Fit]:
-    """The best point of an outer grid of hyperparameters by cross-validation, and the fit there."""
+def outer_grid(data: RegressionData, make: Callable[..., PriorSet], grid: Sequence[Sequence[float]], search: Search = Search(kind="grid"), control: Control = Control(), inner: bool = False) -> tuple[tuple[float, ...], Fit]:
+    """The best point of an outer grid of hyperparameters by cross-validation, and the fit there. inner: at each point the variance is
+    searched for besides."""
     points = list(itertools.product(*grid))
+    if inner:
+        fits = [cross_validated(data, make(*p), replace(search, kind="auto"), control) for p in points]
+        best = int(np.nanargmax([f.cross_validation["ordinate"] for f in fits]))
+        return points[best], fits[best]
     scores = cv_scores(data, [make(*p) for p in points], search, control)
     best = points[int(np.nanargmax([s[0] for s in scores]))]
     return best, fit(data, make(*best), control)
