@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -25,20 +26,26 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
-#: Folders written by this process, deleted when their tables aren't needed any more or at its end.
-written: dict[str, SparkSession] = {}
+#: Folders written by this process, by session and thread; deleted when their tables aren't needed any more or at its end.
+written: dict[str, tuple[SparkSession, int]] = {}
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of our own in the shared folder."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    written[path] = spark
+    written[path] = spark, threading.get_ident()
     return path
 
 
+def own_folders() -> set[str]:
+    """The folders of this thread."""
+    return {path for path, (_, thread) in list(written.items()) if thread == threading.get_ident()}
+
+
 def delete(path: str) -> None:
     """Delete a folder that ``new_folder`` has given."""
-    if spark := written.pop(path, None):
+    if found := written.pop(path, None):
+        spark, _ = found
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
