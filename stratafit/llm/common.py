@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.paths import delete, new_folder, ship, written
+from ..sources.paths import delete, new_folder, own_folders, ship
 
 #: Words of the contracts: runs of anything but ASCII white space. ``bytes.split`` cuts at exactly these six bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -45,9 +45,9 @@ def dropped(*frames: DataFrame | None) -> None:
 @contextmanager
 def kept(*names: str) -> Iterator[None]:
     """Folders written inside are deleted at its end, but for those of the given names."""
-    before = set(written)
+    before = own_folders()
     yield
-    for path in set(written) - before:
+    for path in own_folders() - before:
         if not path.rsplit("/", 1)[1].startswith(tuple(f"{n}-" for n in names)):
             delete(path)
 
