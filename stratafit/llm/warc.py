@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from .common import new_folder
+from .common import materialise, new_folder
 
 #: The columns of a record, and the headers that hold them.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
@@ -32,6 +32,8 @@ _ARROW = pa.schema([*[(c, pa.string()) for c in HEADERS], ("payload_bytes", pa.i
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A partition holds whole files of at least this size together.
 PARTITION_BYTES = 64 << 20
+#: Payloads whose repeated rows are told apart through a broadcast; of more through a join.
+FEW = 50_000
 #: Bytes of payload in a batch of rows.
 BATCH_BYTES = 8 << 20
 
@@ -328,6 +330,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     alike = rows.filter(F.col("payload_bytes") >= least).groupBy("digest", "id", "url").agg(F.count("*").alias("n"), F.max("payload_bytes").alias("size"))
     best = alike.groupBy("digest").agg(F.max(F.struct("id", "url", "n", "size")).alias("best"), F.sum("n").alias("copies"))
     best = best.filter("copies > 1").select("digest", F.struct("best.id", "best.url").alias("first"), "best.n", "best.size")  # payloads that stand once need no partner
+    best = materialise(best, "copies")
     joined = rows.join(best.select("digest", "first", "n"), "digest", "left")
     is_first = F.struct("id", "url").eqNullSafe(F.col("first"))
     revisit = F.col("first").isNotNull() & (F.col("payload_bytes") >= least) & ~is_first
@@ -337,10 +340,12 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     single = single.select("id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "payload_bytes", F.when(revisit, F.struct(F.col("first.id").alias("id"))).alias("refers"))
     # Of rows alike in payload, id and url one has the payload, and the others are made from their number.
     repeated = best.filter("n > 1")
-    one = rows.join(repeated.select("digest", "first"), "digest").filter(is_first).dropDuplicates(["digest"]).withColumn("refers", null.cast(single.schema["refers"].dataType)).select(*columns)
-    others = repeated.select("first.id", "first.url", null.cast("binary").alias("payload"), "digest", F.col("size").alias("payload_bytes"), F.struct(F.col("first.id").alias("id")).alias("refers"), F.explode(F.sequence(F.lit(2).cast("long"), "n"))).select(*columns)
+    count = repeated.count()
     name = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x.cast("string"), F.lit("")), F.lit(">"))
-    return single.unionByName(one).unionByName(others).select(
+    known = repeated.select("digest", "first")
+    one = rows.join(F.broadcast(known) if count <= FEW else known, "digest").filter(is_first).dropDuplicates(["digest"]).withColumn("refers", null.cast(single.schema["refers"].dataType)).select(*columns)
+    others = repeated.select("first.id", "first.url", null.cast("binary").alias("payload"), "digest", F.col("size").alias("payload_bytes"), F.struct(F.col("first.id").alias("id")).alias("refers"), F.explode(F.sequence(F.lit(2).cast("long"), "n"))).select(*columns)
+    return (single.unionByName(one).unionByName(others) if count else single).select(
         F.when(F.col("refers").isNotNull(), "revisit").otherwise("response").alias("record_type"),
         name(F.col("id")).alias("record_id"),
         F.col("url").alias("target_uri"),
