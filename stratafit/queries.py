@@ -53,9 +53,10 @@ def load_outcomes(spark, sf_dir):
     return t.data(spark, sf_dir).outcomes.select("rowId", "stratumId", "y", "time")
 
 
-@query(f" select c.rowId, c.covariateId, {_sql_r('c.covariateValue', 'covariateValue')} from covariates c where c.rowId in (select rowId from outcomes where rowId % 3 = 0)")
+@query(f" select c.rowId, c.covariateId, {_sql_r('c.covariateValue', 'covariateValue')} from covariates c where c.rowId in (select rowId from outcomes where y = 1)")
 def load_covariates_of_rows(spark, sf_dir):
-    out = t.outcomes(spark, sf_dir).filter("rowId % 3 = 0")
+    """Covariates of rows that aren't among the outcomes (here: those without the event) are left out."""
+    out = t.outcomes(spark, sf_dir).filter("y = 1")
     return from_tables(out, t.covariates(spark, sf_dir), checked=False).covariates.select("rowId", "covariateId", _r("covariateValue"))
 
 
@@ -127,15 +128,6 @@ def offset_column(spark, sf_dir):
     return t.data(spark, sf_dir, "pr").outcomes.select("rowId", rounded(F.col("offset")).alias("log_offset"))
 
 
-@query(
-    """, r as (select rowId, stratumId % 5 as s, time, y from outcomes)
-select rowId, row_number() over (order by s, time desc, y, rowId) as place from r qualify place <= 200"""
-)
-def survival_order(spark, sf_dir):
-    """The first places of survival_order_all."""
-    return survival_order_all(spark, sf_dir).filter("place <= 200")
-
-
 @query(
     """, r as (select rowId, stratumId % 5 as s, time, y from outcomes)
 select rowId, row_number() over (order by s, time desc, y, rowId) as place from r"""
@@ -145,6 +137,11 @@ def survival_order_all(spark, sf_dir):
     return numbered(rows, [F.col("stratumId"), -F.col("time"), F.col("y"), F.col("rowId")], "place").select("rowId", "place")
 
 
+@query(ORACLE_SQL["survival_order_all"], base=False)
+def survival_order(spark, sf_dir):
+    return survival_order_all(spark, sf_dir)
+
+
 @query(
     """, r as (select rowId, stratumId, time, lag(rowId) over w as r0, lag(stratumId) over w as s0, lag(time) over w as t0 from outcomes window w as (order by rowId))
 select bool_and(r0 is null or rowId >= r0) as by_row, bool_and(s0 is null or stratumId > s0 or (stratumId = s0 and time <= t0)) as by_time from r"""
@@ -173,17 +170,6 @@ def read_text_rows(spark, sf_dir):
     return data.outcomes.join(sums, "rowId", "left").select("rowId", "stratumId", "y", F.coalesce("n", F.lit(0)).alias("n"), rounded(F.coalesce("total", F.lit(0.0)), 4).alias("total"))
 
 
-@query(
-    """, o as (select rowId, row_number() over (order by rowId) as r from outcomes), k as (select covariateId, row_number() over (order by covariateId) as c from (select distinct covariateId from covariates where covariateId < 500)),
-e as (select r, c from covariates v join o on v.rowId = o.rowId join k on v.covariateId = k.covariateId)
-select '%%MatrixMarket matrix coordinate real general' as value union all select (select count(*) from o) || ' ' || (select count(*) from k) || ' ' || (select count(*) from e)
-union all select r || ' ' || c || ' 1.0' from e"""
-)
-def matrix_market_lines(spark, sf_dir):
-    data = from_tables(t.outcomes(spark, sf_dir), t.covariates(spark, sf_dir).filter("covariateId < 500"), checked=False)
-    return matrix_market(data).select("value")
-
-
 @query(
     """, v as (select rowId, covariateId, round(covariateValue, 6) + 0.0 as covariateValue from covariates),
 o as (select rowId, row_number() over (order by rowId) as r from outcomes), k as (select covariateId, row_number() over (order by covariateId) as c from (select distinct covariateId from v)),
@@ -196,6 +182,11 @@ def matrix_market_all(spark, sf_dir):
     return matrix_market(data).select("value")
 
 
+@query(ORACLE_SQL["matrix_market_all"], base=False)
+def matrix_market_lines(spark, sf_dir):
+    return matrix_market_all(spark, sf_dir)
+
+
 @query(
     """with h as (select user_id as indiv, min(case when event_type = 'click' then cast(date_diff('day', cast('2024-01-01' as timestamp), ts) as int) + 1 end) as exposure,
  min(case when event_type = 'purchase' then cast(date_diff('day', cast('2024-01-01' as timestamp), ts) as int) + 1 end) as event_day from events group by user_id),
