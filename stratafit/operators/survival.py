@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.data import in_ranges
+from ..plans.data import numbered
 
 
 @dataclass(frozen=True)
@@ -102,17 +102,12 @@ def split_time(outcomes: DataFrame, cuts: Sequence[float]) -> DataFrame:
     rows = outcomes.select(F.col("rowId").alias("subjectId"), F.col("y").alias("__y"), F.col("time").cast("double").alias("__time"), F.posexplode(edges).alias("k", "start")).filter(F.col("start") < F.col("__time"))
     stop = F.least(F.coalesce(F.get(edges, F.col("k") + 1), F.col("__time")), F.col("__time"))
     rows = rows.select((F.col("k") + 1).cast("long").alias("stratumId"), "subjectId", F.when(stop == F.col("__time"), F.col("__y")).otherwise(0).cast("double").alias("y"), (stop - F.col("start")).alias("time"))
-    # New ids: after the highest, episode by episode and by subject. Subjects are dealt to ranges, and counts come before places, so
-    # that no task numbers a whole episode.
-    rows = in_ranges(rows, [F.col("subjectId")])
-    part = ["stratumId", "__range"]
-    sizes = rows.filter("stratumId > 1").groupBy(*part).agg(F.count("*").alias("n"))  # a row for each episode and range
-    first = sizes.select(*part, F.coalesce(F.sum("n").over(Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # New ids: after the highest, episode by episode and by subject.
+    later = numbered(rows.filter("stratumId > 1"), [F.col("stratumId"), F.col("subjectId")], "place")
     highest = outcomes.agg(F.max("rowId").alias("highest"))
-    place = F.row_number().over(Window.partitionBy(*part).orderBy("subjectId"))
-    rows = rows.withColumn("place", place).join(F.broadcast(first), part, "left").join(F.broadcast(highest), F.lit(True))
-    row_id = F.when(F.col("stratumId") == 1, F.col("subjectId")).otherwise(F.col("highest") + F.col("before") + F.col("place"))
-    return rows.select("stratumId", "subjectId", row_id.cast("long").alias("rowId"), "y", "time")
+    later = later.join(F.broadcast(highest), F.lit(True)).withColumn("rowId", F.col("highest") + F.col("place"))  # one row
+    both = rows.filter("stratumId = 1").withColumn("rowId", F.col("subjectId")).unionByName(later.select(*rows.columns, "rowId"))
+    return both.select("stratumId", "subjectId", F.col("rowId").cast("long").alias("rowId"), "y", "time")
 
 
 def time_varying(episodes: DataFrame, covariates: DataFrame, varying: Sequence[int]) -> DataFrame:

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.paths import written
 from .models import INTERCEPT_ID, INTERCEPT_NAME, Model
 
 OUTCOME_COLUMNS = {"rowId": "long", "stratumId": "long", "y": "double", "time": "double", "weights": "double", "censorWeights": "double", "subjectId": "long"}
@@ -125,30 +126,33 @@ def sorted_tables(data: RegressionData) -> tuple[DataFrame, DataFrame]:
     return data.outcomes.orderBy(*order), data.covariates.join(keys, "rowId").orderBy("covariateId", "stratumId", F.desc("time"), "y", "rowId")
 
 
-def in_ranges(df: DataFrame, keys: Sequence[Column], ranges: int = 64) -> DataFrame:
-    """df with __range, the number of the range of keys that a row is in: rows of lower ranges have lower keys, equal keys one range.
+#: Rows that one task sorts, and the fewest that are worth one.
+RANGE_ROWS, LEAST_ROWS = 1_000_000, 25_000
+#: Bits of a place within its range.
+_PLACE_BITS = 33
 
-    The bounds are keys of 32 * ranges random rows. They decide how the work is dealt, never the result.
-    """
-    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    few = df.select(key.alias("k")).orderBy(F.rand(0)).limit(32 * ranges).collect()
-    rising = sorted((r["k"] for r in few), key=lambda k: [(x is not None, x) for x in k])
-    kind = df.select(key.alias("k")).schema["k"].dataType
-    bounds = [F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for f, x in zip(kind, k, strict=True)]) for k in dict.fromkeys(rising[32::32])]
-    if not bounds:
-        return df.withColumn("__range", F.lit(0))
-    return df.withColumn("__range", F.size(F.filter(F.array(*bounds), lambda x: x < key)))
-
-
-def numbered(df: DataFrame, keys: Sequence[Column], name: str, ranges: int = 64) -> DataFrame:
-    """df with the place of each row, from 1, in the rising order of keys: counts of ranges first, then places within a range, so
-    that no task sorts all rows."""
-    dealt = in_ranges(df, keys, ranges)
-    sizes = dealt.groupBy("__range").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+
+def in_order(df: DataFrame, keys: Sequence[Column], name: str = "order") -> DataFrame:
+    """df, written, with __at, which rises with the keys: rows are dealt to ranges of the keys, as many as their number needs, and sorted
+    there; the range's number and the place in it make up __at. Equal keys are in one range, so keys should tell rows apart."""
+    rows = df.count()
+    parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, rows // LEAST_ROWS), -(-rows // RANGE_ROWS))
+    return written(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()), name)
+
+
+def _range() -> Column:
+    return F.shiftright("__at", _PLACE_BITS)
+
+
+def numbered(df: DataFrame, keys: Sequence[Column], name: str) -> DataFrame:
+    """df with the place of each row, from 1, in the rising order of keys: rows of the ranges before, by a count of each range, and
+    the place within the range, so that no task sorts all rows."""
+    dealt = in_order(df, keys)
+    sizes = dealt.groupBy(_range().alias("__range")).count()  # a row for each range
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("__range", before.alias("__before"))
-    place = F.col("__before") + F.row_number().over(Window.partitionBy("__range").orderBy(*keys))
-    return dealt.join(F.broadcast(sizes), "__range").select(*df.columns, place.cast("long").alias(name))
+    place = F.col("__before") + F.col("__at") - F.shiftleft("__range", _PLACE_BITS) + 1
+    return dealt.withColumn("__range", _range()).join(F.broadcast(sizes), "__range").select(*df.columns, place.cast("long").alias(name))
 
 
 def is_sorted(df: DataFrame, columns: Sequence[str], ascending: Sequence[bool], position: str) -> bool:
@@ -161,11 +165,11 @@ def is_sorted(df: DataFrame, columns: Sequence[str], ascending: Sequence[bool],
         last = F.col(f"before.{c}")
         wrong = wrong | (equal & ((F.col(f"row.{c}") < last) if up else (F.col(f"row.{c}") > last)))
         equal = equal & (F.col(f"row.{c}") == last)
-    rows = in_ranges(df.select(position, *columns), [F.col(position)]).select("__range", F.col(position).alias("at"), F.struct(*columns).alias("row"))
+    rows = in_order(df.select(*dict.fromkeys([position, *columns])), [F.col(position)]).select(_range().alias("__range"), F.col("__at").alias("at"), F.struct(*columns).alias("row"))
     within = rows.select("row", F.lag("row").over(Window.partitionBy("__range").orderBy("at")).alias("before"))
     if not within.filter(wrong).isEmpty():
         return False
-    edges = rows.groupBy("__range").agg(F.min_by("row", F.struct("at")).alias("row"), F.max_by("row", F.struct("at")).alias("last"))
+    edges = rows.groupBy("__range").agg(F.min_by("row", "at").alias("row"), F.max_by("row", "at").alias("last"))
     edges = edges.select("row", F.lag("last").over(Window.orderBy("__range")).alias("before"))  # a row for each range
     return edges.filter(wrong).isEmpty()
 

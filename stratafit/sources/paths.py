@@ -11,7 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark import SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,24 +27,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Folders written by this process, by session and thread; deleted when their tables aren't needed any more or at its end.
-written: dict[str, tuple[SparkSession, int]] = {}
+_folders: dict[str, tuple[SparkSession, int]] = {}
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of our own in the shared folder."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    written[path] = spark, threading.get_ident()
+    _folders[path] = spark, threading.get_ident()
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage, and survives lost executors."""
+    path = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def own_folders() -> set[str]:
     """The folders of this thread."""
-    return {path for path, (_, thread) in list(written.items()) if thread == threading.get_ident()}
+    return {path for path, (_, thread) in list(_folders.items()) if thread == threading.get_ident()}
 
 
 def delete(path: str) -> None:
     """Delete a folder that ``new_folder`` has given."""
-    if found := written.pop(path, None):
+    if found := _folders.pop(path, None):
         spark, _ = found
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -53,7 +60,7 @@ def delete(path: str) -> None:
 @atexit.register
 def _at_exit() -> None:
     if SparkContext._active_spark_context is not None:
-        for path in list(written):
+        for path in list(_folders):
             delete(path)
 
 
