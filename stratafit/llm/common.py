@@ -185,7 +185,7 @@ class Words:
         return np.diff(np.searchsorted(places, self.text_ends), prepend=0)
 
 
-def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, one after another, and the bounds of each; a null has none."""
     texts = texts.cast(pa.binary()).fill_null(b"")
     _, offsets, values = texts.buffers()
@@ -213,19 +213,19 @@ def _hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarr
 
 def string_hashes(texts: pa.Array) -> np.ndarray:
     """A 64-bit hash of each text as a whole."""
-    data, bounds = _bytes_of(texts)
+    data, bounds = bytes_of(texts)
     return _hashes(data, bounds[:-1], bounds[1:])
 
 
 def spaced(texts: pa.Array) -> pa.Array:
     """texts with a space for each byte of white space (of WORD_PATTERN)."""
-    data, bounds = _bytes_of(texts)
+    data, bounds = bytes_of(texts)
     return pa.StringArray.from_buffers(len(texts), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.where(_SPACES[data], np.uint8(32), data)))
 
 
 def words_of(texts: pa.Array, lower: bool = False) -> Words:
     """The words (of WORD_PATTERN) of texts, strings or binary, as UTF-8; lower: with A-Z in lower case. A null has none."""
-    data, bounds = _bytes_of(texts)
+    data, bounds = bytes_of(texts)
     data = _LOWER[data] if lower else data
     first, last = ~_SPACES[data], ~_SPACES[data]
     edge = np.zeros(len(data) + 1, bool)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, line_dedup, media, packing, quality_classifier, quality_rules, sentencepiece_backend, toxicity, url_filter, warc
+from . import fill_in_middle, jaccard_join, line_dedup, media, mixing, packing, quality_classifier, quality_rules, sentencepiece_backend, toxicity, url_filter, warc, whitening
 from .common import crc_fold, read
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -68,5 +68,20 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_quality_classifier, op4_sentencepiece, op5_packing, op6_quality_rules, op7_line_dedup, op8_toxicity, op9_warc, op10_media)}
-ORACLE_SQL = {"op7_line_dedup": line_dedup.oracle_sql(), "op9_warc": warc.ORACLE_SQL}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, fim = fill_in_middle.transformed(read(spark, sf_dir, "documents")), F.col("__fim")
+    back = fill_in_middle.restored(fim["output"], fim["form"])
+    return rows.select("doc_id", "__fim.n", "__fim.form", "__fim.prefix_chars", "__fim.middle_chars", F.sha2(fim["output"].cast("binary"), 256).alias("output_sha256"), F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, mix = mixing.planned(read(spark, sf_dir, "documents")), F.col("__mix")
+    return rows.select("doc_id", mix["size"].alias("size"), mix["source_size"].alias("source_size"), mix["target"].alias("target"), (mix["size"] * mix["copies"]).alias("taken"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_quality_classifier, op4_sentencepiece, op5_packing, op6_quality_rules, op7_line_dedup, op8_toxicity, op9_warc, op10_media, op11_fill_in_middle, op12_mixing, op13_whitening)}
+ORACLE_SQL = {"op7_line_dedup": line_dedup.oracle_sql(), "op9_warc": warc.ORACLE_SQL, "op11_fill_in_middle": fill_in_middle.ORACLE_SQL, "op12_mixing": mixing.ORACLE_SQL}
