@@ -46,7 +46,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that are tokens of their own wherever they stand, across words too: texts with one are encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_end = self._plain(["\n"])[0]
         self.forget()
 
@@ -104,6 +105,8 @@ class Encoder:
         """The ids of each text; of none for a null."""
         texts = texts.fill_null("")
         whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            whole = whole | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         rest = texts.filter(pa.array(~whole))
         marked = pc.replace_substring(pc.replace_substring(rest, "\n", "\0\n\0"), " ", "\0 ")
         words, at, ends = parts(marked)
