@@ -19,13 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import dropped, kept, materialise
 
-WILDCARD = "*"
+#: Wildcards begin with it in the tree. A slash can't be in a segment, so no real one is taken for a wildcard.
+WILDCARD = "/*"
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Segments beyond this depth form one tail wildcard.
-    depth: int = 6
     #: A node's children are variable from so many distinct ones on ...
     distinct: int = 20
     #: ... of which there are this many for each url.
@@ -67,25 +66,25 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
 
 def _first_form(segment: Column) -> Column:
     """A wildcard for segments of digits, dates and long hexadecimal strings, with their extension."""
-    form = F.regexp_replace(segment, r"^(?:[0-9][0-9_.\-]*|[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4,12}){2,4})(\.[A-Za-z]{1,5})?$", r"*$1")
+    form = F.regexp_replace(segment, r"^(?:[0-9][0-9_.\-]*|[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4,12}){2,4})(\.[A-Za-z]{1,5})?$", r"/*$1")
     return F.when(form.startswith(WILDCARD), form).otherwise(segment)
 
 
-def segments(path: str, settings: Settings) -> Column:
-    """The path's segments in their first form, and one tail wildcard for those beyond the depth."""
-    all_of = F.filter(F.split(path, "/"), lambda x: x != "")
-    first = F.transform(F.slice(all_of, 1, settings.depth), _first_form)
-    return F.when(F.size(all_of) > settings.depth, F.concat(first, F.array(F.lit("**")))).otherwise(first)
+def segments(path: str) -> Column:
+    """The path's segments in their first form, all of them."""
+    return F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), _first_form)
 
 
-def tree(urls: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def tree(urls: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, list[int]]:
     """(host, segs, template, merged, n, labels, bad), written: the distinct segments of urls (host, path, bad: 1, 0 or null) with
-    their template, an array; merged is the same, before branches are merged."""
-    rows = urls.select("host", segments("path", settings).alias("segs"), "bad")
+    their template, an array; merged is the same, before branches are merged. And the levels at which nodes branch: chains of
+    single children are passed over, however long. Null and empty paths have no segments. An empty table has an empty tree."""
+    rows = urls.select("host", segments("path").alias("segs"), "bad")
     rows = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("labels"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
     rows = materialise(rows.withColumn("template", F.col("segs")), "tree")
-    deepest = rows.agg(F.max(F.size("segs"))).first()[0] or 0
-    for level in range(min(deepest, settings.depth)):
+    levels, level = [], _next_level(rows, 0)
+    while level is not None:
+        levels.append(level)
         # What may vary: literal segments. A group's children are counted by their distinct values first.
         here = rows.withColumns({"__up": F.slice("template", 1, level), "__seg": F.get("template", F.lit(level))})
         literal = here.filter(F.col("__seg").isNotNull() & ~F.col("__seg").startswith(WILDCARD))
@@ -95,7 +94,16 @@ def tree(urls: DataFrame, settings: Settings = Settings()) -> DataFrame:
         here = here.join(variable, ["host", "__up"], "left")
         wild = F.col("__varies") & F.col("__seg").isNotNull() & ~F.col("__seg").startswith(WILDCARD)
         rows = _replaced(rows, here, "template", wild, level)
-    return rows.withColumn("merged", F.col("template"))
+        level = _next_level(rows, level + 1)
+    return rows.withColumn("merged", F.col("template")), levels
+
+
+def _next_level(rows: DataFrame, level: int) -> int | None:
+    """The first level from the given one on at which some node has more than one child, or a child and an end; None if there is
+    none. What the least and the greatest path under a node have in common, all its paths have."""
+    nodes = rows.groupBy("host", F.slice("template", 1, level)).agg(F.min("template").alias("low"), F.max("template").alias("high")).filter("low <> high")
+    same = F.aggregate(F.arrays_zip("low", "high"), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, x: F.struct((a["n"] + (a["on"] & x["low"].eqNullSafe(x["high"])).cast("int")).alias("n"), (a["on"] & x["low"].eqNullSafe(x["high"])).alias("on")))
+    return nodes.agg(F.min(same["n"])).first()[0]
 
 
 def _replaced(rows: DataFrame, here: DataFrame, column: str, wild: Column, level: int) -> DataFrame:
@@ -106,11 +114,10 @@ def _replaced(rows: DataFrame, here: DataFrame, column: str, wild: Column, level
     return out
 
 
-def merged(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def merged(rows: DataFrame, levels: Sequence[int], settings: Settings = Settings()) -> DataFrame:
     """The tree with branches merged in its column merged, from the deepest level up: a branch whose bad labels are within ``deviations`` standard errors
     of the share of all siblings together joins the others for which that holds, if there are any."""
-    deepest = rows.agg(F.max(F.size("merged"))).first()[0] or 0
-    for level in reversed(range(deepest)):
+    for level in reversed(levels):
         here = rows.withColumns({"__up": F.slice("merged", 1, level), "__seg": F.get("merged", F.lit(level))})
         branches = here.filter("__seg is not null").groupBy("host", "__up", "__seg").agg(F.sum("labels").alias("l"), F.sum("bad").alias("b"))
         parents = branches.groupBy("host", "__up").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"))
@@ -143,7 +150,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]]
     null and repeated keys are left out (of repeated ones the worst label stays). A rule decides where one fits; else the
     template's purity. Null urls and ones without :// have an empty host and path and the template /. Without labels
     nothing is blocked but by rules. Repeated rows are judged each, and weigh as often. An empty table gives an empty result. Other
-    columns aren't read. Very long paths count with their first segments.
+    columns aren't read. Very long paths count whole.
     """
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("__id"), host_of(url).alias("host"), path_of(url).alias("path"))
@@ -151,11 +158,12 @@ def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]]
     known = labels.filter("key is not null and bad is not null").groupBy("key").agg(F.max("bad").alias("bad"))
     labelled = rows.withColumn("key", F.when(key != "", key.cast("long"))).join(known, "key", "left")
     with kept("verdicts"):
-        found = merged(tree(labelled, settings), settings)
-        path_form = lambda c: F.concat(F.lit("/"), F.array_join(c, "/")).alias(c)
+        found = merged(*tree(labelled, settings), settings)
+        shown = lambda x: F.when(x.startswith(WILDCARD), F.substring(x, 2, 1 << 30)).otherwise(F.regexp_replace(x, r"^\*", "%2A"))
+        path_form = lambda c: F.concat(F.lit("/"), F.array_join(F.transform(c, shown), "/")).alias(c)
         judged_ones = judged_templates(found, settings).drop("labels", "bad")
         verdicts = materialise(found.join(judged_ones, ["host", "merged"]).select("host", "segs", path_form("template"), path_form("merged"), "purity", "blocked"), "verdicts")
     rule = F.col("__rule")
-    out = rows.withColumn("segs", segments("path", settings)).join(verdicts, ["host", "segs"], "left").withColumn("__rule", rule_for(F.col("host"), F.col("path"), rules))
+    out = rows.withColumn("segs", segments("path")).join(verdicts, ["host", "segs"], "left").withColumn("__rule", rule_for(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(rule["verdict"], F.when(F.col("blocked"), "block").otherwise("allow"))
     return out.select(F.col("__id").alias(id_col), "host", "path", rule["rule"].alias("rule"), verdict.alias("verdict"), "template", "merged", "purity")
