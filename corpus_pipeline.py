@@ -24,9 +24,9 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes boilerplate lines out; n_chars, if it is there, becomes the length of what is left where lines went. All rows stay,
-    null and empty texts as they are."""
-    rows = line_dedup.deduplicated(docs)
+    """Takes boilerplate lines out; n_chars, if it is there, becomes the length of what is left where lines went. A line counts once
+    for each family of near copies, so that these reach the next stage whole. All rows stay, null and empty texts as they are."""
+    rows = line_dedup.deduplicated(docs, near_copies=True)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         rows = rows.withColumn("n_chars", F.when(F.col("__lines.n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
