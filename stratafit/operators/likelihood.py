@@ -10,15 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import log_factorial, logistic, softplus
 from ..plans.data import RegressionData
 from ..plans.models import INTERCEPT_ID, Model
-from ..sources.paths import ship
+from .exact import exact_moments
 from .score import linear_predictors
 from .survival import Running, range_cuts, running_sums
 
@@ -192,7 +190,7 @@ def _information(data: RegressionData, t: Terms, covariates: list[int], ranges:
 def fit_moments(data: RegressionData, betas: DataFrame, covariates: list[int], tasks: int = 1, weights: DataFrame | None = None, ranges: Ranges = None) -> DataFrame:
     """(task, i, j, value): log-likelihood (i, j null), gradient (j null) and information in one DataFrame."""
     if data.model is Model.CLR_EXACT:
-        return _exact_moments(data, betas, covariates, tasks, weights)
+        return exact_moments(weighted_rows(data, betas, tasks, weights), _vectors(entries(data, covariates)), covariates)
     t = terms(data, weighted_rows(data, betas, tasks, weights), ranges)
     null = F.lit(None).cast("long")
     level = t.rows.groupBy("task").agg(F.sum("ll").alias("value")).select("task", null.alias("i"), null.alias("j"), "value")
@@ -215,50 +213,3 @@ def majorizer_moments(data: RegressionData, betas: DataFrame, covariates: list[i
     both = rows.groupBy("task", "i").agg(F.sum(F.col("a") * F.col("x")).alias("g"), F.sum(F.col("b") * F.abs("x") * F.col("size")).alias("h"))
     slope = both.select("task", "i", null.alias("j"), F.col("g").alias("value"))
     return level.select("task", null.alias("i"), null.alias("j"), "value").union(slope).union(both.select("task", "i", "i", "h"))
-
-
-def exact_stratum(e: np.ndarray, x: np.ndarray, cases: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """ln of the sum over subsets of ``cases`` rows of their products of e, and its first two derivatives along the columns
-    of x. Runs over rows, keeping the sums for all smaller subsets, rescaled."""
-    p = x.shape[1]
-    b, b1, b2, scale = np.zeros(cases + 1), np.zeros((cases + 1, p)), np.zeros((cases + 1, p, p)), 0.0
-    b[0] = 1.0
-    for ek, xk in zip(e, x, strict=True):
-        outer = np.outer(xk, xk)
-        low, low1, low2 = b[:-1].copy(), b1[:-1].copy(), b2[:-1].copy()
-        cross = low1[:, :, None] * xk[None, None, :]
-        b[1:] += ek * low
-        b1[1:] += ek * (low1 + low[:, None] * xk)
-        b2[1:] += ek * (low2 + cross + cross.transpose(0, 2, 1) + low[:, None, None] * outer)
-        if (top := b.max()) > 1e100:
-            b, b1, b2, scale = b / top, b1 / top, b2 / top, scale + np.log(top)
-    m = b1[cases] / b[cases]
-    return float(np.log(b[cases]) + scale), m, b2[cases] / b[cases] - np.outer(m, m)
-
-
-def _exact_moments(data: RegressionData, betas: DataFrame, covariates: list[int], tasks: int, weights: DataFrame | None) -> DataFrame:
-    """Conditional logistic regression with the exact denominators: strata are small and independent, a stratum is a group."""
-    ship(data.spark)
-    ids = sorted(covariates)
-    rows = weighted_rows(data, betas, tasks, weights).select("task", "stratumId", "rowId", "y", "w", "xb").join(_vectors(entries(data, ids)), "rowId", "left")
-
-    def stratum(g: pd.DataFrame) -> pd.DataFrame:
-        g = g[g["w"] > 0]
-        cases = int((g["y"] == 1).sum())
-        if not 0 < cases < len(g):
-            return pd.DataFrame({"task": [], "i": [], "j": [], "value": []})
-        x = np.zeros((len(g), len(ids)))
-        for r, xs in enumerate(g["xs"]):
-            for entry in xs if xs is not None else []:
-                x[r, ids.index(entry["i"])] = entry["x"]
-        xb, y = g["xb"].to_numpy(), (g["y"] == 1).to_numpy()
-        top = xb.max()
-        log_d, m, h = exact_stratum(np.exp(xb - top), x, cases)
-        slope = x[y].sum(0) - m
-        out = [(None, None, float(xb[y].sum() - log_d - cases * top))]
-        out += [(a, None, slope[k]) for k, a in enumerate(ids)]
-        out += [(a, b, h[k, n]) for k, a in enumerate(ids) for n, b in enumerate(ids) if k <= n]
-        return pd.DataFrame(out, columns=["i", "j", "value"]).astype({"i": "Int64", "j": "Int64"}).assign(task=int(g["task"].iloc[0]))[["task", "i", "j", "value"]]
-
-    each = rows.groupBy("task", "stratumId").applyInPandas(stratum, "task int, i long, j long, value double")
-    return each.groupBy("task", "i", "j").agg(F.sum("value").alias("value"))
