@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import log_factorial, logistic, softplus
 from ..plans.data import RegressionData
 from ..plans.models import INTERCEPT_ID, Model
+from .dense import TaskWeights
 from .exact import exact_moments
 from .score import linear_predictors
 from .survival import Running, range_cuts, running_sums
@@ -28,12 +29,13 @@ _TIME = ["task", "stratumId", "time"]
 MOST_IN_RISK_SETS = 40
 
 
-def weighted_rows(data: RegressionData, betas: DataFrame, tasks: int = 1, weights: DataFrame | None = None) -> DataFrame:
-    """Linear predictors with the weight w of each row: of weights (rowId, w or task, rowId, w), else of the data, else 1."""
+def weighted_rows(data: RegressionData, betas: DataFrame, tasks: int = 1, weights: DataFrame | TaskWeights | None = None) -> DataFrame:
+    """Linear predictors with the weight w of each row: of weights (rowId, w), of the tasks' own, else of the data, else 1."""
     rows = linear_predictors(data, betas, tasks)
-    if weights is not None:
-        on = ["task", "rowId"] if "task" in weights.columns else ["rowId"]
-        rows = rows.drop("w").join(weights, on, "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    if isinstance(weights, TaskWeights):
+        rows = rows.withColumn("w", weights.of(F.col("task")))
+    elif weights is not None:
+        rows = rows.drop("w").join(weights, "rowId", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     elif "weights" in data.outcomes.columns:
         rows = rows.withColumn("w", F.coalesce("weights", F.lit(1.0)))
     else:
@@ -104,8 +106,10 @@ def _risk_terms(data: RegressionData, rows: DataFrame, ranges: Ranges) -> Terms:
     return Terms(rows.withColumns({"a": event - share, "b": share, "ll": event * F.col("xb")}), groups)
 
 
-def log_likelihood(data: RegressionData, betas: DataFrame, tasks: int = 1, weights: DataFrame | None = None, predictive: bool = False, ranges: Ranges = None) -> DataFrame:
+def log_likelihood(data: RegressionData, betas: DataFrame, tasks: int = 1, weights: DataFrame | TaskWeights | None = None, predictive: bool = False, ranges: Ranges = None) -> DataFrame:
     """(task, value)."""
+    if data.model is Model.CLR_EXACT:
+        return _exact(data, betas, [], tasks, weights).filter("i is null").select("task", "value")
     t = terms(data, weighted_rows(data, betas, tasks, weights), ranges, predictive)
     parts = t.rows.groupBy("task").agg(F.sum("ll").alias("v"))
     if t.groups is not None:
@@ -123,8 +127,11 @@ def entries(data: RegressionData, covariates: list[int] | None = None) -> DataFr
     return rows
 
 
-def gradient(data: RegressionData, betas: DataFrame, tasks: int = 1, weights: DataFrame | None = None, ranges: Ranges = None) -> DataFrame:
+def gradient(data: RegressionData, betas: DataFrame, tasks: int = 1, weights: DataFrame | TaskWeights | None = None, ranges: Ranges = None) -> DataFrame:
     """(task, i, value) for all covariates at once."""
+    if data.model is Model.CLR_EXACT:
+        ids = [r[0] for r in data.covariates.select("covariateId").distinct().collect()]  # its moments are arrays over the covariates
+        return _exact(data, betas, ids, tasks, weights).filter("i is not null and j is null").select("task", "i", "value")
     t = terms(data, weighted_rows(data, betas, tasks, weights), ranges)
     return _gradient(t, entries(data))
 
@@ -172,7 +179,7 @@ def _group_pairs(data: RegressionData, t: Terms, x: DataFrame, covariates: list[
     return total.select("task", F.explode(each).alias("v")).select("task", "v.*")
 
 
-def information(data: RegressionData, betas: DataFrame, covariates: list[int], tasks: int = 1, weights: DataFrame | None = None, ranges: Ranges = None) -> DataFrame:
+def information(data: RegressionData, betas: DataFrame, covariates: list[int], tasks: int = 1, weights: DataFrame | TaskWeights | None = None, ranges: Ranges = None) -> DataFrame:
     """(task, i, j, value), i <= j: minus the matrix of second derivatives, over the given covariates (0: the intercept)."""
     t = terms(data, weighted_rows(data, betas, tasks, weights), ranges)
     return _information(data, t, covariates, ranges)
@@ -187,10 +194,10 @@ def _information(data: RegressionData, t: Terms, covariates: list[int], ranges:
     return out
 
 
-def fit_moments(data: RegressionData, betas: DataFrame, covariates: list[int], tasks: int = 1, weights: DataFrame | None = None, ranges: Ranges = None) -> DataFrame:
+def fit_moments(data: RegressionData, betas: DataFrame, covariates: list[int], tasks: int = 1, weights: DataFrame | TaskWeights | None = None, ranges: Ranges = None) -> DataFrame:
     """(task, i, j, value): log-likelihood (i, j null), gradient (j null) and information in one DataFrame."""
     if data.model is Model.CLR_EXACT:
-        return exact_moments(weighted_rows(data, betas, tasks, weights), _vectors(entries(data, covariates)), covariates)
+        return _exact(data, betas, covariates, tasks, weights)
     t = terms(data, weighted_rows(data, betas, tasks, weights), ranges)
     null = F.lit(None).cast("long")
     level = t.rows.groupBy("task").agg(F.sum("ll").alias("value")).select("task", null.alias("i"), null.alias("j"), "value")
@@ -200,7 +207,21 @@ def fit_moments(data: RegressionData, betas: DataFrame, covariates: list[int], t
     return level.union(slope).union(_information(data, t, covariates, ranges))
 
 
-def majorizer_moments(data: RegressionData, betas: DataFrame, covariates: list[int], tasks: int = 1, weights: DataFrame | None = None, ranges: Ranges = None) -> DataFrame:
+def _exact(data: RegressionData, betas: DataFrame, covariates: Sequence[int], tasks: int, weights: DataFrame | TaskWeights | None) -> DataFrame:
+    return exact_moments(weighted_rows(data, betas, tasks, weights), _vectors(entries(data, list(covariates))), covariates)
+
+
+def convergence_sums(data: RegressionData, betas: DataFrame, before: DataFrame | None, tasks: int = 1, weights: DataFrame | TaskWeights | None = None) -> DataFrame:
+    """(task, score, moved, size): the sums of w * y * xb, and with the coefficients before those of w * |xb - xb before| and w * |xb|."""
+    rows = weighted_rows(data, betas, tasks, weights)
+    moved = F.lit(None).cast("double")
+    if before is not None:
+        rows = rows.join(linear_predictors(data, before, tasks).select("task", "rowId", F.col("xb").alias("was")), ["task", "rowId"])
+        moved = F.sum(F.col("w") * F.abs(F.col("xb") - F.col("was")))
+    return rows.groupBy("task").agg(F.sum(F.col("w") * F.col("y") * F.col("xb")).alias("score"), moved.alias("moved"), F.sum(F.col("w") * F.abs("xb")).alias("size"))
+
+
+def majorizer_moments(data: RegressionData, betas: DataFrame, covariates: list[int], tasks: int = 1, weights: DataFrame | TaskWeights | None = None, ranges: Ranges = None) -> DataFrame:
     """As fit_moments, with a diagonal matrix that bounds the information: the sums of a row's weight times its entry's size
     times the sum of its entries' sizes. Its cost grows with the entries, not with pairs of them."""
     t = terms(data, weighted_rows(data, betas, tasks, weights), ranges)

@@ -15,11 +15,11 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.dense import MOST, dense_moments, dense_rows
-from ..operators.likelihood import fit_moments, gradient, log_likelihood, majorizer_moments
+from ..operators.dense import MOST, Moments, TaskWeights, dense_moments, dense_rows
+from ..operators.likelihood import convergence_sums, fit_moments, gradient, log_likelihood, majorizer_moments
 from ..operators.score import coefficients
 from ..operators.survival import range_cuts
 from .data import RegressionData
@@ -36,6 +36,9 @@ class Control:
     cycles: int = 200
     #: Two-level running sums over so many ranges of time; None: as many as the largest stratum's times need.
     ranges: int | None = None
+    #: When a fit has converged: lange, the relative change of likelihood and prior; mittal, of the likelihood; gradient, of the sum of
+    #: y * xb; zhang_oles, the sum of |change of xb| over that of |xb|, plus one; one_step, after one step.
+    convergence: str = "lange"
     #: newton: steps on the whole information matrix; mm: all coefficients at once on a diagonal bound of it, for many of them.
     algorithm: str = "newton"
     #: Fit on an active set of covariates (Laplace prior), screened by the gradient of all.
@@ -81,7 +84,7 @@ class Fit:
         return sum(not math.isnan(b) for b in self.betas.values())
 
 
-Moments = tuple[float, np.ndarray, np.ndarray]
+CONVERGENCE = ("lange", "mittal", "gradient", "zhang_oles", "one_step")
 
 
 def _collected(moments: DataFrame, ids: Sequence[int], tasks: int, diagonal: bool = False) -> list[Moments]:
@@ -101,23 +104,34 @@ def _collected(moments: DataFrame, ids: Sequence[int], tasks: int, diagonal: boo
             h[t, a, b] += value
             if a != b:
                 h[t, b, a] += value
-    return [(level[t], g[t], h[t]) for t in range(tasks)]
+    return [Moments(level[t], g[t], h[t]) for t in range(tasks)]
 
 
-def _moments(data: RegressionData, ids: Sequence[int], control: Control, weights: DataFrame | None, tasks: int) -> tuple[Callable[[Sequence[Mapping[int, float]], Sequence[int]], list[Moments]], Callable[[], None]]:
-    """A function that gives the moments at coefficients of the tasks with the given numbers, and one that ends its use."""
+Evaluate = Callable[..., list[Moments]]
+
+
+def _moments(data: RegressionData, ids: Sequence[int], control: Control, weights: DataFrame | TaskWeights | None) -> tuple[Evaluate, Callable[[], None]]:
+    """A function that gives the moments at coefficients of the tasks with the given numbers, see ``dense_moments``, and one that ends its
+    use."""
     if control.algorithm != "mm" and data.model is not Model.CLR_EXACT and len(ids) <= MOST:
-        dense = dense_rows(data, ids, weights, tasks, control.ranges)
-        return (lambda betas, numbers: dense_moments(dense, betas, numbers)), dense.rows.unpersist
+        dense = dense_rows(data, ids, weights, control.ranges)
+        return (lambda betas, numbers, **more: dense_moments(dense, betas, numbers, **more)), dense.rows.unpersist
     diagonal, of = control.algorithm == "mm", majorizer_moments if control.algorithm == "mm" else fit_moments
     ranges = range_cuts(data.outcomes, ["stratumId"], control.ranges) if data.model.survival else ()
 
-    def long_form(betas: Sequence[Mapping[int, float]], numbers: Sequence[int]) -> list[Moments]:
+    def long_form(betas: Sequence[Mapping[int, float]], numbers: Sequence[int], before: Sequence[Mapping[int, float]] | None = None, third: bool = False, score: bool = False) -> list[Moments]:
+        if third:
+            raise ValueError(f"the information's derivative needs a fit with at most {MOST} covariates, in steps of newton")
         used = weights
-        if weights is not None and "task" in weights.columns:
-            renamed = data.spark.createDataFrame([(t, k) for k, t in enumerate(numbers)], "task int, k int")
-            used = weights.join(F.broadcast(renamed), "task").select(F.col("k").alias("task"), "rowId", "w")
-        return _collected(of(data, coefficients(data.spark, *betas), ids, len(betas), used, ranges), ids, len(betas), diagonal)
+        if isinstance(weights, TaskWeights):
+            own = F.array(*[F.lit(int(t)) for t in numbers])
+            used = replace(weights, of=lambda task: weights.of(F.get(own, task)))
+        now = coefficients(data.spark, *betas)
+        out = _collected(of(data, now, ids, len(betas), used, ranges), ids, len(betas), diagonal)
+        if before is not None or score:
+            sums = {r["task"]: r for r in convergence_sums(data, now, coefficients(data.spark, *before) if before is not None else None, len(betas), used).collect()}
+            out = [m._replace(**{n: math.nan if sums[t][n] is None else sums[t][n] for n in ("score", "moved", "size")}) for t, m in enumerate(out)]
+        return out
 
     return long_form, lambda: None
 
@@ -176,32 +190,38 @@ def _held(data: RegressionData) -> Iterator[None]:
             df.unpersist()
 
 
-def fit_tasks(data: RegressionData, priors: Sequence[PriorSet], ids: Sequence[int], starts: Sequence[Mapping[int, float]], control: Control, weights: DataFrame | None = None, fixed: Sequence[frozenset[int]] | None = None) -> list[dict]:
+def fit_tasks(data: RegressionData, priors: Sequence[PriorSet], ids: Sequence[int], starts: Sequence[Mapping[int, float]], control: Control, weights: DataFrame | TaskWeights | None = None, fixed: Sequence[frozenset[int]] | None = None) -> list[dict]:
     """Fits of all tasks in lock-step: each iteration is one job over the tasks that haven't converged.
 
-    weights: (rowId, w), or (task, rowId, w) with weights of each task's own. Returns betas, ll, g, h, iterations, flag.
+    weights: (rowId, w), or weights of each task's own. Returns betas, ll, g, h, iterations, flag.
     """
     with _held(data):
         return _fit_tasks(data, priors, sorted(ids), starts, control, weights, fixed)
 
 
-def _fit_tasks(data: RegressionData, priors: Sequence[PriorSet], ids: Sequence[int], starts: Sequence[Mapping[int, float]], control: Control, weights: DataFrame | None, fixed: Sequence[frozenset[int]] | None) -> list[dict]:
+def _fit_tasks(data: RegressionData, priors: Sequence[PriorSet], ids: Sequence[int], starts: Sequence[Mapping[int, float]], control: Control, weights: DataFrame | TaskWeights | None, fixed: Sequence[frozenset[int]] | None) -> list[dict]:
+    if control.convergence not in CONVERGENCE:
+        raise ValueError(f"convergence must be one of {CONVERGENCE}")
     n = len(priors)
-    moments, end = _moments(data, ids, control, weights, n)
+    moments, end = _moments(data, ids, control, weights)
     fixed = fixed or [frozenset()] * n
     beta = [np.array([s.get(c, 0.0) for c in ids]) for s in starts]
-    state = [{"best": -math.inf, "flag": "MAX_ITERATIONS", "iterations": 0, "bound": np.full(len(ids), control.initial_bound), "at": None} for _ in range(n)]
+    state = [{"best": -math.inf, "flag": "MAX_ITERATIONS", "iterations": 0, "bound": np.full(len(ids), control.initial_bound), "at": None, "objective": math.nan} for _ in range(n)]
     open_tasks = list(range(n))
     named = lambda b: dict(zip(ids, map(float, b), strict=True))
+    third = any(isinstance(p.default, Jeffreys) for p in priors)
     for iteration in range(1, control.max_iterations + 1):
-        found = moments([named(beta[t]) for t in open_tasks], open_tasks)
+        more = {"third": third, "score": control.convergence == "gradient"}
+        if control.convergence == "zhang_oles":
+            more["before"] = [named(state[t]["at"][0] if state[t]["at"] else beta[t]) for t in open_tasks]
+        found = moments([named(beta[t]) for t in open_tasks], open_tasks, **more)
         still = []
-        for (ll, g, h), t in zip(found, open_tasks, strict=True):
-            s = state[t]
+        for m, t in zip(found, open_tasks, strict=True):
+            s, (ll, g, h) = state[t], m[:3]
             s["iterations"] = iteration
             prior = priors[t]
             if isinstance(prior.default, Jeffreys):
-                prior = _with_jeffreys(prior, ids, beta[t], h, lambda b, t=t: moments([named(x) for x in b], [t] * len(b)))
+                prior = _with_jeffreys(prior, m)
             value = ll + prior.log_density(named(beta[t]))
             if not math.isfinite(value) or not np.isfinite(g).all():
                 s["flag"] = "ILLCONDITIONED"
@@ -211,12 +231,21 @@ def _fit_tasks(data: RegressionData, priors: Sequence[PriorSet], ids: Sequence[i
                 beta[t] = (beta[t] + s["at"][0]) / 2  # too far: half the way back
                 still.append(t)
                 continue
-            change = abs(value - s["best"]) / (abs(value) + 1) if s["at"] is not None else math.inf
+            objective = {"mittal": ll, "gradient": m.score, "one_step": 0.0}.get(control.convergence, value)
+            change = abs(objective - s["objective"]) / (abs(objective) + 1) if s["at"] is not None else math.inf
+            if control.convergence == "zhang_oles" and s["at"] is not None:
+                change = m.moved / (1 + m.size)
+            first = s["at"] is None
+            poor = change == 0.0 and s.get("steps", 0) == 1 and control.convergence in ("lange", "mittal", "gradient") and not fixed[t] >= set(ids)
             before = s["at"][0] if s["at"] is not None else None
-            s.update(best=value, at=(beta[t].copy(), ll, g, h))
+            s.update(best=value, at=(beta[t].copy(), ll, g, h), objective=objective, steps=s.get("steps", 0) + 1)
             new = _descend(ids, beta[t], g, h, prior, fixed[t], s["bound"], control)
             step = np.abs(new - beta[t])
-            if (change < control.tolerance and (step.max(initial=0) < 1e-5 or not adaptive)) or step.max(initial=0) < 1e-9:
+            if poor and step.max(initial=0) >= 1e-9:
+                s["flag"] = "POOR_BLR_STEP"  # the first step has moved, but not the objective
+                continue
+            settled = step.max(initial=0) < 1e-5 or not adaptive or control.convergence != "lange"
+            if (change < control.tolerance and settled) or step.max(initial=0) < 1e-9 or (control.convergence == "one_step" and not first):
                 s["flag"] = "SUCCESS"
                 continue
             if before is not None:
@@ -234,15 +263,10 @@ def _fit_tasks(data: RegressionData, priors: Sequence[PriorSet], ids: Sequence[i
     return out
 
 
-def _with_jeffreys(prior: PriorSet, ids: Sequence[int], beta: np.ndarray, h: np.ndarray, moments: Callable[[Sequence[np.ndarray]], list[Moments]]) -> PriorSet:
-    """The prior with the information's derivative at beta, by a central difference of one job."""
-    k, eps = len(ids) - 1, 1e-4
-    up, down = beta.copy(), beta.copy()
-    up[k] += eps
-    down[k] -= eps
-    (_, _, a), (_, _, b) = moments([up, down])
-    third = (a[k, k] - b[k, k]) / (2 * eps) / (2 * h[k, k]) if h[k, k] > 0 else 0.0
-    return replace(prior, default=Jeffreys(third, max(h[k, k], 1e-300)))
+def _with_jeffreys(prior: PriorSet, m: Moments) -> PriorSet:
+    """The prior with the information of the one covariate, the last one, and its derivative."""
+    h = float(m.information[-1, -1])
+    return replace(prior, default=Jeffreys(m.third / (2 * h) if h > 0 else 0.0, max(h, 1e-300)))
 
 
 def _check_jeffreys(data: RegressionData, ids: Sequence[int]) -> None:
@@ -286,9 +310,14 @@ def fit(data: RegressionData, prior: PriorSet | str = "none", control: Control =
     tried = control
     for _ in range(RESTARTS + 1):
         if control.active_set and isinstance(prior.default, Laplace):
-            done = _fit_active(data, prior, all_ids, start, tried, weights, frozenset(fixed))
+            done = _fit_active(data, prior, all_ids, start, tried, weights, frozenset(fixed), all_ids if ids is not None else None)
         else:
             done = fit_tasks(data, [prior], all_ids, [start], tried, weights, [frozenset(fixed)])[0]
+        if done["flag"] == "POOR_BLR_STEP":
+            warnings.warn("the first step leaves the convergence criterion as it was: a coefficient may be infinite", stacklevel=2)
+            if control.convergence == "gradient":
+                return fit(data, prior, replace(control, convergence="lange"), weights, starting, fixed, ids)
+            break
         if done["flag"] != "ILLCONDITIONED":
             break
         tried = replace(tried, initial_bound=tried.initial_bound / 10)
@@ -305,23 +334,73 @@ def _runs_away(done: Mapping, prior: PriorSet, fixed: frozenset[int]) -> bool:
     return any(abs(b) > 15 and flat.get(c, 1.0) < 1e-3 for c, b in done["betas"].items() if not prior.of(c).regularized and c not in fixed and c != INTERCEPT_ID)
 
 
-def _fit_active(data: RegressionData, prior: PriorSet, ids: Sequence[int], start: Mapping[int, float], control: Control, weights: DataFrame | None, fixed: frozenset[int]) -> dict:
-    """Fits on the covariates that are non-zero or violate the optimality condition |g| <= rate at zero, until none does. The
-    information is that of the active ones."""
-    active = [c for c in ids if start.get(c) or not prior.of(c).regularized or c in fixed]
-    betas, known = dict(start), set(ids)
+#: Violating covariates that join an active set at once, at most.
+MOST_JOINING = 200
+
+
+def _rates(prior: PriorSet, i: Column) -> Column:
+    """The Laplace rate of each covariate; null where there is no such prior."""
+    rate = lambda p: F.lit(p.rate if isinstance(p, Laplace) else None).cast("double")
+    out = rate(prior.default)
+    for c, p in prior.own.items():
+        out = F.when(i == int(c), rate(p)).otherwise(out)
+    return out
+
+
+def _slopes(data: RegressionData, betas: Mapping[int, float], prior: PriorSet, ids: Sequence[int] | None, without: Sequence[int], control: Control, weights: DataFrame | None) -> DataFrame:
+    """(i, value, rate): the gradient at betas of the covariates that may join, with their rates."""
+    rows = gradient(data, coefficients(data.spark, betas), 1, weights, control.ranges).select("i", "value")
+    listed = lambda c: F.broadcast(data.spark.createDataFrame([(int(x),) for x in c], "i long"))
+    rows = rows.join(listed(ids), "i", "left_semi") if ids is not None else rows
+    rows = rows.join(listed(without), "i", "left_anti") if without else rows
+    return rows.withColumn("rate", _rates(prior, F.col("i")))
+
+
+def _violating(slopes: DataFrame, most: int = MOST_JOINING) -> list[int]:
+    """The covariates at zero whose slope is beyond their own rate, the worst first; judged on the executors."""
+    beyond = F.abs("value") - F.col("rate")
+    return [r["i"] for r in slopes.filter(beyond > 1e-6 * F.col("rate")).orderBy(beyond.desc(), "i").limit(most).collect()]
+
+
+def _fit_active(data: RegressionData, prior: PriorSet, ids: Sequence[int], start: Mapping[int, float], control: Control, weights: DataFrame | None, fixed: frozenset[int], among: Sequence[int] | None = None, expected: Sequence[int] = ()) -> dict:
+    """Fits on the covariates that are non-zero, expected to be, or violate the optimality condition |g| <= rate at zero, until none
+    does. among: the covariates that may join, where these aren't all of the data. The information is that of the active ones."""
+    active = sorted({*[c for c in ids if start.get(c) or not isinstance(prior.of(c), Laplace) or prior.of(c).location or c in fixed], *expected})
+    betas, iterations = dict(start), 0
     while True:
         done = fit_tasks(data, [prior], active, [betas], control, weights, [fixed])[0] if active else {"betas": {}, "ll": math.nan, "g": {}, "h": np.zeros((0, 0)), "h_ids": (), "iterations": 0, "flag": "SUCCESS"}
-        betas = dict.fromkeys(ids, 0.0) | done["betas"]
-        slopes = gradient(data, coefficients(data.spark, betas), 1, weights, control.ranges)
-        rest = slopes.join(F.broadcast(data.spark.createDataFrame([(int(c),) for c in active], "i long")), "i", "left_anti") if active else slopes
-        worst = {r["i"]: r["value"] for r in rest.orderBy(F.desc(F.abs("value"))).limit(200).collect()}
-        more = [c for c, g in worst.items() if c in known and abs(g) > prior.of(c).rate * (1 + 1e-6)]
+        betas, iterations = dict.fromkeys(ids, 0.0) | done["betas"], iterations + done["iterations"]
+        more = _violating(_slopes(data, betas, prior, among, active, control, weights)) if done["flag"] != "ILLCONDITIONED" else []
         if not more:
-            return done | {"betas": {c: betas[c] for c in sorted(ids)}, "g": dict.fromkeys(ids, math.nan) | done["g"]}
+            if not active:
+                done["ll"] = log_likelihood(data, coefficients(data.spark, betas or {INTERCEPT_ID: 0.0}), 1, weights, ranges=control.ranges).first()["value"]
+            return done | {"betas": {c: betas[c] for c in sorted(ids)}, "g": dict.fromkeys(ids, math.nan) | done["g"], "iterations": iterations}
         active = sorted({*active, *more})
 
 
+def fit_path(data: RegressionData, prior: PriorSet, variances: Sequence[float], control: Control = Control(), weights: DataFrame | None = None, ids: Sequence[int] | None = None) -> list[Fit]:
+    """Laplace fits at rising variances, each begun at the one before, on active sets chosen by the sequential strong rule: a covariate is
+    expected to stay at zero if its slope at the last fit is under twice the new rate less the last one. The rule may err, so each
+    fit is checked like any other fit on an active set."""
+    if not isinstance(prior.default, Laplace):
+        raise ValueError("a path of variances is one of Laplace priors")
+    all_ids = sorted(ids) if ids is not None else covariate_ids(data)
+    among = all_ids if ids is not None else None
+    betas, last, out = start_values(data, all_ids), None, []
+    with _held(data):
+        for v in sorted(variances):
+            now = prior.with_variance(v)
+            expected: list[int] = []
+            if last is not None:
+                slopes = _slopes(data, betas, now, among, [c for c in all_ids if betas[c]], control, weights)
+                threshold = 2 * F.col("rate") - F.when(F.col("i").isin(list(map(int, prior.own))), F.col("rate")).otherwise(F.lit(last)) if prior.own else 2 * F.col("rate") - F.lit(last)
+                expected = [r["i"] for r in slopes.filter(F.abs("value") >= threshold).select("i").collect()]  # no more than become active, but for a few
+            done = _fit_active(data, now, all_ids, betas, control, weights, frozenset(), among, expected)
+            betas, last = done["betas"], now.default.rate
+            out.append(Fit(data, now, control, betas, done["ll"], now.log_density(betas), done["iterations"], done["flag"], done["h"], done["g"], weights, information_ids=done["h_ids"]))
+    return out
+
+
 def log_lik(fitted: Fit) -> tuple[float, int, int]:
     """The log-likelihood, its degrees of freedom (coefficients that are numbers) and the number of rows."""
     return fitted.log_likelihood, fitted.degrees_of_freedom, fitted.data.outcomes.count()

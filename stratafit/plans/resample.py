@@ -8,9 +8,10 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.dense import TaskWeights
 from ..operators.likelihood import log_likelihood
 from ..operators.reduce import default_variance
 from ..operators.score import coefficients
@@ -36,18 +37,60 @@ def auto_repetitions(n: int) -> int:
     return min(max(math.ceil(100 / math.sqrt(n)), 1), 10)
 
 
-def folds(data: RegressionData, k: int, seed: int = 0, repetition: int = 0, selector: str = "auto", deterministic: bool = False) -> DataFrame:
-    """(rowId, fold): folds of equal sizes (within one) in the order of a hash; deterministic: the unit's id modulo k."""
+#: Bits of a hash that are told apart in one pass over the units.
+_BITS = 14
+
+
+def _hash(unit: str, seed: int, repetition: int) -> Column:
+    """63 bits."""
+    return F.shiftrightunsigned(F.xxhash64(unit, F.lit(seed), F.lit(repetition)), 1)
+
+
+def hash_quantiles(units: DataFrame, h: Column, ranks: Sequence[int]) -> list[int]:
+    """For each rank a number that so many of the hashes (63 bits, one for each row of units) don't exceed; where hashes are equal, the
+    nearest above.
+
+    A pass counts the next bits of the hashes in the ranges that hold a rank: some thousand counts for each reach the driver, and
+    units are neither sorted nor shuffled.
+    """
+    hashes = units.select(h.alias("h"))
+    found, inside, shift = {r: (1 << 63) - 1 for r in ranks}, {r: (0, r) for r in ranks if r > 0}, 63  # prefix, and rank within it
+    while inside and shift > 0:
+        below = max(0, shift - _BITS)
+        prefixes = sorted({p for p, _ in inside.values()})
+        rows = hashes.filter(F.shiftright("h", shift).isin(prefixes)) if shift < 63 else hashes
+        counts: dict[int, list[tuple[int, int]]] = {}
+        for r in rows.groupBy(F.shiftright("h", below).alias("p")).count().orderBy("p").collect():
+            counts.setdefault(r["p"] >> (shift - below), []).append((r["p"], r["count"]))
+        after = {}
+        for rank, (prefix, left) in inside.items():
+            for p, n in counts.get(prefix, []):
+                if left <= n:
+                    found[rank] = ((p + 1) << below) - 1
+                    if left < n:
+                        after[rank] = (p, left)
+                    break
+                left -= n
+        inside, shift = after, below
+    return [found[r] if r > 0 else -1 for r in ranks]
+
+
+def fold_of(data: RegressionData, k: int, seed: int = 0, repetition: int = 0, selector: str = "auto", deterministic: bool = False) -> tuple[str, Column]:
+    """The column whose values are dealt to folds, and the fold of a row: folds of equal sizes (within one) by a hash; deterministic: the
+    unit's id modulo k."""
     unit = selector_unit(data, selector)
     if deterministic:
-        return data.outcomes.select("rowId", F.pmod(unit, F.lit(k)).cast("int").alias("fold"))
-    # Ranks without a global sort in one task: by hash range first, then within the range.
-    units = data.outcomes.select(unit).distinct().withColumn("h", F.xxhash64(unit, F.lit(seed), F.lit(repetition)))
-    units = units.withColumn("part", F.shiftrightunsigned("h", 54))
-    sizes = units.groupBy("part").count()
-    before = sizes.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # 1024 rows
-    ranked = units.join(F.broadcast(before), "part").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("h", unit)) - 1)
-    return data.outcomes.select("rowId", *([unit] if unit != "rowId" else [])).join(ranked.select(unit, (F.col("place") % k).cast("int").alias("fold")), unit).select("rowId", "fold")
+        return unit, F.pmod(unit, F.lit(k)).cast("int")
+    units = data.outcomes.select(unit) if unit == "rowId" else data.outcomes.select(unit).distinct()
+    n, h = units.count(), _hash(unit, seed, repetition)
+    edges = hash_quantiles(units, h, [n * i // k for i in range(1, k)])
+    return unit, sum(((h > F.lit(e)).cast("int") for e in edges), F.lit(0))
+
+
+def folds(data: RegressionData, k: int, seed: int = 0, repetition: int = 0, selector: str = "auto", deterministic: bool = False) -> DataFrame:
+    """(rowId, fold), see ``fold_of``."""
+    _, fold = fold_of(data, k, seed, repetition, selector, deterministic)
+    return data.outcomes.select("rowId", fold.alias("fold"))
 
 
 @dataclass(frozen=True)
@@ -74,36 +117,39 @@ def log_grid(search: Search) -> list[float]:
     return [math.exp(math.log(search.lower) + k * (math.log(search.upper) - math.log(search.lower)) / max(steps - 1, 1)) for k in range(steps)]
 
 
-def fold_weights(data: RegressionData, search: Search, copies: int = 1) -> tuple[DataFrame, int]:
-    """(task, rowId, w, held): for each copy, repetition and fold the rows' training and held-out weights."""
-    own = F.coalesce("weights", F.lit(1.0)) if "weights" in data.outcomes.columns else F.lit(1.0)
-    base = data.outcomes.select("rowId", own.alias("own"))
-    frames = []
-    for r in range(search.repetitions):
-        dealt = folds(data, search.fold, search.seed, r, search.selector, search.deterministic).join(base, "rowId")
-        each = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(search.fold - 1))))
-        out = F.col("k") == F.col("fold")
-        frames.append(each.select((F.lit(r * search.fold) + F.col("k")).alias("k"), "rowId", F.when(out, 0.0).otherwise(F.col("own")).alias("w"), F.when(out, F.col("own")).otherwise(0.0).alias("held")))
-    rows = frames[0]
-    for f in frames[1:]:
-        rows = rows.union(f)
+def _own(data: RegressionData) -> Column:
+    return F.coalesce("weights", F.lit(1.0)) if "weights" in data.outcomes.columns else F.lit(1.0)
+
+
+def _read(data: RegressionData, unit: str) -> tuple[str, ...]:
+    return (unit, *(["weights"] if "weights" in data.outcomes.columns else []))
+
+
+def fold_weights(data: RegressionData, search: Search, copies: int = 1) -> tuple[TaskWeights, TaskWeights, int]:
+    """Training and held-out weights of the tasks, numbered by copy, repetition and fold, and how many there are. A row's fold is told
+    from a hash of its unit where the weight is used."""
+    dealt = [fold_of(data, search.fold, search.seed, r, search.selector, search.deterministic) for r in range(search.repetitions)]
+    unit, fold = dealt[0][0], F.array(*[f for _, f in dealt])
     per_copy = search.repetitions * search.fold
-    rows = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return rows.select((F.col("c") * per_copy + F.col("k")).cast("int").alias("task"), "rowId", "w", "held"), copies * per_copy
+
+    def is_out(task: Column) -> Column:
+        place = task % per_copy
+        return F.get(fold, F.floor(place / search.fold).cast("int")) == place % search.fold
+
+    train = TaskWeights(lambda task: F.when(is_out(task), 0.0).otherwise(_own(data)), _read(data, unit))
+    held = TaskWeights(lambda task: F.when(is_out(task), _own(data)).otherwise(0.0), _read(data, unit))
+    return train, held, copies * per_copy
 
 
 def cv_scores(data: RegressionData, priors: Sequence[PriorSet], search: Search, control: Control = Control()) -> list[tuple[float, float]]:
     """(mean, standard deviation over folds) of the held-out log-likelihood for each prior; folds whose fit fails are left
     out. All folds of all priors are fitted in the same jobs."""
     ids = covariate_ids(data)
-    weights, tasks = fold_weights(data, search, len(priors))
+    train, held, tasks = fold_weights(data, search, len(priors))
     per = tasks // len(priors)
     start = start_values(data, ids)
-    weights = weights.cache()
-    done = fit_tasks(data, [p for p in priors for _ in range(per)], ids, [start] * tasks, control, weights.drop("held"))
-    held = weights.select("task", "rowId", F.col("held").alias("w"))
+    done = fit_tasks(data, [p for p in priors for _ in range(per)], ids, [start] * tasks, control, train)
     values = {r["task"]: r["value"] for r in log_likelihood(data, coefficients(data.spark, *[d["betas"] for d in done]), tasks, held, predictive=True, ranges=control.ranges).collect()}
-    weights.unpersist()
     out = []
     for p in range(len(priors)):
         good = [values[t] for t in range(p * per, (p + 1) * per) if done[t]["flag"] == "SUCCESS" and values.get(t) is not None and math.isfinite(values[t])]
@@ -200,24 +246,26 @@ def outer_grid(data: RegressionData, make: Callable[..., PriorSet], grid: Sequen
     return best, fit(data, make(*best), control)
 
 
-def bootstrap_weights(data: RegressionData, replicates: int, seed: int = 0, selector: str = "auto") -> DataFrame:
-    """(task, rowId, w): independent Poisson(1) counts for each replicate and unit, times the rows' own weights. Up to the
+#: Probabilities that a Poisson count of mean 1 is at most 0, 1, 2, ...
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+
+def bootstrap_weights(data: RegressionData, seed: int = 0, selector: str = "auto") -> TaskWeights:
+    """Independent Poisson(1) counts for each task and unit, times the rows' own weights, told from a hash where they are used. Up to the
     total's variation that is drawing units with replacement, without any task having to see all of them."""
     unit = selector_unit(data, selector)
-    own = F.coalesce("weights", F.lit(1.0)) if "weights" in data.outcomes.columns else F.lit(1.0)
-    rows = data.outcomes.select("rowId", "stratumId", own.alias("own")).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = (F.shiftrightunsigned(F.xxhash64(unit, "task", F.lit(seed)), 11) + 0.5) / float(1 << 53)
-    edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
-    count = sum((F.when(u > float(e), 1).otherwise(0) for e in edges), F.lit(0))
-    return rows.select("task", "rowId", (count * F.col("own")).cast("double").alias("w"))
+
+    def of(task: Column) -> Column:
+        u = (F.shiftrightunsigned(F.xxhash64(unit, task.cast("int"), F.lit(seed)), 11) + 0.5) / float(1 << 53)
+        return sum((F.when(u > float(e), 1).otherwise(0) for e in _POISSON), F.lit(0)).cast("double") * _own(data)
+
+    return TaskWeights(of, _read(data, unit))
 
 
 def bootstrap(fitted: Fit, replicates: int = 100, seed: int = 0, level: float = 0.95, na_rm: bool = False, selector: str = "auto") -> tuple[dict[int, dict[str, float]], list[dict[int, float]]]:
     """For each covariate original, bias, std_err, bpi_lower, bpi_upper; and all replicates. Replicates start at the fit."""
     data, ids = fitted.data, fitted.ids
-    weights = bootstrap_weights(data, replicates, seed, selector).cache()
-    done = fit_tasks(data, [fitted.prior] * replicates, ids, [fitted.betas] * replicates, fitted.control, weights)
-    weights.unpersist()
+    done = fit_tasks(data, [fitted.prior] * replicates, ids, [fitted.betas] * replicates, fitted.control, bootstrap_weights(data, seed, selector))
     values = {c: np.array([d["betas"][c] if d["flag"] == "SUCCESS" else math.nan for d in done]) for c in ids}
     out = {}
     for c, v in values.items():

@@ -12,12 +12,12 @@ from .functions.scalar import rounded
 from .operators import likelihood, reduce, score, survival
 from .plans import tables as t
 from .plans.data import appended, from_columns, from_tables, is_sorted, matching_rows, multitype, numbered, with_covariate, with_time_and_outcome, with_time_effects
-from .plans.fit import Control, fit
+from .plans.fit import Control, fit, fit_path
 from .plans.inference import baseline, coverage, mse, profile_intervals, profile_likelihood, residuals, standard_errors, test_proportionality, wald_intervals
-from .plans.priors import make_prior, parameterized
+from .plans.priors import Laplace, make_prior, parameterized
 from .plans.resample import Search, bootstrap, cross_validated, folds
 from .sources.paths import new_folder
-from .sources.simulate import exposure_intervals, simulate
+from .sources.simulate import exposure_intervals
 from .sources.text import matrix_market, read_text
 from .streaming.score import score_stream
 
@@ -619,8 +619,6 @@ def _few(spark, sf_dir, model, ids=(500,)):
         out = out.withColumn("stratumId", F.col("stratumId") % 5)
     if model == "fgr":
         out = out.withColumns({"y": F.col("status").cast("double"), "censorWeights": 1 - F.col("time") / 5000})
-    if model == "pr":
-        out = out.withColumn("time", F.lit(1.0))
     cov = cov.withColumn("covariateValue", F.when(F.col("covariateId") == 500, F.col("covariateValue") / 100).otherwise(F.col("covariateValue")))
     return from_tables(out, cov, model, checked=False, add_intercept=model in ("ls", "lr", "pr"))
 
@@ -637,10 +635,9 @@ def fit_ls(spark, sf_dir):
     return _estimates(spark, fit(_few(spark, sf_dir, "ls")).betas)
 
 
-def _newton_sql(mean: str, slope: str) -> str:
-    """Twelve Newton steps for an intercept and one coefficient."""
-    step = "(select sum(y - {m}) as g0, sum((y - {m}) * x) as g1, sum({v}) as h00, sum({v} * x) as h01, sum({v} * x * x) as h11 from (select y, x, a, b, k from d, {p}))"
-    out, previous = _FEW + ", n0 as (select cast(ln((select avg(y) from d) / (1 - (select avg(y) from d))) as double) as a, cast(0.0 as double) as b)", "n0"
+def _newton_sql(mean: str, slope: str, start: str = "(select avg(y) from d) / (1 - (select avg(y) from d))") -> str:
+    """Eight Newton steps for an intercept and one coefficient."""
+    out, previous = _FEW + f", n0 as (select cast(ln({start}) as double) as a, cast(0.0 as double) as b)", "n0"
     for i in range(1, 9):
         s = f"select sum(y - {mean}) as g0, sum((y - {mean}) * x) as g1, sum({slope}) as h00, sum({slope} * x) as h01, sum({slope} * x * x) as h11 from d, {previous}"
         out += f", s{i} as ({s}), n{i} as (select a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) as a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) as b from {previous}, s{i})"
@@ -656,8 +653,9 @@ def fit_lr(spark, sf_dir):
     return _estimates(spark, fit(_few(spark, sf_dir, "lr")).betas)
 
 
-@query(_newton_sql("exp(a + b * x)", "exp(a + b * x)"))
+@query(_newton_sql("time * exp(a + b * x)", "time * exp(a + b * x)", "(select sum(y) / sum(time) from d)"))
 def fit_pr(spark, sf_dir):
+    """With the logarithm of time as offset."""
     return _estimates(spark, fit(_few(spark, sf_dir, "pr")).betas)
 
 
@@ -683,25 +681,32 @@ for _model in ("cpr", "sccs", "clr_efron"):
     ORACLE_SQL[f"fit_{_model}"] = ORACLE_SQL["fit_clr"] if _model == "clr_efron" else ORACLE_SQL["fit_clr"].replace("exp(b * x)", "time * exp(b * x)")
 
 
-def _newton_exact_sql() -> str:
-    """Strata with one or two cases: the sums over subsets are power sums."""
-    out = _FEW.replace("select o.y,", "select o.rowId, o.y,") + """, two as (select stratumId, time, x, case when y = 1 and row_number() over (partition by stratumId, y order by rowId) <= 2 then 1.0 else 0.0 end as y from d), n0 as (select cast(0.0 as double) as b)"""
-    previous = "n0"
-    for i in range(1, 9):
-        out += f""", p{i} as (select stratumId, sum(y) as n, sum(y * x) as yx, sum(exp(b * x)) as p, sum(x * exp(b * x)) as p1, sum(x * x * exp(b * x)) as p2, sum(exp(2 * b * x)) as q, sum(2 * x * exp(2 * b * x)) as q1, sum(4 * x * x * exp(2 * b * x)) as q2 from two, {previous} group by stratumId),
-s{i} as (select yx, case when n = 1 then p1 / p else (2 * p * p1 - q1) / (p * p - q) end as m, case when n = 1 then p2 / p else (2 * p1 * p1 + 2 * p * p2 - q2) / (p * p - q) end as m2 from p{i} where n > 0 and not (n = 2 and p * p - q <= 1e-12)),
-n{i} as (select b + (select sum(yx - m) / sum(m2 - m * m) from s{i}) as b from {previous})"""
-        previous = f"n{i}"
-    return out + f" select cast(500 as bigint) as covariateId, round(b, 5) + 0.0 as estimate from {previous}"
+def _newton_exact_sql(steps: int = 5) -> str:
+    """Newton steps with the sums over subsets of each stratum's rows, made row by row: after r rows a holds the sums over subsets of
+    k - 1 of them, a1 and a2 their derivatives."""
+    out = _FEW.replace("select o.y,", "select o.rowId, o.y,")
+    out += """, ranked as (select stratumId, x, y, row_number() over (partition by stratumId order by rowId) as r, sum(y) over (partition by stratumId) as m, count(*) over (partition by stratumId) as n from d),
+told as (select stratumId, x, y, r, cast(m as integer) as m, n from ranked where m > 0 and m < n), n0 as (select cast(0.0 as double) as b)"""
+    at = lambda a, k: f"coalesce(p.{a}[{k}], 0.0)"
+    each = lambda e: f"list_transform(range(1, q.m + 2), lambda k: {e})"
+    new = f"{at('a', 'k')} + exp(b * q.x) * {at('a', 'k - 1')}"
+    new1 = f"{at('a1', 'k')} + exp(b * q.x) * ({at('a1', 'k - 1')} + q.x * {at('a', 'k - 1')})"
+    new2 = f"{at('a2', 'k')} + exp(b * q.x) * ({at('a2', 'k - 1')} + 2 * q.x * {at('a1', 'k - 1')} + q.x * q.x * {at('a', 'k - 1')})"
+    mean, square = "p.a1[q.m + 1] / p.a[q.m + 1]", "p.a2[q.m + 1] / p.a[q.m + 1]"
+    for i in range(1, steps + 1):
+        out += f""", p{i} as (select distinct stratumId, cast(0 as bigint) as r, [cast(1.0 as double)] as a, [cast(0.0 as double)] as a1, [cast(0.0 as double)] as a2 from told
+ union all select p.stratumId, p.r + 1, {each(new)}, {each(new1)}, {each(new2)} from p{i} p join told q on p.stratumId = q.stratumId and q.r = p.r + 1, n{i - 1}),
+n{i} as (select b + (select sum(q.yx - {mean}) / sum({square} - ({mean}) * ({mean})) from p{i} p join (select stratumId, m, n, sum(y * x) as yx from told group by stratumId, m, n) q on p.stratumId = q.stratumId and p.r = q.n) as b from n{i - 1})"""
+    return out + f" select cast(500 as bigint) as covariateId, round(b, 5) + 0.0 as estimate from n{steps}"
 
 
 @query(_newton_exact_sql())
 def fit_clr_exact(spark, sf_dir):
-    """At most two cases in each stratum, its first ones."""
-    data = _few(spark, sf_dir, "clr_exact")
-    first = data.outcomes.filter("y = 1").groupBy("stratumId").agg(F.slice(F.sort_array(F.collect_list("rowId")), 1, 2).alias("first"))  # a customer's orders
-    outcomes = data.outcomes.join(first, "stratumId", "left").withColumn("y", F.coalesce(F.array_contains("first", F.col("rowId")), F.lit(False)).cast("double")).drop("first")
-    return _estimates(spark, fit(replace(data, outcomes=outcomes)).betas)
+    """All strata as they are, with all their cases."""
+    return _estimates(spark, fit(_few(spark, sf_dir, "clr_exact")).betas)
+
+
+ORACLE_SQL["fit_clr_exact"] = ORACLE_SQL["fit_clr_exact"].replace("with ", "with recursive ", 1)
 
 
 _TWO = """, f as (select o.rowId, o.stratumId % 5 as s, o.time, {y} as y, o.status, {cw} as cw, coalesce(a.covariateValue, 0.0) as a, coalesce(b.covariateValue, 0.0) / 100 as b from outcomes o
@@ -746,6 +751,60 @@ def fit_lr_active_set(spark, sf_dir):
     return _estimates(spark, fit(t.data(spark, sf_dir, "lr", normalize="stdev"), make_prior("laplace", 0.01), Control(active_set=True)).betas)
 
 
+def _residuals(fitted, variances: float | dict[int, float]) -> DataFrame:
+    """(covariateId, residual): how far the gradient at the fit, evaluated anew over all rows and covariates, is from what the Laplace
+    prior with the variance asks for: its rate, with the coefficient's sign, or up to it at zero; nothing for the intercept."""
+    spark, variance = fitted.data.spark, (lambda c: variances if isinstance(variances, float) else variances[c])
+    told = spark.createDataFrame([(c, b, 0.0 if c == 0 else (2 / variance(c)) ** 0.5) for c, b in fitted.betas.items()], "i long, beta double, rate double")
+    rows = likelihood.gradient(fitted.data, fitted.frame()).join(F.broadcast(told), "i")  # a row for each covariate of the fit
+    off = F.when(F.col("beta") != 0, F.abs(F.col("value") - F.signum("beta") * F.col("rate"))).otherwise(F.greatest(F.abs("value") - F.col("rate"), F.lit(0.0)))
+    return rows.select(F.col("i").alias("covariateId"), rounded(off, 2).alias("residual"))
+
+
+_ALL = " select distinct covariateId, cast(0.0 as double) as residual from covariates"
+_ALL_AND_INTERCEPT = _ALL + " union all select cast(0 as bigint), cast(0.0 as double)"
+
+
+@query(_ALL_AND_INTERCEPT)
+def optimality_lr_laplace_all(spark, sf_dir):
+    """Nine covariates and the intercept."""
+    return _residuals(fit(t.data(spark, sf_dir, "lr", normalize="stdev"), make_prior("laplace", 0.01), Control(tolerance=1e-12)), 0.01)
+
+
+@query(_ALL_AND_INTERCEPT)
+def optimality_lr_active_set(spark, sf_dir):
+    """As before on an active set, with variances of some covariates' own."""
+    prior = replace(make_prior("laplace", 0.0005), own={101: Laplace(0.1), 500: Laplace(0.00002)})
+    fitted = fit(t.data(spark, sf_dir, "lr", normalize="stdev"), prior, Control(active_set=True, tolerance=1e-12))
+    return _residuals(fitted, {c: prior.of(c).variance if c else 1.0 for c in fitted.betas})
+
+
+@query(_ALL_AND_INTERCEPT + _ALL_AND_INTERCEPT.replace(" select distinct", " union all select distinct") * 2)
+def optimality_lr_path(spark, sf_dir):
+    """Three variances, one after another, screened by the strong rule."""
+    fits = fit_path(t.data(spark, sf_dir, "lr", normalize="stdev"), make_prior("laplace"), [0.00001, 0.0005, 0.05], Control(tolerance=1e-12))
+    first, *rest = [_residuals(f, f.prior.default.variance) for f in fits]
+    for r in rest:
+        first = first.union(r)
+    return first
+
+
+def _optimality(model: str, prior: str = "none"):
+    def run(spark, sf_dir):
+        data = t.data(spark, sf_dir, model)
+        cov = data.covariates.withColumn("covariateValue", F.when(F.col("covariateId") == 500, F.col("covariateValue") / 100).otherwise(F.col("covariateValue")))
+        if model == "fgr":
+            data = replace(data, outcomes=survival.censoring_weights(data.outcomes.withColumn("status", F.col("y")).drop("censorWeights", "y")).drop("status"))
+        return _residuals(fit(replace(data, covariates=cov), prior, Control(tolerance=1e-12)), 1e300)
+
+    return run
+
+
+for _model in ("ls", "lr", "pr", "clr", "cpr", "sccs", "clr_exact", "cox", "cox_raw", "fgr"):
+    QUERIES[f"optimality_{_model}"] = _optimality(_model)
+    ORACLE_SQL[f"optimality_{_model}"] = t.SQL + (_ALL_AND_INTERCEPT if _model in ("ls", "lr", "pr") else _ALL)
+
+
 def _penalised_sql(slope: str, curve: str) -> str:
     """Newton steps of a logistic model with an intercept, as in _newton_sql, with the prior's slope and curvature at b."""
     out, previous = _FEW + f", free as ({_newton_sql(_P, f'({_P}) * (1 - {_P})').split(' select cast(0 as bigint)')[0].split(', n0 as ')[1].join(['with n0 as ', ''])} select a, b from n8), n0 as (select a, b from free)", "n0"
@@ -785,6 +844,21 @@ def fit_lr_jeffreys(spark, sf_dir):
     return spark.createDataFrame([(int(c), float(b)) for c, b in betas.items()], "covariateId long, estimate double").select("covariateId", _r("estimate", 4))
 
 
+def _jeffreys_cox_sql(steps: int = 30) -> str:
+    """Steps of the penalised score by the information, with sums over risk sets; x is an indicator, so its powers are itself."""
+    out = """, f as (select o.stratumId % 5 as s, o.time, o.y, case when c.rowId is null then 0.0 else 1.0 end as x from outcomes o left join (select rowId from covariates where covariateId = 103) c on o.rowId = c.rowId), n0 as (select cast(0.0 as double) as b)"""
+    for i in range(1, steps + 1):
+        out += f""", g{i} as (select s, time, sum(exp(b * x)) as e, sum(x * exp(b * x)) as ex, sum(y) as n, sum(y * x) as yx from f, n{i - 1} group by s, time),
+z{i} as (select n, yx, sum(ex) over (partition by s order by time desc) / sum(e) over (partition by s order by time desc) as m from g{i}),
+h{i} as (select sum(yx - n * m) as g, sum(n * m * (1 - m)) as h, sum(n * m * (1 - m) * (1 - 2 * m)) as t from z{i}), n{i} as (select b + (g + t / (2 * h)) / h as b from n{i - 1}, h{i})"""
+    return out + f" select cast(103 as bigint) as covariateId, round(b, 5) + 0.0 as estimate from n{steps}"
+
+
+@query(_jeffreys_cox_sql(8))
+def fit_cox_jeffreys(spark, sf_dir):
+    return _estimates(spark, fit(_few(spark, sf_dir, "cox", (103,)), "jeffreys", Control(tolerance=1e-13)).betas)
+
+
 #: Least squares with two covariates and no intercept: p = x102, q = x500 / 100.
 _PAIR = """, x as (select o.y, coalesce(a.covariateValue, 0.0) as p, coalesce(b.covariateValue, 0.0) / 100 as q from outcomes o left join (select * from covariates where covariateId = 102) a on o.rowId = a.rowId
  left join (select * from covariates where covariateId = 500) b on o.rowId = b.rowId), m as (select 2 * sum(p * p) as pp, 2 * sum(p * q) as pq, 2 * sum(q * q) as qq, 2 * sum(p * y) as py, 2 * sum(q * y) as qy from x)"""
@@ -928,12 +1002,6 @@ def bootstrap_summary(spark, sf_dir):
     return spark.createDataFrame([(int(c), *map(float, s.values())) for c, s in got.items()], "covariateId long, original double, bias double, std_err double, bpi_lower double, bpi_upper double")
 
 
-@query()
-def simulated_survival(spark, sf_dir):
-    sim = simulate(spark, 50, 2000, 10, model="survival")
-    return sim.outcomes.select("rowId", "stratumId", "y", "time")
-
-
 _MEANS = "select covariateId, avg(covariateValue) as m, 1.96 * stddev_samp(covariateValue) / sqrt(count(*)) as half, quantile_cont(covariateValue, 0.5) as truth from covariates where covariateId >= 500 group by covariateId"
 
 
