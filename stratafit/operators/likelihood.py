@@ -18,6 +18,7 @@ from ..plans.data import RegressionData
 from ..plans.models import INTERCEPT_ID, Model
 from .dense import TaskWeights
 from .exact import exact_moments
+from .gram import risk_set_products, weighted_products
 from .score import linear_predictors
 from .survival import Running, range_cuts, running_sums
 
@@ -25,8 +26,8 @@ from .survival import Running, range_cuts, running_sums
 Ranges = int | Sequence[float] | None
 _GROUP = ["task", "stratumId"]
 _TIME = ["task", "stratumId", "time"]
-#: Running sums are columns, one or two for each covariate.
-MOST_IN_RISK_SETS = 40
+#: With so many covariates at most, products are columns of one aggregation; beyond, they are arrays by pairs of blocks.
+FEW = 40
 
 
 def weighted_rows(data: RegressionData, betas: DataFrame, tasks: int = 1, weights: DataFrame | TaskWeights | None = None) -> DataFrame:
@@ -145,8 +146,10 @@ def _vectors(x: DataFrame) -> DataFrame:
     return x.groupBy("rowId").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("xs"))
 
 
-def _pairs(rows: DataFrame, weight: Column, vector: str = "xs") -> DataFrame:
+def _pairs(rows: DataFrame, weight: Column, covariates: Sequence[int], vector: str = "xs") -> DataFrame:
     """(task, i, j, value) with i <= j: the sums of weight * x_i * x_j."""
+    if len(covariates) > FEW:
+        return weighted_products(rows, weight, covariates, vector)
     p = rows.select("task", weight.alias("__w"), F.explode(vector).alias("p"), vector).select("task", "__w", "p", F.explode(vector).alias("q")).filter("p.i <= q.i")
     return p.groupBy("task", F.col("p.i").alias("i"), F.col("q.i").alias("j")).agg(F.sum(F.col("__w") * F.col("p.x") * F.col("q.x")).alias("value"))
 
@@ -156,11 +159,16 @@ def _group_pairs(data: RegressionData, t: Terms, x: DataFrame, covariates: list[
     if data.model.stratified:
         sums = t.rows.select("task", "rowId", "stratumId", "e", "n", "D").join(x, "rowId").groupBy(*_GROUP, "n", "D", "i").agg(F.sum(F.col("e") * F.col("x")).alias("s"))
         means = sums.groupBy(*_GROUP, "n").agg(F.collect_list(F.struct("i", (F.col("s") / F.col("D")).alias("x"))).alias("xs"))
-        return _pairs(means, -F.col("n"))
-    if len(covariates) > MOST_IN_RISK_SETS:
-        raise ValueError(f"the information of models with risk sets takes at most {MOST_IN_RISK_SETS} covariates at once: choose some, or fit with an active set")
+        return _pairs(means, -F.col("n"), covariates)
     tie = ["rowId"] if data.model is Model.COX_RAW else []
     time = [*_TIME, *tie]
+    if len(covariates) > FEW:
+        e, fine_gray = F.col("e") * F.col("x"), data.model is Model.FGR
+        rival = F.when(F.col("y") > 1, e / F.col("cw")).otherwise(0.0)
+        each = t.rows.select(*_TIME, "rowId", "e", "y", "cw").join(x, "rowId").groupBy(*time, "i").agg(F.sum(e).alias("x"), F.sum(rival).alias("c"))
+        each = each.groupBy(*time).agg(F.collect_list(F.struct("i", "x", "c")).alias("xs"))  # as many as covariates
+        times = t.groups.select(*time, "n", "D", "cwt").join(each, time, "left")
+        return risk_set_products(times, covariates, _cuts(data, ranges), *tie, fine_gray=fine_gray)
     names = {i: f"c{k}" for k, i in enumerate(covariates)}
     wide = t.rows.select(*_TIME, "rowId", "e", "y", "cw").join(x, "rowId")
     of = lambda i, v: F.sum(F.when(F.col("i") == i, v).otherwise(0.0))
@@ -188,7 +196,7 @@ def information(data: RegressionData, betas: DataFrame, covariates: list[int], t
 def _information(data: RegressionData, t: Terms, covariates: list[int], ranges: Ranges) -> DataFrame:
     covariates = sorted(covariates)
     x = entries(data, covariates)
-    out = _pairs(t.rows.select("task", "rowId", "b").join(_vectors(x), "rowId"), F.col("b"))
+    out = _pairs(t.rows.select("task", "rowId", "b").join(_vectors(x), "rowId"), F.col("b"), covariates)
     if t.groups is not None:
         out = out.union(_group_pairs(data, t, x, covariates, ranges)).groupBy("task", "i", "j").agg(F.sum("value").alias("value"))
     return out

@@ -567,6 +567,51 @@ def information_cox(spark, sf_dir):
     return got.select("i", "j", rounded(F.col("value"), 2).alias("value"))
 
 
+def _sizes(spark, sf_dir, model):
+    """An indicator of each size of part in an order as its quantity in hundreds: fifty covariates, and their coefficients."""
+    data = t.data(spark, sf_dir, model)
+    lines = t.table(spark, sf_dir, "lineitem").join(t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
+    cov = lines.groupBy(F.col("l_orderkey").alias("rowId"), (1000 + F.col("p_size")).cast("long").alias("covariateId")).agg((F.sum("l_quantity") / 100).alias("covariateValue"))
+    betas = spark.range(1001, 1051).select(F.lit(0).alias("task"), F.col("id").alias("covariateId"), (F.col("id") % 5 / 10.0).alias("beta"))
+    return replace(data, covariates=cov), betas
+
+
+_SIZES = """, k as (select l_orderkey as rowId, cast(1000 + p_size as bigint) as i, sum(l_quantity) / 100 as x from lineitem join part on p_partkey = l_partkey group by 1, 2),
+xs as (select rowId, sum(x * (i % 5) / 10.0) as xb from k group by rowId), r as (select o.rowId, o.stratumId % 5 as s, o.time, o.y, o.status, coalesce(xs.xb, 0.0) as xb from outcomes o left join xs on o.rowId = xs.rowId)"""
+_SIZES_END = " select i, j, round(sum(v), 3) + 0.0 as value from u group by i, j"
+
+
+def _many(model):
+    def run(spark, sf_dir):
+        data, betas = _sizes(spark, sf_dir, model)
+        got = likelihood.information(data, betas, list(range(1001, 1051)))
+        return got.select("i", "j", rounded(F.col("value"), 3).alias("value"))
+
+    return run
+
+
+QUERIES["information_lr_many"] = _many("lr")
+ORACLE_SQL["information_lr_many"] = t.SQL + _SIZES + ", u as (select a.i, b.i as j, a.x * b.x * exp(-xb) / (1 + exp(-xb)) / (1 + exp(-xb)) as v from r join k a on r.rowId = a.rowId join k b on r.rowId = b.rowId and a.i <= b.i)" + _SIZES_END
+#: Of cox and fgr: sums by time, running sums of all covariates at all times, and the sums over rows less those over times with events.
+for _model in ("cox", "fgr"):
+    _fg = _model == "fgr"
+    QUERIES[f"information_{_model}_many"] = _many(_model)
+    ORACLE_SQL[f"information_{_model}_many"] = (
+        t.SQL
+        + _SIZES
+        + f""", q as (select *, exp(xb) as e, {"case when status = 1 then 1.0 else 0.0 end" if _fg else "y"} as ev, {"1 - time / 5000" if _fg else "1.0"} as cw, {"case when status = 2 then 1.0 else 0.0 end" if _fg else "0.0"} as rival from r),
+g as (select s, time, max(cw) as cw, sum(e) as e, sum(ev) as n, sum(rival * e / cw) as c from q group by s, time),
+d as (select s, time, n, cw, sum(e) over (partition by s order by time desc) + cw * coalesce(sum(c) over (partition by s order by time rows between unbounded preceding and 1 preceding), 0) as d from g),
+h as (select s, time, sum(n / d) over (partition by s order by time) as h, coalesce(sum(cw * n / d) over (partition by s order by time desc rows between unbounded preceding and 1 preceding), 0) as later from d),
+w as (select q.s, q.time, k.i, sum(e * x) as ex, sum(rival * e * x / cw) as cx from q join k on q.rowId = k.rowId group by 1, 2, 3),
+z as (select d.s, d.time, d.n, c.i, (sum(coalesce(ex, 0)) over (partition by d.s, c.i order by d.time desc) + d.cw * coalesce(sum(coalesce(cx, 0)) over (partition by d.s, c.i order by d.time rows between unbounded preceding and 1 preceding), 0)) / d.d as m
+ from d cross join (select distinct i from k) c left join w on d.s = w.s and d.time = w.time and c.i = w.i),
+u as (select a.i, b.i as j, a.x * b.x * q.e * (h.h + q.rival * h.later / q.cw) as v from q join h on q.s = h.s and q.time = h.time join k a on q.rowId = a.rowId join k b on q.rowId = b.rowId and a.i <= b.i
+ union all select a.i, b.i, -a.n * a.m * b.m from (select * from z where n > 0) a join (select * from z where n > 0) b on a.s = b.s and a.time = b.time and a.i <= b.i)"""
+        + _SIZES_END
+    )
+
+
 @query(_CLR.replace("sum(y) as n", "sum(case when rowId % 2 = 0 then y else 0 end) as n").replace("sum(y * xb0) as num", "sum(case when rowId % 2 = 0 then y * xb0 else 0 end) as num") + " select round(sum(num - n * ln(d)), 3) + 0.0 as value from g")
 def predictive_log_likelihood(spark, sf_dir):
     data = t.data(spark, sf_dir, "clr", add_intercept=False)
