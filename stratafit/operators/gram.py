@@ -187,12 +187,12 @@ def risk_set_products(times: DataFrame, covariates: Sequence[int], cuts: Sequenc
             yield from sums.emitted()
         yield from sums.emitted(all_of=True)
 
-    def placed(e: Column, a: int, b: int) -> Column:
-        inside = [e["i"].between(int(ids[of(k)[0]]), int(ids[of(k)[-1]])) for k in {a, b}]
-        return inside[0] if len(inside) == 1 else inside[0] | inside[1]
+    def placed(a: int, b: int):
+        low, high = ([int(ids[of(k)[end]]) for k in (a, b)] for end in (0, -1))
+        return lambda e: e["i"].between(low[0], high[0]) | e["i"].between(low[1], high[1])
 
     if len(pairs) > 1:
-        split = F.array(*[F.struct(F.lit(k).alias("pair"), F.filter("xs", lambda e, a=a, b=b: placed(e, a, b)).alias("xs")) for k, (a, b) in enumerate(pairs)])
+        split = F.array(*[F.struct(F.lit(k).alias("pair"), F.filter("xs", placed(a, b)).alias("xs")) for k, (a, b) in enumerate(pairs)])
         rows = rows.withColumn("__split", F.explode(split)).withColumns({"pair": F.col("__split.pair"), "xs": F.col("__split.xs")}).drop("__split")
     else:
         rows = rows.withColumn("pair", F.lit(0))
