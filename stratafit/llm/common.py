@@ -275,6 +275,28 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
 _TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
 
 
+#: Bits of a bitmap (16 MB) at most.
+BITS = 1 << 27
+
+
+def in_bitmap(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """1 for each unsigned token whose bit is set."""
+    at = (tokens & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+
+
+def bitmap(rows: DataFrame, column: str, count: int) -> np.ndarray:
+    """The bits of the column's values, or-ed together on the executors: 8 bits or more for each of ``count`` values, up to BITS
+    (16 MB) for any number of rows."""
+    size = min(BITS, 1 << max(10, (8 * count - 1).bit_length()))
+    bit = F.pmod(column, F.lit(size))
+    words = rows.select(F.shiftright(bit, 6).alias("word"), (bit % 64).cast("int").alias("place"))
+    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
 def struct_type(ddl: str) -> T.StructType:
     """A struct of plain fields and arrays of them; unlike Spark's own parser it needs no session, so modules can be imported anywhere."""
     out = T.StructType()

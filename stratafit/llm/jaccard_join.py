@@ -40,12 +40,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, dropped, free, kept, materialise, mixed, release, shingle_sets, slices
+from .common import bitmap, bounded_batches, dropped, free, in_bitmap, kept, materialise, mixed, release, shingle_sets, slices
 
 #: A shingle is rare up to this number of documents, and frequent beyond.
 RARE_UP_TO = 8
-#: Bits of a bitmap (16 MB) at most, and how many of them may be set: classes begin at higher frequencies in larger corpora.
-BITS, LOAD = 1 << 27, 1 << 25
+#: How many bits of a bitmap may be set: classes begin at higher frequencies in larger corpora.
+LOAD = 1 << 25
 #: A shingle is frequent among the diffs of a pivot's members beyond this number of them.
 OFTEN_IN_DIFFS = 8
 #: Ids of sets that may be broadcast (8 bytes each). Candidate search uses the upper 48 bits of the hashes; the blocks are these shares of their range.
@@ -89,11 +89,6 @@ def stored_tokens(h: np.ndarray, percent: int) -> np.ndarray:
     return tokens
 
 
-def _has(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    at = (tokens & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-
-
 def signatures(tokens: np.ndarray, n: int, percent: int, twice: np.ndarray, often: np.ndarray, singles_meet: bool = False) -> np.ndarray:
     """The signatures of a set of n shingles from its stored tokens, see above.
 
@@ -103,7 +98,7 @@ def signatures(tokens: np.ndarray, n: int, percent: int, twice: np.ndarray, ofte
     if not n:
         return tokens
     need = slack(n, percent) + 1
-    cls = _has(twice, tokens) + _has(often, tokens)
+    cls = in_bitmap(twice, tokens) + in_bitmap(often, tokens)
     block = (tokens // np.uint64(BLOCK)).astype(np.int64)
     order = np.lexsort((tokens, cls, block))
     cls, tokens = cls[order], tokens[order]
@@ -150,18 +145,6 @@ def _described(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(describe, f"id {id_type}, n long, sid long, tokens array<long>, text binary")
 
 
-def _bitmap(rows: DataFrame, column: str, count: int) -> np.ndarray:
-    """The bits of the column's values, or-ed together on the executors: 8 bits or more for each of ``count`` values, up to BITS
-    (16 MB) for any number of rows."""
-    size = min(BITS, 1 << max(10, (8 * count - 1).bit_length()))
-    bit = F.pmod(column, F.lit(size))
-    words = rows.select(F.shiftright(bit, 6).alias("word"), (bit % 64).cast("int").alias("place"))
-    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits")).toArrow()
-    out = np.zeros(size // 64, np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out.view(np.uint8)
-
-
 def _classes(described: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
     """The bitmaps for ``signatures`` from the number of documents with each token of the first block."""
     tokens = described.select(F.explode("tokens").alias("token")).filter(F.col("token") < BLOCK)
@@ -170,7 +153,7 @@ def _classes(described: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
     above = lambda c: sum(n for k, n in sizes.items() if k >= c)
     least = lambda start: next((c for c in range(start, 1001) if above(c) <= LOAD), 1001)
     low, high = least(2), least(RARE_UP_TO + 1)
-    out = *(_bitmap(counted.filter(F.col("docs") >= c), "token", above(c)) for c in (low, high)), low > 2
+    out = *(bitmap(counted.filter(F.col("docs") >= c), "token", above(c)) for c in (low, high)), low > 2
     dropped(counted)
     return out
 
@@ -186,7 +169,7 @@ def _buckets(described: DataFrame, percent: int, shared: Broadcast) -> DataFrame
                 lists = b.column(2)
                 flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
                 sigs = [signatures(flat[i:j], n, percent, twice, often, singles_meet) for i, j, n in zip(ends[:-1], ends[1:], b.column(1).to_pylist(), strict=True)]
-                once = [int(((_has(twice, flat[i:j]) == 0) & (flat[i:j] < BLOCK)).sum()) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                once = [int(((in_bitmap(twice, flat[i:j]) == 0) & (flat[i:j] < BLOCK)).sum()) for i, j in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(once, pa.int32()), _lists(sigs)], ["sid", "once", "sigs"])
         finally:
             release()
@@ -205,12 +188,12 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     count = ids.count()
     if count <= FEW:
         return texts.join(F.broadcast(ids), "sid", "left_semi")
-    shared = texts.sparkSession.sparkContext.broadcast(_bitmap(ids, "sid", count))
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap(ids, "sid", count))
 
     @F.arrow_udf(T.BooleanType())
     def likely(sid: pa.Array) -> pa.Array:
         values = sid.to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.array(_has(shared.value, values.view(np.uint64)) == 1)
+        return pa.array(in_bitmap(shared.value, values.view(np.uint64)) == 1)
 
     return texts.filter(likely("sid"))
 
@@ -229,7 +212,7 @@ def ordered_diff(left: np.ndarray, right: np.ndarray, twice: np.ndarray, often:
     block) and the frequent ones; then those of left that right lacks. And how many at the beginning meet nobody."""
     rest, missing = np.setdiff1d(right, left, assume_unique=True), np.setdiff1d(left, right, assume_unique=True)
     tokens = rest >> SHIFT
-    rank = np.where(tokens < BLOCK, np.array([0, 1, 3])[_has(twice, tokens) + _has(often, tokens)], 2)
+    rank = np.where(tokens < BLOCK, np.array([0, 1, 3])[in_bitmap(twice, tokens) + in_bitmap(often, tokens)], 2)
     return np.concatenate([rest[np.argsort(rank, kind="stable")], missing]), 0 if singles_meet else int((rank == 0).sum())
 
 

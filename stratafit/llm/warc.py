@@ -15,15 +15,18 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from .common import materialise, new_folder
+from .common import bitmap, in_bitmap, materialise, new_folder
 
 #: The columns of a record, and the headers that hold them.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
@@ -32,7 +35,7 @@ _ARROW = pa.schema([*[(c, pa.string()) for c in HEADERS], ("payload_bytes", pa.i
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A partition holds whole files of at least this size together.
 PARTITION_BYTES = 64 << 20
-#: Payloads whose repeated rows are told apart through a broadcast; of more through a join.
+#: Digests that stand more than once and are broadcast (some 200 bytes each); of more a bitmap is.
 FEW = 50_000
 #: Bytes of payload in a batch of rows.
 BATCH_BYTES = 8 << 20
@@ -315,55 +318,93 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000) -> DataFrame:
+def _likely(keys: DataFrame, count: int):
+    """A test, of a column of longs, whether a value may be among keys (key): true for all that are. It broadcasts a bitmap of at most
+    16 MB."""
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap(keys, "key", count))
+
+    @F.arrow_udf(T.BooleanType())
+    def likely(key: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(shared.value, key.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) == 1)
+
+    return likely
+
+
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, date: str | None = None) -> DataFrame:
     """The rows of SCHEMA for pages: of equal payloads of ``least`` bytes or more the one with the largest id is the
-    response and the others revisit it; all smaller ones are responses.
+    response and the others revisit it; all smaller ones are responses. date: that of all records; None: now.
 
     A null html is an empty payload, a null url leaves out the target. Among rows with equal ids and payloads the one with
     the largest url is the response; rows that are alike in all three are one response and revisits. Ids may be null: such
-    a page is only the response if its payload has no other. Other columns aren't read. Rows are told apart by what they
-    hold, never by their place, so any partitioning, and any task that is run again, gives the same records.
+    a page is only the response if its payload has no other. Record ids are unique, of repeated rows too. Other columns aren't
+    read. Very long payloads are one record each. An empty table gives no record. Rows are told apart by what they hold, never by
+    their place, so any partitioning, and any task that is run again, gives the same records but for the ids of those that none refers to.
+
+    Revisits are made of keys alone. Payloads stay where they are read: up to FEW digests that stand more than once are broadcast; of
+    more a bitmap is, and only the payloads of responses that it can't tell from copies are shuffled.
     """
+    spark = pages.sparkSession
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
-    alike = rows.filter(F.col("payload_bytes") >= least).groupBy("digest", "id", "url").agg(F.count("*").alias("n"), F.max("payload_bytes").alias("size"))
+    keys = rows.drop("payload").filter(F.col("payload_bytes") >= least)
+    alike = keys.groupBy("digest", "id", "url").agg(F.count("*").alias("n"), F.max("payload_bytes").alias("size"))
     best = alike.groupBy("digest").agg(F.max(F.struct("id", "url", "n", "size")).alias("best"), F.sum("n").alias("copies"))
     best = best.filter("copies > 1").select("digest", F.struct("best.id", "best.url").alias("first"), "best.n", "best.size")  # payloads that stand once need no partner
     best = materialise(best, "copies")
-    joined = rows.join(best.select("digest", "first", "n"), "digest", "left")
+    count, large = best.count(), F.col("payload_bytes") >= least
     is_first = F.struct("id", "url").eqNullSafe(F.col("first"))
-    revisit = F.col("first").isNotNull() & (F.col("payload_bytes") >= least) & ~is_first
-    null = F.lit(None)
-    columns = ["id", "url", "payload", "digest", "payload_bytes", "refers"]
-    single = joined.filter(F.col("first").isNull() | ~is_first | (F.col("n") == 1))
-    single = single.select("id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "payload_bytes", F.when(revisit, F.struct(F.col("first.id").alias("id"))).alias("refers"))
-    # Of rows alike in payload, id and url one has the payload, and the others are made from their number.
+    null, columns = F.lit(None), ["id", "url", "payload", "digest", "payload_bytes", "first"]
+    known = best.select("digest", "first", "n")
+    # Responses and revisits, but for those that are alike in all with their payload's first: these are made from their number.
+    if count <= FEW:
+        joined = rows.join(F.broadcast(known), (rows["digest"] == known["digest"]) & large, "left").drop(known["digest"])
+        single = joined.filter(F.col("first").isNull() | ~is_first | (F.col("n") == 1)).withColumn("is_revisit", F.col("first").isNotNull() & ~is_first)
+        single = single.select(*columns, "is_revisit").withColumn("payload", F.when(~F.col("is_revisit"), F.col("payload")))
+        firsts = rows.filter(large).join(F.broadcast(known.filter("n > 1")), "digest").filter(is_first)
+    else:
+        repeats = _likely(best.select(F.xxhash64("digest").alias("key")), count)
+        decided = keys.filter(repeats(F.xxhash64("digest"))).join(known, "digest", "left")
+        revisits = decided.filter(F.col("first").isNotNull() & ~is_first).select("id", "url", null.cast("binary").alias("payload"), "digest", "payload_bytes", "first", F.lit(True).alias("is_revisit"))
+        wanted = decided.filter(F.col("first").isNull() | is_first).select(F.xxhash64("digest", "id", "url").alias("key"), "digest", "id", "url", "first", "n").distinct()
+        wanted = materialise(wanted, "wanted")
+        asked = _likely(wanted.select("key"), wanted.count())
+        plain = rows.filter(~large | ~repeats(F.xxhash64("digest"))).select("id", "url", "payload", "digest", "payload_bytes", null.cast(best.schema["first"].dataType).alias("first"), F.lit(False).alias("is_revisit"))
+        asked_for = rows.filter(large & repeats(F.xxhash64("digest")) & asked(F.xxhash64("digest", "id", "url"))).withColumn("key", F.xxhash64("digest", "id", "url"))
+        asked_for = asked_for.join(wanted.select("key", F.col("digest").alias("d"), F.col("id").alias("i"), F.col("url").alias("u"), "first", "n"), "key")
+        asked_for = asked_for.filter((F.col("digest") == F.col("d")) & F.struct("id", "url").eqNullSafe(F.struct(F.col("i").alias("id"), F.col("u").alias("url"))))
+        single = plain.unionByName(revisits).unionByName(asked_for.filter(F.col("first").isNull() | (F.col("n") == 1)).select(*columns, F.lit(False).alias("is_revisit")))
+        firsts = asked_for.filter(F.col("first").isNotNull() & (F.col("n") > 1))
     repeated = best.filter("n > 1")
-    count = repeated.count()
-    name = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x.cast("string"), F.lit("")), F.lit(">"))
-    known = repeated.select("digest", "first")
-    one = rows.join(F.broadcast(known) if count <= FEW else known, "digest").filter(is_first).dropDuplicates(["digest"]).withColumn("refers", null.cast(single.schema["refers"].dataType)).select(*columns)
-    others = repeated.select("first.id", "first.url", null.cast("binary").alias("payload"), "digest", F.col("size").alias("payload_bytes"), F.struct(F.col("first.id").alias("id")).alias("refers"), F.explode(F.sequence(F.lit(2).cast("long"), "n"))).select(*columns)
-    return (single.unionByName(one).unionByName(others) if count else single).select(
-        F.when(F.col("refers").isNotNull(), "revisit").otherwise("response").alias("record_type"),
-        name(F.col("id")).alias("record_id"),
+    if not repeated.isEmpty():
+        one = firsts.dropDuplicates(["digest"]).select(*columns, F.lit(False).alias("is_revisit"))
+        others = repeated.select("first.id", "first.url", null.cast("binary").alias("payload"), "digest", F.col("size").alias("payload_bytes"), "first", F.lit(True).alias("is_revisit"), F.explode(F.sequence(F.lit(2).cast("long"), "n"))).select(*columns, "is_revisit")
+        single = single.unionByName(one).unionByName(others)
+    # A response that others refer to is named by its digest, and others by a number of their own.
+    name = lambda tag, x: F.concat(F.lit("<urn:page:"), tag, F.lit(":"), F.coalesce(x.cast("string"), F.lit("")), F.lit(">"))
+    referred = F.col("first").isNotNull() & ~F.col("is_revisit")
+    return single.select(
+        F.when(F.col("is_revisit"), "revisit").otherwise("response").alias("record_type"),
+        name(F.when(referred, F.concat(F.lit("sha1-"), "digest")).otherwise(F.uuid()), F.col("id")).alias("record_id"),
         F.col("url").alias("target_uri"),
-        F.lit("1970-01-01T00:00:00Z").alias("date"),
+        F.lit(date).alias("date"),
         F.concat(F.lit("sha1:"), "digest").alias("payload_digest"),
-        F.when(F.col("refers").isNotNull(), name(F.col("refers.id"))).alias("refers_to"),
+        F.when(F.col("is_revisit"), name(F.concat(F.lit("sha1-"), "digest"), F.col("first.id"))).alias("refers_to"),
         "payload_bytes",
         "payload",
     )
 
 
 def archive(pages: DataFrame, path: str, **names: str) -> None:
-    """Write pages as WARC files to the folder path."""
+    """Write pages as WARC files to the folder path; see ``records`` for odd rows. An empty table writes nothing."""
     register(pages.sparkSession)
     records(pages, **names).write.format("warc").mode("append").save(path)
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The rows of SCHEMA of a file, or of the .warc and .warc.gz files in a folder; without payload it is null. A folder without files
+    gives no row; one that isn't there raises an error."""
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
@@ -380,7 +421,7 @@ def through_archive(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     archive(pages, path, id_col=id_col)
     whole = read_archive(spark, path).filter(F.col("record_type") == "response").withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
     heads = read_archive(spark, path, payload=False).filter(F.col("record_type") == "revisit").withColumns({"size": F.col("payload_bytes"), "digest": F.substring_index("payload_digest", ":", -1)})
-    page = lambda x: F.nullif(F.regexp_extract(x, "page:(.*)>", 1), F.lit("")).cast(id_type)
+    page = lambda x: F.nullif(F.regexp_extract(x, "(?s)page:[^:]*:(.*)>", 1), F.lit("")).cast(id_type)
     both = whole.drop("payload").unionByName(heads.drop("payload"))
     return both.select(page("record_id").alias(id_col), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
 
