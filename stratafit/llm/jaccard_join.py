@@ -313,13 +313,15 @@ def _links_of_members(done: DataFrame, comp: DataFrame, percent: int) -> DataFra
     excess = ((100 + percent) * F.size("diff").cast("long") - (100 - percent) * F.col("nm")).alias("excess")
     members = done.filter("wide").join(left.select("p").distinct(), "p", "left_semi").join(comp.select(F.col("node").alias("m"), "component"), "m", "left")
     members = materialise(members.select("p", "m", "nm", "linked", "diff", "quiet", F.coalesce("component", "m").alias("component"), excess), "members")
-    often = members.select("p", F.explode("diff").alias("sign")).groupBy("p", "sign").agg(F.count("*").alias("n")).filter(F.col("n") > OFTEN_IN_DIFFS)
-    often = often.groupBy("p").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "sign"))), lambda x: x["sign"]).alias("often"))  # an eighth of all at most
+    exploded = members.select("p", "m", F.posexplode("diff").alias("at", "sign"))
+    often = exploded.groupBy("p", "sign").agg(F.count("*").alias("n")).filter(F.col("n") > OFTEN_IN_DIFFS)
+    # Those that are frequent among the diffs of a pivot go behind, by their number; a diff is sorted by itself.
+    key = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), F.col("at")).otherwise(0).alias("at"), "sign")
+    ordered = exploded.join(often, ["p", "sign"], "left").groupBy("p", "m").agg(F.transform(F.sort_array(F.collect_list(key)), lambda x: x["sign"]).alias("diff"))
     least = members.groupBy("p").agg(F.min(F.struct("excess", "m")).alias("low"), F.min(F.when(~F.col("linked"), F.col("excess"))).alias("least_left"), F.min(F.when(F.col("linked"), F.col("excess"))).alias("least_linked"))
     with_least = members.join(least, "p")
     sure = with_least.filter((F.col("excess") + F.col("low.excess") <= 0) & (F.col("m") != F.col("low.m"))).select(F.col("m").alias("u"), F.col("low.m").alias("v"))
-    last = F.array_intersect("often", "diff")  # in the order of often
-    with_order = with_least.join(often, "p", "left").withColumn("diff", F.when(F.col("often").isNull(), F.col("diff")).otherwise(F.concat(F.array_except("diff", "often"), last)))
+    with_order = materialise(with_least.drop("diff", "low").join(ordered, ["p", "m"]), "ordered")
 
     def signs(rows: DataFrame, partner: str, side: str) -> DataFrame:
         """(p, sign, side, its component, excess and the shingles behind the sign) of the prefixes for partners with the excess of the
@@ -331,20 +333,32 @@ def _links_of_members(done: DataFrame, comp: DataFrame, percent: int) -> DataFra
         rows = rows.select("p", F.col("m").alias(side), F.col("component").alias(f"c{side}"), F.col("excess").alias(f"e{side}"), (F.size("diff") - F.col("quiet") - 1).alias("behind"), F.posexplode(prefix).alias("at", "sign"))
         return rows.withColumn(f"l{side}", F.col("behind") - F.col("at")).drop("behind", "at")
 
-    def meeting(a: DataFrame, b: DataFrame, further: Column) -> DataFrame:
-        # With the shingles behind the first one that a similar pair shares there must be as many as it has to share.
-        enough = 2 * (100 + percent) * (F.least("la", "lb") + 1) >= F.col("ea") + F.col("eb")
-        return a.join(b, ["p", "sign"]).filter((F.col("ca") != F.col("cb")) & further & enough).select("p", "a", "b").distinct()
-
-    rest, linked = with_order.filter("not linked"), with_order.filter("linked")
-    meet = meeting(signs(rest, "least_left", "a"), signs(rest, "least_left", "b"), F.col("a") < F.col("b"))
-    meet = meet.union(meeting(signs(rest, "least_linked", "a"), signs(linked, "least_left", "b"), F.lit(True)))
     side = lambda x: members.select("p", F.col("m").alias(x), F.col("nm").alias(f"n{x}"), F.col("diff").alias(f"d{x}"))
     apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
     similar = (100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))
-    found = meet.join(side("a"), ["p", "a"]).join(side("b"), ["p", "b"]).filter(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    out = materialise(sure.union(found), "links")
-    dropped(members)
+    # With the shingles behind the first one that a similar pair shares there must be as many as it has to share.
+    enough = 2 * (100 + percent) * (F.least("la", "lb") + 1) >= F.col("ea") + F.col("eb")
+    verified = lambda pairs: pairs.join(side("a"), ["p", "a"]).join(side("b"), ["p", "b"]).filter(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    rest, linked = with_order.filter("not linked"), with_order.filter("linked")
+    sides = [(signs(rest, "least_left", "a"), signs(rest, "least_left", "b"), True), (signs(rest, "least_linked", "a"), signs(linked, "least_left", "b"), False)]
+    # First each sign's members with the one of least excess, so that what is alike becomes one component.
+    stars = []
+    for one, other, _ in sides:
+        hub = other.groupBy("p", "sign").agg(F.min_by(F.struct("b", "cb", "eb", "lb"), F.struct("eb", "b")).alias("hub")).select("p", "sign", "hub.*")
+        stars.append(one.join(hub, ["p", "sign"]).filter((F.col("ca") != F.col("cb")) & enough).select("p", "a", "b"))
+    found = materialise(sure.union(verified(stars[0].union(stars[1]).distinct())), "links")
+    at = members.select("m", "component").distinct()
+    of = lambda x: at.select(F.col("m").alias(x), F.col("component").alias(f"c{x}"))
+    now = components(found.join(of("u"), "u").join(of("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    # Then only members of different components: by the components that meet in a sign, never all pairs of its members.
+    crossing = []
+    for one, other, same in sides:
+        one, other = (rows.join(now.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}")), c, "left").withColumn(c, F.coalesce(f"now_{c}", c)).drop(f"now_{c}") for rows, c in ((one, "ca"), (other, "cb")))
+        kinds = one.select("p", "sign", "ca").distinct().join(other.select("p", "sign", "cb").distinct(), ["p", "sign"])
+        kinds = kinds.filter(F.col("ca") < F.col("cb") if same else F.col("ca") != F.col("cb"))
+        crossing.append(kinds.join(one, ["p", "sign", "ca"]).join(other, ["p", "sign", "cb"]).filter(enough).select("p", "a", "b"))
+    out = materialise(found.union(verified(crossing[0].union(crossing[1]).distinct())), "links")
+    dropped(members, with_order, found, now)
     return out
 
 
