@@ -5,8 +5,10 @@ Each text gets a vector of transformed statistics. For each language and source
 rows, take the distances under the current estimate, their median by a histogram, and the moments of the rows below it. They
 begin at several robust starts side by side; after two steps each group goes on with the start of least determinant, until
 the determinants settle. One more step takes the moments of all rows within a chi-square quantile. Every step is one partial
-aggregation, whatever the size of a group. Rows further away than a far chi-square quantile, by Mahalanobis distance, are
-rejected. Sources with few rows are pooled by language, and languages with few such rows with each other.
+aggregation, whatever the size of a group. The same is done for each language as a whole. An estimate of few rows says little, so
+means and covariances of a source are drawn to those of its language, and these to the mean of all languages, by weights of
+rows; there is no size at which the treatment changes. Rows further away than a far chi-square quantile, by Mahalanobis distance,
+are rejected.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from .common import bounded_batches, dropped, free, kept, line_counts, materiali
 SYMBOLS = b"#*$%&|<>"
 #: The transformed statistics, see ``transformed``.
 FEATURES = ["length", "word_length", "symbols", "dup_lines", "repeats", "upper"]
-#: Rows that a group needs for an estimate of its own.
-GROUP_ROWS = 200
+#: An estimate from n rows has the weight n against this weight of the level above: ten rows for each statistic.
+PRIOR_ROWS = 60
 #: Starts of the concentration steps, steps before they are compared, and steps at most.
 STARTS = ["medians", "all", "winsorised"]
 FIRST_STEPS, MOST_STEPS = 2, 12
@@ -109,15 +111,6 @@ def _small(groups: DataFrame) -> DataFrame:
     return F.broadcast(groups) if groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else groups
 
 
-def pooled(vectors: DataFrame) -> DataFrame:
-    """(lang, source, g), written: the group of each language and source in vectors: itself if it has GROUP_ROWS rows, else all such
-    sources of its language if they have, else all that are left."""
-    sizes = vectors.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = sizes.filter(F.col("n") < GROUP_ROWS).groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("in_lang"))
-    names = [F.when(F.col("n") >= GROUP_ROWS, F.array("lang", "source")).when(F.col("in_lang") >= GROUP_ROWS, F.array("lang")).otherwise(F.array().cast("array<string>")).alias("g")]
-    return materialise(sizes.join(by_lang, F.col("lang") == F.col("l"), "left").select("lang", "source", *names), "pools")
-
-
 def _estimate(scale: float):
     """Means, inverse covariances and logarithms of determinants from sums; covariances are scaled and floored."""
 
@@ -198,11 +191,35 @@ def mcd_estimates(rows: DataFrame, share: float = 0.5) -> DataFrame:
     return _moments(inside.select("g", "start", "x"), consistency(0.025))
 
 
+def _matrices(invert: str, to: str):
+    def run(batches):
+        for x in batches:
+            yield x.assign(**{to: [np.linalg.inv(np.array(v).reshape(len(_D), -1)).ravel().tolist() for v in x[invert]]}).drop(columns=invert)
+
+    return run
+
+
+def shrunk(estimates: DataFrame, rows: DataFrame, prior_rows: float = PRIOR_ROWS) -> DataFrame:
+    """(g, mean, inv) of the sources in estimates (g, mean, inv), which have them for languages too; g is (lang, source) or (lang). rows
+    (g): what the estimates stand on."""
+    sizes = rows.groupBy(F.col("g").alias("of")).agg(F.count("*").cast("double").alias("n"))
+    known = estimates.select("g", "mean", "inv").mapInPandas(_matrices("inv", "cov"), "g array<string>, mean array<double>, cov array<double>")
+    known = known.join(sizes, F.col("g") == F.col("of")).select("g", "n", F.concat("mean", "cov").alias("v"))
+    width = len(_D) * (len(_D) + 1)
+    langs = known.filter(F.size("g") == 1).select(F.col("g")[0].alias("lang"), F.col("n").alias("ln"), F.col("v").alias("lv"))
+    whole = langs.agg(F.array(*[F.sum(F.col("ln") * F.col("lv")[i]) / F.sum("ln") for i in range(width)]).alias("wv"))  # one row
+    drawn = lambda v, n, to: F.zip_with(v, to, lambda a, b: (n * a + prior_rows * b) / (n + prior_rows))
+    langs = langs.join(F.broadcast(whole), F.lit(True)).select("lang", drawn("lv", F.col("ln"), "wv").alias("lv"))
+    own = known.filter(F.size("g") == 2).join(langs, F.col("g")[0] == F.col("lang")).select("g", drawn("v", F.col("n"), "lv").alias("v"))
+    own = own.select("g", F.slice("v", 1, len(_D)).alias("mean"), F.slice("v", len(_D) + 1, width).alias("cov"))
+    return own.mapInPandas(_matrices("cov", "inv"), "g array<string>, mean array<double>, inv array<double>")
+
+
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", mark: str = "__rules") -> DataFrame:
     """docs, all rows and columns, with a struct ``mark``: the base statistics, base_failed, distance2 and kept.
 
     base_failed: under 50 words, or over half of the words in repeated 3-word windows. kept: not base_failed, and within
-    CUTOFF of the estimate of the row's group, see ``pooled``; ties with the cutoff stay. Estimates use the rows that aren't
+    CUTOFF of the estimate of the row's language and source, see ``shrunk``; ties with the cutoff stay. Estimates use the rows that aren't
     base_failed. Null and empty texts have no words, so they are base_failed; very long ones are read whole. Null languages and
     sources form groups of their own. Repeated rows count as often as they stand. An empty table gives an empty result. A column
     of docs named like the mark raises an error.
@@ -216,11 +233,10 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (lang_col, source_col))
     with kept("verdicts"):
         vectors = materialise(stats.select(lang.alias("lang"), source.alias("source"), failed.alias("failed"), x.alias("x")).filter("not failed").drop("failed"), "vectors")
-        pools = pooled(vectors)
-        rows = materialise(vectors.join(_small(pools), ["lang", "source"]).select("g", "x"), "rows")
+        rows = materialise(vectors.select(F.explode(F.array(F.array("lang", "source"), F.array("lang"))).alias("g"), "x"), "rows")
         dropped(vectors)
-        best = pools.join(mcd_estimates(rows), "g").select(F.struct("lang", "source").alias(group), F.struct("mean", "inv").alias(estimate))
-        best = materialise(best, "verdicts")
+        best = shrunk(mcd_estimates(rows), rows)
+        best = materialise(best.select(F.struct(F.col("g")[0].alias("lang"), F.col("g")[1].alias("source")).alias(group), F.struct("mean", "inv").alias(estimate)), "verdicts")
     joined = stats.withColumn(group, F.struct(lang.alias("lang"), source.alias("source"))).join(_small(best), group, "left")
     d2 = squared_distance(x, F.col(estimate)["mean"], F.col(estimate)["inv"])
     fields = [s[f.split()[0]].alias(f.split()[0]) for f in _BASE.split(", ")]
@@ -229,5 +245,5 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
 
 
 def kept_rows(docs: DataFrame, **names: str) -> DataFrame:
-    """The rows of docs that the rules keep, with their columns."""
+    """The rows of docs that the rules keep, with their columns; see ``judged`` for odd rows and empty tables."""
     return judged(docs, **names).filter("__rules.kept").select(*docs.columns)
