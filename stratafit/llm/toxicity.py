@@ -1,12 +1,14 @@
 """Toxicity: a linear-chain conditional random field over words, tagging toxic spans.
 
-Training: documents are labelled, words aren't, so words are labelled first. Among the features of words (the word, its
-beginnings of 4 and 5 letters) those are chosen, one after another, that stand in the most toxic documents not yet
-explained and in next to no others; the words with a chosen feature are the labelled tokens. The field (two tags, weights
-of hashed features of the word and of its neighbours, transitions) is fitted to them by the gradient of its likelihood, by
-forward-backward sums.
-Scoring: the marginal probability of the toxic tag of each word; a document's score is its highest one, and maximal runs
-of words with a marginal of a half or more are its offending spans.
+Training: documents are labelled, words aren't. A document is toxic if at least one of its words is, so the field (two tags, weights of
+hashed features of the word and of its neighbours, transitions) is fitted to the likelihood of the documents' labels: of a clean
+document that of the path without toxic tags, of a toxic one that of all other paths. Its gradient is the difference of
+forward-backward sums over the paths that the label allows and over all paths. That likelihood has many modes, so the fit begins
+at tags of words: among the features of words (the word, its beginnings of 4 and 5 letters) those are chosen, one after another, that
+stand in the most toxic documents not yet explained and in next to no others, and the field is first fitted to the words with a
+chosen feature. Features of fewer than SUPPORT documents say nothing.
+Scoring: the marginal probability of the toxic tag of each word, and of a document the probability that any of its words has it, that
+is one less that of the path without toxic tags; maximal runs of words with a marginal of a half or more are its offending spans.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ BUCKETS = 1 << 18
 #: Toxic documents that a feature must explain, and the share of other documents that may have it.
 SUPPORT, LEAK = 3, 0.002
 STEPS = 60
+#: Steps on the likelihood of the documents' labels, after those on tags.
+LABEL_STEPS = 40
 #: Ridge penalties, for each word of the sample: of weights, and of those of neighbours.
 PENALTY, NEAR_PENALTY = 1e-6, 1e-4
 
@@ -79,7 +83,8 @@ class Chain:
     moves: tuple[float, float, float, float]
 
     def marginals(self, emission: np.ndarray, lengths: np.ndarray, pairs: bool = False):
-        """The toxic marginal of each word of sequences laid end to end; with pairs also the expected moves and log Z."""
+        """The toxic marginal of each word of sequences laid end to end, and log Z of each sequence that isn't empty; with pairs, between
+        them, the places of the words after a sequence's first, and the expected moves there, a column each."""
         oo, ot, to, tt = np.exp(self.moves)
         e = np.exp(np.clip(emission, -30, 30))
         starts = np.cumsum(lengths) - lengths
@@ -103,15 +108,16 @@ class Chain:
             backward[at] = (to + tt * b) / (oo + ot * b)
         odds = forward * backward
         p = odds / (1 + odds)
+        some = lengths > 0
+        log_z = np.add.reduceat(np.log(scale), starts[some]) + np.log1p(forward[(starts + lengths - 1)[some]]) if some.any() else np.zeros(0)
         if not pairs:
-            return p
+            return p, log_z
         inner = np.ones(len(e), bool)
         inner[starts[lengths > 0]] = False
         i = np.flatnonzero(inner)
         left, right = forward[i - 1], backward[i] * e[i]
         w = np.stack([np.full(len(i), oo), ot * right, to * left, tt * left * right])
-        last = (starts + lengths - 1)[lengths > 0]
-        return p, (w / w.sum(0)).sum(1), float(np.log(scale).sum() + np.log1p(forward[last]).sum())
+        return p, i, w / w.sum(0), log_z
 
 
 @dataclass(frozen=True)
@@ -158,48 +164,128 @@ def choose_features(features: np.ndarray, document: np.ndarray, toxic: np.ndarra
     return np.array(chosen, np.uint64)
 
 
+class _Sample:
+    """The words of sequences laid end to end, by their numbers among distinct words, and the features that have weights."""
+
+    def __init__(self, words: pa.Array, at: np.ndarray, lengths: np.ndarray, document: np.ndarray | None = None):
+        """document: of each word; features of fewer than SUPPORT documents have no weight then."""
+        self.at, self.lengths, self.n = at, lengths, len(at)
+        own = feature_hashes(words)
+        near = neighbour_hashes(own)
+        bucket = lambda h: (h % np.uint64(BUCKETS)).astype(np.int64)
+        self.words = len(own)
+        self.first = np.zeros(self.n, bool)
+        self.first[np.cumsum(lengths) - lengths] = True
+        self.inner = np.flatnonzero(~self.first)
+        # Sums go by distinct words first: (word, bucket) of their own features, and of those of neighbours. Neighbours that are rare
+        # say nothing: their weights stay at zero.
+        self.word, self.own = np.nonzero(own)[0], bucket(own[own != 0])
+        if document is not None:
+            docs = int(document.max(initial=-1)) + 1
+            word, of = np.divmod(distinct(at.astype(np.int64) * docs + document), docs)
+            order = np.argsort(self.word, kind="stable")
+            begin = np.searchsorted(self.word[order], word)
+            many = np.searchsorted(self.word[order], word, side="right") - begin
+            pairs = order[np.repeat(begin, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+            seen = distinct(self.own[pairs].astype(np.int64) * docs + np.repeat(of, many)) // docs
+            kept = (np.bincount(seen, minlength=BUCKETS) >= SUPPORT)[self.own]
+            self.word, self.own = self.word[kept], self.own[kept]
+        self.before, self.after = bucket(near[:, 0]), bucket(near[:, 1])
+        i = self.inner
+        common = (np.bincount(self.before[at[i - 1]], minlength=BUCKETS) >= 4 * SUPPORT), (np.bincount(self.after[at[i]], minlength=BUCKETS) >= 4 * SUPPORT)
+        self.before_used, self.after_used = common[0][self.before].astype(float), common[1][self.after].astype(float)
+        self.penalty = np.full(BUCKETS + 5, PENALTY)
+        self.penalty[:BUCKETS][common[0] | common[1]] = NEAR_PENALTY
+        self.penalty[self.own] = PENALTY
+
+    def emission(self, x: np.ndarray) -> np.ndarray:
+        i, at = self.inner, self.at
+        out = (np.bincount(self.word, x[self.own], minlength=self.words) + x[BUCKETS])[at]
+        out[i] += (self.before_used * x[self.before])[at[i - 1]]
+        out[i - 1] += (self.after_used * x[self.after])[at[i]]
+        return out
+
+    def gradient(self, left: np.ndarray, moves: np.ndarray) -> np.ndarray:
+        """By the weights, from the gradient by the words' emissions and by the moves."""
+        i = self.inner
+        in_word = lambda where, what: np.bincount(self.at[where], what, minlength=self.words)
+        out = np.bincount(self.own, in_word(slice(None), left)[self.word], minlength=BUCKETS)
+        out += np.bincount(self.before, self.before_used * in_word(i - 1, left[i]), minlength=BUCKETS) + np.bincount(self.after, self.after_used * in_word(i, left[i - 1]), minlength=BUCKETS)
+        return np.concatenate([out, [left.sum()], moves])
+
+
+def _climbed(x: np.ndarray, gradient, steps: int, rate: float) -> np.ndarray:
+    """x after Adam steps, moves within bounds."""
+    m, v = np.zeros(len(x)), np.zeros(len(x))
+    for step in range(1, steps + 1):
+        g = gradient(x)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2
+        x = x + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        x[-4:] = np.clip(x[-4:], -6, 6)
+    return x
+
+
+def _tagger(x: np.ndarray) -> Tagger:
+    return Tagger(x[: BUCKETS + 1], Chain(tuple(x[-4:])))
+
+
+def _begin() -> np.ndarray:
+    x = np.zeros(BUCKETS + 5)
+    x[BUCKETS] = -4.0
+    return x
+
+
 def fit_chain(words: pa.Array, at: np.ndarray, lengths: np.ndarray, tags: np.ndarray, steps: int = STEPS, transitions: bool = True) -> Tagger:
     """Maximum likelihood with small ridge penalties, by Adam steps on the whole sample, for the words (numbers of distinct words)
     of sequences laid end to end and their tags. transitions False: without weights of moves."""
-    w = np.zeros(BUCKETS + 1)
     lengths = lengths[lengths > 0]
     if not len(lengths):
-        w[-1] = -10.0
-        return Tagger(w, Chain((0.0,) * 4))
-    own = feature_hashes(words)
-    near = neighbour_hashes(own)
-    n, y = len(at), tags.astype(float)
-    first = np.zeros(n, bool)
-    first[np.cumsum(lengths) - lengths] = True
-    i = np.flatnonzero(~first)
+        x = _begin()
+        x[BUCKETS] = -10.0
+        return _tagger(x)
+    sample, y = _Sample(words, at, lengths), tags.astype(float)
+    i = sample.inner
     seen = np.bincount((2 * y[i - 1] + y[i]).astype(int), minlength=4)
-    bucket = lambda h: (h % np.uint64(BUCKETS)).astype(np.int64)
-    # Sums go by distinct words first: (word, bucket) of their own features, and of those of neighbours. Neighbours that are rare
-    # say nothing: their weights stay at zero.
-    word, own_bucket = np.nonzero(own)[0], bucket(own[own != 0])
-    before, after = bucket(near[:, 0]), bucket(near[:, 1])
-    common = (np.bincount(before[at[i - 1]], minlength=BUCKETS) >= 4 * SUPPORT), (np.bincount(after[at[i]], minlength=BUCKETS) >= 4 * SUPPORT)
-    before_used, after_used = common[0][before].astype(float), common[1][after].astype(float)
-    penalty = np.full(len(w) + 4, PENALTY)
-    penalty[:BUCKETS][common[0] | common[1]] = NEAR_PENALTY
-    penalty[own_bucket] = PENALTY
-    w[-1] = -4.0
-    m, v, x = np.zeros(len(w) + 4), np.zeros(len(w) + 4), np.concatenate([w, np.zeros(4)])
-    for step in range(1, steps + 1):
-        by_word = np.bincount(word, x[own_bucket], minlength=len(own)) + x[BUCKETS]
-        emission = by_word[at]
-        emission[i] += (before_used * x[before])[at[i - 1]]
-        emission[i - 1] += (after_used * x[after])[at[i]]
-        p, expected, _ = Chain(tuple(x[-4:])).marginals(emission, lengths, pairs=True)
-        left = y - p
-        in_word = lambda where, what: np.bincount(at[where], what, minlength=len(own))
-        gradient = np.bincount(own_bucket, in_word(slice(None), left)[word], minlength=BUCKETS)
-        gradient += np.bincount(before, before_used * in_word(i - 1, left[i]), minlength=BUCKETS) + np.bincount(after, after_used * in_word(i, left[i - 1]), minlength=BUCKETS)
-        gradient = np.concatenate([gradient, [left.sum()], seen - expected if transitions else np.zeros(4)]) - penalty * n * x
-        m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
-        x = x + 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        x[-4:] = np.clip(x[-4:], -6, 6)
-    return Tagger(x[: BUCKETS + 1], Chain(tuple(x[-4:])))
+
+    def gradient(x: np.ndarray) -> np.ndarray:
+        p, _, moves, _ = Chain(tuple(x[-4:])).marginals(sample.emission(x), lengths, pairs=True)
+        return sample.gradient(y - p, seen - moves.sum(1) if transitions else np.zeros(4)) - sample.penalty * sample.n * x
+
+    return _tagger(_climbed(_begin(), gradient, steps, 0.3))
+
+
+def label_gradient(chain: Chain, emission: np.ndarray, lengths: np.ndarray, document: np.ndarray, toxic: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The log-likelihood of documents' labels, and its gradient by each word's emission and by the moves. document: of each sequence
+    (none empty); toxic: of each document.
+
+    The path without toxic tags has the weight exp(moves from other to other) and the probability P, over a document's sequences. A clean
+    document's likelihood is P, a toxic one's 1 - P; a sum over the paths that are left is that over all less P times the one path's.
+    """
+    p, inner, moves, log_z = chain.marginals(emission, lengths, pairs=True)
+    log_p = np.bincount(document, (lengths - 1) * chain.moves[0] - log_z, minlength=len(toxic))
+    log_p = np.minimum(log_p, -1e-12)
+    rest = np.log(-np.expm1(log_p))
+    weight = np.where(toxic, np.exp(log_p - rest), -1.0)
+    of_word = np.repeat(document, lengths)
+    steps = moves * weight[of_word[inner]]
+    by_move = steps.sum(1)
+    by_move[0] -= weight[of_word[inner]].sum()
+    return float(np.where(toxic, rest, log_p).sum()), weight[of_word] * p, by_move
+
+
+def refine(tagger: Tagger, words: pa.Array, at: np.ndarray, lengths: np.ndarray, document: np.ndarray, toxic: np.ndarray, steps: int = LABEL_STEPS, transitions: bool = True) -> Tagger:
+    """The tagger after steps on the likelihood of the documents' labels. document: of each sequence; toxic: of each document. Empty
+    sequences are passed over."""
+    document, lengths = document[lengths > 0], lengths[lengths > 0]
+    if not len(lengths):
+        return tagger
+    sample = _Sample(words, at, lengths, np.repeat(document, lengths))
+
+    def gradient(x: np.ndarray) -> np.ndarray:
+        _, left, moves = label_gradient(Chain(tuple(x[-4:])), sample.emission(x), lengths, document, toxic)
+        return sample.gradient(left, moves if transitions else np.zeros(4)) - sample.penalty * sample.n * x
+
+    return _tagger(_climbed(np.concatenate([tagger.weights, tagger.chain.moves]), gradient, steps, 0.1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, words: int = SAMPLE_WORDS, transitions: bool = True) -> Tagger:
@@ -229,17 +315,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = choose_features(own[own != 0], np.repeat(of, (own != 0).sum(1)), toxic)
     bad_word = np.isin(features, chosen).any(1)
     tags = bad_word[at] & toxic[document]
-    cut = [n for size in lengths for n in [SEQUENCE] * (size // SEQUENCE) + [size % SEQUENCE] if n]
-    return fit_chain(vocabulary, at, np.array(cut, np.int64), tags, transitions=transitions)
+    cut = [(n, d) for d, size in enumerate(lengths) for n in [SEQUENCE] * (size // SEQUENCE) + [size % SEQUENCE] if n]
+    sizes, document = (np.array([c[k] for c in cut], np.int64) for k in (0, 1))
+    return refine(fit_chain(vocabulary, at, sizes, tags, transitions=transitions), vocabulary, at, sizes, document, toxic, transitions=transitions)
 
 
 def tag_batch(texts: pa.Array, chain: Chain, known: Known) -> tuple[np.ndarray, list[list[dict]]]:
     """The score and the offending spans (characters, end exclusive) of each text; texts without words score 0."""
     words, at, lengths = words_in(texts)
-    p = chain.marginals(emissions(known.of(words), at, lengths), lengths) if len(at) else np.zeros(0)
-    starts = np.cumsum(lengths) - lengths
-    scores = np.zeros(len(texts))
-    scores[lengths > 0] = np.maximum.reduceat(p, starts[lengths > 0]) if len(at) else 0
+    scores, starts, some = np.zeros(len(texts)), np.cumsum(lengths) - lengths, lengths > 0
+    if len(at):
+        p, log_z = chain.marginals(emissions(known.of(words), at, lengths), lengths)
+        scores[some] = -np.expm1(np.minimum((lengths[some] - 1) * chain.moves[0] - log_z, 0.0))
+    else:
+        p = np.zeros(0)
     spans: list[list[dict]] = [[] for _ in range(len(texts))]
     for i in np.flatnonzero(scores >= 0.5):
         offsets, hot = [m.span() for m in _WORD.finditer(texts[i].as_py())], p[starts[i] : starts[i] + lengths[i]] >= 0.5
