@@ -121,17 +121,17 @@ def _estimate(scale: float):
                 mean, cov = s / n, np.zeros((len(_D), len(_D)))
                 cov[np.triu_indices(len(_D))] = ss / n
                 cov = (cov + np.triu(cov, 1).T - np.outer(mean, mean)) * scale + np.diag(np.square(FLOOR))
-                out.append((mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
-            yield pd.DataFrame({"g": x["g"], "start": x["start"], **{name: [o[i] for o in out] for i, name in enumerate(("mean", "inv", "logdet"))}})
+                out.append((mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1]), cov.ravel().tolist()))
+            yield pd.DataFrame({"g": x["g"], "start": x["start"], **{name: [o[i] for o in out] for i, name in enumerate(("mean", "inv", "logdet", "cov"))}})
 
     return estimate
 
 
 def _moments(rows: DataFrame, scale: float, x: Column | None = None) -> DataFrame:
-    """(g, start, mean, inv, logdet), written, from rows (g, start, x)."""
+    """(g, start, mean, inv, logdet, cov), written, from rows (g, start, x)."""
     x = F.col("x") if x is None else x
     sums = rows.groupBy("g", "start").agg(F.count("*").cast("double").alias("n"), F.array(*[F.sum(x[i]) for i in _D]).alias("s"), F.array(*[F.sum(x[i] * x[j]) for i in _D for j in _D if j >= i]).alias("ss"))
-    return materialise(sums.mapInPandas(_estimate(scale), "g array<string>, start int, mean array<double>, inv array<double>, logdet double"), "estimates")
+    return materialise(sums.mapInPandas(_estimate(scale), "g array<string>, start int, mean array<double>, inv array<double>, logdet double, cov array<double>"), "estimates")
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     low, high = (lambda i, sign=sign: F.col("mean")[i] + sign * 2 * 1.4826 * F.col("mad")[i] for sign in (-1, 1))
     drawn_in = F.array(*[F.greatest(low(i), F.least(high(i), F.col("x")[i])) for i in _D])
     winsorised = _moments(rows.join(_small(spread), "g").select("g", F.lit(2).alias("start"), drawn_in.alias("x")), 1.0)
-    return medians.unionByName(whole).unionByName(winsorised)
+    return medians.unionByName(whole.drop("cov")).unionByName(winsorised.drop("cov"))
 
 
 def squared_distance(x: Column, mean: Column, inv: Column) -> Column:
@@ -164,7 +164,7 @@ _BIN = 0.02
 def _concentrated(rows: DataFrame, estimates: DataFrame, share: float, scale: float = 1.0) -> DataFrame:
     """The estimates from the share of rows nearest by the given ones, for each group and start."""
     keys = ["g", "start"]
-    far = rows.join(_small(estimates.drop("logdet")), "g").withColumn("d2", squared_distance(F.col("x"), F.col("mean"), F.col("inv")))
+    far = rows.join(_small(estimates.drop("logdet", "cov")), "g").withColumn("d2", squared_distance(F.col("x"), F.col("mean"), F.col("inv")))
     far = far.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-3) / _BIN).cast("int")).select(*keys, "x", "bin")
     counts = far.groupBy(*keys, "bin").count().groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "count"))).alias("bins"), F.sum("count").alias("total"))  # a few thousand bins at most
     state = F.aggregate("bins", F.struct(F.lit(0.0).alias("n"), F.lit(-(1 << 30)).alias("edge")), lambda a, b: F.struct((a["n"] + b["count"]).alias("n"), F.when(a["n"] < share * F.col("total"), b["bin"]).otherwise(a["edge"]).alias("edge")))
@@ -173,7 +173,7 @@ def _concentrated(rows: DataFrame, estimates: DataFrame, share: float, scale: fl
 
 
 def mcd_estimates(rows: DataFrame, share: float = 0.5) -> DataFrame:
-    """(g, start, mean, inv, logdet), written, from (g array<string>, x array<double>): a row for each g, with the start that won."""
+    """(g, start, mean, inv, logdet, cov), written, from (g array<string>, x array<double>): a row for each g, with the start that won."""
     now = _starts(rows)
     for _ in range(FIRST_STEPS):
         now = _concentrated(rows, now, share)
@@ -187,24 +187,20 @@ def mcd_estimates(rows: DataFrame, share: float = 0.5) -> DataFrame:
         if settled:
             break
     now = now.withColumn("inv", F.transform("inv", lambda v: v / consistency(1 - share)))
-    inside = rows.join(_small(now), "g").filter(squared_distance(F.col("x"), F.col("mean"), F.col("inv")) <= INNER)
+    inside = rows.join(_small(now.drop("cov")), "g").filter(squared_distance(F.col("x"), F.col("mean"), F.col("inv")) <= INNER)
     return _moments(inside.select("g", "start", "x"), consistency(0.025))
 
 
-def _matrices(invert: str, to: str):
-    def run(batches):
-        for x in batches:
-            yield x.assign(**{to: [np.linalg.inv(np.array(v).reshape(len(_D), -1)).ravel().tolist() for v in x[invert]]}).drop(columns=invert)
-
-    return run
+def _inverted(batches):
+    for x in batches:
+        yield x.assign(inv=[np.linalg.inv(np.array(v).reshape(len(_D), -1)).ravel().tolist() for v in x["cov"]]).drop(columns="cov")
 
 
 def shrunk(estimates: DataFrame, rows: DataFrame, prior_rows: float = PRIOR_ROWS) -> DataFrame:
-    """(g, mean, inv) of the sources in estimates (g, mean, inv), which have them for languages too; g is (lang, source) or (lang). rows
+    """(g, mean, inv) of the sources in estimates (g, mean, cov), which have them for languages too; g is (lang, source) or (lang). rows
     (g): what the estimates stand on."""
     sizes = rows.groupBy(F.col("g").alias("of")).agg(F.count("*").cast("double").alias("n"))
-    known = estimates.select("g", "mean", "inv").mapInPandas(_matrices("inv", "cov"), "g array<string>, mean array<double>, cov array<double>")
-    known = known.join(sizes, F.col("g") == F.col("of")).select("g", "n", F.concat("mean", "cov").alias("v"))
+    known = materialise(estimates.join(sizes, F.col("g") == F.col("of")).select("g", "n", F.concat("mean", "cov").alias("v")), "known")
     width = len(_D) * (len(_D) + 1)
     langs = known.filter(F.size("g") == 1).select(F.col("g")[0].alias("lang"), F.col("n").alias("ln"), F.col("v").alias("lv"))
     whole = langs.agg(F.array(*[F.sum(F.col("ln") * F.col("lv")[i]) / F.sum("ln") for i in range(width)]).alias("wv"))  # one row
@@ -212,7 +208,7 @@ def shrunk(estimates: DataFrame, rows: DataFrame, prior_rows: float = PRIOR_ROWS
     langs = langs.join(F.broadcast(whole), F.lit(True)).select("lang", drawn("lv", F.col("ln"), "wv").alias("lv"))
     own = known.filter(F.size("g") == 2).join(langs, F.col("g")[0] == F.col("lang")).select("g", drawn("v", F.col("n"), "lv").alias("v"))
     own = own.select("g", F.slice("v", 1, len(_D)).alias("mean"), F.slice("v", len(_D) + 1, width).alias("cov"))
-    return own.mapInPandas(_matrices("cov", "inv"), "g array<string>, mean array<double>, inv array<double>")
+    return own.mapInPandas(_inverted, "g array<string>, mean array<double>, inv array<double>")
 
 
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", mark: str = "__rules") -> DataFrame:
