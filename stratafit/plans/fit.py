@@ -302,6 +302,8 @@ def fit(data: RegressionData, prior: PriorSet | str = "none", control: Control =
         if not low["high"]:
             return Fit(data, prior, control, dict.fromkeys(ids or covariate_ids(data), 0.0), math.nan, math.nan, 0, "ILLCONDITIONED", np.zeros((0, 0)), {}, weights)
     all_ids = list(ids) if ids is not None else covariate_ids(data)
+    if data.has_intercept and prior.default.regularized and not prior.force_intercept and INTERCEPT_ID not in {*prior.exclude, *prior.own}:
+        warnings.warn("the intercept is left out of the prior; exclude it, or take it in by force_intercept", stacklevel=2)
     if isinstance(prior.default, Jeffreys):
         _check_jeffreys(data, all_ids)
     start = start_values(data, all_ids) | dict(starting or {})
