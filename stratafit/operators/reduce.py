@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.data import RegressionData
+from .selection import exact_quantile
 
 
 def _x() -> Column:
@@ -89,7 +90,7 @@ def counts(data: RegressionData) -> DataFrame:
 
 def quantile(df: DataFrame, column: str, q: float, by: tuple[str, ...] = ()) -> DataFrame:
     """The exact quantile with linear interpolation at (n - 1) q; the median is the mean of the middle two."""
-    return df.groupBy(*by).agg(F.percentile(column, F.lit(q)).alias("value"))
+    return exact_quantile(df, column, q, by)
 
 
 def default_variance(data: RegressionData) -> float:
@@ -98,19 +99,24 @@ def default_variance(data: RegressionData) -> float:
     return row["v"] / data.outcomes.count()
 
 
+#: Kinds of scales that are quantiles of the absolute entries.
+_QUANTILES = {"median": 0.5, "q95": 0.95}
+
+
 def scale_factors(data: RegressionData, kind: str = "stdev") -> DataFrame:
     """(covariateId, scale): what entries are multiplied by; 1 for indicators.
 
     stdev: one over the population standard deviation with all rows; max, median, q95: one over that of the absolute entries.
     """
+    indicator = F.bool_and(_x() == 1)
+    if kind in _QUANTILES:
+        rows = data.covariates.select("covariateId", F.abs(_x()).alias("size"))
+        found = quantile(rows, "size", _QUANTILES[kind], ("covariateId",))
+        flags = data.covariates.groupBy("covariateId").agg(indicator.alias("indicator"))
+        return found.join(flags, "covariateId").select("covariateId", F.when(F.col("indicator"), 1.0).otherwise(1 / F.col("value")).alias("scale"))
     n = data.outcomes.count()
-    value = {
-        "stdev": 1 / F.sqrt(F.sum(_x() * _x()) / n - F.pow(F.sum(_x()) / n, 2)),
-        "max": 1 / F.max(F.abs(_x())),
-        "median": 1 / F.percentile(F.abs(_x()), F.lit(0.5)),
-        "q95": 1 / F.percentile(F.abs(_x()), F.lit(0.95)),
-    }[kind]
-    return data.covariates.groupBy("covariateId").agg(F.when(F.bool_and(_x() == 1), 1.0).otherwise(value).alias("scale"))
+    value = {"stdev": 1 / F.sqrt(F.sum(_x() * _x()) / n - F.pow(F.sum(_x()) / n, 2)), "max": 1 / F.max(F.abs(_x()))}[kind]
+    return data.covariates.groupBy("covariateId").agg(F.when(indicator, 1.0).otherwise(value).alias("scale"))
 
 
 def normalized(data: RegressionData, kind: str = "stdev") -> RegressionData:

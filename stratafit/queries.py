@@ -254,9 +254,9 @@ def data_counts(spark, sf_dir):
     return reduce.counts(t.data(spark, sf_dir, "cpr", add_intercept=False)).select("n_rows", "n_strata", _r("mean_offset"), "n_covariates")
 
 
-@query(f" select covariateId, {_sql_r('quantile_cont(covariateValue, 0.5)', 'median')}, {_sql_r('quantile_cont(covariateValue, 0.95)', 'q95')} from covariates where covariateId >= 500 group by covariateId")
+@query(f" select covariateId, {_sql_r('quantile_cont(covariateValue, 0.5)', 'median')}, {_sql_r('quantile_cont(covariateValue, 0.95)', 'q95')} from covariates group by covariateId")
 def covariate_quantiles(spark, sf_dir):
-    rows = t.covariates(spark, sf_dir).filter("covariateId >= 500")
+    rows = t.covariates(spark, sf_dir)
     half, high = reduce.quantile(rows, "covariateValue", 0.5, ("covariateId",)), reduce.quantile(rows, "covariateValue", 0.95, ("covariateId",))
     return half.withColumnRenamed("value", "median").join(high.withColumnRenamed("value", "q95"), "covariateId").select("covariateId", _r("median"), _r("q95"))
 
@@ -284,10 +284,10 @@ def normalization_scales(spark, sf_dir):
     return out
 
 
-@query(" select covariateId, round(sum(covariateValue) / max(covariateValue), 4) + 0.0 as total from covariates where covariateId >= 500 group by covariateId")
+@query(" select covariateId, round(sum(covariateValue) / max(covariateValue), 4) + 0.0 as total from covariates group by covariateId")
 def normalized_covariates(spark, sf_dir):
     data = reduce.normalized(t.data(spark, sf_dir), "max")
-    return data.covariates.filter("covariateId >= 500").groupBy("covariateId").agg(rounded(F.sum("covariateValue"), 4).alias("total"))
+    return data.covariates.groupBy("covariateId").agg(rounded(F.sum("covariateValue"), 4).alias("total"))
 
 
 @query(
