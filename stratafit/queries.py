@@ -16,6 +16,7 @@ from .plans.fit import Control, fit, fit_path
 from .plans.inference import baseline, coverage, mse, profile_intervals, profile_likelihood, residuals, standard_errors, test_proportionality, wald_intervals
 from .plans.priors import Laplace, make_prior, parameterized
 from .plans.resample import Search, bootstrap, cross_validated, folds
+from .plans.wide import fit_table
 from .sources.paths import new_folder
 from .sources.simulate import exposure_intervals
 from .sources.text import matrix_market, read_text
@@ -850,6 +851,30 @@ for _model in ("ls", "lr", "pr", "clr", "cpr", "sccs", "clr_exact", "cox", "cox_
     ORACLE_SQL[f"optimality_{_model}"] = t.SQL + (_ALL_AND_INTERCEPT if _model in ("ls", "lr", "pr") else _ALL)
 
 
+def _optimality_parts(kind: str, variance: float):
+    """Orders by the parts they contain, as many covariates as there are parts (their numbers plus one, as one is 0): coefficients are a table, and so are the residuals."""
+
+    def run(spark, sf_dir):
+        parts = t.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("rowId"), (F.col("l_partkey") + 1).alias("covariateId")).distinct()
+        data = from_tables(t.outcomes(spark, sf_dir), parts.withColumn("covariateValue", F.lit(1.0)), "lr", checked=False)
+        fitted = fit_table(data, make_prior(kind, variance), Control(tolerance=1e-14, max_iterations=300))
+        rows = likelihood.gradient(data, fitted.frame()).withColumnRenamed("i", "covariateId").join(fitted.coefficients, "covariateId")
+        b, g, penalised = F.col("beta"), F.col("value"), F.col("covariateId") != 0
+        if kind == "normal":
+            off = F.abs(g - F.when(penalised, b / variance).otherwise(0.0))
+        else:
+            rate = F.when(penalised, (2 / variance) ** 0.5).otherwise(0.0)
+            off = F.when(b != 0, F.abs(g - F.signum(b) * rate)).otherwise(F.greatest(F.abs(g) - rate, F.lit(0.0)))
+        return rows.select("covariateId", rounded(off, 2).alias("residual"))
+
+    return run
+
+
+for _kind, _variance in (("normal", 0.2), ("laplace", 0.05)):
+    QUERIES[f"optimality_lr_parts_{_kind}"] = _optimality_parts(_kind, _variance)
+    ORACLE_SQL[f"optimality_lr_parts_{_kind}"] = "select distinct l_partkey + 1 as covariateId, cast(0.0 as double) as residual from lineitem union all select cast(0 as bigint), cast(0.0 as double)"
+
+
 def _penalised_sql(slope: str, curve: str) -> str:
     """Newton steps of a logistic model with an intercept, as in _newton_sql, with the prior's slope and curvature at b."""
     out, previous = _FEW + f", free as ({_newton_sql(_P, f'({_P}) * (1 - {_P})').split(' select cast(0 as bigint)')[0].split(', n0 as ')[1].join(['with n0 as ', ''])} select a, b from n8), n0 as (select a, b from free)", "n0"
