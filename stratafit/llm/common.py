@@ -294,6 +294,8 @@ def bitmap(rows: DataFrame, column: str, count: int) -> np.ndarray:
     words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits")).toArrow()
     out = np.zeros(size // 64, np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    del words
+    release()  # the driver, too, gives back what it held
     return out.view(np.uint8)
 
 

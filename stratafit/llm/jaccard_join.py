@@ -182,26 +182,28 @@ def _buckets(described: DataFrame, percent: int, shared: Broadcast) -> DataFrame
     return out
 
 
-def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of texts (sid, text) whose sid is among ids (sid, distinct), and perhaps some more. Up to FEW ids are broadcast;
+def _only(texts: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of texts whose key is among ids (key, distinct), and perhaps some more. Up to FEW ids are broadcast;
     of more a bitmap is, whose size is bounded. Either way the other texts aren't shuffled."""
     count = ids.count()
     if count <= FEW:
-        return texts.join(F.broadcast(ids), "sid", "left_semi")
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap(ids, "sid", count))
+        return texts.join(F.broadcast(ids), key, "left_semi")
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap(ids, key, count))
 
     @F.arrow_udf(T.BooleanType())
-    def likely(sid: pa.Array) -> pa.Array:
-        values = sid.to_numpy(zero_copy_only=False).astype(np.int64)
+    def likely(values: pa.Array) -> pa.Array:
+        values = values.to_numpy(zero_copy_only=False).astype(np.int64)
         return pa.array(in_bitmap(shared.value, values.view(np.uint64)) == 1)
 
-    return texts.filter(likely("sid"))
+    return texts.filter(likely(key))
 
 
 def _texts_of(described: DataFrame, members: DataFrame) -> DataFrame:
-    """(sid, text), one row for each member."""
-    rows = described.select("sid", "text").filter("sid is not null")
-    return _only(rows, members).join(members, "sid", "left_semi").dropDuplicates(["sid"])
+    """(sid, text), one row for each member, and perhaps some more. Of equal sets the text of one row is shuffled, and texts stand dealt
+    by sid afterwards, so that a join by it doesn't shuffle them a second time."""
+    rows = described.select("sid", "row", "text").filter("sid is not null")
+    first = rows.groupBy("sid").agg(F.min("row").alias("row")).join(members, "sid", "left_semi").select("row")
+    return _only(rows, first, "row").select("sid", "text").dropDuplicates(["sid"])
 
 
 _COMPARED = T.StructType([T.StructField("o", T.IntegerType()), T.StructField("np", T.IntegerType()), T.StructField("nm", T.IntegerType()), T.StructField("diff", T.ArrayType(T.LongType())), T.StructField("quiet", T.IntegerType())])
@@ -238,22 +240,22 @@ def _compared(width: int, shared: Broadcast):
     return compared
 
 
-def _changed(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("u", "v"), 33))).first()
-    return tuple(row)
+def _stars(edges: DataFrame) -> bool:
+    """Whether the edges (u, v), u > v, are stars: each u has one v, which is no u. Each star is a component then, v its smallest node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least")).filter("up > 1 or (up = 1 and least = 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component), written: the smallest node reachable, for nodes of undirected edges (u, v) of longs.
 
-    Alternates large-star and small-star steps, each one aggregation and one join, until the edges stay the same.
+    Alternates large-star and small-star steps, each one aggregation and one join, until the edges are stars.
     """
 
     def lowest(pairs: DataFrame) -> DataFrame:
         return pairs.join(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u")
 
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    seen = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = lowest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -262,10 +264,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = with_low.select(F.col("v").alias("u"), F.col("m").alias("v")).union(with_low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         before, edges = edges, materialise(small, "stars")
         dropped(before)
-        now = _changed(edges)
-        if now == seen:
+        if _stars(edges):
             break
-        seen = now
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = materialise(nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "components")
     dropped(edges)
@@ -276,19 +276,18 @@ def _linked(described: DataFrame, width: int, percent: int) -> DataFrame | None:
     """(node, component) over the set ids that are similar to another set; None if no sets share a signature."""
     shared = described.sparkSession.sparkContext.broadcast(_classes(described))
     buckets = _buckets(described, percent, shared)
-    texts = materialise(_texts_of(described, buckets.select("sid").distinct()), "candidates")
     compared = _compared(width, shared)
     key = ["bucket", "low", "high"]
     rows = buckets.join(buckets.groupBy("sid").agg(F.count("*").alias("degree")), "sid")
     pivots = rows.groupBy(*key).agg(F.max(F.struct(-F.col("once"), "degree", "sid"))["sid"].alias("p"), (F.count("*") > 2).alias("wide"))
     pairs = materialise(buckets.select(*key, "sid").join(pivots, key).filter("sid <> p").groupBy("p", F.col("sid").alias("m")).agg(F.max("wide").alias("wide")), "pairs")
     dropped(buckets)
-    of = lambda c, name: _only(texts, pairs.select(F.col(c).alias("sid")).distinct()).select(F.col("sid").alias(c), F.col("text").alias(name))
+    of = lambda c, name: _texts_of(described, pairs.select(F.col(c).alias("sid")).distinct()).select(F.col("sid").alias(c), F.col("text").alias(name))
     both = pairs.join(of("m", "b"), "m").join(of("p", "a"), "p").withColumn("c", compared("a", "b", "wide"))
     is_link = (100 + percent) * F.col("o") >= percent * (F.col("np") + F.col("nm"))
     done = materialise(both.select(*pairs.columns, "c.*").withColumn("linked", is_link), "compared")
     shared.destroy()
-    dropped(pairs, texts)
+    dropped(pairs)
     if done.isEmpty():
         return None
     links = done.filter("linked").select(F.col("p").alias("u"), F.col("m").alias("v"))
@@ -368,7 +367,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     """(id, n, digest, comp) of all rows, written; digest is the hash of the text, comp null without shingles."""
     bounded_batches(docs.sparkSession)
     with kept("grouped"):
-        described = materialise(_described(docs, id_col, text_col, width, percent), "sets")
+        # A number of each row, scrambled for bitmaps; where two should be equal a row more is read.
+        described = materialise(_described(docs, id_col, text_col, width, percent).withColumn("row", F.xxhash64(F.monotonically_increasing_id())), "sets")
         comp = _linked(described, width, percent)
         rows = described.select("id", "n", "sid", F.xxhash64("text").alias("digest"))
         if comp is not None:
