@@ -27,7 +27,8 @@ c (|a| + |b|), c = (1 - t) / (1 + t) for the threshold t; with excess(a) = |diff
 * other similar pairs share shingles of their diffs, and meet in second signatures: the pivot with shingles of the prefix of the
   diff. Its length follows from the least excess of the possible partners. The order of a diff is that of the first signatures, its
   rare shingles first and what the pivot has and a member lacks behind, and last of all those that many members of the pivot have
-  in their diffs. Pairs that meet where enough of both diffs lies behind are verified by their diffs.
+  in their diffs. Pairs that meet where enough of both diffs lies behind are verified by their diffs. Where a second signature
+  brings many together, each is held against one of least excess first, and what is connected then makes no pairs.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ RARE_UP_TO = 8
 LOAD = 1 << 25
 #: A shingle is frequent among the diffs of a pivot's members beyond this number of them.
 OFTEN_IN_DIFFS = 8
+#: Where a sign of the diffs brings more members together, they are linked in stars before they are in pairs.
+CROWD = 16
 #: Ids of sets that may be broadcast (8 bytes each). Candidate search uses the upper 48 bits of the hashes; the blocks are these shares of their range.
 FEW = 100_000
 SHIFT, BLOCK = np.uint64(16), int(0.3 * (1 << 48))
@@ -319,6 +322,7 @@ def _links_of_members(done: DataFrame, comp: DataFrame, percent: int) -> DataFra
     sure = with_least.filter((F.col("excess") + F.col("low.excess") <= 0) & (F.col("m") != F.col("low.m"))).select(F.col("m").alias("u"), F.col("low.m").alias("v"))
     last = F.array_intersect("often", "diff")  # in the order of often
     with_order = with_least.join(often, "p", "left").withColumn("diff", F.when(F.col("often").isNull(), F.col("diff")).otherwise(F.concat(F.array_except("diff", "often"), last)))
+    rows = materialise(with_order.select(*members.columns, "least_left", "least_linked"), "ordered")  # read many times: plans stay small
 
     def signs(rows: DataFrame, partner: str, side: str) -> DataFrame:
         """(p, sign, side, its component, excess and the shingles behind the sign) of the prefixes for partners with the excess of the
@@ -335,15 +339,30 @@ def _links_of_members(done: DataFrame, comp: DataFrame, percent: int) -> DataFra
         enough = 2 * (100 + percent) * (F.least("la", "lb") + 1) >= F.col("ea") + F.col("eb")
         return a.join(b, ["p", "sign"]).filter((F.col("ca") != F.col("cb")) & further & enough).select("p", "a", "b").distinct()
 
-    rest, linked = with_order.filter("not linked"), with_order.filter("linked")
-    meet = meeting(signs(rest, "least_left", "a"), signs(rest, "least_left", "b"), F.col("a") < F.col("b"))
-    meet = meet.union(meeting(signs(rest, "least_linked", "a"), signs(linked, "least_left", "b"), F.lit(True)))
     side = lambda x: members.select("p", F.col("m").alias(x), F.col("nm").alias(f"n{x}"), F.col("diff").alias(f"d{x}"))
     apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
     similar = (100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))
-    found = meet.join(side("a"), ["p", "a"]).join(side("b"), ["p", "b"]).filter(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    out = materialise(sure.union(found), "links")
-    dropped(members)
+
+    def links_of(meet: DataFrame) -> DataFrame:
+        return meet.join(side("a"), ["p", "a"]).join(side("b"), ["p", "b"]).filter(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    each = signs(rows.filter("not linked"), "least_left", "m").select("p", "sign", "m", "cm", "em")
+    centres = each.groupBy("p", "sign").agg(F.min(F.struct("em", "m", "cm")).alias("low"), F.count("*").alias("n"))
+    if not centres.filter(F.col("n") > CROWD).isEmpty():
+        # Stars first: of the members that a sign brings together each is held against that of least excess, and of these against the one
+        # with which it shares most signs. A group of similar members is connected so, before pairs across components are made.
+        stars = each.join(centres, ["p", "sign"]).filter(F.col("cm") != F.col("low.cm")).groupBy("p", F.col("m").alias("a"), F.col("low.m").alias("b")).agg(F.count("*").alias("shared"))
+        stars = stars.groupBy("p", "a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
+        sure = materialise(sure.union(links_of(stars)), "stars")
+        grouped = components(sure.union(comp.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+        before, now = rows, grouped.select(F.col("node").alias("m"), F.col("component").alias("now"))
+        rows = materialise(rows.join(now, "m", "left").withColumn("component", F.coalesce("now", "component")).drop("now"), "placed")
+        dropped(before, grouped)
+    rest, linked = rows.filter("not linked"), rows.filter("linked")
+    meet = meeting(signs(rest, "least_left", "a"), signs(rest, "least_left", "b"), F.col("a") < F.col("b"))
+    meet = meet.union(meeting(signs(rest, "least_linked", "a"), signs(linked, "least_left", "b"), F.lit(True)))
+    out = materialise(sure.union(links_of(meet)), "links")
+    dropped(members, rows, sure)
     return out
 
 
