@@ -25,7 +25,7 @@ c (|a| + |b|), c = (1 - t) / (1 + t) for the threshold t; with excess(a) = |diff
 * where the excesses of a pair add up to nothing or less it is similar for certain. Each member is linked to the bucket's member of
   least excess where that is so; all such pairs are connected through it.
 * other similar pairs share shingles of their diffs, and meet in second signatures: the pivot with shingles of the prefix of the
-  diff. Its length follows from the least excess of the possible partners. The order of a diff is that of the first signatures, its
+  diff. Its length follows from the least excess of the possible partners, which are not much nearer to the pivot. The order of a diff is that of the first signatures, its
   rare shingles first and what the pivot has and a member lacks behind, and last of all those that many members of the pivot have
   in their diffs. Pairs that meet where enough of both diffs lies behind are verified by their diffs. Where a second signature
   brings many together, each is held against one of least excess first, and what is connected then makes no pairs.
@@ -317,27 +317,32 @@ def _links_of_members(done: DataFrame, comp: DataFrame, percent: int) -> DataFra
     members = materialise(members.select("p", "m", "nm", "linked", "diff", "quiet", F.coalesce("component", "m").alias("component"), excess), "members")
     often = members.select("p", F.explode("diff").alias("sign")).groupBy("p", "sign").agg(F.count("*").alias("n")).filter(F.col("n") > OFTEN_IN_DIFFS)
     often = often.groupBy("p").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "sign"))), lambda x: x["sign"]).alias("often"))  # an eighth of all at most
-    least = members.groupBy("p").agg(F.min(F.struct("excess", "m")).alias("low"), F.min(F.when(~F.col("linked"), F.col("excess"))).alias("least_left"), F.min(F.when(F.col("linked"), F.col("excess"))).alias("least_linked"))
-    with_least = members.join(least, "p")
+    least = members.groupBy("p").agg(F.min(F.struct("excess", "m")).alias("low"), F.min(F.when(~F.col("linked"), F.col("excess"))).alias("least_left"), F.min(F.when(F.col("linked"), F.col("excess"))).alias("least_linked"), F.min("component").alias("first"), F.max("component").alias("last"))
+    with_least = members.join(least.filter("first <> last"), "p")  # links are missing between components only
     sure = with_least.filter((F.col("excess") + F.col("low.excess") <= 0) & (F.col("m") != F.col("low.m"))).select(F.col("m").alias("u"), F.col("low.m").alias("v"))
     last = F.array_intersect("often", "diff")  # in the order of often
     with_order = with_least.join(often, "p", "left").withColumn("diff", F.when(F.col("often").isNull(), F.col("diff")).otherwise(F.concat(F.array_except("diff", "often"), last)))
     rows = materialise(with_order.select(*members.columns, "least_left", "least_linked"), "ordered")  # read many times: plans stay small
 
-    def signs(rows: DataFrame, partner: str, side: str) -> DataFrame:
-        """(p, sign, side, its component, excess and the shingles behind the sign) of the prefixes for partners with the excess of the
+    def signs(rows: DataFrame, partner: str) -> DataFrame:
+        """(p, m, its component and excess, sign, behind: the shingles behind the sign) of the prefixes for partners with the excess of the
         column partner or more."""
-        need = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col(partner)) / (2.0 * (100 + percent))).cast("int"))
+        # Similar sets differ little, so a partner's diff isn't much shorter: 100 |b| <= 100 |a| * 100 / percent bounds its excess from below.
+        reach = F.col("excess") - 2 * (100 - percent) * F.floor(100 * F.col("nm").cast("long") / percent)
+        need = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.greatest(partner, reach)) / (2.0 * (100 + percent))).cast("int"))
         # Quiet shingles, the first ones, meet nobody.
         prefix = F.slice("diff", F.col("quiet") + 1, F.greatest(F.lit(0), F.size("diff") - need + 1 - F.col("quiet")))
         rows = rows.filter(F.col(partner).isNotNull())
-        rows = rows.select("p", F.col("m").alias(side), F.col("component").alias(f"c{side}"), F.col("excess").alias(f"e{side}"), (F.size("diff") - F.col("quiet") - 1).alias("behind"), F.posexplode(prefix).alias("at", "sign"))
-        return rows.withColumn(f"l{side}", F.col("behind") - F.col("at")).drop("behind", "at")
+        rows = rows.select("p", "m", "component", "excess", (F.size("diff") - F.col("quiet") - 1).alias("behind"), F.posexplode(prefix).alias("at", "sign"))
+        return rows.withColumn("behind", F.col("behind") - F.col("at")).drop("at")
+
+    def of_side(x: str, signs: DataFrame) -> DataFrame:
+        return signs.select("p", "sign", F.col("m").alias(x), F.col("component").alias(f"c{x}"), F.col("excess").alias(f"e{x}"), F.col("behind").alias(f"l{x}"))
 
     def meeting(a: DataFrame, b: DataFrame, further: Column) -> DataFrame:
         # With the shingles behind the first one that a similar pair shares there must be as many as it has to share.
         enough = 2 * (100 + percent) * (F.least("la", "lb") + 1) >= F.col("ea") + F.col("eb")
-        return a.join(b, ["p", "sign"]).filter((F.col("ca") != F.col("cb")) & further & enough).select("p", "a", "b").distinct()
+        return of_side("a", a).join(of_side("b", b), ["p", "sign"]).filter((F.col("ca") != F.col("cb")) & further & enough).select("p", "a", "b").distinct()
 
     side = lambda x: members.select("p", F.col("m").alias(x), F.col("nm").alias(f"n{x}"), F.col("diff").alias(f"d{x}"))
     apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
@@ -346,23 +351,24 @@ def _links_of_members(done: DataFrame, comp: DataFrame, percent: int) -> DataFra
     def links_of(meet: DataFrame) -> DataFrame:
         return meet.join(side("a"), ["p", "a"]).join(side("b"), ["p", "b"]).filter(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    each = signs(rows.filter("not linked"), "least_left", "m").select("p", "sign", "m", "cm", "em")
-    centres = each.groupBy("p", "sign").agg(F.min(F.struct("em", "m", "cm")).alias("low"), F.count("*").alias("n"))
+    each = materialise(signs(rows.filter("not linked"), "least_left"), "signs")
+    centres = each.groupBy("p", "sign").agg(F.min(F.struct("excess", "m", "component")).alias("low"), F.count("*").alias("n"))
     if not centres.filter(F.col("n") > CROWD).isEmpty():
         # Stars first: of the members that a sign brings together each is held against that of least excess, and of these against the one
         # with which it shares most signs. A group of similar members is connected so, before pairs across components are made.
-        stars = each.join(centres, ["p", "sign"]).filter(F.col("cm") != F.col("low.cm")).groupBy("p", F.col("m").alias("a"), F.col("low.m").alias("b")).agg(F.count("*").alias("shared"))
+        stars = each.join(centres, ["p", "sign"]).filter(F.col("component") != F.col("low.component")).groupBy("p", F.col("m").alias("a"), F.col("low.m").alias("b")).agg(F.count("*").alias("shared"))
         stars = stars.groupBy("p", "a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
         sure = materialise(sure.union(links_of(stars)), "stars")
         grouped = components(sure.union(comp.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-        before, now = rows, grouped.select(F.col("node").alias("m"), F.col("component").alias("now"))
-        rows = materialise(rows.join(now, "m", "left").withColumn("component", F.coalesce("now", "component")).drop("now"), "placed")
-        dropped(before, grouped)
+        now = grouped.select(F.col("node").alias("m"), F.col("component").alias("now"))
+        placed = lambda df, name: materialise(df.join(now, "m", "left").withColumn("component", F.coalesce("now", "component")).drop("now"), name)
+        before, rows, each = (rows, each), placed(rows, "placed"), placed(each, "signs")
+        dropped(*before, grouped)
     rest, linked = rows.filter("not linked"), rows.filter("linked")
-    meet = meeting(signs(rest, "least_left", "a"), signs(rest, "least_left", "b"), F.col("a") < F.col("b"))
-    meet = meet.union(meeting(signs(rest, "least_linked", "a"), signs(linked, "least_left", "b"), F.lit(True)))
+    meet = meeting(each, each, F.col("a") < F.col("b"))
+    meet = meet.union(meeting(signs(rest, "least_linked"), signs(linked, "least_left"), F.lit(True)))
     out = materialise(sure.union(links_of(meet)), "links")
-    dropped(members, rows, sure)
+    dropped(members, rows, each, sure)
     return out
 
 
